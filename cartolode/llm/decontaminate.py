@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chargrams import grams, normalise
 from .common import table
 
 Q, MAX_ERROR = 8, 0.1
@@ -18,43 +18,11 @@ BLOCK_CHARS = 8_000_000
 HITS = "doc_id long, item_id long, start long, end long, distance int"
 
 
-@lru_cache(1)
-def _fold() -> np.ndarray:
-    """For each code point its lower-case letter or digit, 32 for everything else."""
-    out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x110000):
-        ch = chr(c)
-        if ch.isalnum():
-            low = ch.lower()
-            out[c] = ord(low) if len(low) == 1 else c
-    return out
-
-
-def normalise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points with single blanks between words, and the position in the text of each."""
-    codes = _fold()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    blank = codes == 32
-    keep = ~blank
-    keep[1:] |= blank[1:] & ~blank[:-1]
-    at = np.flatnonzero(keep)
-    return codes[at], at
-
-
-def _grams(codes: np.ndarray, q: int) -> np.ndarray:
-    n = len(codes) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(q):
-        h = h * np.uint64(0x100000001B3) + codes[k : k + n]
-    return h * np.uint64(0x9E3779B97F4A7C15)
-
-
 class Index:
     """The benchmark's q-grams in sorted order with their items and positions, and a bit table to pass over others."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, max_error: float):
-        self.q, self.ids, self.codes, grams, item, pos = q, [], [], [], [], []
+        self.q, self.ids, self.codes, found, item, pos, kept = q, [], [], [], [], [], []
         self.errors, self.need = [], []
         for item_id, text in items:
             codes = normalise(text)[0]
@@ -63,31 +31,37 @@ class Index:
             if m < q:
                 continue
             errors = min(int(max_error * m), (m - q) // q)
-            g = _grams(codes, q)
-            grams.append(g)
+            g = grams(codes, q)
+            found.append(g)
             item.append(np.full(len(g), len(self.ids)))
             pos.append(np.arange(len(g)))
+            kept.append(len(g) - (len(g) - q * errors) // 2)
             self.ids.append(item_id)
             self.codes.append(codes)
             self.errors.append(errors)
-            self.need.append(len(g) - q * errors)
+            self.need.append(kept[-1] - q * errors)
         self.errors, self.need = np.array(self.errors, np.int64), np.array(self.need, np.int64)
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.item = np.concatenate(item)[order] if grams else np.zeros(0, np.int64)
-        self.pos = np.concatenate(pos)[order] if grams else np.zeros(0, np.int64)
-        self.gram, self.first = np.unique(g[order], return_index=True)
+        g = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        item, pos = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (item, pos))
+        # Of an item's q-grams, any r may be left out if r fewer are then asked for: half the slack goes to the commonest.
+        _, which, often = np.unique(g, return_inverse=True, return_counts=True)
+        order = np.lexsort((pos, often[which], item))
+        place = np.arange(len(g)) - np.searchsorted(item[order], item[order])
+        order = order[place < np.array(kept, np.int64)[item[order]]] if found else order
+        order = order[np.argsort(g[order], kind="stable")]
+        g, self.item, self.pos = g[order], item[order], pos[order]
+        self.gram, self.first = np.unique(g, return_index=True)
         self.count = np.diff(np.append(self.first, len(g)))
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.gram >> np.uint64(42)).astype(np.int64)] = True
+        self.bits = np.zeros(1 << 21, bool)
+        self.bits[(self.gram >> np.uint64(43)).astype(np.int64)] = True
 
-    def search(self, text: str | None, piece: int = 1 << 19) -> list[tuple[int, int, int, int]]:
+    def search(self, text: str | None, piece: int = 1 << 12) -> list[tuple[int, int, int, int]]:
         """(item, start, end, distance) of the best region of each item in the text; ends are exclusive, in code points."""
         if not len(self.gram):
             return []
         codes, at = normalise(text)
-        h = _grams(codes, self.q)
+        h = grams(codes, self.q)
         found: dict[int, tuple] = {}
         # Pieces overlap by the longest item with its edits, so that a region lies whole in one of them.
         overlap = int((self.length + 2 * self.errors).max()) + self.q
@@ -98,7 +72,7 @@ class Index:
         return [(self.ids[i], int(at[s]), int(at[e - 1]) + 1, d) for i, s, e, d in found.values()]
 
     def _piece(self, codes: np.ndarray, h: np.ndarray, begin: int) -> Iterator[tuple[int, int, int, int]]:
-        seen = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
+        seen = np.flatnonzero(self.bits[(h >> np.uint64(43)).astype(np.int64)])
         k = np.searchsorted(self.gram, h[seen])
         k[k == len(self.gram)] = 0
         same = self.gram[k] == h[seen]
@@ -108,7 +82,11 @@ class Index:
             return
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         item = self.item[entry]
-        diagonal = np.repeat(seen + begin, n) - self.pos[entry]
+        plenty = (np.bincount(item, minlength=len(self.need)) >= self.need)[item]
+        if not plenty.any():
+            return
+        entry, item = entry[plenty], item[plenty]
+        diagonal = np.repeat(seen + begin, n)[plenty] - self.pos[entry]
         # A match with e edits keeps to e+1 neighbouring diagonals: bands of 2e+2 that overlap by half hold it whole.
         half = self.errors[item] + 1
         band = diagonal // half

@@ -19,7 +19,7 @@ TRAIN_DOCS = 2000
 #: A language keeps its commonest n-grams up to this number, which bounds the model that is broadcast.
 MAX_GRAMS = 400_000
 #: Code points that are scored at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 class Model:
@@ -140,7 +140,7 @@ class Model:
             best = int(row.argmin())
             margin = float(np.partition(row, 1)[1] - row[best]) if len(row) > 1 else 1.0
             score = float(1 / (1 + np.exp(-np.clip(self.slope * margin * np.sqrt(n) + self.bias, -30, 30))))
-            rejected = bool(n >= 20 and row[best] > self.limit.get(self.langs[best], np.inf))
+            rejected = bool(n >= 20 and row[best] > self.limit.get(self.langs[best], np.inf) + 6 / np.sqrt(n))
             out.append((self.langs[best], score, rejected, int(n), float(row[best]), margin))
         return out
 
@@ -148,7 +148,7 @@ class Model:
         """Fit P(right) as a logistic function of margin times root length, and each language's limit of nats per character.
 
         rows has lang, pred, n, nats, margin. One right and one wrong row of margin 0 keep the fit finite. Texts above the
-        mean by eight deviations and half a nat are taken for none of the languages.
+        mean by eight deviations, half a nat and six over their root length (short texts vary) are of none of the languages.
         """
         x = np.append(rows["margin"] * np.sqrt(rows["n"]), [0.0, 0.0])
         right = np.append((rows["lang"] == rows["pred"]).to_numpy(float), [1.0, 0.0])

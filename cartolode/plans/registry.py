@@ -8,7 +8,7 @@ from cartolode.functions import scalar
 from cartolode.operators import changes, graph, history, rules, search
 from cartolode.plans.bindings import view
 from cartolode.plans.oracle import ORACLE_SQL  # noqa: F401
-from cartolode.sources.tables import table
+from cartolode.sources.tables import save, table
 
 V, T = view, table
 
@@ -24,7 +24,13 @@ def _memory(s, d):
 
 
 def _index(s, d):
-    return search.postings(T(s, d, "documents"))
+    """Written once: ranking reads the index several times."""
+    return save(search.postings(T(s, d, "documents")), "postings")
+
+
+def _fused(s, d):
+    index, queries = _index(s, d), V(s, d, "queries")
+    return search.rrf([search.bm25(index, queries), search.bm25(index, queries, b=0.0)], "item_id", "doc_id")
 
 
 def _same_dep(s, d):
@@ -101,9 +107,9 @@ QUERIES = {
     "event_buckets": lambda s, d: T(s, d, "events").select("event_id", scalar.bucket_duration(F.col("value") * 1000).alias("duration"), scalar.bucket_count(F.floor("value")).alias("number"), scalar.bucket_minutes(F.col("value")).alias("minutes")),
     "token_estimate": lambda s, d: T(s, d, "documents").select("doc_id", scalar.estimate_tokens(F.col("text")).alias("tokens")),
     "redact_documents": lambda s, d: T(s, d, "documents").select("doc_id", F.sha2(scalar.redact_secrets(F.col("text")), 256).alias("digest")),
-    "postings": lambda s, d: _index(s, d),
+    "postings": lambda s, d: search.postings(T(s, d, "documents")),
     "bm25": lambda s, d: search.bm25(_index(s, d), V(s, d, "queries")),
     "vector_topk": lambda s, d: search.vector_topk(T(s, d, "embeddings"), V(s, d, "vecq")),
-    "rrf": lambda s, d: search.rrf([search.bm25(_index(s, d), V(s, d, "queries")), search.bm25(_index(s, d), V(s, d, "queries"), b=0.0)], "item_id", "doc_id"),
+    "rrf": _fused,
     "symbol_search": lambda s, d: search.symbol_search(T(s, d, "part").select(F.col("p_name").alias("symbol")).distinct(), "re"),
 }

@@ -134,4 +134,13 @@ ORACLE_SQL = {
     "vector_topk": W("SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, floor(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * 10000 + 0.5) / 10000 AS score FROM embeddings e JOIN vecq q ON e.vec_id <> q.vec_id) t QUALIFY rank <= 5", "vecq"),
     "rrf": _more(("queries",), _SEARCH + ", " + _bm25("0.75", "one") + ", " + _bm25("0.0", "two"), "SELECT item_id, doc_id, floor(sum(1.0 / (60 + rank)) * 1000000 + 0.5) / 1000000 AS score FROM (SELECT item_id, doc_id, rank FROM one UNION ALL SELECT item_id, doc_id, rank FROM two) t GROUP BY item_id, doc_id"),
     "symbol_search": "SELECT DISTINCT p_name AS symbol, CASE WHEN lower(p_name) = 're' THEN 0 WHEN starts_with(lower(p_name), 're') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name), 're') ORDER BY rank, symbol LIMIT 30",
+    "proof_status": W("""SELECT command, CASE WHEN completed_at IS NULL THEN 'missing' WHEN datediff('day', CAST(completed_at AS DATE), CAST((SELECT max(completed_at) FROM ledger) AS DATE)) > 0 THEN 'stale' WHEN exit_code <> 0 THEN 'failed' ELSE 'passed' END AS status
+      FROM (SELECT command, max(completed_at) AS completed_at, arg_max(exit_code, (completed_at, event_id)) AS exit_code FROM ledger GROUP BY command UNION ALL SELECT 'never-run', NULL, NULL) t""", "ledger"),
+    "preflight_verdict": W("SELECT source, CASE WHEN bool_or(severity = 'error') THEN 'block' WHEN bool_or(severity = 'warning') THEN 'caution' ELSE 'proceed' END AS verdict FROM issues GROUP BY source", "issues"),
+    "run_outcome": W("SELECT command, count(*) FILTER (WHERE exit_code = 0) AS completed, count(*) FILTER (WHERE exit_code <> 0) AS failed, count(*) - count(DISTINCT CAST(completed_at AS DATE)) AS reruns FROM ledger GROUP BY command", "ledger"),
+    "hotspot_delta": W("""SELECT path, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after, CASE WHEN before IS NULL THEN 'appeared' WHEN after IS NULL THEN 'resolved' WHEN after > before THEN 'rose' ELSE 'fell' END AS moved
+      FROM (SELECT path, sum(version) FILTER (WHERE snapshot = 'base') AS before, sum(version) FILTER (WHERE snapshot = 'head') AS after FROM snap GROUP BY path) t WHERE before IS DISTINCT FROM after""", "snap"),
+    "cross_group_edges": W("SELECT a.p_brand AS src_group, b.p_brand AS dst_group, count(*) AS edges FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand GROUP BY 1, 2", "edges"),
+    "fan_in": W("SELECT b.p_brand AS file, count(DISTINCT a.p_brand) AS fan_in FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand GROUP BY 1", "edges"),
+    "public_closure": W("", "edges").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", reach AS (SELECT p_partkey AS path, 0 AS distance FROM part WHERE p_partkey < 5 UNION SELECT dst, distance + 1 FROM reach JOIN edges ON src = path WHERE distance < 10) SELECT path, min(distance) AS distance FROM reach GROUP BY path",
 }

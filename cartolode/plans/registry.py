@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartolode.functions import scalar
-from cartolode.operators import changes, graph, history, rules, search
+from cartolode.operators import changes, graph, history, rules, search, status
 from cartolode.plans.bindings import view
 from cartolode.plans.oracle import ORACLE_SQL  # noqa: F401
 from cartolode.sources.tables import save, table
@@ -112,4 +112,11 @@ QUERIES = {
     "vector_topk": lambda s, d: search.vector_topk(T(s, d, "embeddings"), V(s, d, "vecq")),
     "rrf": _fused,
     "symbol_search": lambda s, d: search.symbol_search(T(s, d, "part").select(F.col("p_name").alias("symbol")).distinct(), "re"),
+    "proof_status": lambda s, d: status.proof_status(V(s, d, "ledger").select("command").distinct().unionByName(s.sql("SELECT 'never-run' AS command")), history.latest_per_key(V(s, d, "ledger")), 0),
+    "preflight_verdict": lambda s, d: status.preflight_verdict(V(s, d, "issues")),
+    "run_outcome": lambda s, d: status.run_outcome(V(s, d, "ledger")),
+    "hotspot_delta": lambda s, d: status.hotspot_delta(*[x.groupBy("path").agg(F.sum("version").alias("score")) for x in changes.split(V(s, d, "snap"))]),
+    "cross_group_edges": lambda s, d: status.cross_group_edges(V(s, d, "edges"), V(s, d, "funcs").select(F.col("fn").alias("path"), F.col("file").alias("name"))),
+    "fan_in": lambda s, d: status.fan_in(V(s, d, "edges"), V(s, d, "funcs")),
+    "public_closure": lambda s, d: graph.impact(V(s, d, "edges").select(F.col("dst").alias("src"), F.col("src").alias("dst")), _seeds(s, d)),
 }

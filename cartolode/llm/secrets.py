@@ -18,7 +18,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Contexts beyond the fixed ones: a credential word, at most a copula or sign, then a value up to a blank or quote.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pass|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)["']?(?:\x20+is|\x20*(?::=|=>|[:=]))\x20*["']?(?P<value>[^\s"'<>,;]{6,200})""",
+    r"""(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pass|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)["']?(?:\x20+is|\x20*(?::=|=>|[:=]))\x20*["']?(?P<value>[^\s"'<>,;]{6,})""",
     re.ASCII,
 )
 #: Words that people build passwords from, most common first.
@@ -39,6 +39,8 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[1
 KEY_AT = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
 #: A value is a secret if guessing it takes at least 10 to this power tries.
 MIN_LOG10 = 9.0
+#: Longer values are costed in pieces of so many characters.
+PIECE = 200
 
 
 def _adjacent(a: str, b: str) -> bool:
@@ -106,6 +108,11 @@ def guess_cost(value: str) -> float:
     return min(best[n][k] + math.log10(math.factorial(k)) for k in range(1, parts + 1))
 
 
+def value_cost(value: str) -> float:
+    """guess_cost of the whole value; of one longer than PIECE the cost of its dearest piece, which bounds it from below."""
+    return max((guess_cost(value[k : k + PIECE]) for k in range(0, len(value), PIECE)), default=0.0)
+
+
 def scan(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list, list]:
     """(base, added): lists of (kind, start, end, log10 of guesses or None); positions in code points."""
     text = text or ""
@@ -114,7 +121,7 @@ def scan(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list, list]:
     if any(w in raw for w in ("passw", "secret", "token", "apikey", "api_key")):
         for m in ASSIGN.finditer(text):
             if len(m["value"]) >= 12:
-                base.append(("assign", m.start(), m.end(), guess_cost(m["value"][:200])))
+                base.append(("assign", m.start(), m.end(), value_cost(m["value"])))
     if "AKIA" in text:
         base += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
@@ -123,9 +130,9 @@ def scan(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list, list]:
         for m in CONTEXT.finditer(text):
             value = m["value"].rstrip(".)]}!?")
             start, end = m.start("value"), m.start("value") + len(value)
-            if any(s < end and start < e for s, e in taken) or not any(c.isdigit() or not c.isalnum() for c in value):
+            if any(s <= start and end <= e for s, e in taken) or not any(c.isdigit() or not c.isalnum() for c in value):
                 continue
-            cost = guess_cost(value)
+            cost = value_cost(value)
             if len(value) >= 6 and cost >= min_log10:
                 added.append(("guess", start, end, cost))
     return base, added
@@ -157,7 +164,7 @@ def _digest(min_log10: float):
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10) -> DataFrame:
     """One row per document with counts, digest and list of its spans: the fixed patterns, and values in a credential
-    context whose guess cost reaches min_log10 and that no fixed span overlaps.
+    context whose guess cost reaches min_log10 and that no fixed span holds whole.
 
     Null texts count as empty; ids may be null or repeat; other columns are ignored; an empty table gives no rows.
     """
@@ -177,7 +184,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "<secret
             if m := ASSIGN.match(text, start):
                 start = m.start("value") if m.end() == end else start
             if end > at:
-                out += [text[at : max(at, start)], mark]
+                # A span that runs on from the one before shares its mark.
+                out += [text[at:start], mark] if start >= at else []
                 at = end
         return "".join(out) + text[at:]
 

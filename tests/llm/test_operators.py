@@ -87,6 +87,19 @@ def test_secret_spans(spark):
     assert clean[1000] == "token = '<secret>' x" and "Tr0ub" not in clean[1005] and clean[0] == rows[0][1]
 
 
+def test_long_values_are_found_and_redacted_whole(spark):
+    rnd = random.Random(9)
+    for n in (199, 200, 201, 5000):
+        value = "z" * (n - 30) + "".join(rnd.choice("bcdfghjkmnpqrstvwxyz#%23456789") for _ in range(30))
+        base, added = secrets.scan(f"pwd is {value} x")
+        assert not base and [(x[1], x[2]) for x in added] == [(7, 7 + n)]
+        df = spark.createDataFrame([(1, f"pwd is {value} x")], "doc_id long, text string")
+        assert secrets.redact_secrets(df).first()["text"] == "pwd is <secret> x"
+    assert not secrets.scan("pwd is " + "1" * 5000)[1]
+    df = spark.createDataFrame([(1, "token=abcDEF123456#9x!Qw7 pwd: deadbeefdeadbeef!Zq9# x")], "doc_id long, text string")
+    assert secrets.redact_secrets(df).first()["text"] == "token=<secret> pwd: <secret> x"
+
+
 def test_guess_cost_takes_the_cheapest_segments():
     cost = secrets.guess_cost
     assert cost("password") < cost("passwordx") < cost("p9sswqrdx")

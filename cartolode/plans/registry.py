@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cartolode.functions import scalar
 from cartolode.operators import changes, graph, history, rules, search, status
+from cartolode.plans import oracle, reviews
 from cartolode.plans.bindings import view
-from cartolode.plans.oracle import ORACLE_SQL  # noqa: F401
 from cartolode.sources.tables import save, table
 
 V, T = view, table
@@ -120,3 +120,6 @@ QUERIES = {
     "fan_in": lambda s, d: status.fan_in(V(s, d, "edges"), V(s, d, "funcs")),
     "public_closure": lambda s, d: graph.impact(V(s, d, "edges").select(F.col("dst").alias("src"), F.col("src").alias("dst")), _seeds(s, d)),
 }
+
+QUERIES |= reviews.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | reviews.ORACLE_SQL

@@ -65,3 +65,50 @@ def write_snapshot(df: DataFrame, path: str, version: int = 1) -> None:
 
 def read_snapshot(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     return spark.read.parquet(path).where(F.col("schema_version") == version).drop("schema_version")
+
+
+def _json_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(manifest, x) for each JSON file; x is null for files that are no such JSON."""
+    rows = spark.read.option("wholetext", "true").text(path)
+    return rows.select(F.regexp_extract("_metadata.file_path", "[^/]*$", 0).alias("manifest"), F.from_json("value", kind).alias("x"))
+
+
+def read_coverage_final(spark: SparkSession, path: str) -> DataFrame:
+    """Statement counters as JSON maps of path to counts: (path, lines_found, lines_hit, pct); a statement is hit if it ran once."""
+    rows = _json_files(spark, path, "map<string, struct<s: map<string, bigint>>>").select(F.explode("x").alias("path", "c"))
+    found, hit = F.size("c.s"), F.size(F.map_filter("c.s", lambda k, v: v > 0))
+    rows = rows.where("c.s is not null").select("path", found.cast("long").alias("lines_found"), hit.cast("long").alias("lines_hit"))
+    return rows.withColumn("pct", F.when(F.col("lines_found") > 0, 100 * F.col("lines_hit") / F.col("lines_found")).otherwise(0.0))
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Package manifests: (manifest, kind, name, value) for every dependency, development dependency and script."""
+    kinds = ("dependencies", "devDependencies", "scripts")
+    rows = _json_files(spark, path, "struct<" + ", ".join(f"{k}: map<string, string>" for k in kinds) + ">")
+    each = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"x.{k}").alias("m")) for k in kinds]), lambda e: e["m"].isNotNull())
+    return rows.select("manifest", F.inline(each)).select("manifest", "kind", F.explode("m").alias("name", "value"))
+
+
+def read_lockfiles(spark: SparkSession, path: str) -> DataFrame:
+    """Lockfiles with a map of install path to package: (manifest, name, version); the root entry is left out."""
+    rows = _json_files(spark, path, "struct<packages: map<string, struct<version: string>>>").select("manifest", F.explode("x.packages").alias("at", "p"))
+    return rows.where("at <> ''").select("manifest", F.substring_index("at", "node_modules/", -1).alias("name"), F.col("p.version").alias("version"))
+
+
+def read_requirements(spark: SparkSession, path: str) -> DataFrame:
+    """Requirement lines: (name, specifier, pinned); comments, blank lines and options are left out, names folded."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"(^|\s)#.*$", "")).alias("l")).where("l <> '' and not startswith(l, '-')")
+    part = lambda k: F.regexp_extract("l", r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([^;@]*)", k)
+    rows = lines.select(F.lower(F.regexp_replace(part(1), "[-_.]+", "-")).alias("name"), F.regexp_replace(part(2), r"\s+", "").alias("specifier"))
+    return rows.where("name <> ''").withColumn("pinned", F.regexp_extract("specifier", r"^===?([^,*]+)$", 1)).withColumn("pinned", F.nullif("pinned", F.lit("")))
+
+
+def scan_files(spark: SparkSession, root: str, ignore: tuple = ("node_modules", ".git", "dist", "build", "coverage"), exts: tuple = ()) -> DataFrame:
+    """Files below root: (path, dir, ext, size_bytes), without ignored folders; contents are not read. Spark's
+    listing leaves out empty files and those whose names begin with a dot or underscore."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("full"), F.col("length").alias("size_bytes"))
+    base = "/" + root.removeprefix("file:").strip("/") + "/"
+    rows = files.select(F.when(F.startswith("full", F.lit(base)), F.substring("full", len(base) + 1, 1 << 20)).otherwise(F.col("full")).alias("path"), "size_bytes")
+    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignore))))
+    rows = rows.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.lower(F.regexp_extract("path", r"[^/.](\.[^./]+)$", 1)).alias("ext"), "size_bytes")
+    return rows.where(F.col("ext").isin(*exts)) if exts else rows

@@ -1,9 +1,11 @@
 """Readers on small files, and streams against their batch twins."""
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
+from cartolode.operators import evidence
 from cartolode.sources import readers
 from cartolode.streaming import feeds
 
@@ -62,3 +64,34 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
 def test_costs_stream_equals_batch(spark, tmp_path):
     streamed, batch = stream(spark, feeds.cost_totals, tmp_path, "complete")
     assert streamed == batch and batch
+
+
+def test_manifests_locks_and_requirements(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text('{"name": "a", "dependencies": {"x": "^1.0.0"}, "scripts": {"test": "run"}}')
+    (tmp_path / "m" / "bad.json").write_text("{nope")
+    assert sorted(map(tuple, readers.read_manifests(spark, str(tmp_path / "m")).collect())) == [("a.json", "dependencies", "x", "^1.0.0"), ("a.json", "scripts", "test", "run")]
+    (tmp_path / "lock.json").write_text('{"packages": {"": {"version": "0"}, "node_modules/x": {"version": "1.0.1"}, "node_modules/x/node_modules/@s/y": {"version": "2"}}}')
+    assert sorted(map(tuple, readers.read_lockfiles(spark, str(tmp_path / "lock.json")).collect())) == [("lock.json", "@s/y", "2"), ("lock.json", "x", "1.0.1")]
+    (tmp_path / "req.txt").write_text("# all\n-r other.txt\nA_b[extra] == 1.2 ; python_version > '3'\nc>=1,<2  # why\n\nd\n")
+    assert sorted(map(tuple, readers.read_requirements(spark, str(tmp_path / "req.txt")).collect())) == [("a-b", "==1.2", "1.2"), ("c", ">=1,<2", None), ("d", "", None)]
+    (tmp_path / "final.json").write_text('{"a.ts": {"s": {"0": 2, "1": 0}}, "b.ts": {"s": {}}}')
+    assert sorted(map(tuple, readers.read_coverage_final(spark, str(tmp_path / "final.json")).collect())) == [("a.ts", 2, 1, 50.0), ("b.ts", 0, 0, 0.0)]
+
+
+def test_scan_files(spark, tmp_path):
+    for name, text in (("src/a.PY", "abc"), ("src/deep/.env", "k"), ("node_modules/x/i.js", "1"), ("README", "r")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = sorted(map(tuple, readers.scan_files(spark, str(tmp_path)).collect()))
+    assert rows == [("README", "", "", 1), ("src/a.PY", "src", ".py", 3)]
+    assert [r["path"] for r in readers.scan_files(spark, str(tmp_path), exts=(".py",)).collect()] == ["src/a.PY"]
+
+
+def test_sarif_sink(spark, tmp_path):
+    issues = spark.createDataFrame([("r1", "generic-secret", "error", "security"), ("r2", "a_b", "info", "x")], "source string, rule_id string, severity string, category string")
+    rows = evidence.sarif_results(issues, F.col("source")).withColumn("repo", F.col("uri"))
+    assert sorted(r["rule_name"] for r in rows.collect()) == ["AB", "GenericSecret"]
+    evidence.write_sarif(rows, str(tmp_path / "out"), "repo")
+    first = json.loads(spark.read.text(str(tmp_path / "out" / "repo=r1")).first()[0])
+    assert first["ruleId"] == "generic-secret" and first["level"] == "error" and first["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "r1"

@@ -135,6 +135,38 @@ def suppress(issues: DataFrame, rules: DataFrame, path: str) -> DataFrame:
     return issues.join(_rules(rules), (F.col("rule_id") == F.col("rule")) & F.expr(f"{path} rlike regex"), "left_anti")
 
 
+def known_bad(deps: DataFrame, bad: DataFrame) -> DataFrame:
+    """Dependencies(name, version) that bad(name, version) lists."""
+    return deps.join(_rules(bad.distinct()), ["name", "version"], "left_semi")
+
+
+def match_recipes(files: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(path, recipe) for each of recipes(recipe, regex) whose pattern fits the path."""
+    return files.select("path").distinct().join(_rules(recipes), F.expr("path rlike regex")).select("path", "recipe")
+
+
+def changed_after_proof(proofs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Files of a proof(proof, path, proved_at) that changes(path, ts) touched later: (proof, covered, changed, status)."""
+    last = changes.groupBy("path").agg(F.max("ts").alias("last_change"))
+    rows = proofs.join(last, "path", "left").groupBy("proof").agg(F.count("*").alias("covered"), F.count_if(F.col("last_change") > F.col("proved_at")).alias("changed"))
+    return rows.withColumn("status", F.when(F.col("changed") > 0, "stale").otherwise("current"))
+
+
+def guard_status(receipts: DataFrame) -> DataFrame:
+    """receipts(contract_id, has_contract, forbidden, outside, changed_after, proof, sufficiency): blocked, drift, attention or clear."""
+    c, weak = F.col, ("missing", "stale")
+    status = (
+        F.when(~c("has_contract"), "blocked").when(c("forbidden") + c("outside") + c("changed_after") > 0, "drift").when(c("proof") == "failed", "blocked")
+        .when(c("proof").isin(*weak, "not-run", "partial") | c("sufficiency").isin(*weak, "weak", "failed"), "attention").otherwise("clear")
+    )
+    return receipts.select("contract_id", status.alias("status"))
+
+
+def corpus_metrics(facts: DataFrame, by: str, metrics: tuple) -> DataFrame:
+    """The sum of each metric by member of a corpus, and of all in the row where by is null."""
+    return facts.rollup(by).agg(*[F.sum(m).alias(m) for m in metrics])
+
+
 def shared_symbols(exports: DataFrame, top: int = 200) -> DataFrame:
     """Symbols that two repositories or more export, by how many."""
     rows = exports.groupBy("symbol").agg(F.countDistinct("repo").alias("repos")).where("repos >= 2")

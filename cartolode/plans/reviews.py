@@ -101,6 +101,12 @@ QUERIES = {
     "owner_last_match": lambda s, d: evidence.owners_of(V(s, d, "files"), _owner_rules(s)),
     "policy_violations": lambda s, d: evidence.policy_violations(T(s, d, "documents").select(F.col("source").alias("from_package"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), "lang").alias("to_package")).distinct(), _policy(s)),
     "issues_suppressed": lambda s, d: evidence.suppress(V(s, d, "issues"), s.sql("SELECT * FROM VALUES ('licence-line', '^src1'), ('large-document', '[02468]$') AS t(rule, regex)"), "source"),
+    "known_bad_join": lambda s, d: evidence.known_bad(T(s, d, "part").selectExpr("p_partkey", "p_brand as name", "p_size as version"), s.sql("SELECT * FROM VALUES ('Brand#11', 7), ('Brand#23', 12), ('Brand#45', 49) AS t(name, version)")),
+    "recipe_match": lambda s, d: evidence.match_recipes(V(s, d, "files"), s.sql("SELECT * FROM VALUES ('ends', '1[.](en|de)$'), ('first', '^src1/') AS t(recipe, regex)")),
+    "issues_touching": lambda s, d: rules.changed_only(V(s, d, "issues"), T(s, d, "labels").where("quality = 1"), "doc_id"),
+    "changed_after_proof": lambda s, d: evidence.changed_after_proof(T(s, d, "lineitem").selectExpr("l_orderkey as proof", "l_partkey as path", "l_shipdate as proved_at"), V(s, d, "commits")),
+    "guard_status": lambda s, d: evidence.guard_status(V(s, d, "cost").selectExpr("event_id as contract_id", "user_id % 7 <> 0 as has_contract", "cast(tokens % 9 = 0 as int) as forbidden", "cast(tokens % 8 = 0 as int) as outside", "cast(user_id % 6 = 0 as int) as changed_after", "element_at(array('passed', 'failed', 'stale'), cast(tokens % 3 + 1 as int)) as proof", "if(tool = 'error', 'weak', 'strong') as sufficiency")),
+    "corpus_metrics": lambda s, d: evidence.corpus_metrics(V(s, d, "funcs").selectExpr("file", "cc", "1 as functions"), "file", ("cc", "functions")),
     "shared_symbols": lambda s, d: evidence.shared_symbols(_exports(s, d)),
     "cross_repo_callers": lambda s, d: evidence.cross_repo_callers(_exports(s, d), T(s, d, "part").where("p_size <= 2").selectExpr("p_brand as repo", "p_name as symbol")),
     "outdated": lambda s, d: evidence.outdated(T(s, d, "part").selectExpr("p_partkey as name", "if(p_partkey % 11 = 0, '*', concat('^', p_size % 3, '.', p_size % 5, '.', p_partkey % 2)) as declared"), T(s, d, "part").where("p_partkey % 13 <> 0").selectExpr("p_partkey as name", "concat(p_size % 2, '.', p_size % 5, '.', p_partkey % 3) as installed")).select("name", "drift"),
@@ -189,6 +195,12 @@ ORACLE_SQL = {
     "policy_violations": f"""SELECT DISTINCT from_package, to_package FROM (SELECT source AS from_package, concat('src', CAST(doc_id % 7 AS VARCHAR), '/', lang) AS to_package FROM documents) e
         WHERE (from_package = 'src0' AND NOT {_FIT.format(l="['src1/*', 'src2/en']")}) OR (from_package = 'src1' AND {_FIT.format(l="['*/de', 'src3/en']")}) OR from_package = 'src2'""",
     "issues_suppressed": W("SELECT * FROM issues WHERE NOT (rule_id = 'licence-line' AND coalesce(starts_with(source, 'src1'), false)) AND NOT (rule_id = 'large-document' AND coalesce(regexp_matches(source, '[02468]$'), false))", "issues"),
+    "known_bad_join": "SELECT p_partkey, p_brand AS name, p_size AS version FROM part WHERE (p_brand = 'Brand#11' AND p_size = 7) OR (p_brand = 'Brand#23' AND p_size = 12) OR (p_brand = 'Brand#45' AND p_size = 49)",
+    "recipe_match": W("SELECT DISTINCT path, 'ends' AS recipe FROM files WHERE suffix(path, '1.en') OR suffix(path, '1.de') UNION ALL SELECT DISTINCT path, 'first' FROM files WHERE starts_with(path, 'src1/')", "files"),
+    "issues_touching": W("SELECT * FROM issues WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", "issues"),
+    "changed_after_proof": W("SELECT proof, covered, changed, CASE WHEN changed > 0 THEN 'stale' ELSE 'current' END AS status FROM (SELECT l_orderkey AS proof, count(*) AS covered, count(*) FILTER (WHERE m > l_shipdate) AS changed FROM lineitem LEFT JOIN (SELECT path, max(ts) AS m FROM commits GROUP BY 1) c ON c.path = l_partkey GROUP BY 1) t", "commits"),
+    "guard_status": W("SELECT event_id AS contract_id, CASE WHEN user_id % 7 = 0 THEN 'blocked' WHEN tokens % 9 = 0 OR tokens % 8 = 0 OR user_id % 6 = 0 THEN 'drift' WHEN tokens % 3 = 1 THEN 'blocked' WHEN tokens % 3 = 2 OR tool = 'error' THEN 'attention' ELSE 'clear' END AS status FROM cost", "cost"),
+    "corpus_metrics": "SELECT p_brand AS file, sum(p_size) AS cc, count(*) AS functions FROM part GROUP BY ROLLUP (p_brand)",
     "shared_symbols": "SELECT p_name AS symbol, count(DISTINCT p_brand) AS repos FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2 ORDER BY 2 DESC, 1 LIMIT 200",
     "cross_repo_callers": "SELECT DISTINCT a.p_name AS symbol, a.p_brand AS repo, b.p_brand AS caller FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand WHERE b.p_size <= 2",
     "outdated": """SELECT p_partkey AS name, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN 'unknown' WHEN p_size % 3 <> p_size % 2 THEN 'major' WHEN p_partkey % 2 <> p_partkey % 3 THEN 'patch' ELSE 'same' END AS drift FROM part""",

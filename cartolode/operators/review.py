@@ -114,3 +114,9 @@ def embed_plan(entries: DataFrame, chunks_: DataFrame, keys: tuple, digest: str)
     both = entries.select(*keys, F.col(digest).alias("old"), F.lit(1).alias("had")).join(chunks_.select(*keys, F.col(digest).alias("new"), F.lit(1).alias("has")), list(keys), "full")
     action = F.when(F.col("has").isNull(), "drop").when(F.col("had").isNull() | ~F.col("old").eqNullSafe(F.col("new")), "embed").otherwise("keep")
     return both.select(*keys, action.alias("action"))
+
+
+def diff_contracts(base: DataFrame, head: DataFrame, public: DataFrame) -> DataFrame:
+    """Exports(path, name) of public(path) files that came or went: (path, name, change)."""
+    sides = [a.select("path", "name").distinct().join(b.select("path", "name").distinct(), ["path", "name"], "left_anti").withColumn("change", F.lit(n)) for a, b, n in ((head, base, "added"), (base, head, "removed"))]
+    return sides[0].unionByName(sides[1]).join(public.select("path").distinct(), "path", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartolode.operators import changes, evidence, flows, graph, history, review, rules
+from cartolode.operators import changes, evidence, flows, graph, history, review, rules, search
 from cartolode.plans.bindings import view as V
 from cartolode.plans.bindings import with_views as W
 from cartolode.plans.oracle import ORACLE_SQL as BASE
@@ -101,6 +101,8 @@ QUERIES = {
     "owner_last_match": lambda s, d: evidence.owners_of(V(s, d, "files"), _owner_rules(s)),
     "policy_violations": lambda s, d: evidence.policy_violations(T(s, d, "documents").select(F.col("source").alias("from_package"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), "lang").alias("to_package")).distinct(), _policy(s)),
     "issues_suppressed": lambda s, d: evidence.suppress(V(s, d, "issues"), s.sql("SELECT * FROM VALUES ('licence-line', '^src1'), ('large-document', '[02468]$') AS t(rule, regex)"), "source"),
+    "diff_contracts": lambda s, d: review.diff_contracts(*_sides(s, d, "path", "fact as name"), T(s, d, "part").where("p_size <= 20").selectExpr("p_partkey as path")),
+    "route_texts": lambda s, d: search.route_texts(T(s, d, "documents"), s.sql("SELECT * FROM VALUES ('english', 0, 'the', 2), ('english', 0, 'of', 1), ('german', 1, 'und', 2), ('german', 1, 'der', 1), ('legal', 2, 'license', 3), ('french', 3, 'les', 2), ('french', 3, 'de', 1) AS t(route, place, keyword, weight)")),
     "known_bad_join": lambda s, d: evidence.known_bad(T(s, d, "part").selectExpr("p_partkey", "p_brand as name", "p_size as version"), s.sql("SELECT * FROM VALUES ('Brand#11', 7), ('Brand#23', 12), ('Brand#45', 49) AS t(name, version)")),
     "recipe_match": lambda s, d: evidence.match_recipes(V(s, d, "files"), s.sql("SELECT * FROM VALUES ('ends', '1[.](en|de)$'), ('first', '^src1/') AS t(recipe, regex)")),
     "issues_touching": lambda s, d: rules.changed_only(V(s, d, "issues"), T(s, d, "labels").where("quality = 1"), "doc_id"),
@@ -195,6 +197,11 @@ ORACLE_SQL = {
     "policy_violations": f"""SELECT DISTINCT from_package, to_package FROM (SELECT source AS from_package, concat('src', CAST(doc_id % 7 AS VARCHAR), '/', lang) AS to_package FROM documents) e
         WHERE (from_package = 'src0' AND NOT {_FIT.format(l="['src1/*', 'src2/en']")}) OR (from_package = 'src1' AND {_FIT.format(l="['*/de', 'src3/en']")}) OR from_package = 'src2'""",
     "issues_suppressed": W("SELECT * FROM issues WHERE NOT (rule_id = 'licence-line' AND coalesce(starts_with(source, 'src1'), false)) AND NOT (rule_id = 'large-document' AND coalesce(regexp_matches(source, '[02468]$'), false))", "issues"),
+    "diff_contracts": W("""SELECT x.path, x.fact AS name, CASE x.snapshot WHEN 'head' THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT snapshot, path, fact FROM snap) x JOIN part ON p_partkey = x.path
+        WHERE p_size <= 20 AND NOT EXISTS (SELECT 1 FROM snap y WHERE y.path = x.path AND y.fact = x.fact AND y.snapshot <> x.snapshot)""", "snap"),
+    "route_texts": """WITH cat AS (SELECT * FROM (VALUES ('english', 0, 'the', 2), ('english', 0, 'of', 1), ('german', 1, 'und', 2), ('german', 1, 'der', 1), ('legal', 2, 'license', 3), ('french', 3, 'les', 2), ('french', 3, 'de', 1)) t(route, place, keyword, weight)),
+        hits AS (SELECT doc_id, route, place, sum(weight) AS score FROM documents JOIN cat ON regexp_matches(lower(text), concat('(^|[^a-z0-9])', keyword, '([^a-z0-9]|$)')) GROUP BY 1, 2, 3)
+        SELECT doc_id, route, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS n FROM hits) t WHERE n = 1""",
     "known_bad_join": "SELECT p_partkey, p_brand AS name, p_size AS version FROM part WHERE (p_brand = 'Brand#11' AND p_size = 7) OR (p_brand = 'Brand#23' AND p_size = 12) OR (p_brand = 'Brand#45' AND p_size = 49)",
     "recipe_match": W("SELECT DISTINCT path, 'ends' AS recipe FROM files WHERE suffix(path, '1.en') OR suffix(path, '1.de') UNION ALL SELECT DISTINCT path, 'first' FROM files WHERE starts_with(path, 'src1/')", "files"),
     "issues_touching": W("SELECT * FROM issues WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", "issues"),

@@ -65,25 +65,28 @@ def semver_drift(declared: Column, installed: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """The larger of edit similarity and the share of the longer name that common prefix and suffix make up."""
+    """The larger of edit similarity and the share of the longer name that the longer of common prefix and suffix makes up."""
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     shared = lambda x, y: F.aggregate(
         F.sequence(F.lit(1), F.greatest(shortest, F.lit(1))),
         F.lit(0),
         lambda n, k: F.when((n == k - 1) & (k <= shortest) & (F.substring(x, k, F.lit(1)) == F.substring(y, k, F.lit(1))), k).otherwise(n),
     )
-    affix = F.least(shared(a, b) + shared(F.reverse(a), F.reverse(b)), shortest)
+    affix = F.greatest(shared(a, b), shared(F.reverse(a), F.reverse(b)))
     return F.when(longest == 0, 1.0).otherwise(F.greatest(1 - F.levenshtein(a, b) / longest, affix / longest))
 
 
-#: Fixed values, applied in this order: what a text must not show, and whether the key before it stays.
+#: Fixed values, applied in this order: what a text must not show, and the mark that takes its place; a key stays.
 REDACTIONS = (
     (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[redacted]"),
     (r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", "[redacted]"),
     (r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[redacted]"),
     (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "[redacted]"),
     (r"(?i)\b(?:sk|pk|whsec|ghp|gho|github_pat)[_-][A-Za-z0-9_=-]{8,}", "[redacted]"),
-    (r"(?i)\b([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASSWD|PWD|API[_-]?KEY|ACCESS[_-]?KEY|PRIVATE[_-]?KEY)[A-Z0-9_]*\s*=\s*)(?:\"[^\"]*\"|'[^']*'|[^\"'\s,;]+)", "$1[redacted]"),
+    (r"(?i)\b([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASSWD|PWD|API[_-]?KEY|ACCESS[_-]?KEY|PRIVATE[_-]?KEY)[A-Z0-9_]*)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\"'\s,;]+)", "$1=[redacted]"),
+    (r"(?i)\b(password|passwd|pwd|token|secret|api[_-]?key)\s*[:=]\s*(?:\"[^\"]*\"|'[^']*'|[^\"'\s,;]+)", "$1=[redacted]"),
+    (r"(?i)(--?(?:password|passwd|pwd|token|secret|api[_-]?key))\s+(?:\"[^\"]*\"|'[^']*'|[^\"'\s,;]+)", "$1=[redacted]"),
+    (r"(?i)\b[A-Za-z_][A-Za-z0-9_]*\.env\s*[:=]\s*(?:\"[^\"]*\"|'[^']*'|[^\"'\s,;]+)", "[redacted]"),
 )
 
 

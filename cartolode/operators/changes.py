@@ -63,8 +63,14 @@ def merge_hot_files(work: DataFrame) -> DataFrame:
 
 
 def contended_claims(claims: DataFrame) -> DataFrame:
-    """Pairs of claims of different agents where one target is the other or lies above it."""
-    below = claims.select(F.col("id").alias("lower_id"), F.col("agent").alias("lower_agent"), F.explode(ancestors(F.col("target"))).alias("target"))
-    above = claims.select(F.col("id").alias("upper_id"), F.col("agent").alias("upper_agent"), "target")
-    pairs = below.join(above, "target").where("lower_agent <> upper_agent and lower_id <> upper_id")
-    return pairs.select(F.least("lower_id", "upper_id").alias("a"), F.greatest("lower_id", "upper_id").alias("b")).distinct()
+    """Claims(id, agent, target) that another agent contends by a claim on the same target, one above or one below.
+
+    Each target and each folder knows only the smallest and largest agent that claims there, so that no pairs are formed.
+    """
+    span = lambda df: df.groupBy("place").agg(F.min("agent").alias("low"), F.max("agent").alias("high"))
+    rows = claims.select("id", "agent", "target")
+    at = span(rows.select(F.col("target").alias("place"), "agent"))
+    within = span(rows.select(F.explode(ancestors(F.col("target"))).alias("place"), "agent"))
+    above = rows.select("*", F.explode(ancestors(F.col("target"))).alias("place")).join(at, "place")
+    below = rows.withColumn("place", F.col("target")).join(within, "place")
+    return above.unionByName(below).where("low <> agent or high <> agent").select("id", "agent", "target").distinct()

@@ -13,7 +13,7 @@ from cartolode.functions.scalar import round_half_up, semver_drift
 RULE_ROWS = 10_000
 
 
-def _rules(rules: DataFrame) -> DataFrame:
+def small_rules(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(RULE_ROWS + 1).count() <= RULE_ROWS else rules
 
 
@@ -109,7 +109,7 @@ def validation_rollup(feedback: DataFrame, target: int, least_useful: int = 3, l
 
 def owners_of(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, owner) by the last of rules(rule_no, regex, owner) that fits; rules are written by hand and few."""
-    return files.select("path").join(_rules(rules), F.expr("path rlike regex")).groupBy("path").agg(F.max_by("owner", "rule_no").alias("owner"))
+    return files.select("path").join(small_rules(rules), F.expr("path rlike regex")).groupBy("path").agg(F.max_by("owner", "rule_no").alias("owner"))
 
 
 def _fits(name: Column, patterns: Column) -> Column:
@@ -124,7 +124,7 @@ def _fits(name: Column, patterns: Column) -> Column:
 def policy_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges(from_package, to_package) that rules(from_package, allow, deny) forbid: not on the allow-list where there is
     one, else on the deny-list."""
-    rows = edges.join(_rules(rules), "from_package")
+    rows = edges.join(small_rules(rules), "from_package")
     listed = F.size(F.coalesce("allow", F.array().cast("array<string>"))) > 0
     denied = F.when(listed, ~_fits(F.col("to_package"), F.col("allow"))).otherwise(_fits(F.col("to_package"), F.col("deny")))
     return rows.where(denied).select("from_package", "to_package")
@@ -132,17 +132,17 @@ def policy_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
 
 def suppress(issues: DataFrame, rules: DataFrame, path: str) -> DataFrame:
     """Issues that no row of rules(rule, regex) lets off."""
-    return issues.join(_rules(rules), (F.col("rule_id") == F.col("rule")) & F.expr(f"{path} rlike regex"), "left_anti")
+    return issues.join(small_rules(rules), (F.col("rule_id") == F.col("rule")) & F.expr(f"{path} rlike regex"), "left_anti")
 
 
 def known_bad(deps: DataFrame, bad: DataFrame) -> DataFrame:
     """Dependencies(name, version) that bad(name, version) lists."""
-    return deps.join(_rules(bad.distinct()), ["name", "version"], "left_semi")
+    return deps.join(small_rules(bad.distinct()), ["name", "version"], "left_semi")
 
 
 def match_recipes(files: DataFrame, recipes: DataFrame) -> DataFrame:
     """(path, recipe) for each of recipes(recipe, regex) whose pattern fits the path."""
-    return files.select("path").distinct().join(_rules(recipes), F.expr("path rlike regex")).select("path", "recipe")
+    return files.select("path").distinct().join(small_rules(recipes), F.expr("path rlike regex")).select("path", "recipe")
 
 
 def changed_after_proof(proofs: DataFrame, changes: DataFrame) -> DataFrame:

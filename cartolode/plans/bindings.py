@@ -41,15 +41,15 @@ VIEWS = {
                CASE c_custkey % 3 WHEN 0 THEN concat('r', CAST(n_regionkey AS STRING))
                     WHEN 1 THEN concat('r', CAST(n_regionkey AS STRING), '/n', CAST(n_nationkey AS STRING))
                     ELSE concat('r', CAST(n_regionkey AS STRING), '/n', CAST(n_nationkey AS STRING), '/c', CAST(c_custkey AS STRING)) END AS target
-        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey < 300""",
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "runs": "SELECT DISTINCT date_trunc('day', ts) AS run_ts, concat(event_type, ':', CAST(user_id AS STRING)) AS rule_id FROM {events}",
     "ledger": """
         SELECT event_id, concat(event_type, '-', CAST(user_id % 10 AS STRING)) AS command, ts AS completed_at,
                CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS exit_code FROM {events}""",
     "cost": "SELECT event_id, ts, user_id, event_type AS tool, CAST(floor(value) AS BIGINT) AS tokens FROM {events}",
     "funcs": "SELECT p_partkey AS fn, p_name AS bare, p_brand AS file, p_size AS cc FROM {part}",
-    "queries": "SELECT item_id, text FROM {benchmark} WHERE item_id < 20",
-    "vecq": "SELECT vec_id, embedding FROM {embeddings} WHERE vec_id < 10",
+    "queries": "SELECT item_id, text FROM {benchmark} WHERE item_id % 50 = 0",
+    "vecq": "SELECT vec_id, embedding FROM {embeddings} WHERE vec_id % 50 = 0",
     "feedback": """
         SELECT d.source AS repo, d.doc_id AS pr, l.quality = 1 AS useful, l.toxic = 1 AS noisy, d.n_chars % 30 AS minutes
         FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",

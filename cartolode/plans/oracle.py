@@ -87,7 +87,7 @@ ORACLE_SQL = {
     "touches": "SELECT user_id, count(*) AS touches, max(ts) AS last_touch, arg_min(event_type, (ts, event_id)) AS first_source FROM events GROUP BY user_id",
     "signature_changes": "SELECT event_id, ts, user_id, event_type, before FROM (SELECT event_id, ts, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) t WHERE before IS NULL OR before <> event_type",
     "coupling": W("SELECT coalesce(a.path, b.path) AS path, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, floor(coalesce(fan_out, 0) / (coalesce(fan_in, 0) + coalesce(fan_out, 0)) * 100 + 0.5) / 100 AS instability FROM (SELECT dst AS path, count(DISTINCT src) AS fan_in FROM edges GROUP BY 1) a FULL JOIN (SELECT src AS path, count(DISTINCT dst) AS fan_out FROM edges GROUP BY 1) b ON a.path = b.path", "edges"),
-    "impact_file": W("", "edges").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", reach AS (SELECT p_partkey AS path, 0 AS distance FROM part WHERE p_partkey < 5 UNION SELECT src, distance + 1 FROM reach JOIN edges ON dst = path WHERE distance < 10) SELECT path, min(distance) AS distance FROM reach GROUP BY path",
+    "impact_file": W("", "edges").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", reach AS (SELECT p_partkey AS path, 0 AS distance FROM part WHERE p_size = 1 UNION SELECT src, distance + 1 FROM reach JOIN edges ON dst = path WHERE distance < 10) SELECT path, min(distance) AS distance FROM reach GROUP BY path",
     "cycles": W("", "edges").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM reach JOIN edges ON src = b) SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
     "diff_rows": W("""SELECT coalesce(b.path, h.path) AS path, coalesce(b.fact, h.fact) AS fact, b.version AS old, h.version AS new, CASE WHEN b.version IS NULL THEN 'added' WHEN h.version IS NULL THEN 'removed' ELSE 'modified' END AS status
       FROM (SELECT * FROM snap WHERE snapshot = 'base') b FULL JOIN (SELECT * FROM snap WHERE snapshot = 'head') h ON b.path = h.path AND b.fact = h.fact WHERE b.version IS DISTINCT FROM h.version""", "snap"),
@@ -99,7 +99,7 @@ ORACLE_SQL = {
       SELECT w.stream, count(DISTINCT w.path) AS files, coalesce(max(n), 0) AS collisions, coalesce(max(r), 0) AS risk FROM work w LEFT JOIN (SELECT stream, count(*) AS n, sum(v) AS r FROM (
         SELECT stream_a AS stream, 2 AS v FROM same UNION ALL SELECT stream_b, 2 FROM same UNION ALL SELECT stream_a, 1 FROM dep UNION ALL SELECT stream_b, 1 FROM dep) u GROUP BY stream) k ON k.stream = w.stream GROUP BY w.stream) t"""),
     "merge_hot_files": W("SELECT path, count(DISTINCT stream) AS streams FROM work GROUP BY path HAVING count(DISTINCT stream) >= 2", "work"),
-    "claims_contended": W("SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM claims x JOIN claims y ON x.agent <> y.agent AND x.id <> y.id AND (x.target = y.target OR starts_with(x.target, y.target || '/'))", "claims"),
+    "claims_contended": W("SELECT id, agent, target FROM claims x WHERE EXISTS (SELECT 1 FROM claims y WHERE x.agent <> y.agent AND (x.target = y.target OR starts_with(x.target, y.target || '/') OR starts_with(y.target, x.target || '/')))", "claims"),
     "scope_filter": W("SELECT doc_id, path FROM files WHERE starts_with(path, 'src1/') OR starts_with(path, 'src2/en/')", "files"),
     "rules_disabled": W("SELECT * FROM issues WHERE rule_id NOT LIKE 'licence%' AND rule_id <> 'long-number'", "issues"),
     "severity_override": W("SELECT doc_id, source, rule_id, CASE WHEN rule_id = 'licence-line' THEN 'warning' ELSE severity END AS severity, category FROM issues", "issues"),
@@ -142,5 +142,5 @@ ORACLE_SQL = {
       FROM (SELECT path, sum(version) FILTER (WHERE snapshot = 'base') AS before, sum(version) FILTER (WHERE snapshot = 'head') AS after FROM snap GROUP BY path) t WHERE before IS DISTINCT FROM after""", "snap"),
     "cross_group_edges": W("SELECT a.p_brand AS src_group, b.p_brand AS dst_group, count(*) AS edges FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand GROUP BY 1, 2", "edges"),
     "fan_in": W("SELECT b.p_brand AS file, count(DISTINCT a.p_brand) AS fan_in FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand GROUP BY 1", "edges"),
-    "public_closure": W("", "edges").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", reach AS (SELECT p_partkey AS path, 0 AS distance FROM part WHERE p_partkey < 5 UNION SELECT dst, distance + 1 FROM reach JOIN edges ON src = path WHERE distance < 10) SELECT path, min(distance) AS distance FROM reach GROUP BY path",
+    "public_closure": W("", "edges").replace("WITH ", "WITH RECURSIVE ").rstrip() + ", reach AS (SELECT p_partkey AS path, 0 AS distance FROM part WHERE p_size = 1 UNION SELECT dst, distance + 1 FROM reach JOIN edges ON src = path WHERE distance < 10) SELECT path, min(distance) AS distance FROM reach GROUP BY path",
 }

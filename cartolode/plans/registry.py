@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolode.functions import scalar
 from cartolode.operators import changes, graph, history, rules, search, status
-from cartolode.plans import oracle, reviews
+from cartolode.plans import oracle, planned, reviews
 from cartolode.plans.bindings import view
 from cartolode.sources.tables import save, table
 
@@ -39,7 +39,7 @@ def _same_dep(s, d):
 
 
 def _seeds(s, d):
-    return T(s, d, "part").where("p_partkey < 5").select(F.col("p_partkey").alias("path"))
+    return T(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("path"))
 
 
 def _overrides(s):
@@ -121,5 +121,5 @@ QUERIES = {
     "public_closure": lambda s, d: graph.impact(V(s, d, "edges").select(F.col("dst").alias("src"), F.col("src").alias("dst")), _seeds(s, d)),
 }
 
-QUERIES |= reviews.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | reviews.ORACLE_SQL
+QUERIES |= reviews.QUERIES | planned.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | reviews.ORACLE_SQL | planned.ORACLE_SQL

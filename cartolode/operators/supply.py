@@ -191,18 +191,16 @@ BOUNDARY = r"""[ \t\n\r"'`()\[\]{}:,;.?!<>]"""
 
 def issues_by_file(issues: DataFrame, files: DataFrame, located: DataFrame) -> DataFrame:
     """(path, rule_id) of located(path, rule_id), and of issues(rule_id, text) without a place that mention the path of a
-    file between boundaries. A mention begins at the path's first part, so texts and files meet on the words between
-    characters that no path holds, each cut at every boundary inside it."""
-    exact = located.join(files.select("path").distinct(), "path", "left_semi").select("path", "rule_id")
-    longest = files.agg(F.max(F.length("path"))).first()[0] or 0
-    runs = issues.select("rule_id", F.explode(F.split("text", r"""[ \t\n\r"'`]+""")).alias("run")).where("run <> ''").distinct()
-    pieces = runs.select("rule_id", F.explode(_between_boundaries(F.col("run"), longest)).alias("path"))
-    spoken = pieces.join(files.where(~F.col("path").rlike(r"""[ \t\n\r"'`]""")).select("path").distinct(), "path", "left_semi")
-    return exact.unionByName(spoken.select("path", "rule_id")).distinct()
-
-
-def _between_boundaries(run: Column, longest: int) -> Column:
-    """Every piece of a run, no longer than the longest path, that has a boundary or the run's end on both sides."""
-    at = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.length(run)), lambda k: F.substring(run, k, F.lit(1)).rlike(BOUNDARY)), F.array(F.length(run) + 1))
-    ends = lambda a, i: F.filter(F.slice(at, i + 2, longest + 1), lambda b: (b > a + 1) & (b <= a + 1 + longest))
-    return F.array_distinct(F.flatten(F.transform(at, lambda a, i: F.transform(ends(a, i), lambda b: F.substring(run, a + 1, b - a - 1)))))
+    file between boundaries. From every boundary of a text a window as long as the longest path is cut once, and its pieces
+    up to each boundary inside it meet the files by equality."""
+    exact = located.join(files.select("path").distinct(), "path", "left_semi").select("path", "rule_id").distinct()
+    longest = files.agg(F.max(F.length("path"))).first()[0]
+    if not longest:
+        return exact
+    starts = F.regexp_extract_all("text", F.lit(rf"(?s)(?:^|(?<={BOUNDARY}))(?=(.{{1,{longest + 1}}}))"), 1)
+    windows = issues.select("rule_id", F.explode(F.array_distinct(starts)).alias("w")).where("w <> ''")
+    ends = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(longest)))
+    # Where no character follows, the window was cut short by the end of the text.
+    ends = F.filter(ends, lambda k: (k == F.length("w")) | F.substring(F.col("w"), k + 1, F.lit(1)).rlike(BOUNDARY))
+    pieces = windows.select("rule_id", F.explode(F.transform(ends, lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("path"))
+    return exact.unionByName(pieces.join(files.select("path").distinct(), "path", "left_semi").select("path", "rule_id")).distinct()

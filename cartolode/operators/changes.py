@@ -74,3 +74,9 @@ def contended_claims(claims: DataFrame) -> DataFrame:
     above = rows.select("*", F.explode(ancestors(F.col("target"))).alias("place")).join(at, "place")
     below = rows.withColumn("place", F.col("target")).join(within, "place")
     return above.unionByName(below).where("low <> agent or high <> agent").select("id", "agent", "target").distinct()
+
+
+def diff_issues(base: DataFrame, head: DataFrame, keys: tuple = ("rule_id", "path")) -> DataFrame:
+    """Distinct issues that are new in head or resolved since base: (keys, status)."""
+    sides = [a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys), "left_anti").withColumn("status", F.lit(n)) for a, b, n in ((head, base, "new"), (base, head, "resolved"))]
+    return sides[0].unionByName(sides[1])

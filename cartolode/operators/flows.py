@@ -92,3 +92,28 @@ def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: list[str]) -
     first = found.groupBy("path", "spec").agg(F.min_by("target", "rank").alias("target"))
     rows = imports.select("path", "spec").distinct().join(first, ["path", "spec"], "left")
     return rows.withColumn("package", F.when(F.col("target").isNull(), F.substring_index("spec", "/", 1)))
+
+
+def edge_index(resolved: DataFrame, exports: DataFrame) -> DataFrame:
+    """The three indexes of a graph as one table (kind, start, end), kind being file, package or symbol, from resolve_imports'
+    rows and exports(path, name). A reader prunes by kind."""
+    edge = lambda df, kind, end: df.where(F.col(end).isNotNull()).select(F.lit(kind).alias("kind"), F.col("path").alias("start"), F.col(end).alias("end"))
+    return edge(resolved, "file", "target").unionByName(edge(resolved, "package", "package")).unionByName(edge(exports, "symbol", "name")).distinct()
+
+
+def fan_out(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """functions(fn, bare) with the count of distinct names that calls(src, dst) of them lead to, their own left out."""
+    a, b = functions.select(F.col("fn").alias("src"), F.col("bare").alias("own")), functions.select(F.col("fn").alias("dst"), "bare")
+    rows = calls.join(a, "src").join(b, "dst").where("bare <> own").groupBy(F.col("src").alias("fn")).agg(F.countDistinct("bare").alias("fan_out"))
+    return functions.select("fn").join(rows, "fn", "left").fillna(0, ["fan_out"])
+
+
+def cross_repo_importers(imports: DataFrame, files: DataFrame, top: int = 200) -> DataFrame:
+    """imports(repo, path, resolved) of other repositories' files(repo, path), both without their extension, as a report of the
+    first: (owner, target, repo, path, truncated)."""
+    bare = lambda c: F.regexp_replace(F.col(c), r"(?<=[^/])\.[^./]+$", "")
+    a = imports.select("repo", "path", bare("resolved").alias("key"))
+    b = files.select(F.col("repo").alias("owner"), F.col("path").alias("target"), bare("path").alias("key"))
+    rows = a.join(b, "key").where("repo <> owner").select("owner", "target", "repo", "path").distinct()
+    first = rows.orderBy("owner", "target", "repo", "path").limit(top + 1)
+    return first.crossJoin(F.broadcast(first.agg((F.count("*") > top).alias("truncated")))).orderBy("owner", "target", "repo", "path").limit(top)

@@ -150,3 +150,17 @@ def set_fingerprint(df: DataFrame, by: str, member: str) -> DataFrame:
 
 def group_rollup(deps: DataFrame, *levels: str) -> DataFrame:
     return deps.rollup(*levels).agg(F.count("*").alias("n"))
+
+
+def package_scope(files: DataFrame, packages: DataFrame, name: str) -> DataFrame:
+    """The files of one package."""
+    return longest_prefix(files, packages).where(F.col("name") == name).select("path")
+
+
+def collect_issues(parts: list[DataFrame]) -> DataFrame:
+    """The issues of all analyzers, errors first, then warnings; missing columns are null."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return rows.orderBy(rank, "rule_id")

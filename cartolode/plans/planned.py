@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartolode.functions import scalar
-from cartolode.operators import facts, graph, planning, search, supply
+from cartolode.operators import changes, facts, flows, graph, planning, rules, search, supply
 from cartolode.plans.bindings import view as V
 from cartolode.plans.bindings import with_views as W
+from cartolode.plans.oracle import ORACLE_SQL as BASE
 from cartolode.plans.oracle import _terms as terms
+from cartolode.plans.reviews import ORACLE_SQL as REVIEWS
 from cartolode.sources.tables import table as T
 from cartolode.streaming import state
 
@@ -136,6 +138,13 @@ QUERIES = {
     "payload_paths": lambda s, d: facts.payload_paths(T(s, d, "documents").selectExpr("doc_id", "concat('{\"path\": \"', source, '/', lang, '.py\", \"files\": [\"a/', doc_id % 7, '\", \"/abs\", \"http://x/y\"], \"other\": \"no/no\"}') as payload"), "doc_id", "payload"),
     "claims_active": lambda s, d: state.claims_active(_leases(s, d), "1998-01-15 00:00:00").select("id", "agent", "target"),
     "snapshot_deltas": lambda s, d: state.snapshot_deltas(_daily(s, d)),
+    "diff_issues": lambda s, d: changes.diff_issues(V(s, d, "issues").where("source <> 'src3'"), V(s, d, "issues").where("source <> 'src1'"), ("rule_id", "doc_id")),
+    "collect_issues": lambda s, d: rules.collect_issues([V(s, d, "issues").where("category = 'security'"), V(s, d, "issues").where("category <> 'security'").drop("category")]),
+    "package_scope": lambda s, d: rules.package_scope(V(s, d, "files"), V(s, d, "files").where("ext in ('en', 'de')").selectExpr("concat(dir, '/', ext) as prefix", "upper(concat(dir, '/', ext)) as name").distinct(), "SRC1/EN"),
+    "impact_symbol": lambda s, d: graph.impact(V(s, d, "edges"), T(s, d, "part").where("p_name = 'red bolt'").selectExpr("p_partkey as path")),
+    "fan_out": lambda s, d: flows.fan_out(V(s, d, "edges"), V(s, d, "funcs")),
+    "edge_index": lambda s, d: flows.edge_index(flows.resolve_imports(V(s, d, "files").selectExpr("path", "concat(dir, '/', ext, '/', doc_id + 20) as spec"), V(s, d, "files"), ["", ".en", ".de", ".fr", ".es"]), V(s, d, "files").selectExpr("path", "ext as name")),
+    "cross_repo_importers": lambda s, d: flows.cross_repo_importers(T(s, d, "part").where("p_size < 5").selectExpr("p_brand as repo", "cast(p_partkey as string) as path", "concat('/', p_name, '.ts') as resolved"), T(s, d, "part").selectExpr("p_brand as repo", "concat('/', p_name, '.js') as path")),
     "guard_scopes": lambda s, d: state.guard_stream(V(s, d, "files").select((F.col("doc_id") % 3).alias("contract_id"), "path"), s.sql("SELECT * FROM VALUES (0, 'src1', 'allowed'), (0, 'src1/de', 'forbidden'), (1, 'src3', 'forbidden') AS t(contract_id, prefix, kind)")),
 }
 
@@ -240,5 +249,14 @@ ORACLE_SQL = {
     "payload_paths": "SELECT DISTINCT doc_id, path FROM (SELECT doc_id, concat(source, '/', lang, '.py') AS path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL UNION ALL SELECT doc_id, concat('a/', doc_id % 7) FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) t",
     "claims_active": "SELECT o_orderkey AS id, o_custkey % 4 AS agent, concat('r', o_custkey % 5, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('/n', o_custkey) END) AS target FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-15 00:00:00' AND (o_orderkey % 10 = 0 OR o_orderdate + INTERVAL 20 DAY > TIMESTAMP '1998-01-15 00:00:00')",
     "snapshot_deltas": _with(_SNAPS + ' SELECT key, "at", split_part(m, chr(58), 1) AS dimension, count(*) FILTER (WHERE came) AS added, count(*) FILTER (WHERE NOT came) AS removed FROM moved GROUP BY 1, 2, 3'),
+    "diff_issues": W("SELECT DISTINCT rule_id, doc_id, CASE source WHEN 'src3' THEN 'new' ELSE 'resolved' END AS status FROM issues WHERE source IN ('src1', 'src3')", "issues"),
+    "collect_issues": W("SELECT doc_id, source, rule_id, severity, CASE category WHEN 'security' THEN category END AS category FROM issues", "issues"),
+    "package_scope": W("SELECT path FROM files WHERE dir = 'src1' AND ext = 'en'", "files"),
+    "impact_symbol": BASE["impact_file"].replace("p_size = 1", "p_name = 'red bolt'"),
+    "fan_out": W("SELECT p_partkey AS fn, coalesce(n, 0) AS fan_out FROM part LEFT JOIN (SELECT src, count(DISTINCT b.p_name) AS n FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_name <> b.p_name GROUP BY 1) t ON src = p_partkey", "edges"),
+    "edge_index": f"""SELECT 'file' AS kind, path AS start, target AS "end" FROM ({REVIEWS['resolve_imports']}) r WHERE target IS NOT NULL UNION SELECT 'package', path, package FROM ({REVIEWS['resolve_imports']}) q WHERE package IS NOT NULL
+        UNION SELECT 'symbol', concat(source, '/', lang, '/', CAST(doc_id AS VARCHAR), '.', lang), lang FROM documents WHERE lang IS NOT NULL""",
+    "cross_repo_importers": """WITH found AS (SELECT DISTINCT b.p_brand AS owner, concat('/', b.p_name, '.js') AS target, a.p_brand AS repo, CAST(a.p_partkey AS VARCHAR) AS path FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand WHERE a.p_size < 5)
+        SELECT *, (SELECT count(*) > 200 FROM found) AS truncated FROM found ORDER BY owner, target, repo, path LIMIT 200""",
     "guard_scopes": W("SELECT doc_id % 3 AS contract_id, path, CASE doc_id % 3 WHEN 0 THEN CASE WHEN starts_with(path, 'src1/de/') THEN 'forbidden' WHEN starts_with(path, 'src1/') THEN 'allowed' ELSE 'outside' END WHEN 1 THEN CASE WHEN starts_with(path, 'src3/') THEN 'forbidden' ELSE 'allowed' END ELSE 'allowed' END AS scope FROM files", "files"),
 }

@@ -112,3 +112,13 @@ def scan_files(spark: SparkSession, root: str, ignore: tuple = ("node_modules",
     rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignore))))
     rows = rows.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.lower(F.regexp_extract("path", r"[^/.](\.[^./]+)$", 1)).alias("ext"), "size_bytes")
     return rows.where(F.col("ext").isin(*exts)) if exts else rows
+
+
+#: The columns of session, telemetry and feedback events, for read and readStream alike.
+EVENTS = "at timestamp, kind string, data map<string, string>, _corrupt_record string"
+
+
+def read_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """JSON lines of events (at, kind, data); malformed ones and those without a kind or time are dropped."""
+    reader = (spark.readStream if streaming else spark.read).schema(EVENTS).option("mode", "PERMISSIVE")
+    return reader.json(path).where("_corrupt_record is null and kind is not null and at is not null").drop("_corrupt_record")

@@ -3,7 +3,8 @@
 import datetime as dt
 import itertools
 
-from cartolode.operators import facts, planning, supply
+from cartolode.operators import facts, planning, search, supply
+from cartolode.sources import readers
 from cartolode.streaming import state
 
 PY = '''import os
@@ -130,6 +131,20 @@ def test_facts_follow_changes(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{root}/version=1").select("path", "n").collect()} == {("a", 3), ("c", 2)}
 
 
+def test_events(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"at": "2024-01-01T00:00:00Z", "kind": "touch", "data": {"file": "a"}}\n{broken\n{"kind": "x"}\n')
+    rows = readers.read_events(spark, str(tmp_path)).collect()
+    assert [(r["kind"], r["data"]) for r in rows] == [("touch", {"file": "a"})]
+    assert readers.read_events(spark, str(tmp_path), streaming=True).isStreaming
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(40)], "vec_id int, embedding array<float>")
+    want = {tuple(r) for r in search.vector_topk(vectors, vectors).collect()}
+    monkeypatch.setattr(search, "QUERY_ROWS", 9)
+    assert {tuple(r) for r in search.vector_topk(vectors, vectors).collect()} == want and len(want) == 200
+
+
 def test_guard_as_a_stream(spark, tmp_path):
     changed = spark.createDataFrame([(0, "src/a"), (0, "src/no/b"), (0, "x"), (1, "x")], "contract_id int, path string")
     contract = spark.createDataFrame([(0, "src", "allowed"), (0, "src/no", "forbidden")], "contract_id int, prefix string, kind string")

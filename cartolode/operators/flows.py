@@ -54,19 +54,35 @@ def taint_flows(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_dept
     return ends.select(F.col("seed").alias("source"), F.col("node").alias("sink"), F.col("distance").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def dataflow_bridges(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Functions that reach both a source and a sink over calls and are neither: (bridge, source, sink), nearest and smallest of each."""
+def _bridges(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int) -> DataFrame:
+    """dataflow_bridges with the distance to either end."""
     back = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ends = []
     for kind, nodes in (("source", sources), ("sink", sinks)):
         far = reach(back, nodes.select(F.col("node").alias("seed")).distinct(), max_depth).where("distance >= 1")
-        ends.append(far.groupBy(F.col("node").alias("bridge")).agg(F.min(F.struct("distance", "seed")).alias("x")).select("bridge", F.col("x.seed").alias(kind)))
-    rows = ends[0].join(ends[1], "bridge")
+        ends.append(far.groupBy(F.col("node").alias("bridge")).agg(F.min(F.struct("distance", "seed")).alias("x")).select("bridge", F.col("x.seed").alias(kind), F.col("x.distance").alias(f"{kind}_distance")))
+    rows = ends[0].join(ends[1], "bridge").where("source <> sink")
     for nodes in (sources, sinks):
         rows = rows.join(nodes.select(F.col("node").alias("bridge")), "bridge", "left_anti")
     return rows
 
 
+def dataflow_bridges(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Functions that reach both a source and a sink over calls and are neither: (bridge, source, sink), nearest and smallest of each."""
+    return _bridges(calls, sources, sinks, max_depth).select("bridge", "source", "sink")
+
+
+def dataflow_risks(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 12, bridge_depth: int = 3) -> DataFrame:
+    """(kind, source, sink, bridge, confidence): a function that is both ends is direct, one that reaches a sink over calls
+    propagated, one that reaches both ends a bridge. Confidence is high over a call or less on every way, else medium."""
+    sure = lambda c: F.when(c, "high").otherwise("medium").alias("confidence")
+    node = sources.schema["node"].dataType
+    flows = taint_flows(calls, sources, sinks, max_depth)
+    flows = flows.select(F.when(F.col("depth") == 0, "direct").otherwise("propagated").alias("kind"), "source", "sink", F.lit(None).cast(node).alias("bridge"), sure(F.col("depth") <= 1))
+    near = (F.col("source_distance") == 1) & (F.col("sink_distance") == 1)
+    return flows.unionByName(_bridges(calls, sources, sinks, bridge_depth).select(F.lit("bridge").alias("kind"), "source", "sink", "bridge", sure(near)))
+
+
 def expand_reexports(exports: DataFrame, stars: DataFrame) -> DataFrame:
     """exports(path, name) with every name that stars(src re-exports all of dst) bring in, until nothing new comes."""
     back = save(stars.select(F.col("dst").alias("path"), F.col("src").alias("to")).distinct(), "stars")

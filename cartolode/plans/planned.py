@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cartolode.functions import scalar
@@ -145,6 +147,7 @@ QUERIES = {
     "fan_out": lambda s, d: flows.fan_out(V(s, d, "edges"), V(s, d, "funcs")),
     "edge_index": lambda s, d: flows.edge_index(flows.resolve_imports(V(s, d, "files").selectExpr("path", "concat(dir, '/', ext, '/', doc_id + 20) as spec"), V(s, d, "files"), ["", ".en", ".de", ".fr", ".es"]), V(s, d, "files").selectExpr("path", "ext as name")),
     "cross_repo_importers": lambda s, d: flows.cross_repo_importers(T(s, d, "part").where("p_size < 5").selectExpr("p_brand as repo", "cast(p_partkey as string) as path", "concat('/', p_name, '.ts') as resolved"), T(s, d, "part").selectExpr("p_brand as repo", "concat('/', p_name, '.js') as path")),
+    "dataflow_risks": lambda s, d: flows.dataflow_risks(V(s, d, "edges"), *[T(s, d, "part").where(c).select(F.col("p_partkey").alias("node")) for c in ("p_size <= 2", "p_size >= 49")]),
     "guard_scopes": lambda s, d: state.guard_stream(V(s, d, "files").select((F.col("doc_id") % 3).alias("contract_id"), "path"), s.sql("SELECT * FROM VALUES (0, 'src1', 'allowed'), (0, 'src1/de', 'forbidden'), (1, 'src3', 'forbidden') AS t(contract_id, prefix, kind)")),
 }
 
@@ -181,7 +184,13 @@ _SNAPS = """daily AS (SELECT event_type AS key, date_trunc('day', ts) AS "at", l
  steps AS (SELECT *, coalesce(lag(members) OVER (PARTITION BY key ORDER BY "at"), []) AS before FROM daily),
  moved AS (SELECT key, "at", unnest(list_filter(members, lambda m: NOT list_contains(before, m))) AS m, true AS came FROM steps UNION ALL SELECT key, "at", unnest(list_filter(before, lambda m: NOT list_contains(members, m))), false FROM steps)"""
 
+_NEAR = REVIEWS["dataflow_bridges"].replace("seed, row_number()", "seed, hop, row_number()").replace("b.seed AS sink", "b.seed AS sink, a.hop = 1 AND b.hop = 1 AS near")
+_REDACTED = reduce(lambda text, x: f"regexp_replace({text}, '{x[0].replace(chr(39), chr(39) * 2)}', '{x[1].replace('$1', chr(92) + '1')}', 'g')", scalar.REDACTIONS, "text")
+
 ORACLE_SQL = {
+    "redact_documents": f"SELECT doc_id, sha256({_REDACTED}) AS digest FROM documents",
+    "dataflow_risks": f"""SELECT CASE depth WHEN 0 THEN 'direct' ELSE 'propagated' END AS kind, source, sink, NULL AS bridge, CASE WHEN depth <= 1 THEN 'high' ELSE 'medium' END AS confidence FROM ({REVIEWS['taint_flows']}) f
+        UNION ALL SELECT 'bridge', source, sink, bridge, CASE WHEN near THEN 'high' ELSE 'medium' END FROM ({_NEAR}) b""",
     "name_similarity": f"SELECT p_partkey, floor(greatest(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), greatest({_BY_KEY['prefix']}, {_BY_KEY['suffix']}) / greatest(length(p_name), length(p_type))) * 1000000 + 0.5) / 1000000 AS similarity FROM part",
     "tokens": f"SELECT term, page_id, count(*) AS tf FROM {terms('(SELECT page_id, url AS text FROM pages)', 'page_id')} z GROUP BY 1, 2",
     "semver_drift": "SELECT p_partkey, CASE WHEN p_size % 3 <> p_size % 2 THEN 'major' WHEN p_size % 5 <> p_size % 4 THEN 'minor' WHEN p_partkey % 2 <> p_partkey % 3 THEN 'patch' ELSE 'same' END AS drift FROM part",

@@ -67,10 +67,8 @@ def base_name(path: Column) -> Column:
 
 def likely_tests(tests: DataFrame, candidates: DataFrame) -> DataFrame:
     """(test, score): 100 where a test is named as a candidate file is, 40 where its path holds such a name of three
-    characters or more as a part between separators or camel humps begin; the best score of each test.
-
-    Names meet on equal parts rather than by a scan of all pairs: every run of parts of a test's path is a key.
-    """
+    characters or more; the best score of each test. Every piece of a test's path no longer than the longest name is a key,
+    so that names and tests meet by equality."""
     names = candidates.select(base_name(F.col("path")).alias("name")).distinct()
     tested = tests.select(F.col("path").alias("test"), F.regexp_replace(F.regexp_replace(F.lower(F.substring_index("path", "/", -1)), r"\.(test|spec)\.[^.]+$", ""), r"\.[^.]+$", "").alias("name"))
     exact = tested.join(names, "name", "left_semi").select("test", F.lit(100).alias("score"))

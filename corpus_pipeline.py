@@ -10,7 +10,7 @@ from cartolode.llm.decontaminate import find_leaks
 from cartolode.llm.langid import identify, train
 from cartolode.llm.mixing import mix_sources
 from cartolode.llm.secrets import redact_secrets
-from cartolode.llm.simhash import simhash_groups
+from cartolode.llm.shingles import similar_groups
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -26,8 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each near-duplicate group."""
-    groups = simhash_groups(docs)
+    """Keep the document with the smallest doc_id of each group linked by five-word shingles of similarity 0.8 or more.
+
+    A SimHash radius reaches that similarity only through fingerprints some ten bits apart of 64, which no covering
+    masks tell from chance; min-hash bands propose the pairs instead, and the exact shingle sets confirm them.
+    """
+    groups = similar_groups(docs)
     return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,13 +31,47 @@ WORDS = (
     "blue green black white silver gold diamond coffee chocolate cheese banana apple house home school computer internet google "
     "the and for you are with this that have from not but all your value token key none null true false change me my is in on it"
 ).split()
+#: Further words that stand for themselves after a credential word in prose, code or settings, or that people
+#: string together; values of letters only are costed with them, ranked after WORDS.
+PROSE = (
+    "required missing invalid incorrect expired wrong needed optional unknown undefined disabled enabled allowed denied rejected "
+    "accepted rotated revoked refreshed generated encrypted encoded hashed hidden protected private public shared stored saved sent "
+    "given provided supplied entered checked verified validated compared ignored omitted deleted removed replaced changed updated "
+    "reset created issued signed expected specified configured passed returned received requested based bound limited never always "
+    "already still only also about after again against almost another anything because become before being better between both "
+    "cannot could difficult different during easily either enough essential every everyone everything exactly found getting going "
+    "great having here however important impossible instead itself just kept known later least less likely little located longer "
+    "made mandatory many might more most much must necessary needs nothing nowhere obvious often once other others possible probably "
+    "rather ready really safe same several short should similar simple simply some someone something somewhere soon sometimes "
+    "strong stronger such supposed sure temporary then there therefore these they thing things those though through today together "
+    "unavailable under unique unless unlike unsafe until used useful useless usually valid very visible wanted weak well were what "
+    "when where whether which while whole without would written yesterday your string integer number boolean object array character "
+    "characters letters digits words phrase passphrase bearer basic digest session cookie header headers request response client "
+    "service database config configuration setting settings option options parameter parameters variable variables environment "
+    "production development staging testing local remote manager management provider authentication authorization authenticated "
+    "authorized permission permissions certificate signature algorithm length minimum maximum format field fields column table "
+    "input output username email address phone people person world country garden mountain river ocean street window paper music "
+    "picture letter question answer problem reason story children student teacher history science nature animal horse battery "
+    "staple correct bird fish water fire earth night morning evening winter light dark stone bread butter sugar pencil bottle "
+    "kitchen table chair floor ground tree forest island bridge castle garden village city market doctor brother sister mother "
+    "father daughter husband woman young small large heavy quick brown lazy jumps over placeholder redacted confidential secure "
+    "security insecure sensitive compromised leaked exposed forgotten lost stolen recovered accessible available acceptable "
+    "automatic automatically manually directly currently correctly properly incorrectly improperly successful successfully failed "
+    "failure error warning message information description documentation document documents example examples value values"
+).split()
 #: Rows of a keyboard, each key's neighbours being those beside it.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4310$57!", "aaeiosstl")
 RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, RANK))
+ALL_RANK = RANK | {w: len(WORDS) + k + 1 for k, w in reversed(list(enumerate(PROSE))) if w not in RANK}
+LONGEST = max(map(len, ALL_RANK))
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
 KEY_AT = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
+#: After ` is `, letters in one case and no longer than an English word are prose if a letter costs less than WORDLIKE
+#: (log10) on average given the one before; letters drawn at random cost more.
+ENGLISH, WORDLIKE = 16, 1.4
+_PAIRS = Counter(x + y for w in ALL_RANK for x, y in zip("^" + w, w + "$"))
+_FIRST = Counter(x for w in ALL_RANK for x in "^" + w)
 #: A value is a secret if guessing it takes at least 10 to this power tries.
 MIN_LOG10 = 9.0
 #: Longer values are costed in pieces of so many characters.
@@ -60,12 +95,13 @@ def guess_cost(value: str) -> float:
         return 0.0
     spans: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     plain = low.translate(LEET)
+    rank = ALL_RANK if value.isalpha() else RANK
     for i in range(n):
         for j in range(i + 2, min(n, i + LONGEST) + 1):
             for text, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if text in RANK:
+                if text in rank:
                     case = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
-                    spans[i].append((j, math.log10(RANK[text]) + case + extra))
+                    spans[i].append((j, math.log10(rank[text]) + case + extra))
                     break
         if m := DATE.match(value, i):
             spans[i].append((m.end(), math.log10(365 * 130) if m.end() - i > 4 else math.log10(130)))
@@ -113,6 +149,15 @@ def value_cost(value: str) -> float:
     return max((guess_cost(value[k : k + PIECE]) for k in range(0, len(value), PIECE)), default=0.0)
 
 
+def wordlike(value: str) -> bool:
+    """Whether letters in one case read like a word of English: the mean cost of each letter and the end by letter pairs."""
+    low = value.lower()
+    if not value.isalpha() or value not in (low, low.capitalize(), low.upper()) or len(value) > ENGLISH:
+        return False
+    costs = [math.log10((_FIRST[x] + 13) / (_PAIRS[x + y] + 0.5)) for x, y in zip("^" + low, low + "$")]
+    return sum(costs) / len(costs) < WORDLIKE
+
+
 def scan(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list, list]:
     """(base, added): lists of (kind, start, end, log10 of guesses or None); positions in code points."""
     text = text or ""
@@ -130,7 +175,8 @@ def scan(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list, list]:
         for m in CONTEXT.finditer(text):
             value = m["value"].rstrip(".)]}!?")
             start, end = m.start("value"), m.start("value") + len(value)
-            if any(s <= start and end <= e for s, e in taken) or not any(c.isdigit() or not c.isalnum() for c in value):
+            prose = text[m.start() : start].rstrip("\"' ").lower().endswith(" is") and wordlike(value)
+            if prose or any(s <= start and end <= e for s, e in taken):
                 continue
             cost = value_cost(value)
             if len(value) >= 6 and cost >= min_log10:
@@ -164,7 +210,8 @@ def _digest(min_log10: float):
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10) -> DataFrame:
     """One row per document with counts, digest and list of its spans: the fixed patterns, and values in a credential
-    context whose guess cost reaches min_log10 and that no fixed span holds whole.
+    context whose guess cost reaches min_log10 and that no fixed span holds whole. After ` is `, letters in one case that
+    read like one English word are prose.
 
     Null texts count as empty; ids may be null or repeat; other columns are ignored; an empty table gives no rows.
     """

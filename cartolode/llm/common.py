@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Separators of words in every contract: space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A side is broadcast only when its counted rows stay at or below this; each such row is under 200 bytes.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when its counted rows, and the bytes of the strings in them, stay at or below these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def make_dir(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the plan that follows starts from files and survives lost executors."""
     path = new_path(df.sparkSession, name)
@@ -50,9 +55,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its counted rows are within the bound; else as it is, and the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its counted rows and the counted bytes of its strings are within the bounds; else as it is,
+    and the join shuffles."""
+    wide = [F.octet_length(c.name) for c in df.schema.fields if c.dataType.typeName() in ("string", "binary")]
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def lower_ascii(col: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,27 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import grams, normalise
-from .common import table
+from .common import save, small, table
 
 Q, MAX_ERROR = 8, 0.1
 #: Benchmark characters that one broadcast index holds; larger benchmarks are matched in blocks of this size.
 BLOCK_CHARS = 8_000_000
-HITS = "doc_id long, item_id long, start long, end long, distance int"
+HITS = "doc_id long, rep long, start long, end long, distance int"
+
+
+def budget(length: int, q: int, max_error: float) -> tuple[int, int]:
+    """(edits, gram length) for an item of so many characters, the blanks around it not counted: a tenth or so of it, and
+    grams of q, or shorter ones where else the lemma would ask for none."""
+    edits = int(max_error * length)
+    return edits, min(q, (length + 2) // (edits + 1))
+
+
+def padded(text: str | None) -> np.ndarray:
+    """Folded code points with one blank before the first and after the last word; none where there is no word."""
+    codes = normalise(text)[0]
+    codes = codes[int(len(codes) > 0 and codes[0] == 32) :]
+    codes = codes[: len(codes) - int(len(codes) > 0 and codes[-1] == 32)]
+    return np.concatenate([[32], codes, [32]]).astype(np.uint32) if len(codes) else codes
 
 
 class Index:
-    """The benchmark's q-grams in sorted order with their items and positions, and a bit table to pass over others."""
+    """Benchmark items that take grams of one length: the grams in sorted order with their items and positions, and a bit
+    table to pass over others."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, max_error: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, max_error: float):
         self.q, self.ids, self.codes, found, item, pos, kept = q, [], [], [], [], [], []
         self.errors, self.need = [], []
-        for item_id, text in items:
-            codes = normalise(text)[0]
-            codes = codes[(1 if len(codes) and codes[0] == 32 else 0) : (-1 if len(codes) > 1 and codes[-1] == 32 else None)]
-            m = len(codes)
-            if m < q:
-                continue
-            errors = min(int(max_error * m), (m - q) // q)
+        for item_id, codes in items:
+            errors = budget(len(codes) - 2, q, max_error)[0]
             g = grams(codes, q)
             found.append(g)
             item.append(np.full(len(g), len(self.ids)))
@@ -42,13 +54,12 @@ class Index:
             self.need.append(kept[-1] - q * errors)
         self.errors, self.need = np.array(self.errors, np.int64), np.array(self.need, np.int64)
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        g = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        item, pos = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (item, pos))
+        g, item, pos = np.concatenate(found), np.concatenate(item), np.concatenate(pos)
         # Of an item's q-grams, any r may be left out if r fewer are then asked for: half the slack goes to the commonest.
         _, which, often = np.unique(g, return_inverse=True, return_counts=True)
         order = np.lexsort((pos, often[which], item))
         place = np.arange(len(g)) - np.searchsorted(item[order], item[order])
-        order = order[place < np.array(kept, np.int64)[item[order]]] if found else order
+        order = order[place < np.array(kept, np.int64)[item[order]]]
         order = order[np.argsort(g[order], kind="stable")]
         g, self.item, self.pos = g[order], item[order], pos[order]
         self.gram, self.first = np.unique(g, return_index=True)
@@ -56,20 +67,14 @@ class Index:
         self.bits = np.zeros(1 << 21, bool)
         self.bits[(self.gram >> np.uint64(43)).astype(np.int64)] = True
 
-    def search(self, text: str | None, piece: int = 1 << 12) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, distance) of the best region of each item in the text; ends are exclusive, in code points."""
-        if not len(self.gram):
-            return []
-        codes, at = normalise(text)
+    def search(self, codes: np.ndarray, piece: int = 1 << 12) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, distance) of the regions found in a padded text, some of them more than once."""
         h = grams(codes, self.q)
-        found: dict[int, tuple] = {}
         # Pieces overlap by the longest item with its edits, so that a region lies whole in one of them.
         overlap = int((self.length + 2 * self.errors).max()) + self.q
         for begin in range(0, max(1, len(h)), piece):
-            for x in self._piece(codes, h[begin : begin + piece + overlap], begin):
-                if x[0] not in found or (x[3], x[1]) < (found[x[0]][3], found[x[0]][1]):
-                    found[x[0]] = x
-        return [(self.ids[i], int(at[s]), int(at[e - 1]) + 1, d) for i, s, e, d in found.values()]
+            for i, *rest in self._piece(codes, h[begin : begin + piece + overlap], begin):
+                yield self.ids[i], *rest
 
     def _piece(self, codes: np.ndarray, h: np.ndarray, begin: int) -> Iterator[tuple[int, int, int, int]]:
         seen = np.flatnonzero(self.bits[(h >> np.uint64(43)).astype(np.int64)])
@@ -102,7 +107,7 @@ class Index:
                 continue
             start = max(0, b * (e + 1) - e)
             stop = min(len(codes), (b + 2) * (e + 1) + m + e)
-            if x := align(self.codes[i], codes[start:stop], e):
+            for x in align(self.codes[i], codes[start:stop], e):
                 yield i, start + x[0], start + x[1], x[2]
 
     @staticmethod
@@ -117,19 +122,24 @@ class Index:
         return most
 
 
-def align(item: np.ndarray, region: np.ndarray, errors: int) -> tuple[int, int, int] | None:
-    """(start, end, distance) of the part of region nearest to item, if within so many edits.
+def align(item: np.ndarray, region: np.ndarray, errors: int) -> list[tuple[int, int, int]]:
+    """(start, end, distance) of parts of region within so many edits of item: all that are equal to it, else the nearest.
 
     Rows of the edit-distance matrix go over the item's characters; the region is only as wide as its diagonal band.
     """
     m, w = len(item), len(region)
     if w < m - errors:
-        return None
-    at = region.tobytes().find(item.tobytes())
-    while at >= 0 and at % 4:
-        at = region.tobytes().find(item.tobytes(), at + 1)
-    if at >= 0:
-        return at // 4, at // 4 + m, 0
+        return []
+    data, wanted, same = region.tobytes(), item.tobytes(), []
+    at = data.find(wanted)
+    while at >= 0:
+        if at % 4 == 0:
+            same.append((at // 4, at // 4 + m, 0))
+        at = data.find(wanted, at + 1)
+    if same:
+        return same
+    if not errors:
+        return []
     steps = np.arange(w + 1)
     cost, origin = np.zeros(w + 1, np.int64), steps.copy()
     for c in item:
@@ -144,9 +154,48 @@ def align(item: np.ndarray, region: np.ndarray, errors: int) -> tuple[int, int,
         cost = new[source] + steps - source
         origin = start[source]
         if cost.min() > errors:
-            return None
+            return []
     end = int(cost.argmin())
-    return (int(origin[end]), end, int(cost[end])) if cost[end] <= errors and end > origin[end] else None
+    return [(int(origin[end]), end, int(cost[end]))] if cost[end] <= errors and end > origin[end] else []
+
+
+class Matcher:
+    """The indexes of one block of the benchmark, one for each gram length that its items take."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int, max_error: float):
+        by_gram: dict[int, list] = {}
+        for item_id, text in items:
+            codes = padded(text)
+            if len(codes):
+                by_gram.setdefault(budget(len(codes) - 2, q, max_error)[1], []).append((item_id, codes))
+        self.parts = [Index(part, k, max_error) for k, part in sorted(by_gram.items())]
+
+    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, distance) of all regions, those of an item apart from each other: of regions that overlap the
+        nearest stays, the first of equals. Ends are exclusive, in code points of the text; blanks around do not count."""
+        if not self.parts:
+            return []
+        codes, at = normalise(text)
+        if not len(codes):
+            return []
+        lead, trail = int(codes[0] != 32), int(codes[-1] != 32)
+        codes = np.concatenate([np.full(lead, 32, np.uint32), codes, np.full(trail, 32, np.uint32)])
+        found: dict[int, set] = {}
+        for part in self.parts:
+            for i, s, e, d in part.search(codes):
+                # The blanks at both ends are no part of the region.
+                s, e = s + int(codes[s] == 32), e - int(codes[e - 1] == 32)
+                if s < e:
+                    found.setdefault(i, set()).add((d, int(at[s - lead]), int(at[e - 1 - lead]) + 1))
+        out = []
+        for i, regions in found.items():
+            kept: list[tuple[int, int]] = []
+            for d, s, e in sorted(regions):
+                k = bisect.bisect(kept, (s, e))
+                if (k == 0 or kept[k - 1][1] <= s) and (k == len(kept) or kept[k][0] >= e):
+                    kept.insert(k, (s, e))
+                    out.append((i, s, e, d))
+        return out
 
 
 def _matcher(shared):
@@ -155,7 +204,7 @@ def _matcher(shared):
         for b in batches:
             rows = [(d.as_py(), *x) for d, t in zip(b.column(0), b.column(1)) for x in index.search(t.as_py())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.int32()) for k in range(5)], ["doc_id", "item_id", "start", "end", "distance"]
+                [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.int32()) for k in range(5)], ["doc_id", "rep", "start", "end", "distance"]
             )
 
     return match
@@ -166,27 +215,31 @@ def find_leaks(
     item_col: str = "item_id", item_text_col: str = "text", q: int = Q, max_error: float = MAX_ERROR,
 ) -> DataFrame:
     """Regions of documents that hold a benchmark text within max_error of its length in edits:
-    (doc_id, item_id, start, end, distance), the best region of each document row and item, positions in code points.
+    (doc_id, item_id, start, end, distance), for each document row and item all regions that do not overlap a nearer one,
+    positions in code points.
 
-    Both sides are compared as lower-case letters and digits with single blanks. A text of m characters with e edits
-    shares m - q + 1 - q e q-grams with its match, all in a band of diagonals; bands with fewer are passed over and the
-    others aligned. e is lowered for short texts so that one q-gram at least is asked for; texts of under q characters
-    say too little and match nothing. The benchmark is read in blocks of bounded size, each a pass over the documents.
+    Both sides are compared as lower-case letters and digits with single blanks, and with a blank around the whole, so that
+    an item matches whole words. An item of m characters, blanks included, with e edits shares m - q + 1 - q e q-grams with
+    its match, all in a band of diagonals; bands with fewer are passed over and the others aligned. Items too short for that
+    take shorter grams; those of under ten characters must match exactly. Equal items are searched for once. The benchmark
+    is read in blocks of bounded size, each a pass over the documents.
 
-    Null or empty texts hold nothing and are no benchmark; rows that repeat give their results again; ids may be null;
-    other columns are ignored; empty tables give no rows.
+    Null or empty texts hold nothing and are no benchmark, nor are texts without letter and digit; rows that repeat give
+    their results again, on both sides; ids may be null; other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("length(t) > 0")
+    named = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("t")).where("length(t) > 0")
+    named = save(named.withColumn("rep", F.xxhash64("t")), "items")
+    items = named.groupBy("rep").agg(F.first("t").alias("t"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks, found = max(1, -(-chars // BLOCK_CHARS)), None
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index(sorted(map(tuple, block.collect()), key=lambda x: (x[0] is None, x)), q, max_error))
+        block = items if blocks == 1 else items.where(F.pmod("rep", F.lit(blocks)) == k)
+        index = spark.sparkContext.broadcast(Matcher(sorted(map(tuple, block.collect())), q, max_error))
         hits = rows.mapInArrow(_matcher(index), HITS)
         found = hits if found is None else found.unionByName(hits)
-    return found
+    return found.join(small(named.select("rep", "item_id")), "rep").select("doc_id", "item_id", "start", "end", "distance")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

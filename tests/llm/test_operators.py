@@ -1,11 +1,13 @@
 """Each operator against a brute-force version on small rows with nulls, empty texts, ties, repeats and other columns."""
 
+import gzip
 import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -189,13 +191,18 @@ def test_decontamination(spark):
             rows.append((10 * k + j, f"{filler(k * 90)} {part} {filler(60)}"))
             want |= {(10 * k + j, k)} if j < 2 else set()
     rows += [(500, None), (501, ""), (502, filler(9000)), (None, items[0][1]), (503, "ab")]
-    want |= {(None, 0)}
+    rows += [(504, f"Ab!{filler(3)} ab {filler(2)} abc xab a-b"), (505, f"{items[1][1]} {filler(5)} {items[1][1]}, {items[1][1]}")]
+    items += [(100, items[1][1]), (None, items[1][1])]
+    want |= {(None, 0), (503, 99), (504, 99), (505, 1)}
+    want |= {(d, k) for d, i in want if i == 1 for k in (100, None)}
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, item_id int, t int")
     found = find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    counts = Counter((r["doc_id"], r["item_id"]) for r in found)
+    assert counts[504, 99] == 2 and {counts[505, k] for k in (1, 100, None)} == {3} and sum(counts.values()) == len(want) + 7
     texts = dict(rows)
     exact = [r for r in found if r["distance"] == 0]
-    assert len(exact) >= 13 and all(texts[r["doc_id"]][r["start"] : r["end"]].lower().split() == items[r["item_id"]][1].split() for r in exact)
+    assert len(exact) >= 13 and all(texts[r["doc_id"]][r["start"] : r["end"]].lower().split() == dict(items)[r["item_id"]].split() for r in exact)
     assert find_leaks(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
@@ -297,6 +304,18 @@ def test_warc_round_trip(spark):
         want[i, len(data), warc.base32_sha1(data), "response" if i == keeper else "revisit", None if i == keeper else keeper] += 1
     assert Counter(tuple(r)[:5] for r in got) == want
     assert all(bytes(r["payload"]) == (dict((k, v) for k, _, v in rows if k == r["page_id"]).get(r["page_id"]) or "").encode() for r in got if r["payload"] is not None and r["page_id"] not in (None, 5))
+    stale, path = next(iter(outs[1])), out.removeprefix("file://")
+    Path(path, "data", "part-99999999-00000.warc.gz").write_bytes(b"left by another writer")
+    assert not Path(path, "tmp").exists() and warc.read_warc(spark, out).count() == len(rows)
+    data = Path(path, "data", stale).read_bytes()
+    assert data.startswith(b"\x1f\x8b") and b"WARC-Type: warcinfo" in gzip.decompress(data)[:100]
+    revisits = [m for f in Path(path, "data").glob("part-0*") for m in gzip.decompress(f.read_bytes()).split(b"WARC/1.1\r\n") if b"WARC-Type: revisit" in m]
+    responses = b"".join(gzip.decompress(f.read_bytes()) for f in Path(path, "data").glob("part-0*"))
+    assert revisits and all(b"WARC-Record-ID: " + re.search(rb"WARC-Refers-To: (\S+)", m)[1] in responses and b"WARC-Refers-To-Target-URI: http" in m for m in revisits)
+    for broken in (data[:-9], data[:40] + bytes([data[40] ^ 1]) + data[41:], gzip.compress(gzip.decompress(data).replace(b"<p>", b"<q>"))):
+        Path(path, "data", stale).write_bytes(broken)
+        with pytest.raises(Exception):
+            warc.read_warc(spark, out).collect()
     out = new_path(spark, "warc-empty")
     assert warc.write_warc(df.limit(0), out).count() == 0 and warc.read_warc(spark, out).count() == 0
 

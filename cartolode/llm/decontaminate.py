@@ -20,18 +20,19 @@ HITS = "doc_id long, rep long, start long, end long, distance int"
 
 
 def budget(length: int, q: int, max_error: float) -> tuple[int, int]:
-    """(edits, gram length) for an item of so many characters, the blanks around it not counted: a tenth or so of it, and
-    grams of q, or shorter ones where else the lemma would ask for none."""
+    """(edits, gram length) for an item of so many characters: a tenth or so of it, and grams of q, or shorter ones where
+    else the lemma would ask for none."""
     edits = int(max_error * length)
-    return edits, min(q, (length + 2) // (edits + 1))
+    return edits, min(q, length // (edits + 1))
 
 
-def padded(text: str | None) -> np.ndarray:
-    """Folded code points with one blank before the first and after the last word; none where there is no word."""
+def item_codes(text: str | None, max_error: float) -> np.ndarray:
+    """Folded code points from the first word to the last. An item that is too short for any edit gets a blank on both
+    sides, so that it matches whole words only."""
     codes = normalise(text)[0]
     codes = codes[int(len(codes) > 0 and codes[0] == 32) :]
     codes = codes[: len(codes) - int(len(codes) > 0 and codes[-1] == 32)]
-    return np.concatenate([[32], codes, [32]]).astype(np.uint32) if len(codes) else codes
+    return np.concatenate([[32], codes, [32]]).astype(np.uint32) if len(codes) and not int(max_error * len(codes)) else codes
 
 
 class Index:
@@ -42,7 +43,7 @@ class Index:
         self.q, self.ids, self.codes, found, item, pos, kept = q, [], [], [], [], [], []
         self.errors, self.need = [], []
         for item_id, codes in items:
-            errors = budget(len(codes) - 2, q, max_error)[0]
+            errors = budget(len(codes) - 2 * int(codes[0] == 32), q, max_error)[0]
             g = grams(codes, q)
             found.append(g)
             item.append(np.full(len(g), len(self.ids)))
@@ -165,9 +166,9 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], q: int, max_error: float):
         by_gram: dict[int, list] = {}
         for item_id, text in items:
-            codes = padded(text)
+            codes = item_codes(text, max_error)
             if len(codes):
-                by_gram.setdefault(budget(len(codes) - 2, q, max_error)[1], []).append((item_id, codes))
+                by_gram.setdefault(budget(len(codes), q, max_error)[1], []).append((item_id, codes))
         self.parts = [Index(part, k, max_error) for k, part in sorted(by_gram.items())]
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
@@ -218,11 +219,10 @@ def find_leaks(
     (doc_id, item_id, start, end, distance), for each document row and item all regions that do not overlap a nearer one,
     positions in code points.
 
-    Both sides are compared as lower-case letters and digits with single blanks, and with a blank around the whole, so that
-    an item matches whole words. An item of m characters, blanks included, with e edits shares m - q + 1 - q e q-grams with
-    its match, all in a band of diagonals; bands with fewer are passed over and the others aligned. Items too short for that
-    take shorter grams; those of under ten characters must match exactly. Equal items are searched for once. The benchmark
-    is read in blocks of bounded size, each a pass over the documents.
+    Both sides are compared as lower-case letters and digits with single blanks. An item of m characters with e edits shares
+    m - q + 1 - q e q-grams with its match, all in a band of diagonals; bands with fewer are passed over and the others
+    aligned. Items too short for that take shorter grams; those too short for any edit match as whole words. Equal items are
+    searched for once. The benchmark is read in blocks of bounded size, each a pass over the documents.
 
     Null or empty texts hold nothing and are no benchmark, nor are texts without letter and digit; rows that repeat give
     their results again, on both sides; ids may be null; other columns are ignored; empty tables give no rows.

@@ -1,208 +1,394 @@
-"""Language-model scoring: add-one word counts as the base, and deleted interpolation over word classes as the model."""
+"""Language-model scoring: add-one word counts as the base, and deleted interpolation of word bigrams as the model."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import remainder, save, table
-
-#: Words that are classes of their own; all others share one class. The bigram table has (OWN + 2) squared cells.
-OWN = 510
-#: Commonest words whose counts every task holds, none longer than so many bytes; counts of others come by a join.
-HELD, HELD_BYTES = 1 << 18, 64
-#: Words that a task counts before it passes them on.
-FLUSH = 400_000
-END, RARE, CLASSES = OWN, OWN + 1, OWN + 2
+from pyspark.sql import Window
+
+from .common import remainder, save, small, table
+
+#: Parts of the texts: estimates come from FIT, the weights from HELD; other texts are only scored.
+FIT, HELD = 0, 1
+#: Commonest words, and commonest pairs of them, whose counts every task holds. All others are counted and looked up by a
+#: shuffle, so the bounds decide where a count is looked up and never what it is. No pair or word that the shuffle groups
+#: holds more than a small share of all tokens.
+WORDS, PAIRS = 1 << 18, 1 << 20
+#: Pairs to hold are proposed by one in so many texts, and then counted in all.
+SAMPLE = 16
+#: Tokens that a task works on at a time, and bytes of a text that it splits at a time.
+BLOCK, PIECE = 1 << 18, 1 << 20
+#: Hashes of the ends of a text, which no word has: words hold no blank.
+START, END = (xxhash.xxh64_intdigest(x) for x in (b" start", b" end"))
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+RARE = np.uint64(1 << 63)
+
+
+def token_hashes(text: bytes | None) -> np.ndarray:
+    """START, the hash of each word in lower case, END."""
+    data, out, at = (text or b"").lower(), [np.array([START], np.uint64)], 0
+    while at < len(data):
+        cut = SPACE.search(data, at + PIECE)
+        end = cut.start() if cut else len(data)
+        words = data[at:end].split()
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate([*out, np.array([END], np.uint64)])
+
+
+class Block:
+    """The tokens of some whole texts in a row: of each token its hash and the number of its text in the block."""
+
+    def __init__(self, texts: list[tuple[tuple, np.ndarray]]):
+        self.rows = [r for r, _ in texts]
+        self.hash = np.concatenate([t for _, t in texts])
+        self.text = np.repeat(np.arange(len(texts)), [len(t) for _, t in texts])
+        self.part = np.array([r[0] if r[0] is not None else -1 for r in self.rows])
+        #: Places of the tokens that are predicted; the one before each is its context.
+        self.at = np.flatnonzero(self.hash != np.uint64(START))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of the rows (part, ..., t)."""
+    texts, size = [], 0
+    for b in batches:
+        for row in zip(*b.columns):
+            tokens = token_hashes(row[-1].as_py())
+            texts.append((tuple(x.as_py() for x in row[:-1]), tokens))
+            size += len(tokens)
+            if size >= BLOCK:
+                yield Block(texts)
+                texts, size = [], 0
+    if texts:
+        yield Block(texts)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.uint64).view(np.int64))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    for b in _blocks(batches):
+        word, which = np.unique(b.hash[b.at], return_inverse=True)
+        held = b.part[b.text[b.at]] == HELD
+        counts = [np.bincount(which[x], minlength=len(word)) for x in (~held, held)]
+        yield pa.RecordBatch.from_arrays([_signed(word), *map(pa.array, counts)], ["h", "fit", "held"])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    for b in batches:
-        for t in b.column(0):
-            counts.update(tokens(t.as_py()))
-            if len(counts) > FLUSH:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+class Counts:
+    """The commonest words and START in order of their hashes, and the held pairs of them in order of their codes; a code is
+    the place of the first word times 2^20 and that of the second."""
+
+    def __init__(self, hashes: np.ndarray, fit: np.ndarray, held: np.ndarray):
+        order = np.argsort(hashes)
+        self.hash, self.fit, self.held = hashes[order], fit[order], held[order]
+        self.pair, self.pair_fit = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for those that are not held."""
+        at = np.searchsorted(self.hash, hashes)
+        at[at == len(self.hash)] = 0
+        return np.where(self.hash[at] == hashes, at, -1)
 
-class Vocabulary:
-    """The commonest words with their counts; the first OWN of them are classes of their own."""
+    def pairs(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each predicted token of b the places of its context and of itself, and the code of both or -1."""
+        place = self.places(b.hash)
+        one, two = place[b.at - 1], place[b.at]
+        return one, two, np.where((one >= 0) & (two >= 0), one << 20 | two, -1)
 
-    def __init__(self, words: list[bytes], counts: list[int]):
-        self.place = {w: k for k, w in enumerate(words)}
-        self.count = np.array(counts, np.int64)
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """The number of the held pair of each code, -1 for others."""
+        if not len(self.pair):
+            return np.full(len(code), -1)
+        at = np.searchsorted(self.pair, code)
+        at[at == len(self.pair)] = 0
+        return np.where(self.pair[at] == code, at, -1)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
 
-    @staticmethod
-    def classes(places: np.ndarray) -> np.ndarray:
-        """The classes of a text's words with END at both ends."""
-        own = np.where((places < 0) | (places >= OWN), RARE, places)
-        return np.concatenate([[END], own, [END]])
+def _propose_pairs(shared) -> Callable:
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            code, n = np.unique(shared.value.pairs(b)[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code[code >= 0]), pa.array(n[code >= 0])], ["code", "n"])
 
+    return propose
 
-def _count_pairs(shared):
-    """Class bigrams of each part of the training texts, added up over the task."""
 
+def _count_pairs(shared) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, total = shared.value, np.zeros(2 * CLASSES * CLASSES, np.int64)
-        for b in batches:
-            for held, t in zip(b.column(0), b.column(1)):
-                c = v.classes(v.places(tokens(t.as_py())))
-                np.add.at(total, c[:-1] * CLASSES + c[1:] + held.as_py() * CLASSES * CLASSES, 1)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+        v = shared.value
+        total = np.zeros((2, len(v.pair)), np.int64)
+        for b in _blocks(batches):
+            at = v.find(v.pairs(b)[2])
+            held = b.part[b.text[b.at]] == HELD
+            for k, of in enumerate((~held, held)):
+                total[k] += np.bincount(at[of & (at >= 0)], minlength=len(v.pair))
+        some = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], ["pair", "fit", "held"])
 
     return count
 
 
-def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximum-likelihood bigrams and unigrams of the counts, and each context's bucket: the bit length of its count."""
-    context = counts.sum(1)
-    pairs = counts / np.maximum(context, 1)[:, None]
-    single = counts.sum(0) / max(counts.sum(), 1)
-    bucket = np.array([int(c).bit_length() for c in context])
-    return pairs, single, bucket
+ASKED = "key long, sub long, doc long, part byte, m int, place int, ask long"
 
 
-def learn_weights(counts: np.ndarray, held: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights of (bigram, unigram, uniform) by context bucket, by expectation-maximisation on the held-out counts.
+def _ask(shared) -> Callable:
+    """A row for each predicted token whose pair is not held, to be counted and looked up by key and sub.
 
-    Every bucket starts from one held-out event spread over the three, which is all that empty buckets have.
+    Two held words: key is their code, m how often the text has the pair. Else key is the hash, marked by its highest bit, of
+    the word that is not held, the predicted one if neither is, and sub that of the other word, its lowest bit telling
+    whether key is the context; place is that of the other word, or ask its hash if it is not held either.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for b in _blocks(batches):
+            one, two, code = v.pairs(b)
+            text = b.text[b.at]
+            apart = (code >= 0) & (v.find(code) < 0)
+            pair, m = np.unique(code[apart].astype(np.uint64) << np.uint64(20) | text[apart].astype(np.uint64), return_counts=True)
+            rare = np.flatnonzero(code < 0)
+            own = two[rare] < 0
+            first, second = b.hash[b.at[rare] - 1], b.hash[b.at[rare]]
+            other = np.where(own, one[rare], two[rare])
+            none, both = np.zeros(len(pair), bool), own & (one[rare] < 0)
+            key = np.concatenate([pair >> np.uint64(20), np.where(own, second, first) | RARE])
+            sub = np.concatenate([np.zeros(len(pair), np.uint64), np.where(own, first & ~np.uint64(1), second | np.uint64(1))])
+            of = np.concatenate([(pair & np.uint64((1 << 20) - 1)).astype(np.int64), text[rare]])
+            doc = np.array([r[1] for r in b.rows], np.int64)[of]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    _signed(key), _signed(sub), pa.array(doc), pa.array(b.part[of].astype(np.int8)), pa.array(np.concatenate([m, np.ones(len(rare), np.int64)]).astype(np.int32)),
+                    pa.array(np.concatenate([np.full(len(pair), -1), other]).astype(np.int32)),
+                    pa.array(np.concatenate([np.zeros(len(pair), np.uint64), first]).view(np.int64), mask=~np.concatenate([none, both])),
+                ],
+                ["key", "sub", "doc", "part", "m", "place", "ask"],
+            )
+
+    return ask
+
+
+def bucket(counts: np.ndarray) -> np.ndarray:
+    """The bit length of each count."""
+    return np.frexp(np.asarray(counts, np.float64))[1] * (np.asarray(counts) > 0)
+
+
+def learn_weights(cells: list[tuple[int, float, float, int]], uniform: float, rounds: int = 60) -> np.ndarray:
+    """Weights of (bigram, unigram, uniform) by context bucket, by expectation-maximisation on held-out events: cells are
+    (bucket, bigram, unigram probability, number of events).
+
+    Every bucket starts from one event spread over the three, which is all that empty buckets have. Contexts that were never
+    seen say nothing of what follows, so the bigram has no weight in bucket 0.
     """
-    pairs, single, bucket = _parts(counts)
     weights = np.full((65, 3), 1 / 3)
-    h, w = np.nonzero(held)
-    n, b = held[h, w].astype(float), bucket[h]
-    each = np.column_stack([pairs[h, w], single[w], np.full(len(h), 1 / len(counts))])
-    for _ in range(rounds):
-        share = weights[b] * each
-        share *= (n / share.sum(1))[:, None]
-        new = np.full((65, 3), 1 / 3)
-        np.add.at(new, b, share)
-        weights = new / new.sum(1, keepdims=True)
+    if cells:
+        b, p2, p1, n = (np.array(x) for x in zip(*cells))
+        each = np.column_stack([p2, p1, np.full(len(b), uniform)])
+        for _ in range(rounds):
+            share = weights[b] * each
+            share *= (n / share.sum(1))[:, None]
+            new = np.full((65, 3), 1 / 3)
+            np.add.at(new, b, share)
+            weights = new / new.sum(1, keepdims=True)
+    weights[0, 0] = 0
+    weights[0] /= weights[0].sum()
     return weights
 
 
-def class_model(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before) from all training counts."""
-    pairs, single, bucket = _parts(counts)
-    w = weights[bucket]
-    return np.log10(w[:, :1] * pairs + w[:, 1:2] * single + w[:, 2:] / len(counts))
+class Model:
+    """The counts that every task holds, totals, and the weights of the mixture."""
+
+    def __init__(self, counts: Counts, tokens: int, words: int, fit_tokens: int):
+        self.counts, self.tokens, self.words, self.fit_tokens = counts, tokens, words, max(fit_tokens, 1)
+        self.uniform = 1 / (words + 1)
+        self.weights = learn_weights([], self.uniform)
+
+    def logp(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 of the mixture for counts of the pair, of its context and of its word."""
+        w = self.weights[bucket(context)]
+        return np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / self.fit_tokens + w[:, 2] * self.uniform)
 
+    def logp_column(self, pair: Column, context: Column, word: Column) -> Column:
+        place = F.when(context > 0, F.length(F.bin(context))).otherwise(0) + 1
+        w = [F.element_at(F.array(*[F.lit(float(x)) for x in self.weights[:, k]]), place) for k in range(3)]
+        return F.log10(w[0] * pair / F.greatest(context, F.lit(1)) + w[1] * word / F.lit(float(self.fit_tokens)) + w[2] * F.lit(self.uniform))
 
-def _scorer(shared):
-    names = ["key", "doc_id", "n_tokens", "n_known", "base", "score", "word", "m"]
-    kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.binary(), pa.int64()]
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 1) / (self.tokens + self.words + 1))
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+SCORED = "doc long, doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _score(shared) -> Callable:
+    """Scores of the rows (part, doc, doc_id, t) by what tasks hold. Of pairs and words that they do not hold it is assumed
+    that no other text of FIT has them, as stands in _assumed; what was looked up is put right afterwards."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, logp, all_tokens, all_words, end, rare = shared.value
-        base = np.log10((v.count + 1) / (all_tokens + all_words + 1)) if len(v.count) else np.zeros(0)
-        inner = np.log10((v.count + 1) / rare) if len(v.count) else np.zeros(0)
-        inner[:OWN] = 0
-        end_base = math.log10((end + 1) / (all_tokens + all_words + 1))
-        key, rows = TaskContext.get().partitionId() << 40, []
-        for b in batches:
-            for d, t in zip(b.column(0), b.column(1)):
-                words = tokens(t.as_py())
-                at = v.places(words)
-                c = v.classes(at)
-                known = at[at >= 0]
-                rows.append((key, d.as_py(), len(words) + 1, len(known) + (end > 0), float(base[known].sum()) + end_base, float(logp[c[:-1], c[1:]].sum() + inner[known].sum()), None, None))
-                rows += [(key, None, None, None, None, None, w, m) for w, m in Counter(words[k] for k in np.flatnonzero(at < 0)).items()]
-                key += 1
-                if len(rows) > 50_000:
-                    yield batch(rows)
-                    rows = []
-        if rows:
-            yield batch(rows)
+        model = shared.value
+        v = model.counts
+        for b in _blocks(batches):
+            one, two, code = v.pairs(b)
+            text = b.text[b.at]
+            fit, learned = b.part[text] == FIT, b.part[text] >= 0
+            own = np.zeros(len(code), np.int64)
+            apart = np.flatnonzero(code >= 0)
+            _, which, n = np.unique(code[apart].astype(np.uint64) << np.uint64(20) | text[apart].astype(np.uint64), return_inverse=True, return_counts=True)
+            own[apart] = n[which]
+            own[code < 0] = 1
+            at = v.find(code)
+            pair = np.where(at >= 0, v.pair_fit[at] if len(v.pair) else 0, np.where(fit, own, 0))
+            context, word = np.where(one >= 0, v.fit[one], fit), np.where(two >= 0, v.fit[two], fit)
+            every = np.where(two >= 0, v.fit[two] + v.held[two], learned)
+            logp = model.logp(pair, context, word)
+            # Where neither word is held the whole is looked up.
+            logp[(one < 0) & (two < 0)] = 0
+            sums = [np.bincount(text, x, len(b.rows)) for x in (np.ones(len(text)), every > 0, model.base(every), logp)]
+            rows = [[r[1] for r in b.rows], [r[2] for r in b.rows], *(np.round(x).astype(np.int64) for x in sums[:2]), *sums[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 4 else pa.float64()) for k, x in enumerate(rows)], [x.split()[0] for x in SCORED.split(", ")])
 
     return score
 
 
-def _commonest(counts: DataFrame) -> DataFrame:
-    """The words above the lowest count that at most HELD words reach, counts being taken in steps of a 32nd of an octave.
-
-    Only a histogram of at most 2,016 steps and the words themselves reach the driver, however many partitions there are.
-    """
-    short = counts.where(F.octet_length("word") <= HELD_BYTES).withColumn("step", F.floor(32 * F.log2("n")))
+def _commonest(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows above the lowest n that at most limit rows reach, n being taken in steps of a 32nd of an octave. Only a
+    histogram of at most 2,016 steps and the rows themselves reach the driver."""
+    counts = counts.withColumn("step", F.floor(32 * F.log2("n")))
     total, least = 0, None
-    for step, words in short.groupBy("step").count().orderBy(F.desc("step")).collect():
-        total += words
-        if total > HELD:
+    for step, rows in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += rows
+        if total > limit:
             break
         least = step
-    return short.where(F.col("step") >= (least if least is not None else 1 << 20)).select("word", "n")
-
-
-def score_texts(docs: DataFrame, train: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return counts.where(F.col("step") >= (least if least is not None else 1 << 20)).drop("step")
+
+
+def _held_counts(learned: DataFrame, words: DataFrame, texts: tuple[int, int]) -> tuple[Counts, list]:
+    """The counts that tasks hold, and the held-out events of the held pairs as (context, pair, word) counts and number."""
+    spark = learned.sparkSession
+    top = _commonest(words.withColumn("n", F.col("fit") + F.col("held")), WORDS).toPandas()
+    ends = np.array([START, END], np.uint64)
+    hashes, fit, held = top["h"].to_numpy(np.int64).view(np.uint64), top["fit"].to_numpy(np.int64), top["held"].to_numpy(np.int64)
+    keep = ~np.isin(hashes, ends)
+    v = Counts(np.append(hashes[keep], ends), *(np.append(x[keep], [n, n]).astype(np.int64) for x, n in zip((fit, held), texts)))
+    shared = spark.sparkContext.broadcast(v)
+    rows = learned.select("part", "t")
+    proposed = rows.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).mapInArrow(_propose_pairs(shared), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    v.pair = np.sort(_commonest(save(proposed.where("n > 1"), "proposed"), PAIRS).toPandas()["code"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast(v)
+    counted = rows.mapInArrow(_count_pairs(shared), "pair long, fit long, held long").groupBy("pair").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held")).toPandas()
+    total = np.zeros((2, len(v.pair)), np.int64)
+    total[:, counted["pair"].to_numpy(np.int64)] = counted[["fit", "held"]].to_numpy(np.int64).T
+    v.pair_fit = total[0]
+    seen = np.flatnonzero(total[1])
+    return v, [v.fit[v.pair[seen] >> 20], total[0, seen], v.fit[v.pair[seen] & ((1 << 20) - 1)], total[1, seen]]
+
+
+def _looked_up(rows: DataFrame, words: DataFrame, v: Counts) -> DataFrame:
+    """What tasks do not hold, counted over all texts and brought back to the texts: (doc, part, m, pair, context, word and
+    every count, and was_ for what _score assumes of them), those left out where all was as assumed."""
+    spark = rows.sparkSession
+    asked = rows.select("part", "doc", "t").mapInArrow(_ask(spark.sparkContext.broadcast(v)), ASKED).repartition("key")
+    fit, predicted = F.when(F.col("part") == FIT, F.col("m")).otherwise(0), F.col("sub").bitwiseAND(F.lit(1)) == 0
+    by_key = Window.partitionBy("key")
+    counted = asked.withColumns({
+        "pair": F.sum(fit).over(Window.partitionBy("key", "sub")),
+        "n": F.sum(F.when(predicted, fit).otherwise(0)).over(by_key),
+        "every": F.sum(F.when(predicted & (F.col("part") >= 0), F.col("m")).otherwise(0)).over(by_key),
+    })
+    one = F.when(F.col("part") == FIT, 1).otherwise(0)
+    rare = F.col("key") < 0
+    as_assumed = (F.col("part") != HELD) & F.col("ask").isNull() & (F.col("pair") == F.when(rare, one).otherwise(fit)) & (~rare | ((F.col("n") == one) & (F.col("every") == one)))
+    kept = save(counted.where(~as_assumed), "looked-up")
+    fits = spark.createDataFrame([(int(k), int(n)) for k, n in enumerate(v.fit)], "at int, fit long")
+    side = lambda k: F.broadcast(fits.select(F.col("at").alias(f"at{k}"), F.col("fit").alias(f"fit{k}")))
+    first = F.when(rare, F.col("place")).otherwise(F.shiftright("key", 20).cast("int"))
+    second = F.col("key").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    single = kept.where("ask is null").withColumns({"at1": first, "at2": F.when(rare, F.lit(-1)).otherwise(second)}).join(side(1), "at1", "left").join(side(2), "at2", "left")
+    context = F.when(~rare, F.col("fit1")).when(predicted, F.col("fit1")).otherwise(F.col("n"))
+    word = F.when(~rare, F.col("fit2")).when(predicted, F.col("n")).otherwise(F.col("fit1"))
+    every = F.when(rare & predicted, F.col("every"))
+    was = {"was_pair": F.when(rare, one).otherwise(fit), "was_context": F.when(rare & ~predicted, one).otherwise(F.col("fit1")), "was_word": F.when(~rare, F.col("fit2")).when(predicted, one).otherwise(F.col("fit1"))}
+    names = ["doc", "part", "m", "pair", "context", "word", "every", *was]
+    single = single.withColumns({"context": context, "word": word, "every": every, **was}).select(*names)
+    both = kept.where("ask is not null").join(words.select(F.col("h").alias("ask"), F.col("fit").alias("fit1")), "ask", "left")
+    both = both.withColumns({"context": F.coalesce("fit1", F.lit(0)), "word": F.col("n"), **{k: F.lit(None).cast("long") for k in was}}).select(*names)
+    return single.unionByName(both)
+
+
+def _cells(events: DataFrame, model: Model) -> list:
+    """Held-out events by bucket and by the logarithms of both probabilities to a 32nd of an octave, at most some thousand
+    cells a bucket: the weights follow no finer differences."""
+    step = lambda p: F.when(p > 0, F.round(32 * F.log2(p)))
+    place = F.when(F.col("context") > 0, F.length(F.bin("context"))).otherwise(0)
+    pair, word = F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(float(model.fit_tokens))
+    got = events.groupBy(place.alias("b"), step(pair).alias("p2"), step(word).alias("p1")).agg(F.sum("m").alias("m")).collect()
+    back = lambda x: 0.0 if x is None else 2.0 ** (x / 32)
+    return sorted((r["b"], back(r["p2"]), back(r["p1"]), r["m"]) for r in got)
+
+
+def fit_and_score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+    """score_texts' result, and the model."""
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string").cast("binary")
+    rows = docs.select(F.when(part.isin(FIT, HELD), part).otherwise(-1).cast("byte").alias("part"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    rows = rows.withColumn("doc", F.xxhash64("part", "doc_id", "t"))
+    learned = rows.where("part >= 0")
+    words = learned.select("part", "t").mapInArrow(_count_words, "h long, fit long, held long").groupBy("h").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"))
+    words = save(words, "words")
+    n, fit_n, v = words.agg(F.coalesce(F.sum(F.col("fit") + F.col("held")), F.lit(0)), F.coalesce(F.sum("fit"), F.lit(0)), F.count("*")).first()
+    ends = words.where(F.col("h") == int(np.uint64(END).view(np.int64))).select("fit", "held").first()
+    counts, events = _held_counts(learned, words, tuple(ends) if ends else (0, 0))
+    model = Model(counts, n, v, fit_n)
+    found = _looked_up(rows, words, counts)
+    context, pair, word, m = events
+    held = zip(bucket(context).astype(int).tolist(), (pair / np.maximum(context, 1)).tolist(), (word / model.fit_tokens).tolist(), m.tolist())
+    model.weights = learn_weights(_cells(found.where(F.col("part") == HELD), model) + sorted(held), model.uniform)
+    shared = spark.sparkContext.broadcast(model)
+    scored = save(rows.select("part", "doc", "doc_id", "t").mapInArrow(_score(shared), SCORED), "scored")
+    logp, c = model.logp_column, F.col
+    one = F.when(F.col("part") >= 0, 1).otherwise(0)
+    base = lambda x: F.log10((x + 1) / F.lit(float(n + v + 1)))
+    change = found.groupBy("doc").agg(
+        F.sum(c("m") * (logp(c("pair"), c("context"), c("word")) - F.coalesce(logp(c("was_pair"), c("was_context"), c("was_word")), F.lit(0.0)))).alias("more_score"),
+        F.sum(c("m") * F.when(c("every").isNotNull(), base(c("every")) - base(one))).alias("more_base"),
+        F.sum(c("m") * F.when(c("every").isNotNull(), F.least(c("every"), F.lit(1)) - one)).alias("more_known"),
+    )
+    # Rows that repeat, id and all, share a key and were each looked up: what is found is theirs in equal parts.
+    copies = save(scored.groupBy("doc").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    change = change.join(small(copies), "doc", "left")
+    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b) / F.coalesce("copies", F.lit(1)), F.lit(0)))
+    joined = scored.join(change, "doc", "left")
+    return joined.select(
+        "doc_id", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"),
+    ), model
+
+
+def score_texts(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) per document of docs.
 
-    train and held are disjoint parts of the texts to learn from. Word counts are over both. base_score adds one to
-    each count. The model: each of the OWN commonest words, the end and all other words together are classes; class
-    bigrams, unigrams and the uniform distribution are mixed by weights that depend on how often the context occurred,
-    learned by expectation-maximisation on held's counts with train's as estimates (which are then taken from both);
-    a word of the common class costs its add-one share of that class.
+    part says what each row is for: FIT and HELD rows are learned from, others (or null) only scored. base_score adds one to
+    each word's count over both. The model mixes the maximum-likelihood estimates of word bigrams and words, both from FIT,
+    and the uniform distribution over all known words and one more for the unknown; the weights depend on how often the
+    context occurred in FIT, by powers of two, and are learned by expectation-maximisation on the bigrams of HELD. Words are
+    known by 64-bit hashes.
 
     Null texts are empty and have the end as only token; rows that repeat are scored again and counted again; ids may be
     null; other columns are ignored; with nothing to learn from every word is unseen; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    text = lambda df: df.select(F.col(text_col).cast("string").cast("binary").alias("t"))
-    both = text(train).withColumn("held", F.lit(0)).unionByName(text(held).withColumn("held", F.lit(1)))
-    counts = save(both.select("t").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    end = both.count()
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n, v = n + end, v + (end > 0)
-    top = _commonest(counts).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    words = Vocabulary([bytes(w) for w in top["word"]], top["n"].tolist())
-    own = int(words.count[:OWN].sum())
-    rare = (n - end - own) + (v - (end > 0) - min(OWN, len(words.count))) + 1
-    vocabulary = spark.sparkContext.broadcast(words)
-    pairs = both.select("held", "t").mapInArrow(_count_pairs(vocabulary), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table_ = np.zeros(2 * CLASSES * CLASSES, np.int64)
-    table_[pairs["cell"].to_numpy(np.int64)] = pairs["n"]
-    first, second = table_.reshape(2, CLASSES, CLASSES)
-    logp = class_model(first + second, learn_weights(first, second))
-    shared = spark.sparkContext.broadcast((words, logp, n, v, end, rare))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    scored = save(rows.mapInArrow(_scorer(shared), "key long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, m long"), "scored")
-    unheld = scored.where("word is not null").select("key", "word", "m").join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    added = unheld.groupBy("key").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("m") * F.log10((F.col("n") + 1) / F.lit(float(n + v + 1)))).alias("more_base"),
-        F.sum(F.col("m") * F.log10((F.col("n") + 1) / F.lit(float(rare)))).alias("more_score"),
-    )
-    joined = scored.where("word is null").drop("word", "m").join(added, "key", "left")
-    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias({"base": "base_score"}.get(a, a))
-    return joined.select("doc_id", "n_tokens", plus("n_known", "more_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "more_base"), plus("score", "more_score"))
+    return fit_and_score(docs, part, id_col, text_col)[0]
 
 
 def op7_deleted_interpolation(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     left = remainder(F.col("doc_id"), 7)
-    scored = score_texts(docs, docs.where((left != 2) & (left != 3)), docs.where(left == 3))
+    part = F.when(left == 3, HELD).when(left != 2, FIT)
+    scored = score_texts(docs, part)
     return scored.select("doc_id", (left == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cartolode.llm import langid, lm, mixing, pii, secrets, simhash, urls, warc
+from cartolode.llm import langid, mixing, pii, secrets, simhash, urls, warc
 from cartolode.llm.common import new_path
 from cartolode.llm.components import connected_components
 from cartolode.llm.decontaminate import find_leaks
@@ -241,34 +241,6 @@ def test_covering_masks_leave_no_pair_out():
         assert any(not x & m for m in masks)
 
 
-def test_language_model(spark):
-    df, rows = documents(spark, 200)
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
-    got = lm.score_texts(df, df.where((crc != 2) & (crc != 3)), df.where(crc == 3)).collect()
-    words = lambda t: [w.encode().lower() for w in word_list(t)]
-    learn = [words(t) for d, t, *_ in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
-    counts = Counter(w for ws in learn for w in ws)
-    counts[None] = len(learn)
-    n, v = sum(counts.values()), len(counts)
-    want = Counter()
-    for d, t, *_ in rows:
-        ws = [*words(t), None]
-        want[d, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 4)] += 1
-    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
-    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 and r["n_tokens"] > 5]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert lm.score_texts(df.limit(0), df.limit(0), df.limit(0)).count() == 0
-    assert {round(r["base_score"], 9) for r in lm.score_texts(df, df.limit(0), df.limit(0)).collect()} == {0.0}
-
-
-def test_held_out_weights_follow_the_data():
-    counts = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
-    counts[np.arange(100), np.arange(1, 101)] = 1000
-    weights = lm.learn_weights(counts, counts // 10)
-    assert weights[(1000).bit_length(), 0] > 0.95
-    np.testing.assert_allclose((10 ** lm.class_model(counts, weights)).sum(1)[:100], 1, atol=1e-6)
-
-
 def test_url_rules_and_trees(spark):
     rnd = random.Random(4)
     hosts = [f"www.site{rnd.choice('abc')}.example.com" for _ in range(150)] + [f"spam-win-{k}-cash.example.org" for k in range(60)]

@@ -19,7 +19,7 @@ FIT, HELD = 0, 1
 #: Commonest words, and commonest pairs of them, whose counts every task holds. All others are counted and looked up by a
 #: shuffle, so the bounds decide where a count is looked up and never what it is. No pair or word that the shuffle groups
 #: holds more than a small share of all tokens.
-WORDS, PAIRS = 1 << 18, 1 << 20
+WORDS, PAIRS = 1 << 18, 1 << 18
 #: Pairs to hold are proposed by one in so many texts, and then counted in all.
 SAMPLE = 16
 #: Tokens that a task works on at a time, and bytes of a text that it splits at a time.
@@ -152,15 +152,16 @@ def _ask(shared) -> Callable:
             one, two, code = v.pairs(b)
             text = b.text[b.at]
             apart = (code >= 0) & (v.find(code) < 0)
-            pair, m = np.unique(code[apart].astype(np.uint64) << np.uint64(20) | text[apart].astype(np.uint64), return_counts=True)
+            # In order of the texts, so that rows of one text follow each other, which shuffles well.
+            pair, m = np.unique(text[apart].astype(np.uint64) << np.uint64(40) | code[apart].astype(np.uint64), return_counts=True)
             rare = np.flatnonzero(code < 0)
             own = two[rare] < 0
             first, second = b.hash[b.at[rare] - 1], b.hash[b.at[rare]]
             other = np.where(own, one[rare], two[rare])
             none, both = np.zeros(len(pair), bool), own & (one[rare] < 0)
-            key = np.concatenate([pair >> np.uint64(20), np.where(own, second, first) | RARE])
+            key = np.concatenate([pair & np.uint64((1 << 40) - 1), np.where(own, second, first) | RARE])
             sub = np.concatenate([np.zeros(len(pair), np.uint64), np.where(own, first & ~np.uint64(1), second | np.uint64(1))])
-            of = np.concatenate([(pair & np.uint64((1 << 20) - 1)).astype(np.int64), text[rare]])
+            of = np.concatenate([(pair >> np.uint64(40)).astype(np.int64), text[rare]])
             doc = np.array([r[1] for r in b.rows], np.int64)[of]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -280,9 +281,11 @@ def _held_counts(learned: DataFrame, words: DataFrame, texts: tuple[int, int]) -
     shared = spark.sparkContext.broadcast(v)
     rows = learned.select("part", "t")
     proposed = rows.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).mapInArrow(_propose_pairs(shared), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    shared.unpersist()
     v.pair = np.sort(_commonest(save(proposed.where("n > 1"), "proposed"), PAIRS).toPandas()["code"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(v)
     counted = rows.mapInArrow(_count_pairs(shared), "pair long, fit long, held long").groupBy("pair").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held")).toPandas()
+    shared.unpersist()
     total = np.zeros((2, len(v.pair)), np.int64)
     total[:, counted["pair"].to_numpy(np.int64)] = counted[["fit", "held"]].to_numpy(np.int64).T
     v.pair_fit = total[0]

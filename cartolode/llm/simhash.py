@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,11 @@ from .common import save, small, table
 from .components import connected_components
 
 BITS, RADIUS, SEED = 64, 3, 42
-#: Buckets with more fingerprints are dealt out again by a second set of masks over the bits they do not share.
-BUCKET = 2048
+#: Buckets with more fingerprints are dealt out within themselves by further sets of masks, up to so many.
+BUCKET, DEALS = 2048, 5
+#: The bits of each byte value, and where the counts of each byte of a hash begin.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_COLUMN = np.arange(8) << 8
 
 
 def covering_masks(bits: list[int], radius: int, turn: int = 0) -> list[int]:
@@ -34,16 +38,13 @@ def fingerprint(text: bytes | None, words_per_shingle: int = 3) -> int:
     words = (text or b"").lower().split()
     if not words:
         return 0
-    if len(words) < words_per_shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(words_per_shingle)))))
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, len(shingles), 1 << 16):
-        part = shingles[at : at + (1 << 16)]
-        h = np.fromiter((digest(s, SEED) for s in part), np.uint64, len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0])
+    n = max(1, len(words) - words_per_shingle + 1)
+    parts = map(b" ".join, zip(*(words[k:] for k in range(words_per_shingle)))) if len(words) >= words_per_shingle else iter([b" ".join(words)])
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((8, 256), np.int64)
+    for at in range(0, n, 1 << 16):
+        h = np.fromiter((digest(s, SEED) for s in islice(parts, 1 << 16)), np.uint64, min(1 << 16, n - at))
+        counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048).reshape(8, 256)
+    return int(np.packbits(2 * (counts @ _BITS).ravel() > n, bitorder="little").view("<i8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -78,29 +79,35 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
+def _forest(bucket: np.ndarray, fp: np.ndarray, radius: int) -> pa.RecordBatch:
+    """A spanning forest of the links within buckets, which are whole and in order."""
+    fps, node = np.unique(fp, return_inverse=True)
+    value, parent = fps.view(np.uint64)[node], np.arange(len(fps))
+    left, step = np.arange(len(node)), 1
+    while len(left := left[left < len(node) - step]):
+        left = left[bucket[left] == bucket[left + step]]
+        near = left[np.bitwise_count(value[left] ^ value[left + step]) <= radius]
+        _union(parent, node[near], node[near + step])
+        step += 1
+    root = _roots(parent, np.arange(len(fps)))
+    held = root != np.arange(len(fps))
+    return pa.RecordBatch.from_arrays([pa.array(fps[held]), pa.array(fps[root[held]])], ["a", "b"])
+
+
 def _spanning(radius: int):
-    """Compare the fingerprints within each bucket of a partition and return a spanning forest of the links found."""
+    """Compare the fingerprints within each bucket. Rows arrive in order of their buckets; a task holds one batch and the
+    bucket that the one before left unfinished."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        part = pa.Table.from_batches(whole)
-        bucket, fp = (part.column(c).to_numpy() for c in ("bucket", "fp"))
-        fps, node = np.unique(fp, return_inverse=True)
-        order = np.argsort(bucket, kind="stable")
-        bucket, node = bucket[order], node[order]
-        value, parent = fps.view(np.uint64)[node], np.arange(len(fps))
-        left, step = np.arange(len(node)), 1
-        while len(left := left[left < len(node) - step]):
-            left = left[bucket[left] == bucket[left + step]]
-            near = left[np.bitwise_count(value[left] ^ value[left + step]) <= radius]
-            _union(parent, node[near], node[near + step])
-            step += 1
-        root = _roots(parent, np.arange(len(fps)))
-        held = root != np.arange(len(fps))
-        if held.any():
-            yield pa.RecordBatch.from_arrays([pa.array(fps[held]), pa.array(fps[root[held]])], ["a", "b"])
+        bucket, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            bucket, fp = (np.concatenate([old, b.column(k).to_numpy()]) for k, old in (("bucket", bucket), ("fp", fp)))
+            whole = np.searchsorted(bucket, bucket[-1]) if len(bucket) else 0
+            if whole:
+                yield _forest(bucket[:whole], fp[:whole], radius)
+                bucket, fp = bucket[whole:], fp[whole:]
+        if len(bucket):
+            yield _forest(bucket, fp, radius)
 
     return links
 
@@ -110,7 +117,7 @@ def _buckets(fps: DataFrame, masks: list[int]) -> DataFrame:
 
     Two masked values that should collide always do; others may by chance, and the comparison sorts those out.
     """
-    tables = [F.xxhash64(*([F.col("bucket")] if "bucket" in fps.columns else []), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]
+    tables = [F.xxhash64(*([F.col("bucket")] if "bucket" in fps.columns else []), F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks)]
     return fps.select("fp", F.explode(F.array(*tables)).alias("bucket"))
 
 
@@ -118,19 +125,23 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     """Links (a, b) that connect all distinct fingerprints fps(fp) within radius bits, directly or through others.
 
     Every pair within the radius shares a bucket; each bucket yields at most its size in links. Buckets of more than
-    `bucket` fingerprints are dealt out within themselves by a second set of masks, which covers every pair of theirs
-    again, so that nothing is lost; what shares both masks differs in some 15 bits at most.
+    `bucket` fingerprints are dealt out within themselves by further masks, over the bits in another order, which cover
+    every pair of theirs again, so that nothing is lost. Each deal halves the bits in which a bucket's fingerprints can
+    differ, or nearly so: after the last of DEALS they have some two bits left, and a bucket some four fingerprints.
     """
-    spark = fps.sparkSession
-    first = _buckets(fps, covering_masks(list(range(BITS)), radius))
-    crowded = save(first.groupBy("bucket").count().where(F.col("count") > bucket).select("bucket"), "crowded")
-    dealt = first
-    if crowded.limit(1).count():
+    dealt, done = _buckets(fps, covering_masks(list(range(BITS)), radius)), []
+    for turn in range(1, DEALS):
+        crowded = save(dealt.groupBy("bucket").count().where(F.col("count") > bucket).select("bucket"), "crowded")
+        if not crowded.limit(1).count():
+            break
         hot = small(crowded)
-        again = covering_masks([(11 * b) % BITS for b in range(BITS)], radius, 7)
-        dealt = first.join(hot, "bucket", "left_anti").unionByName(_buckets(first.join(hot, "bucket", "left_semi"), again))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "bucket").mapInArrow(_spanning(radius), "a long, b long")
+        done.append(dealt.join(hot, "bucket", "left_anti"))
+        stride = (11, 23, 37, 51)[turn - 1]
+        again = covering_masks([(stride * b) % BITS for b in range(BITS)], radius, 7 * turn)
+        dealt = save(_buckets(dealt.join(hot, "bucket", "left_semi"), again), "dealt")
+    for part in done:
+        dealt = dealt.unionByName(part)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spanning(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

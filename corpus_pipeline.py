@@ -13,31 +13,46 @@ from cartolode.llm.secrets import redact_secrets
 from cartolode.llm.shingles import similar_groups
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids(doc_id); rows with a null id stay."""
-    gone = small(save(ids.where("doc_id is not null").distinct(), "gone").withColumnRenamed("doc_id", "gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row: the hash of all its columns, so that decisions fall on rows and not on ids, which may
+    repeat or be null. Rows that are equal in all columns share a key and every decision but that of which copy stays."""
+    return docs.withColumn(KEY, F.xxhash64(*docs.columns))
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among those of gone(doc_id), without the key."""
+    keys = small(save(gone.select(F.col("doc_id").alias(KEY)).distinct(), "gone"))
+    return keyed.join(keys, KEY, "left_anti").drop(KEY)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language identification rejects: no letters, or unlike every language learned."""
     model = train(docs.where(remainder(F.col("doc_id"), 4) != 2))
-    return _without(docs, identify(docs, model).where("rejected").select("doc_id"))
+    keyed = _keyed(docs)
+    return _without(keyed, identify(keyed, model, id_col=KEY).where("rejected"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group linked by five-word shingles of similarity 0.8 or more.
-
-    A SimHash radius reaches that similarity only through fingerprints some ten bits apart of 64, which no covering
-    masks tell from chance; min-hash bands propose the pairs instead, and the exact shingle sets confirm them.
-    """
-    groups = similar_groups(docs)
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    """Keep one document of each group linked by five-word shingles of similarity 0.8 or more: the one with the smallest
+    doc_id, null ids last, and of those that share it the one with the smallest key; of equal rows one."""
+    keyed = _keyed(docs)
+    groups = similar_groups(keyed, id_col=KEY).withColumnRenamed("doc_id", KEY).distinct()
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)
+    named = save(keyed.select(KEY, "doc_id").join(groups, KEY).select("component_id", KEY, "doc_id").distinct(), "grouped")
+    stays = save(named.groupBy("component_id").agg(F.min(first).alias("x"), F.count("*").alias("n")), "stays")
+    gone = named.join(stays.where("n > 1").select("component_id", F.col(f"x.{KEY}").alias("kept")), "component_id").where(F.col(KEY) != F.col("kept"))
+    copies = small(save(keyed.groupBy(KEY).count().where("count > 1").select(KEY), "copies"))
+    equal, single = keyed.join(copies, KEY, "left_semi").dropDuplicates([KEY]), keyed.join(copies, KEY, "left_anti")
+    return _without(single.unionByName(equal), gone.select(F.col(KEY).alias("doc_id")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark passage."""
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    keyed = _keyed(docs)
+    return _without(keyed, find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +74,7 @@ STAGES = [
     ("secret_scan", redact),
     ("mix_sources", mix),
 ]
-#: The stages learn models and align texts, which SQL cannot express; tests hold each against a brute-force version.
+#: The stages learn models and align texts, which SQL cannot express; tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 

@@ -11,93 +11,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import grams, normalise
-from .common import remainder, small, table
+from .common import remainder, save, small, table
 
 ORDER = 4
-#: About so many documents of each language are learned from; an eighth of them only calibrates.
-TRAIN_DOCS = 2000
-#: A language keeps its commonest n-grams up to this number, which bounds the model that is broadcast.
-MAX_GRAMS = 400_000
-#: Code points that are scored at a time.
-SLICE = 1 << 18
+#: About so many documents, of about so many characters, of each language are learned from; an eighth of the documents only
+#: calibrates. A model has no more n-grams of a language than that many characters hold.
+TRAIN_DOCS, TRAIN_CHARS = 2000, 8_000_000
+#: Cells of code points by languages that are scored at a time.
+CELLS = 1 << 20
+#: Texts of fewer letters are never rejected. A text's mean cost varies by its length: so many nats over its root.
+SHORT, SPREAD = 20, 6.0
+
+
+class Table:
+    """Values by n-gram and language in sorted hash arrays: of each n-gram's hash the entries of those languages that have it."""
+
+    def __init__(self, codes: np.ndarray, gram: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        """codes has a row of code points for each n-gram; entries (gram: number of the row, lang, value)."""
+        width = codes.shape[1]
+        h = grams(codes.ravel(), width)[::width] if width else np.zeros(1, np.uint64)
+        rank = np.empty(len(h), np.int64)
+        rank[np.argsort(h)] = np.arange(len(h))
+        self.hash = np.sort(h)
+        order = np.argsort(rank[gram], kind="stable")
+        self.first = np.searchsorted(rank[gram][order], np.arange(len(h) + 1)).astype(np.int64)
+        self.lang, self.value = lang[order].astype(np.uint16), value[order].astype(np.float32)
+
+    def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number in h, lang, value) of every entry that one of the hashes has."""
+        at = np.searchsorted(self.hash, h)
+        at[at == len(self.hash)] = 0
+        seen = np.flatnonzero(self.hash[at] == h)
+        n = self.first[at[seen] + 1] - self.first[at[seen]]
+        entry = np.repeat(self.first[at[seen]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(seen, n), self.lang[entry], self.value[entry]
 
 
 class Model:
-    """log P(character | up to ORDER - 1 before it) for every n-gram seen in any language, one column per language."""
+    """log P(character | up to ORDER - 1 before it) by language; the size grows with the n-grams of all languages together."""
 
     def __init__(self, counts: pd.DataFrame, order: int = ORDER):
         """counts has lang, gram (order characters) and n. Lower orders count the different characters that come before."""
         self.order, self.langs = order, sorted(counts["lang"].unique())
-        self.slope, self.bias, self.limit = 1.0, 0.0, {}
-        lang = counts["lang"].map({x: k for k, x in enumerate(self.langs)}).to_numpy()
-        gram, n = counts["gram"].to_numpy(), counts["n"].to_numpy(np.float64)
-        levels = []
+        self.slope, self.bias, self.mean, self.limit, self.errors = 1.0, 0.0, {}, np.inf, (0.0, 0.0)
+        wide = len(self.langs)
+        lang = counts["lang"].map({x: k for k, x in enumerate(self.langs)}).to_numpy(np.int64)
+        names, gram = np.unique(counts["gram"].to_numpy().astype(str), return_inverse=True)
+        n, levels = counts["n"].to_numpy(np.float64), []
         for k in range(order, 0, -1):
-            names, place = np.unique(gram.astype(str), return_inverse=True)
-            matrix = np.zeros((len(names), len(self.langs)))
-            np.add.at(matrix, (place, lang), n)
-            levels.append((names, matrix))
-            shorter = pd.DataFrame({"lang": lang, "gram": pd.Series(names).str[1:].to_numpy()[place]}).groupby(["lang", "gram"], sort=False).size().reset_index()
-            lang, gram, n = shorter["lang"].to_numpy(), shorter["gram"].to_numpy(), shorter[0].to_numpy(np.float64)
-        self.floor = -np.log(max(256, len(levels[-1][0])))
-        below, lower = np.array([""]), np.full((1, len(self.langs)), np.exp(self.floor))
-        self.gram, self.logp, self.context, self.backoff = [], [], [], []
-        for names, matrix in reversed(levels):
-            cut = pd.Series(names)
-            contexts, of = np.unique(cut.str[:-1].to_numpy().astype(str), return_inverse=True)
-            total, kinds = (np.zeros((len(contexts), len(self.langs))) for _ in range(2))
-            np.add.at(total, of, matrix)
-            np.add.at(kinds, of, matrix > 0)
-            once, twice = (matrix == 1).sum(0), (matrix == 2).sum(0)
+            # Rows of one n-gram and language are one entry, in order of both.
+            key, place = np.unique(gram * wide + lang, return_inverse=True)
+            n = np.bincount(place, n)
+            codes = names.view(np.uint32).reshape(len(names), -1)[:, :k] if k else np.zeros((1, 0), np.uint32)
+            levels.append((codes, key // wide, key % wide, n))
+            tails, tail = np.unique(np.array([x[1:] for x in names.tolist()]), return_inverse=True)
+            names, gram, lang, n = tails, tail[key // wide], key % wide, np.ones(len(key))
+        self.floor = float(-np.log(max(256, len(levels[-1][0]))))
+        below, lower, tail_of = None, None, None
+        self.gram, self.backoff = [], []
+        for codes, gram, lang, n in reversed(levels):
+            heads, head = np.unique(codes[:, :-1], axis=0, return_inverse=True) if codes.shape[1] > 1 else (np.zeros((1, 0), np.uint32), np.zeros(len(codes), np.int64))
+            pair, of = np.unique(head.ravel()[gram] * wide + lang, return_inverse=True)
+            total, kinds = np.bincount(of, n), np.bincount(of)
+            once, twice = (np.bincount(lang[n == x], minlength=wide) for x in (1, 2))
             discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9)
-            backoff = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            under = lower[np.searchsorted(below, cut.str[1:].to_numpy().astype(str))]
-            p = np.where(total[of] > 0, np.maximum(matrix - discount, 0) / np.maximum(total[of], 1), 0) + backoff[of] * under
-            self._store(self.gram, self.logp, names, np.log(p))
-            self._store(self.context, self.backoff, contexts, np.log(backoff))
-            below, lower = names, p
-
-    @staticmethod
-    def _store(keys: list, values: list, names: np.ndarray, matrix: np.ndarray) -> None:
-        width = len(names[0])
-        codes = np.array([[ord(c) for c in x] for x in names], np.uint64).reshape(len(names), width)
-        h = grams(codes.ravel(), width)[:: max(width, 1)] if width else np.zeros(1, np.uint64)
-        order = np.argsort(h)
-        keys.append(h[order])
-        values.append(matrix[order].astype(np.float32))
-
-    @staticmethod
-    def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(keys, h)
-        at[at == len(keys)] = 0
-        return at, keys[at] == h
+            backoff = discount[pair % wide] * kinds / total
+            under = np.exp(self.floor)
+            if below is not None:
+                tails = grams(np.ascontiguousarray(codes[:, 1:]).ravel(), codes.shape[1] - 1)[:: codes.shape[1] - 1]
+                tail_of = below[1][np.searchsorted(below[0], tails)]
+                under = lower[1][np.searchsorted(lower[0], tail_of[gram] * wide + lang)]
+            p = np.maximum(n - discount[lang], 0) / total[of] + backoff[of] * under
+            self.gram.append(Table(codes, gram, lang, np.log(p)))
+            self.backoff.append(Table(heads, pair // wide, pair % wide, np.log(backoff)))
+            own = grams(codes.ravel(), codes.shape[1])[:: codes.shape[1]]
+            below, lower = (np.sort(own), np.argsort(own)), (gram * wide + lang, p)
 
     def log_probs(self, codes: np.ndarray) -> np.ndarray:
-        """A row for each code from number ORDER - 1 on."""
-        return self._level(codes, np.arange(self.order - 1, len(codes)), self.order)
-
-    def _level(self, codes: np.ndarray, ends: np.ndarray, k: int, h: np.ndarray | None = None) -> np.ndarray:
-        """For the code at each of ends, given the k - 1 codes before it; unseen n-grams back off."""
-        if k == 0:
-            return np.full((len(ends), len(self.langs)), self.floor, np.float32)
-        at, seen = self._find(self.gram[k - 1], grams(codes, k)[ends - k + 1])
-        out = self.logp[k - 1][at]
-        rest = np.flatnonzero(~seen)
-        if len(rest):
-            lower = self._level(codes, ends[rest], k - 1)
-            if k > 1:
-                where, known = self._find(self.context[k - 1], grams(codes, k - 1)[ends[rest] - k + 1])
-                lower += np.where(known[:, None], self.backoff[k - 1][where], np.float32(0))
-            else:
-                lower += self.backoff[0][0]
-            out[rest] = lower
-        return out
+        """A row for each code from number ORDER - 1 on, a column for each language. Each different n-gram is looked up once.
+
+        From the shortest context to the longest: where a language has the n-gram its value stands, elsewhere the shorter
+        context's value plus what backing off to it costs, which is nothing where the context is new.
+        """
+        whole = grams(codes, self.order)
+        _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+        ends = first + self.order - 1
+        out = np.full((len(first), len(self.langs)), self.floor, np.float32)
+        for k in range(1, self.order + 1):
+            context = grams(codes, k - 1)[ends - k + 1] if k > 1 else np.zeros(len(ends), np.uint64)
+            row, lang, value = self.backoff[k - 1].entries(context)
+            out[row, lang] += value
+            row, lang, value = self.gram[k - 1].entries(grams(codes, k)[ends - k + 1])
+            out[row, lang] = value
+        return out[of]
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(letters and blanks scored, nats per one of them and language) of each text; nan where a text has no letter."""
         pad = np.full(self.order - 1, 32, np.uint32)
         total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        queue, owner, size = [], [], 0
+        queue, owner, size, most = [], [], 0, max(1 << 12, CELLS // max(len(self.langs), 1))
 
         def flush() -> None:
             nonlocal queue, owner, size
@@ -119,11 +131,11 @@ class Model:
                 continue
             codes = np.concatenate([pad, codes[1:] if codes[0] == 32 else codes, pad[: int(codes[-1] != 32)]])
             count[i] = len(codes) - len(pad)
-            for at in range(len(pad), len(codes), SLICE):
-                queue.append(codes[at - len(pad) : at + SLICE])
+            for at in range(len(pad), len(codes), most):
+                queue.append(codes[at - len(pad) : at + most])
                 owner.append(i)
                 size += len(queue[-1])
-                if size >= SLICE:
+                if size >= most:
                     flush()
         flush()
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -140,26 +152,44 @@ class Model:
             best = int(row.argmin())
             margin = float(np.partition(row, 1)[1] - row[best]) if len(row) > 1 else 1.0
             score = float(1 / (1 + np.exp(-np.clip(self.slope * margin * np.sqrt(n) + self.bias, -30, 30))))
-            rejected = bool(n >= 20 and row[best] > self.limit.get(self.langs[best], np.inf) + 6 / np.sqrt(n))
-            out.append((self.langs[best], score, rejected, int(n), float(row[best]), margin))
+            out.append((self.langs[best], score, self.foreign(self.langs[best], int(n), float(row[best])), int(n), float(row[best]), margin))
         return out
 
+    def excess(self, lang: str, n: int, nats: float) -> float:
+        """How far a text's cost lies above the mean of its language's texts, less what its length lets expect."""
+        return nats - self.mean.get(lang, np.inf) - SPREAD / np.sqrt(n)
+
+    def foreign(self, lang: str, n: int, nats: float) -> bool:
+        return bool(n >= SHORT and self.excess(lang, n, nats) > self.limit)
+
     def calibrate(self, rows: pd.DataFrame) -> None:
-        """Fit P(right) as a logistic function of margin times root length, and each language's limit of nats per character.
+        """Fit P(right) as a logistic function of margin times root length, and the limit beyond which a text is of no language.
 
-        rows has lang, pred, n, nats, margin. One right and one wrong row of margin 0 keep the fit finite. Texts above the
-        mean by eight deviations, half a nat and six over their root length (short texts vary) are of none of the languages.
+        rows has, of texts that were not learned from, lang, n, own (nats in that language), other (the best of the other
+        languages) and nats there. A text judged without its own language is one of an unknown language: the limit lies
+        halfway between what nearly all texts stay under in their own and what nearly all exceed in the best of the others,
+        or, where these overlap, where one in a thousand texts of known languages is rejected. errors has the share of
+        each kind that is misjudged. One right and one wrong row of margin 0 keep the fit finite.
         """
-        x = np.append(rows["margin"] * np.sqrt(rows["n"]), [0.0, 0.0])
-        right = np.append((rows["lang"] == rows["pred"]).to_numpy(float), [1.0, 0.0])
+        right = rows["own"] < rows["nats"]
+        x = np.append((rows["nats"] - rows["own"]).abs().clip(upper=50.0) * np.sqrt(rows["n"]), [0.0, 0.0])
+        y = np.append(right.to_numpy(float), [1.0, 0.0])
         w, a = np.zeros(2), np.column_stack([x, np.ones(len(x))])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             hessian = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag([1e-2, 1e-2])
-            w += np.linalg.solve(hessian, a.T @ (right - p) - 1e-2 * w)
+            w += np.linalg.solve(hessian, a.T @ (y - p) - 1e-2 * w)
         self.slope, self.bias = float(max(w[0], 0.0)), float(w[1])
-        fit = rows[(rows["lang"] == rows["pred"]) & (rows["n"] >= 20)].groupby("lang")["nats"].agg(["mean", "std"]).fillna(0.0)
-        self.limit = {k: float(m + 8 * s + 0.5) for k, m, s in fit.itertuples()}
+        fit = rows[right & (rows["n"] >= SHORT)]
+        self.mean = fit.groupby("lang")["own"].mean().to_dict()
+        known = np.array([self.excess(r.lang, r.n, r.own) for r in fit.itertuples()])
+        if not len(known):
+            return
+        far = np.array([self.excess(r.other, r.n, r.nats) for r in fit.itertuples() if r.other in self.mean])
+        inside = float(np.quantile(known, 0.999))
+        outside = float(np.quantile(far, 0.02)) if len(far) else inside + 1.0
+        self.limit = (inside + outside) / 2 if outside > inside else inside
+        self.errors = (float((known > self.limit).mean()), float((far <= self.limit).mean()) if len(far) else 0.0)
 
 
 def _counter(order: int):
@@ -198,31 +228,50 @@ def _scorer(shared):
     return score
 
 
+def _calibrator(shared):
+    """Of each text (lang, t): its length, its cost in its own language, and the best of the other languages."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        place = {x: k for k, x in enumerate(model.langs)}
+        for b in batches:
+            langs = b.column(0).to_pylist()
+            count, nats = model.entropies(b.column(1).to_pylist())
+            out = []
+            for lang, n, row in zip(langs, count, nats):
+                if n and lang in place:
+                    own, row[place[lang]] = float(row[place[lang]]), np.inf
+                    out.append((lang, int(n), own, model.langs[int(row.argmin())] if len(row) > 1 else None, float(row.min())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.string(), pa.float64()))], ["lang", "n", "own", "other", "nats"])
+
+    return rows
+
+
 SCORED = "lang_pred string, score double, rejected boolean, n long, nats double, margin double"
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", train_docs: int = TRAIN_DOCS, order: int = ORDER) -> Model | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", train_docs: int = TRAIN_DOCS, order: int = ORDER, train_chars: int = TRAIN_CHARS) -> Model | None:
     """A calibrated model of every language of docs; None if no row has both a text with letters and a language.
 
-    About train_docs documents of each language, all if it has fewer, are drawn by a hash of key and text; their n-grams
-    are counted by Spark. Rows without text or language teach nothing.
+    About train_docs documents of each language and train_chars characters, all if it has fewer, are drawn by a hash of key
+    and text, equal ones once; their n-grams are counted by Spark, and all that occur are in the model. Rows without text or
+    language teach nothing.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.where("lang is not null")
-    share = small(rows.groupBy("lang").agg((F.lit(train_docs) / F.count("*")).alias("share")))
-    place = F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1_000_000)) / F.lit(1e6)
-    drawn = rows.withColumn("place", place).join(share, "lang").where("place < share and t is not null")
-    fit = F.pmod(F.xxhash64("k", F.lit(4)), F.lit(8)) > 0
+    rows = rows.where("lang is not null and t is not null")
+    share = rows.groupBy("lang").agg(F.least(F.lit(train_docs) / F.count("*"), F.lit(train_chars) / F.greatest(F.sum(F.length("t")), F.lit(1))).alias("share"))
+    drawn = rows.withColumn("h", F.xxhash64("k", "t", F.lit(3))).join(small(save(share, "shares")), "lang").where(F.pmod("h", F.lit(1_000_000)) / F.lit(1e6) < F.col("share"))
+    drawn = save(drawn.groupBy("lang", "h").agg(F.first("t").alias("t")), "drawn")
+    fit = F.pmod(F.xxhash64("h", F.lit(4)), F.lit(8)) > 0
     counted = drawn.where(fit).select("lang", "t").mapInPandas(_counter(order), "lang string, gram string, n long")
     counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
-    counts = counts.sort_values(["lang", "n", "gram"], ascending=[True, False, True]).groupby("lang").head(MAX_GRAMS)
     model = Model(counts, order)
     shared = spark.sparkContext.broadcast(model)
-    held = drawn.where(~fit).select("lang", "t").mapInArrow(_scorer(shared), f"lang string, {SCORED}")
-    model.calibrate(held.where("n > 0").select("lang", F.col("lang_pred").alias("pred"), "n", "nats", "margin").toPandas())
+    held = drawn.where(~fit).select("lang", "t").mapInArrow(_calibrator(shared), "lang string, n long, own double, other string, nats double")
+    model.calibrate(held.toPandas())
     return model
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,13 @@ FIT, HELD = 0, 1
 #: Commonest words, and commonest pairs of them, whose counts every task holds. All others are counted and looked up by a
 #: shuffle, so the bounds decide where a count is looked up and never what it is. No pair or word that the shuffle groups
 #: holds more than a small share of all tokens.
-WORDS, PAIRS = 1 << 18, 1 << 18
+WORDS, PAIRS = 1 << 18, 1 << 20
 #: Pairs to hold are proposed by one in so many texts, and then counted in all.
 SAMPLE = 16
 #: Tokens that a task works on at a time, and bytes of a text that it splits at a time.
 BLOCK, PIECE = 1 << 18, 1 << 20
-#: Hashes of the ends of a text, which no word has: words hold no blank.
-START, END = (xxhash.xxh64_intdigest(x) for x in (b" start", b" end"))
+#: Words are known by hashes with the lowest bit clear; those of the ends of a text no word has, as words hold no blank.
+START, END = (xxhash.xxh64_intdigest(x) & ~1 for x in (b" start", b" end"))
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 RARE = np.uint64(1 << 63)
 
@@ -37,7 +38,7 @@ def token_hashes(text: bytes | None) -> np.ndarray:
         cut = SPACE.search(data, at + PIECE)
         end = cut.start() if cut else len(data)
         words = data[at:end].split()
-        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & ~np.uint64(1))
         at = end
     return np.concatenate([*out, np.array([END], np.uint64)])
 
@@ -135,15 +136,15 @@ def _count_pairs(shared) -> Callable:
     return count
 
 
-ASKED = "key long, sub long, doc long, part byte, m int, place int, ask long"
+ASKED = "key long, sub long, doc long, rest int"
 
 
 def _ask(shared) -> Callable:
     """A row for each predicted token whose pair is not held, to be counted and looked up by key and sub.
 
-    Two held words: key is their code, m how often the text has the pair. Else key is the hash, marked by its highest bit, of
-    the word that is not held, the predicted one if neither is, and sub that of the other word, its lowest bit telling
-    whether key is the context; place is that of the other word, or ask its hash if it is not held either.
+    Two held words: key is their code, rest holds how often the text has the pair. Else key is the hash, marked by its highest
+    bit, of the word that is not held, the predicted one if neither is, and sub that of the other word, its lowest bit telling
+    whether key is the context; rest holds the other word's place plus one. Two more bits of rest hold the part plus one.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,20 +158,12 @@ def _ask(shared) -> Callable:
             rare = np.flatnonzero(code < 0)
             own = two[rare] < 0
             first, second = b.hash[b.at[rare] - 1], b.hash[b.at[rare]]
-            other = np.where(own, one[rare], two[rare])
-            none, both = np.zeros(len(pair), bool), own & (one[rare] < 0)
             key = np.concatenate([pair & np.uint64((1 << 40) - 1), np.where(own, second, first) | RARE])
-            sub = np.concatenate([np.zeros(len(pair), np.uint64), np.where(own, first & ~np.uint64(1), second | np.uint64(1))])
+            sub = np.concatenate([np.zeros(len(pair), np.uint64), np.where(own, first, second | np.uint64(1))])
             of = np.concatenate([(pair >> np.uint64(40)).astype(np.int64), text[rare]])
+            rest = np.concatenate([m, np.where(own, one[rare], two[rare]) + 1]) << 2 | b.part[of] + 1
             doc = np.array([r[1] for r in b.rows], np.int64)[of]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(key), _signed(sub), pa.array(doc), pa.array(b.part[of].astype(np.int8)), pa.array(np.concatenate([m, np.ones(len(rare), np.int64)]).astype(np.int32)),
-                    pa.array(np.concatenate([np.full(len(pair), -1), other]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(len(pair), np.uint64), first]).view(np.int64), mask=~np.concatenate([none, both])),
-                ],
-                ["key", "sub", "doc", "part", "m", "place", "ask"],
-            )
+            yield pa.RecordBatch.from_arrays([_signed(key), _signed(sub), pa.array(doc), pa.array(rest.astype(np.int32))], ["key", "sub", "doc", "rest"])
 
     return ask
 
@@ -180,16 +173,15 @@ def bucket(counts: np.ndarray) -> np.ndarray:
     return np.frexp(np.asarray(counts, np.float64))[1] * (np.asarray(counts) > 0)
 
 
-def learn_weights(cells: list[tuple[int, float, float, int]], uniform: float, rounds: int = 60) -> np.ndarray:
-    """Weights of (bigram, unigram, uniform) by context bucket, by expectation-maximisation on held-out events: cells are
-    (bucket, bigram, unigram probability, number of events).
+def learn_weights(b: np.ndarray, p2: np.ndarray, p1: np.ndarray, n: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
+    """Weights of (bigram, unigram, uniform) by context bucket, by expectation-maximisation on held-out events: n events each
+    of a bucket, a bigram and a unigram probability.
 
     Every bucket starts from one event spread over the three, which is all that empty buckets have. Contexts that were never
     seen say nothing of what follows, so the bigram has no weight in bucket 0.
     """
     weights = np.full((65, 3), 1 / 3)
-    if cells:
-        b, p2, p1, n = (np.array(x) for x in zip(*cells))
+    if len(b):
         each = np.column_stack([p2, p1, np.full(len(b), uniform)])
         for _ in range(rounds):
             share = weights[b] * each
@@ -208,17 +200,26 @@ class Model:
     def __init__(self, counts: Counts, tokens: int, words: int, fit_tokens: int):
         self.counts, self.tokens, self.words, self.fit_tokens = counts, tokens, words, max(fit_tokens, 1)
         self.uniform = 1 / (words + 1)
-        self.weights = learn_weights([], self.uniform)
+        self.learn(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def logp(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the mixture for counts of the pair, of its context and of its word."""
         w = self.weights[bucket(context)]
         return np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / self.fit_tokens + w[:, 2] * self.uniform)
 
-    def logp_column(self, pair: Column, context: Column, word: Column) -> Column:
-        place = F.when(context > 0, F.length(F.bin(context))).otherwise(0) + 1
-        w = [F.element_at(F.array(*[F.lit(float(x)) for x in self.weights[:, k]]), place) for k in range(3)]
-        return F.log10(w[0] * pair / F.greatest(context, F.lit(1)) + w[1] * word / F.lit(float(self.fit_tokens)) + w[2] * F.lit(self.uniform))
+    def cells(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Events by cell: the bucket, and both probabilities to 1/STEPS of an octave. At most some thousand cells a bucket,
+        however many events: the weights follow no finer differences."""
+        step = lambda p: np.where(p > 0, np.round(-STEPS * np.log2(np.where(p > 0, p, 1.0))), 1023).astype(np.int64)
+        cell = bucket(context).astype(np.int64) << 20 | step(pair / np.maximum(context, 1)) << 10 | step(word / self.fit_tokens)
+        cell, which = np.unique(cell, return_inverse=True)
+        return cell, np.bincount(which, m, len(cell)).astype(np.int64)
+
+    def learn(self, cell: np.ndarray, m: np.ndarray) -> None:
+        p = lambda x: np.where(x == 1023, 0.0, 2.0 ** (-x / STEPS))
+        order = np.argsort(cell, kind="stable")
+        cell, m = cell[order], m[order]
+        self.weights = learn_weights(cell >> 20, p(cell >> 10 & 1023), p(cell & 1023), m, self.uniform)
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / (self.tokens + self.words + 1))
@@ -273,67 +274,99 @@ def _commonest(counts: DataFrame, limit: int) -> DataFrame:
 def _held_counts(learned: DataFrame, words: DataFrame, texts: tuple[int, int]) -> tuple[Counts, list]:
     """The counts that tasks hold, and the held-out events of the held pairs as (context, pair, word) counts and number."""
     spark = learned.sparkSession
-    top = _commonest(words.withColumn("n", F.col("fit") + F.col("held")), WORDS).toPandas()
+    top = _commonest(words.withColumn("n", F.col("fit") + F.col("held")), WORDS).toArrow()
     ends = np.array([START, END], np.uint64)
-    hashes, fit, held = top["h"].to_numpy(np.int64).view(np.uint64), top["fit"].to_numpy(np.int64), top["held"].to_numpy(np.int64)
+    hashes, fit, held = top.column("h").to_numpy().view(np.uint64), top.column("fit").to_numpy(), top.column("held").to_numpy()
     keep = ~np.isin(hashes, ends)
     v = Counts(np.append(hashes[keep], ends), *(np.append(x[keep], [n, n]).astype(np.int64) for x, n in zip((fit, held), texts)))
     shared = spark.sparkContext.broadcast(v)
     rows = learned.select("part", "t")
     proposed = rows.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).mapInArrow(_propose_pairs(shared), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     shared.unpersist()
-    v.pair = np.sort(_commonest(save(proposed.where("n > 1"), "proposed"), PAIRS).toPandas()["code"].to_numpy(np.int64))
+    v.pair = np.sort(_commonest(save(proposed.where("n > 1"), "proposed"), PAIRS).select("code").toArrow().column(0).to_numpy())
     shared = spark.sparkContext.broadcast(v)
-    counted = rows.mapInArrow(_count_pairs(shared), "pair long, fit long, held long").groupBy("pair").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held")).toPandas()
+    counted = rows.mapInArrow(_count_pairs(shared), "pair long, fit long, held long").groupBy("pair").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held")).toArrow()
     shared.unpersist()
     total = np.zeros((2, len(v.pair)), np.int64)
-    total[:, counted["pair"].to_numpy(np.int64)] = counted[["fit", "held"]].to_numpy(np.int64).T
+    total[:, counted.column("pair").to_numpy()] = [counted.column(k).to_numpy() for k in ("fit", "held")]
     v.pair_fit = total[0]
     seen = np.flatnonzero(total[1])
     return v, [v.fit[v.pair[seen] >> 20], total[0, seen], v.fit[v.pair[seen] & ((1 << 20) - 1)], total[1, seen]]
 
 
 def _looked_up(rows: DataFrame, words: DataFrame, v: Counts) -> DataFrame:
-    """What tasks do not hold, counted over all texts and brought back to the texts: (doc, part, m, pair, context, word and
-    every count, and was_ for what _score assumes of them), those left out where all was as assumed."""
+    """The rows of _ask with what was counted over all texts, those left out where all was as _score assumes: (key, sub, doc,
+    rest, pair, n, every, context), context being the count of a context where neither word is held."""
     spark = rows.sparkSession
     asked = rows.select("part", "doc", "t").mapInArrow(_ask(spark.sparkContext.broadcast(v)), ASKED).repartition("key")
-    fit, predicted = F.when(F.col("part") == FIT, F.col("m")).otherwise(0), F.col("sub").bitwiseAND(F.lit(1)) == 0
+    part, rare = F.col("rest").bitwiseAND(F.lit(3)) - 1, F.col("key") < 0
+    m = F.when(rare, F.lit(1)).otherwise(F.shiftright("rest", 2))
+    fit, predicted = F.when(part == FIT, m).otherwise(0), F.col("sub").bitwiseAND(F.lit(1)) == 0
     by_key = Window.partitionBy("key")
     counted = asked.withColumns({
         "pair": F.sum(fit).over(Window.partitionBy("key", "sub")),
-        "n": F.sum(F.when(predicted, fit).otherwise(0)).over(by_key),
-        "every": F.sum(F.when(predicted & (F.col("part") >= 0), F.col("m")).otherwise(0)).over(by_key),
+        "n": F.sum(F.when(rare & predicted, fit)).over(by_key),
+        "every": F.sum(F.when(rare & predicted & (part >= 0), m)).over(by_key),
     })
-    one = F.when(F.col("part") == FIT, 1).otherwise(0)
-    rare = F.col("key") < 0
-    as_assumed = (F.col("part") != HELD) & F.col("ask").isNull() & (F.col("pair") == F.when(rare, one).otherwise(fit)) & (~rare | ((F.col("n") == one) & (F.col("every") == one)))
+    one = F.when(part == FIT, 1).otherwise(0)
+    alone = rare & (F.shiftright("rest", 2) == 0)
+    as_assumed = (part != HELD) & ~alone & (F.col("pair") == fit) & (~rare | ((F.coalesce("n", F.lit(0)) == one) & (F.coalesce("every", F.lit(0)) == one)))
     kept = save(counted.where(~as_assumed), "looked-up")
-    fits = spark.createDataFrame([(int(k), int(n)) for k, n in enumerate(v.fit)], "at int, fit long")
-    side = lambda k: F.broadcast(fits.select(F.col("at").alias(f"at{k}"), F.col("fit").alias(f"fit{k}")))
-    first = F.when(rare, F.col("place")).otherwise(F.shiftright("key", 20).cast("int"))
-    second = F.col("key").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-    single = kept.where("ask is null").withColumns({"at1": first, "at2": F.when(rare, F.lit(-1)).otherwise(second)}).join(side(1), "at1", "left").join(side(2), "at2", "left")
-    context = F.when(~rare, F.col("fit1")).when(predicted, F.col("fit1")).otherwise(F.col("n"))
-    word = F.when(~rare, F.col("fit2")).when(predicted, F.col("n")).otherwise(F.col("fit1"))
-    every = F.when(rare & predicted, F.col("every"))
-    was = {"was_pair": F.when(rare, one).otherwise(fit), "was_context": F.when(rare & ~predicted, one).otherwise(F.col("fit1")), "was_word": F.when(~rare, F.col("fit2")).when(predicted, one).otherwise(F.col("fit1"))}
-    names = ["doc", "part", "m", "pair", "context", "word", "every", *was]
-    single = single.withColumns({"context": context, "word": word, "every": every, **was}).select(*names)
-    both = kept.where("ask is not null").join(words.select(F.col("h").alias("ask"), F.col("fit").alias("fit1")), "ask", "left")
-    both = both.withColumns({"context": F.coalesce("fit1", F.lit(0)), "word": F.col("n"), **{k: F.lit(None).cast("long") for k in was}}).select(*names)
-    return single.unionByName(both)
-
-
-def _cells(events: DataFrame, model: Model) -> list:
-    """Held-out events by bucket and by the logarithms of both probabilities to a 32nd of an octave, at most some thousand
-    cells a bucket: the weights follow no finer differences."""
-    step = lambda p: F.when(p > 0, F.round(32 * F.log2(p)))
-    place = F.when(F.col("context") > 0, F.length(F.bin("context"))).otherwise(0)
-    pair, word = F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(float(model.fit_tokens))
-    got = events.groupBy(place.alias("b"), step(pair).alias("p2"), step(word).alias("p1")).agg(F.sum("m").alias("m")).collect()
-    back = lambda x: 0.0 if x is None else 2.0 ** (x / 32)
-    return sorted((r["b"], back(r["p2"]), back(r["p1"]), r["m"]) for r in got)
+    context = words.select(F.col("h").alias("sub"), F.col("fit").alias("context"))
+    return kept.where(~alone).withColumn("context", F.lit(None).cast("long")).unionByName(kept.where(alone).join(context, "sub", "left"))
+
+
+class Found:
+    """A batch of _looked_up: of each row its part, how often it counts, the counts of pair, context and word and of the word
+    in all parts, and what _score assumed of them."""
+
+    def __init__(self, b: pa.RecordBatch, v: Counts):
+        column = lambda k: pc.fill_null(b.column(k), 0).to_numpy()
+        key, rest, self.doc = column("key"), column("rest"), b.column("doc")
+        rare, predicted, other = key < 0, column("sub") & 1 == 0, (rest >> 2) - 1
+        self.part, self.m = (rest & 3) - 1, np.where(rare, 1, rest >> 2)
+        held = np.where(rare, np.maximum(other, 0), key >> 20), np.where(rare, np.maximum(other, 0), key & (1 << 20) - 1)
+        first, second, n = v.fit[held[0]], v.fit[held[1]], column("n")
+        self.neither = rare & (other < 0)
+        self.pair = column("pair")
+        self.context = np.where(self.neither, column("context"), np.where(rare & ~predicted, n, first))
+        self.word = np.where(rare & predicted, n, second)
+        one = (self.part == FIT).astype(np.int64)
+        self.was_pair = np.where(rare, one, one * self.m)
+        self.was_context, self.was_word = np.where(rare & ~predicted, one, first), np.where(rare & predicted, one, second)
+        self.new, self.every = rare & predicted, column("every")
+
+
+def _changes(shared) -> Callable:
+    """What the rows found change in the sums of their texts."""
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            x = Found(b, model.counts)
+            score = x.m * (model.logp(x.pair, x.context, x.word) - np.where(x.neither, 0.0, model.logp(x.was_pair, x.was_context, x.was_word)))
+            one = (x.part >= 0).astype(np.int64)
+            base = np.where(x.new, model.base(x.every) - model.base(one), 0.0)
+            known = np.where(x.new, (x.every > 0).astype(np.int64) - one, 0)
+            yield pa.RecordBatch.from_arrays([x.doc, pa.array(score), pa.array(base), pa.array(known)], ["doc", "more_score", "more_base", "more_known"])
+
+    return changes
+
+
+STEPS = 16
+
+
+def _cell_counts(shared) -> Callable:
+    """Held-out events by bucket and by the logarithms of both probabilities to a part of an octave."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            x = Found(b, model.counts)
+            held = x.part == HELD
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in model.cells(x.context[held], x.pair[held], x.word[held], x.m[held])], ["cell", "m"])
+
+    return count
 
 
 def fit_and_score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
@@ -350,19 +383,15 @@ def fit_and_score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_co
     counts, events = _held_counts(learned, words, tuple(ends) if ends else (0, 0))
     model = Model(counts, n, v, fit_n)
     found = _looked_up(rows, words, counts)
-    context, pair, word, m = events
-    held = zip(bucket(context).astype(int).tolist(), (pair / np.maximum(context, 1)).tolist(), (word / model.fit_tokens).tolist(), m.tolist())
-    model.weights = learn_weights(_cells(found.where(F.col("part") == HELD), model) + sorted(held), model.uniform)
+    shared = spark.sparkContext.broadcast(model)
+    held = found.where(F.col("rest").bitwiseAND(F.lit(3)) == HELD + 1)
+    cells = held.mapInArrow(_cell_counts(shared), "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()
+    shared.unpersist()
+    model.learn(*(np.concatenate([cells.column(k).to_numpy(), x]) for k, x in zip(("cell", "m"), model.cells(*events))))
     shared = spark.sparkContext.broadcast(model)
     scored = save(rows.select("part", "doc", "doc_id", "t").mapInArrow(_score(shared), SCORED), "scored")
-    logp, c = model.logp_column, F.col
-    one = F.when(F.col("part") >= 0, 1).otherwise(0)
-    base = lambda x: F.log10((x + 1) / F.lit(float(n + v + 1)))
-    change = found.groupBy("doc").agg(
-        F.sum(c("m") * (logp(c("pair"), c("context"), c("word")) - F.coalesce(logp(c("was_pair"), c("was_context"), c("was_word")), F.lit(0.0)))).alias("more_score"),
-        F.sum(c("m") * F.when(c("every").isNotNull(), base(c("every")) - base(one))).alias("more_base"),
-        F.sum(c("m") * F.when(c("every").isNotNull(), F.least(c("every"), F.lit(1)) - one)).alias("more_known"),
-    )
+    change = found.mapInArrow(_changes(shared), "doc long, more_score double, more_base double, more_known long")
+    change = change.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("more_score", "more_base", "more_known")])
     # Rows that repeat, id and all, share a key and were each looked up: what is found is theirs in equal parts.
     copies = save(scored.groupBy("doc").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     change = change.join(small(copies), "doc", "left")

@@ -68,7 +68,7 @@ def test_nothing_to_learn_from(spark):
 
 def test_held_out_weights_follow_the_data():
     cells = [(10, 0.5, 0.001, 400), (3, 0.0, 0.01, 400), (3, 0.2, 0.001, 4), (0, 0.0, 0.01, 100)]
-    weights = lm.learn_weights(cells, 1e-6)
+    weights = lm.learn_weights(*map(np.array, zip(*cells)), 1e-6)
     assert weights[10, 0] > 0.99 and weights[3, 1] > 0.9 and weights[0, 0] == 0
     np.testing.assert_allclose(weights.sum(1), 1)
     assert lm.bucket(np.array([0, 1, 2, 3, 4, 1023, 1024])).tolist() == [0, 1, 2, 2, 3, 10, 11]

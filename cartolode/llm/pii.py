@@ -27,10 +27,23 @@ KINDS = {
     "phone_local": (r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]{4}"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
-    "person": (r"(?<![A-Za-z])(?=[A-Z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|James|Mary|John|Linda|Robert|Susan|Michael|Karen|David|Sarah|Thomas|Anna|Peter|Maria|Hans|Pierre|Marie|Jean|Carlos|Juan)\.?\x20[A-Z][a-z]{2,20}(?![a-z])", r"[a-z]\.?\x20[A-Z][a-z]"),
+    "person": (r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,20}\.?\x20\p{Lu}\p{Ll}{1,20}(?:\x20\p{Lu}\p{Ll}{1,20})?(?!\p{L})", r"\p{Ll}\.?\x20\p{Lu}\p{Ll}"),
 }
 BASE = ("email", "ip", "card", "phone")
 LABELERS = ("form", "gazetteer", "near", "against", "edges")
+#: Forms of address and first names that speak for a person, and words that begin no name.
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora Don Doña"
+NAMES = (
+    "James Mary John Linda Robert Susan Michael Karen David Sarah Thomas Anna Peter Maria Hans Pierre Marie Jean Carlos Juan William Elizabeth "
+    "Richard Jennifer Joseph Patricia Charles Laura Daniel Emma Paul Julia Mark Sophie Klaus Petra Wolfgang Monika Jürgen Sabine Stefan Claudia "
+    "François Isabelle Luc Claire Antoine Camille José Carmen Antonio Lucía Miguel Elena Pablo Rosa Andrew Alice George Helen Martin Eva"
+)
+NO_NAMES = (
+    "The A An In On At Of For And But This That These It He She We They If When With From To By As Der Die Das Den Dem Ein Eine Und Im Am Zu Von "
+    "Mit Für Auf Ist Es Sie Er Wir Le La Les Un Une Des Du Et En Dans Pour Par Sur Il Elle El Los Las Una Y Por Con Para No Se Su New North South"
+)
+#: Pseudo-counts that draw a labeler's rates on one kind towards its rates on all.
+SHRINK = 20
 #: Words that speak for a kind when they stand shortly before, and words that speak against any.
 NEAR = {
     "email": "mail|contact|write|kontakt|correo|courriel", "ip": r"\bip\b|host|server|addr|login", "card": "card|visa|master|amex|karte|carte|tarjeta|pay",
@@ -75,46 +88,58 @@ def _votes(text: str) -> dict[str, str]:
     digits = "regexp_replace(x.value, '[^0-9]', '')"
     by_kind = lambda table_: "case x.kind " + " ".join(f"when '{k}' then {v}" for k, v in table_.items()) + " else -1 end"
     yes = lambda test: f"if({test}, 1, 0)"
+    any_of = lambda words: words.replace(" ", "|")
     return {
         "form": by_kind({
             "email": yes(r"x.value rlike r'^[A-Za-z0-9][^@]{0,63}@[^@]{1,250}\.[A-Za-z]{2,24}$' and not contains(x.value, '..')"), "ip": yes("x.value rlike '^[1-9]'"),
             "card": yes("x.value rlike '^[2-6]'"), "phone": yes(f"length({digits}) >= 10"), "email_like": yes(r"x.value rlike r'[A-Za-z]{2,24}$'"),
             "phone_local": yes(r"x.value rlike r'^\(?[2-9]'"), "ssn": yes("not x.value rlike '^(000|666|9)|-00-|-0000$'"),
-            "iban": yes("length(regexp_replace(x.value, ' ', '')) between 15 and 34 and x.value rlike '[0-9]{4}'"), "person": "-1",
+            "iban": yes("length(regexp_replace(x.value, ' ', '')) between 15 and 34 and x.value rlike '[0-9]{4}'"),
+            "person": rf"if(x.value rlike r'(^| )({any_of(NO_NAMES)})( |$)' or not x.value rlike r'^\p{{Lu}}\p{{Ll}}{{1,11}}\.? \p{{Lu}}\p{{Ll}}{{2,14}}', 0, -1)",
         }),
         "gazetteer": by_kind({
             "email": r"if(x.value rlike r'(?i)\.(com|org|net|edu|de|fr|es|uk|io)$', 1, -1)", "ip": "if(x.value rlike '^(10|127|172|192)[.]', 1, -1)", "card": "if(x.value rlike '^(4|5[1-5]|3[47]|6011|62)', 1, -1)",
             "phone": r"if(x.value rlike r'^\+(1|33|34|44|49|39|41|43|7|81|86|91)', 1, -1)", "email_like": r"if(x.value rlike r'(?i)(com|org|net|edu|de|fr|es|uk)$', 1, -1)",
-            "phone_local": "-1", "ssn": "-1", "iban": yes("x.value rlike '^(DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|IE|LU|DK|SE|NO|FI|PL)'"), "person": "1",
+            "phone_local": r"if(x.value rlike r'555[ .-]', 1, -1)", "ssn": "-1", "iban": yes("x.value rlike '^(DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|IE|LU|DK|SE|NO|FI|PL)'"),
+            "person": f"case when x.value rlike r'^({any_of(TITLES)})\\.? ' then 1 when x.value rlike r'^({any_of(NAMES)}) ' then 1 else 0 end",
         }),
         "near": by_kind({k: f"if({before} rlike r'{w}', 1, -1)" for k, w in NEAR.items()}),
         "against": f"if({before} rlike r'{AGAINST}', 0, -1)",
-        "edges": yes(rf"not {last} rlike r'[\p{{L}}\p{{N}}_/=.-]' and not {after} rlike r'[\p{{L}}\p{{N}}_/=]'"),
+        "edges": "case when x.kind = 'person' then -1 else " + yes(rf"not {last} rlike r'[\p{{L}}\p{{N}}_/=.-]' and not {after} rlike r'[\p{{L}}\p{{N}}_/=]'") + " end",
     }
 
 
-def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, list]:
-    """Expectation-maximisation over (kind, votes, count): the share of true spans by kind and, by labeler, how often it
-    votes for a true and for a false span when it votes. Pseudo-counts keep labelers better than chance at the outset.
-    Returns the posterior of every (kind, votes) and the labelers' (hit, false alarm) rates."""
-    kinds = sorted({k for k, _, _ in patterns})
-    prior, rate = {k: 0.5 for k in kinds}, [(0.8, 0.3)] * len(LABELERS)
+def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 100) -> tuple[dict, dict, dict]:
+    """Expectation-maximisation over (kind, votes, count): the share of true spans by kind and, by labeler and kind, how often
+    it votes for a true and for a false span when it votes. On kinds with few candidates a labeler's rates are drawn to those
+    it has on all; pseudo-counts keep labelers better than chance at the outset. Returns the posterior of every
+    (kind, votes), the (hit, false alarm) rates of every (labeler, kind) and the shares."""
+    kinds, labelers = sorted({k for k, _, _ in patterns}), range(len(patterns[0][1]) if patterns else 0)
+    prior, rate = {k: 0.5 for k in kinds}, {(j, k): (0.8, 0.3) for j in labelers for k in kinds}
     post: dict = {}
     for _ in range(rounds):
         for kind, votes, _ in patterns:
             odds = math.log(prior[kind] / (1 - prior[kind]))
-            for v, (hit, alarm) in zip(votes, rate):
+            for j, v in enumerate(votes):
+                hit, alarm = rate[j, kind]
                 odds += 0 if v < 0 else math.log(hit / alarm) if v else math.log((1 - hit) / (1 - alarm))
             post[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for kind in kinds:
             rows = [(post[k, v], n) for k, v, n in patterns if k == kind]
             prior[kind] = (sum(p * n for p, n in rows) + 5) / (sum(n for _, n in rows) + 10)
-        for j in range(len(LABELERS)):
-            cast = [(post[k, v], v[j], n) for k, v, n in patterns if v[j] >= 0]
-            hit = (sum(p * n for p, v, n in cast if v) + 8) / (sum(p * n for p, _, n in cast) + 10)
-            alarm = (sum((1 - p) * n for p, v, n in cast if v) + 3) / (sum((1 - p) * n for p, _, n in cast) + 10)
-            rate[j] = (hit, alarm)
-    return post, rate
+        for j in labelers:
+            # Of each kind: true and false spans voted on, and votes for them.
+            sums = {k: [0.0] * 4 for k in kinds}
+            for kind, votes, n in patterns:
+                if votes[j] >= 0:
+                    p = post[kind, votes]
+                    for at, x in enumerate((p, 1 - p, p * votes[j], (1 - p) * votes[j])):
+                        sums[kind][at] += x * n
+            true, false, hits, alarms = (sum(s[at] for s in sums.values()) for at in range(4))
+            hit, alarm = (hits + 8) / (true + 10), (alarms + 3) / (false + 10)
+            for k, (true, false, hits, alarms) in sums.items():
+                rate[j, k] = (hits + SHRINK * hit) / (true + SHRINK), (alarms + SHRINK * alarm) / (false + SHRINK)
+    return post, rate, prior
 
 
 def _train(candidates: DataFrame) -> tuple[dict, float] | None:
@@ -123,7 +148,7 @@ def _train(candidates: DataFrame) -> tuple[dict, float] | None:
     counted = candidates.groupBy(*[F.col(f"x.{c}").alias(c) for c in names]).count().collect()
     if not counted:
         return None
-    post, _ = estimate([(r["kind"], tuple(r[c] for c in LABELERS), r["count"]) for r in sorted(counted, key=lambda r: tuple(r[c] for c in names))])
+    post, _, _ = estimate([(r["kind"], tuple(r[c] for c in LABELERS), r["count"]) for r in sorted(counted, key=lambda r: tuple(r[c] for c in names))])
     spark = candidates.sparkSession
     known = F.broadcast(spark.createDataFrame([(k, *v, p) for (k, v), p in post.items()], "kind string, " + ", ".join(f"{c} int" for c in LABELERS) + ", p double"))
     shape = ["long", "digit", "upper"]
@@ -139,7 +164,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """One row per document: (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added).
 
     The four base kinds are found by pattern and check and always kept. Candidates of the other kinds that overlap no base
-    span are added where the classifier gives them at least the threshold. Candidates of all kinds take part in the votes.
+    span are added where the classifier gives them at least the threshold; of those that overlap each other the first one
+    stays, the longer one of two that begin together. Candidates of all kinds take part in the votes.
 
     Null texts count as empty; ids may be null or repeat, each row having its own result; other columns are ignored; an
     empty table gives no rows; without candidates nothing is learned or added.
@@ -162,9 +188,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         logit = " + ".join([repr(intercept), *(f"({weight[k]!r}) * x.{k}" for k in ("long", "digit", "upper", *LABELERS))])
         logit += " + case x.kind " + " ".join(f"when '{k}' then ({weight[f'is_{k}']!r})" for k in KINDS) + " else 0D end"
         other = ", ".join(f"'{k}'" for k in KINDS if k not in BASE)
-        added = F.expr(
-            f"filter(c, x -> x.kind in ({other}) and {logit} >= {math.log(threshold / (1 - threshold))!r} and not exists(base, b -> b.start < x.end and x.start < b.end))"
-        )
+        likely = f"filter(c, x -> x.kind in ({other}) and {logit} >= {math.log(threshold / (1 - threshold))!r} and not exists(base, b -> b.start < x.end and x.start < b.end))"
+        ordered = f"array_sort({likely}, (l, r) -> if(l.start <> r.start, l.start - r.start, r.end - l.end))"
+        apart = "aggregate(likely, named_struct('at', 0, 'out', slice(likely, 1, 0)), (s, x) -> if(x.start < s.at, s, named_struct('at', x.end, 'out', concat(s.out, array(x)))), s -> s.out)"
+        rows = rows.withColumn("likely", F.expr(ordered))
+        added = F.expr(apart)
     else:
         added = F.slice("c", 1, 0)
     rows = rows.withColumn("added", added)

@@ -137,13 +137,6 @@ def test_pii_base_spans(spark):
     assert all(r["spans"].count(":") // 2 == sum(r[f"n_{k}"] for k in pii.BASE) + r["n_added"] for r in got)
 
 
-def test_expectation_maximisation_tells_labelers_apart():
-    patterns = [("card", (1, 1, 1, -1, 1), 50), ("card", (0, -1, -1, 0, 0), 50), ("card", (1, -1, 1, -1, 0), 5)]
-    post, rate = pii.estimate(patterns)
-    assert post["card", (1, 1, 1, -1, 1)] > 0.9 > 0.1 > post["card", (0, -1, -1, 0, 0)]
-    assert rate[0][0] > rate[0][1]
-
-
 def test_language_identification(spark):
     df, rows = documents(spark, 400)
     model = langid.train(df)

@@ -114,13 +114,18 @@ def fit_trees(drawn: DataFrame):
 
 
 def held_out_auc(labelled: DataFrame, train_urls: int = TRAIN_URLS) -> float | None:
-    """Area under the ROC curve on the URLs of the hosts of one fold, by trees that saw only hosts of the others; None where
-    either side lacks a label."""
+    """Area under the ROC curve on the URLs of the hosts of one fold, the first that has both labels, by trees that saw only
+    hosts of the others; None where there is none."""
     drawn = draw(labelled, train_urls)
-    if drawn is None or any(part.select("label").distinct().count() < 2 for part in (drawn.where("fold = 0"), drawn.where("fold > 0"))):
+    if drawn is None:
         return None
-    trees, suffixes, mean = fit_trees(drawn.where("fold > 0"))
-    return BinaryClassificationEvaluator(labelCol="label").evaluate(trees.transform(_vectors(drawn.where("fold = 0"), suffixes, mean)))
+    seen = drawn.groupBy("fold").agg(F.sum("label").alias("up"), F.sum(1 - F.col("label")).alias("down")).orderBy("fold").collect()
+    for r in seen:
+        if r["up"] and r["down"] and all(sum(x[c] for x in seen) > r[c] for c in ("up", "down")):
+            trees, suffixes, mean = fit_trees(drawn.where(F.col("fold") != r["fold"]))
+            judged = trees.transform(_vectors(drawn.where(F.col("fold") == r["fold"]), suffixes, mean))
+            return BinaryClassificationEvaluator(labelCol="label").evaluate(judged)
+    return None
 
 
 def _vectors(rows: DataFrame, suffixes: DataFrame, mean: float) -> DataFrame:

@@ -96,8 +96,17 @@ def redact_secrets(text: Column) -> Column:
     return text
 
 
-#: Words that no index holds.
-STOP_WORDS = "the of to and in is that for on with as by be this are or an at it from not but if else while return true false none".split()
+#: Words that no index holds, of English, of TypeScript and of Python.
+STOP_WORDS = "the a an and or not of to in is it for on with this that by as at be are was were has have had".split()
+SCRIPT_WORDS = (
+    "const let var function return if else while for do break continue switch case default new class extends implements interface type enum "
+    "public private protected static readonly async await try catch finally throw import export from as typeof instanceof void null undefined "
+    "true false this super yield delete in of any never unknown string number boolean object symbol bigint"
+).split()
+PYTHON_WORDS = (
+    "def class self cls lambda yield pass elif none true false and or not is in import from as with try except finally raise assert global "
+    "nonlocal del async await return if else for while break continue"
+).split()
 
 
 def tokenize(text: Column) -> Column:
@@ -107,6 +116,9 @@ def tokenize(text: Column) -> Column:
     for pattern, to in ((r"([a-z0-9])([A-Z])", "$1 $2"), (r"([A-Z]+)([A-Z][a-z])", "$1 $2"), (r"([0-9]+)", " $1 "), ("_", " ")):
         joined = F.regexp_replace(joined, pattern, to)
     parts = F.split(F.trim(F.lower(joined)), r"\s+")
-    stem = lambda t: F.when(t.rlike("^.{4,}ing$"), F.regexp_replace(t, "ing$", "")).when(t.rlike("^.{3,}ed$"), F.regexp_replace(t, "ed$", "")).when(t.rlike("^.{3,}[^s]s$"), F.regexp_replace(t, "s$", "")).otherwise(t)
-    kept = lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS)
+    # One ending goes: `ing` of what is longer than three characters, `ed` and `es` than four, else a single `s`.
+    ending = r"(?<=^.{1,400})ing$|(?<=^.{3,400})e[ds]$|(?<=^.{2,400}[^s])s$"
+    stem = lambda t: F.regexp_replace(t, ending, "")
+    left_out = sorted({*STOP_WORDS, *SCRIPT_WORDS, *PYTHON_WORDS})
+    kept = lambda t: (F.length(t) >= 2) & ~t.isin(left_out)
     return F.filter(F.transform(parts, stem), kept)

@@ -16,6 +16,23 @@ CARD_SOURCE_RANK = {"doctor": 0, "issue": 0, "preflight": 1, "hotspot": 2, "coor
 PRIORITY_RANK = {"p0": 0, "p1": 1}
 TRUST_RANK = {"helpful": 0, "none": 1, "suppressed": 2, "mixed": 3}
 TRUST_DELTA = {"helpful": 12, "suppressed": -4, "mixed": -8, "noisy": -16}
+#: Categories of feedback, each with the patterns that a text must all fit; the first that fits.
+FEEDBACK = (
+    ("install_warning", r"\b(?:npm|npx|install|installed|global|globally)\b", r"allow[- ]scripts?|install scripts?|node-gyp-build|tree-sitter"),
+    ("false_positive", r"\bfalse[- ]positive\b|incorrectly flag|wrongly flag|flagged unused|reported unused|not actually unused"),
+    ("noisy_caution", r"\bcaution\b|\bwarning\b", r"noise|noisy|background|too many|low[- ]signal|spam"),
+    (
+        "missing_framework_rule",
+        r"missing|not detected|not detect|does not detect|doesn't detect|should detect|misses",
+        r"framework|next\.?js|app router|route handler|middleware|koa|hono|fastify|express|sveltekit|astro|remix|request source|ctx\.request",
+    ),
+    ("confusing_docs_output", r"docs|readme|output|wording|message|copy", r"confusing|unclear|bigger than|overclaim|overstate|sounds bigger|not demonstrated"),
+    (
+        "workflow_focus",
+        r"feature breadth|breadth|too many features|feature[s]?.*without.*workflow|killer workflow|killer workflows|trusted daily|trust daily|daily workflow|daily workflows",
+    ),
+    ("useful_signal", r"\buseful\b|saved .*minute|prevented|caught|helped|trusted|clear next"),
+)
 #: Words that say nothing about a finding.
 GENERIC = "background card edit false finding hotspot noisy positive prevented proof signal useful".split()
 
@@ -35,10 +52,10 @@ def file_profile(files: DataFrame, coupled: DataFrame, functions: DataFrame, iss
 
 def top_risks(reasons: DataFrame, owners: DataFrame, top: int = 8, by: str = "workspace") -> DataFrame:
     """reasons(by, place, source, message, severity, file), each (source, file, message) once and where it came first, by
-    priority and place; errors are p0, the rest p1. owners(path, owner) name the owner of the file. The top of each group."""
+    priority and place, then by source, message and file; errors are p0, the rest p1. owners(path, owner) name the owner of the file. The top of each group."""
     first = reasons.groupBy(by, "source", "message", "file").agg(F.min(F.struct("place", "severity")).alias("x")).select(by, "source", "message", "file", "x.place", "x.severity")
     rows = first.withColumn("priority", F.when(F.col("severity") == "error", "p0").otherwise("p1"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("priority", "place"))).where(F.col("rank") <= top)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("priority", "place", "source", "message", "file"))).where(F.col("rank") <= top)
     return rows.join(owners.select(F.col("path").alias("file"), "owner"), "file", "left").select(by, "rank", "priority", "source", "message", "file", "owner")
 
 
@@ -65,18 +82,27 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(F.lower(F.substring_index(path, "/", -1)), r"\.[^.]+$", "")
 
 
+def contained(texts: DataFrame, names: DataFrame, key: str, text: str = "text", name: str = "name") -> DataFrame:
+    """Distinct (key, name) of every name that a text holds anywhere, inside longer words too. Texts and names meet on the first
+    four characters at each place, or on the whole of shorter names, and then on the rest; null and empty names are nowhere."""
+    known = names.select(F.col(name).alias("name")).where("name <> ''").distinct().withColumn("head", F.substring("name", 1, 4))
+    widths = [r[0] for r in known.select(F.length("head").alias("n")).distinct().collect()]
+    if not widths:
+        return texts.select(key).limit(0).withColumn("name", F.lit(None).cast("string"))
+    places = texts.select(key, F.col(text).alias("t"), F.posexplode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))).alias("at", "place")).drop("at")
+    heads = places.select(key, "t", "place", F.explode(F.array(*[F.lit(w) for w in sorted(widths)])).alias("w"))
+    heads = heads.withColumn("head", F.expr("substring(t, place, w)")).where("length(head) = w")
+    met = heads.join(known, "head").where("substring(t, place, length(name)) = name")
+    return met.select(key, "name").distinct()
+
+
 def likely_tests(tests: DataFrame, candidates: DataFrame) -> DataFrame:
     """(test, score): 100 where a test is named as a candidate file is, 40 where its path holds such a name of three
-    characters or more; the best score of each test. Every piece of a test's path no longer than the longest name is a key,
-    so that names and tests meet by equality."""
+    characters or more; the best score of each test."""
     names = candidates.select(base_name(F.col("path")).alias("name")).distinct()
     tested = tests.select(F.col("path").alias("test"), F.regexp_replace(F.regexp_replace(F.lower(F.substring_index("path", "/", -1)), r"\.(test|spec)\.[^.]+$", ""), r"\.[^.]+$", "").alias("name"))
     exact = tested.join(names, "name", "left_semi").select("test", F.lit(100).alias("score"))
-    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
-    at = F.sequence(F.lit(1), F.length("test"))
-    grams = F.flatten(F.transform(at, lambda k: F.transform(F.sequence(F.lit(3), F.greatest(F.least(F.lit(longest), F.length("test") - k + 1), F.lit(3))), lambda n: F.substring(F.lower("test"), k, n))))
-    held = tests.select(F.col("path").alias("test")).select("test", F.explode(F.array_distinct(grams)).alias("name")).where(F.length("name") >= 3)
-    part = held.join(names, "name", "left_semi").select("test", F.lit(40).alias("score"))
+    part = contained(tests.select(F.col("path").alias("test"), F.lower("path").alias("text")), names.where(F.length("name") >= 3), "test").select("test", F.lit(40).alias("score"))
     return exact.unionByName(part).groupBy("test").agg(F.max("score").alias("score"))
 
 
@@ -87,18 +113,21 @@ def plan_terms(text: Column) -> Column:
 
 def rank_candidates(plans: DataFrame, files: DataFrame, weak: tuple = (), key: str = "plan_id") -> DataFrame:
     """plans(key, text) against files(path, fan, at_risk) to (key, path, score): 80 for a path that the plan mentions, 70 for a
-    file name, 60 for a name without extension that is one of its terms; 12 a term of three characters or more that both
-    share; and, where there is any of those, 8 at risk and up to 10 for the fan. Plans and files meet on shared terms only."""
-    text = plans.select(key, F.lower("text").alias("plan"), F.explode(plan_terms(F.col("text"))).alias("term"))
-    each = files.select("path", "fan", "at_risk", F.explode(plan_terms(F.concat_ws(" ", "path", F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]+$", "")))).alias("term"))
+    file name, 60 for a name without extension, which needs to be a term of the plan if it is shorter than three characters;
+    12 a term of three characters or more that both share; and, where there is any of those, 8 at risk and up to 10 for the
+    fan. A mention counts inside longer words too."""
+    terms = plans.select(key, F.explode(plan_terms(F.col("text"))).alias("term"))
+    stem = base_name(F.col("path"))
+    each = files.select("path", F.explode(plan_terms(F.concat_ws(" ", "path", F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]+$", "")))).alias("term"))
     strong = (F.length("term") > 2) & (~F.col("term").isin(*weak) if weak else F.lit(True))
-    shared = text.drop("plan").join(each, "term").groupBy(key, "path", "fan", "at_risk").agg(F.count_if(strong).alias("shared"))
-    rows = shared.join(plans.select(key, F.lower("text").alias("plan")), key)
-    file, stem = F.lower(F.substring_index("path", "/", -1)), base_name(F.col("path"))
-    mention = F.when(F.contains("plan", F.lower("path")), 80).when(F.contains("plan", file), 70).when((F.length(stem) >= 3) & F.contains("plan", stem), 60).otherwise(0)
-    score = mention + 12 * F.col("shared")
-    extra = F.when(F.col("at_risk"), 8).otherwise(0) + F.least(F.lit(10), F.col("fan"))
-    return rows.select(key, "path", (score + F.when(score > 0, extra).otherwise(0)).cast("long").alias("score")).where("score > 0")
+    shared = terms.where(strong).join(each, "term").groupBy(key, "path").agg(F.count("*").alias("shared"))
+    names = files.select("path", F.explode(F.array(F.struct(F.lower("path").alias("name"), F.lit(80).alias("n")), F.struct(F.lower(F.substring_index("path", "/", -1)).alias("name"), F.lit(70).alias("n")), F.struct(F.when(F.length(stem) >= 3, stem).alias("name"), F.lit(60).alias("n")))).alias("x")).select("path", "x.*").where("name <> ''")
+    held = contained(plans.select(key, F.lower("text").alias("text")), names, key).join(names, "name").select(key, "path", "n")
+    short = terms.join(files.select("path", stem.alias("term")).where(F.length("term") < 3), "term").select(key, "path", F.lit(60).alias("n"))
+    mentions = held.unionByName(short).groupBy(key, "path").agg(F.max("n").alias("mention"))
+    rows = shared.join(mentions, [key, "path"], "full").fillna(0).join(files, "path")
+    score = F.col("mention") + 12 * F.col("shared") + F.when(F.col("at_risk"), 8).otherwise(0) + F.least(F.lit(10), F.col("fan"))
+    return rows.select(key, "path", score.cast("long").alias("score"))
 
 
 def review_verdict(signals: DataFrame, by: str) -> DataFrame:
@@ -145,7 +174,7 @@ def caution_budget(reasons: DataFrame, by: str = "workspace") -> DataFrame:
     one of each group: to fix first, then by source and place."""
     scale = (F.col("source") == "review") & F.contains("message", F.lit("scale/complexity")) & ~F.col("message").rlike("new import cycle|taint|dataflow")
     rows = reasons.where("severity = 'warning'").withColumn("action", F.when(F.col("source").isin(*SIGN_OFF) | scale, "manual_signoff").otherwise("fix_now"))
-    order = Window.partitionBy(by).orderBy("action", lookup(F.col("source"), SOURCE_RANK, 3), "place")
+    order = Window.partitionBy(by).orderBy("action", lookup(F.col("source"), SOURCE_RANK, 3), "place", "source", "message", "file")
     return rows.withColumn("primary", F.row_number().over(order) == 1)
 
 
@@ -170,15 +199,16 @@ def _plain(text: Column) -> Column:
 
 def trust_memory(cards: DataFrame, feedback: DataFrame, key: str = "card_id") -> DataFrame:
     """cards(key, text) and feedback(note, useful) to (key, helpful, noisy, status): a note counts for a card that holds all of
-    it, or holds two of its words of four characters or more (one, if it has one), common words left out. Cards and notes
-    meet on words; words that hold a note's word inside count as the word itself only."""
+    it, or holds two of its words of four characters or more (one, if it has one), common words left out. Notes and words
+    count inside longer words too."""
     notes = feedback.select(_plain(F.col("note")).alias("note"), "useful").where("note <> ''").groupBy("note").agg(F.count_if("useful").alias("up"), F.count_if(~F.col("useful")).alias("down"))
     words = F.filter(F.array_distinct(F.split("note", " ")), lambda t: (F.length(t) >= 4) & ~t.isin(*GENERIC))
-    wanted = notes.withColumn("words", words).withColumn("need", F.least(F.lit(2), F.size("words")))
-    said = wanted.where("need > 0").select("note", "up", "down", "need", F.explode("words").alias("word"))
-    held = cards.select(key, F.explode(F.array_distinct(F.split(_plain(F.col("text")), " "))).alias("word"))
-    fits = held.join(said, "word").groupBy(key, "note", "up", "down", "need").agg(F.count("*").alias("n")).where("n >= need")
-    sums = fits.groupBy(key).agg(F.sum("up").alias("helpful"), F.sum("down").alias("noisy"))
+    wanted = notes.select("note", words.alias("words")).withColumn("need", F.least(F.lit(2), F.size("words")))
+    said = wanted.select("note", "need", F.explode("words").alias("name"))
+    held = contained(cards.select(key, _plain(F.col("text")).alias("text")), said.select("name").union(notes.select("note")), key)
+    some = held.join(said, "name").groupBy(key, "note", "need").agg(F.count("*").alias("n")).where("n >= need").select(key, "note")
+    fits = some.union(held.join(notes.select(F.col("note").alias("name")), "name").select(key, "name")).distinct()
+    sums = fits.join(notes, "note").groupBy(key).agg(F.sum("up").alias("helpful"), F.sum("down").alias("noisy"))
     rows = cards.select(key).join(sums, key, "left").fillna(0, ["helpful", "noisy"])
     c = F.col
     return rows.withColumn("status", F.when((c("helpful") > 0) & (c("noisy") > 0), "mixed").when(c("helpful") > 0, "helpful").when(c("noisy") > 0, "noisy").otherwise("none"))
@@ -188,27 +218,20 @@ def rank_cards(cards: DataFrame, by: str = "workspace") -> DataFrame:
     """cards(by, place, finding, file, source, priority, sources, commands, files, has_doctor, has_test, trust) once a file and
     finding, with evidence strength 0 to 100, its level, rank and score: (by, place, strength, level, rank, score)."""
     c = F.col
-    once = Window.partitionBy(by, F.coalesce("file", F.col("place").cast("string")), "finding").orderBy("place")
+    once = Window.partitionBy(by, F.coalesce("file", F.col("place").cast("string")), "finding").orderBy("place", "source", "priority")
     rows = cards.withColumn("n", F.row_number().over(once)).where("n = 1")
     doctor = (c("source") == "doctor") | c("has_doctor")
     strength = F.least(F.lit(45), 25 * c("sources")) + F.least(F.lit(20), 8 * c("commands")) + F.when(c("files") > 0, 10).otherwise(0) + F.when(doctor, 25).otherwise(0) + F.when(c("has_test"), 10).otherwise(0)
     rows = rows.withColumn("strength", F.least(F.lit(100), strength).cast("long"))
-    order = Window.partitionBy(by).orderBy(lookup(c("priority"), PRIORITY_RANK, 2), lookup(c("source"), CARD_SOURCE_RANK, 4), lookup(c("trust"), TRUST_RANK, 4), "place")
+    order = Window.partitionBy(by).orderBy(lookup(c("priority"), PRIORITY_RANK, 2), lookup(c("source"), CARD_SOURCE_RANK, 4), lookup(c("trust"), TRUST_RANK, 4), "place", "finding", "file")
     score = lookup(c("priority"), {"p0": 100, "p1": 80}, 50) + F.when(c("source").isin("doctor", "issue"), 20).otherwise(0) + F.floor(c("strength") / 5 + 0.5) + lookup(c("trust"), TRUST_DELTA, 0)
     level = F.when(c("strength") >= 75, "strong").when(c("strength") >= 40, "moderate").otherwise("thin")
     return rows.select(by, "place", "strength", level.alias("level"), F.row_number().over(order).alias("rank"), score.cast("long").alias("score"))
 
 
 def classify_feedback(text: Column) -> Column:
-    """The first category that a text fits in lower case; the patterns are fixed values. A null text has none."""
-    has = lambda p: F.lower(text).rlike(p)
-    return (
-        F.when(has(r"\b(?:npm|npx|install|installed|global|globally)\b") & has("allow[- ]scripts?|install scripts?|node-gyp-build|tree-sitter"), "install_warning")
-        .when(has(r"\bfalse[- ]positive\b|incorrectly flag|wrongly flag|flagged unused|reported unused|not actually unused"), "false_positive")
-        .when(has(r"\bcaution\b|\bwarning\b") & has("noise|noisy|background|too many|low[- ]signal|spam"), "noisy_caution")
-        .when(has("missing|not detected|not detect|does not detect|doesn't detect|should detect|misses") & has(r"framework|next\.?js|app router|route handler|middleware|koa|hono|fastify|express|sveltekit|astro|remix|request source|ctx\.request"), "missing_framework_rule")
-        .when(has("docs|readme|output|wording|message|copy") & has("confusing|unclear|bigger than|overclaim|overstate|sounds bigger|not demonstrated"), "confusing_docs_output")
-        .when(has("feature breadth|breadth|too many features|features?.*without.*workflow|killer workflows?|trusted daily|trust daily|daily workflows?"), "workflow_focus")
-        .when(has(r"\buseful\b|saved .*minute|prevented|caught|helped|trusted|clear next"), "useful_signal")
-        .when(text.isNotNull(), "uncategorized")
-    )
+    """The first category of FEEDBACK all of whose patterns a text fits in lower case; a null text has none."""
+    label = F.when(F.lit(False), None)
+    for category, *patterns in FEEDBACK:
+        label = label.when(reduce(lambda a, b: a & b, [F.lower(text).rlike(p) for p in patterns]), category)
+    return label.when(text.isNotNull(), "uncategorized")

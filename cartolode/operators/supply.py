@@ -42,15 +42,42 @@ BREAKING = r"(?i)BREAKING\s+CHANGE|^#{1,6}.*breaking|\*\s*Breaking:|deprecat|rem
 OBFUSCATION = (r"while\s*\(\s*!!\[\]\s*\)", r"(?i)_0x[a-f0-9]{4,}", r"String\s*\[\s*['\"]fromCharCode['\"]\s*\]", r"\bFunction\s*\(\s*['\"]", r"\beval\s*\(")
 LIFECYCLE = ("preinstall", "install", "postinstall", "prepare", "prepublish", "prepublishOnly")
 COPYLEFT = r"(?i)\b(?:AGPL|GPL|LGPL|SSPL)\b"
-#: Labels by what a lower-case base name holds (`=` is the whole name), then by what the folder holds; first match wins.
+#: The label of a file by its lower-case base name, which holds the word or is it; the first that fits.
 NAME_PURPOSES = (
-    ("config rc", "Configuration file"), ("=index", "Module entry point / barrel file"), ("=main =app", "Application entry point"),
-    ("route router", "Route definitions"), ("middleware", "Middleware handler"), ("controller", "Request controller"), ("service", "Service layer logic"),
-    ("model schema", "Data model / schema definition"), ("util helper", "Utility functions"), ("hook", "Custom hook"),
-    ("context provider", "Context / state provider"), ("type interface", "Type definitions"), ("constant", "Constants / configuration"),
-    ("migration", "Database migration"), ("seed", "Database seed data"), ("auth", "Authentication logic"), ("api", "API endpoint handler"),
-)
-DIR_PURPOSES = (("component pages", "UI component"), ("service", "Service module"), ("model", "Data model"), ("util lib", "Library / utility module"))
+    ("holds", "config", "Configuration file"),
+    ("holds", "rc", "Configuration file"),
+    ("is", "index", "Module entry point / barrel file"),
+    ("is", "main", "Application entry point"),
+    ("is", "app", "Application entry point"),
+    ("holds", "route", "Route definitions"),
+    ("holds", "router", "Route definitions"),
+    ("holds", "middleware", "Middleware handler"),
+    ("holds", "controller", "Request controller"),
+    ("holds", "service", "Service layer logic"),
+    ("holds", "model", "Data model / schema definition"),
+    ("holds", "schema", "Data model / schema definition"),
+    ("holds", "util", "Utility functions"),
+    ("holds", "helper", "Utility functions"),
+    ("holds", "hook", "Custom hook"),
+    ("holds", "context", "Context / state provider"),
+    ("holds", "provider", "Context / state provider"),
+    ("holds", "type", "Type definitions"),
+    ("holds", "interface", "Type definitions"),
+    ("holds", "constant", "Constants / configuration"),
+    ("holds", "migration", "Database migration"),
+    ("holds", "seed", "Database seed data"),
+    ("holds", "auth", "Authentication logic"),
+    ("holds", "api", "API endpoint handler"),
+)
+#: The label by a word that the lower-case folder holds, for names that have none.
+FOLDER_PURPOSES = (
+    ("component", "UI component"),
+    ("pages", "UI component"),
+    ("service", "Service module"),
+    ("model", "Data model"),
+    ("util", "Library / utility module"),
+    ("lib", "Library / utility module"),
+)
 
 
 def dependency_risks(deps: DataFrame, licences: DataFrame, workspace: str = "workspace") -> DataFrame:
@@ -150,12 +177,11 @@ def infer_purpose(path: Column, exports: Column | None = None) -> Column:
     """What a file is for, by its name, then its folder; else by whether it exports anything."""
     base = F.lower(F.substring_index(path, "/", -1))
     name, folder = F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), F.lower(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
-    holds = lambda x, words: reduce(lambda a, b: a | b, [x == w[1:] if w[0] == "=" else x.contains(w) for w in words.split()])
     label = F.when(F.arrays_overlap(F.split(name, r"[\W_]+"), F.array(*map(F.lit, ("test", "tests", "spec", "specs")))), "Test file")
-    for words, text in NAME_PURPOSES:
-        label = label.when(holds(name, words), text)
-    for words, text in DIR_PURPOSES:
-        label = label.when(holds(folder, words), text)
+    for mode, word, text in NAME_PURPOSES:
+        label = label.when(name == word if mode == "is" else name.contains(word), text)
+    for word, text in FOLDER_PURPOSES:
+        label = label.when(folder.contains(word), text)
     return label.otherwise("Source file" if exports is None else F.when(F.size(exports) > 0, "Module with exports").otherwise("Source file"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cartolode.functions import scalar
 from cartolode.plans.bindings import with_views as W
 
 _CHURN = "SELECT path, count(DISTINCT commit_hash) AS churn, count(DISTINCT author) AS authors, max(ts) AS last_change FROM {c} GROUP BY path"
@@ -28,11 +29,11 @@ _HEALTH = f"""health AS (SELECT source, count(*) FILTER (WHERE severity = 'error
  count(*) FILTER (WHERE severity = 'info') AS infos, greatest(0, 100 - ({_PENALTY})) AS score FROM issues GROUP BY source)"""
 _TOKENS = r"""(SELECT {k}, unnest(string_split_regex(trim(lower(replace(regexp_replace(regexp_replace(regexp_replace(
   array_to_string(regexp_extract_all(text, '[A-Za-z0-9_]+'), ' '), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([0-9]+)', ' \1 ', 'g'), '_', ' '))), '\s+')) AS t FROM {t})"""
-_STOP = "('the','of','to','and','in','is','that','for','on','with','as','by','be','this','are','or','an','at','it','from','not','but','if','else','while','return','true','false','none')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in (*scalar.STOP_WORDS, *scalar.SCRIPT_WORDS, *scalar.PYTHON_WORDS)) + ")"
 
 
 def _terms(t: str, k: str) -> str:
-    stem = "CASE WHEN regexp_matches(t, '^.{4,}ing$') THEN regexp_replace(t, 'ing$', '') WHEN regexp_matches(t, '^.{3,}ed$') THEN regexp_replace(t, 'ed$', '') WHEN regexp_matches(t, '^.{3,}[^s]s$') THEN regexp_replace(t, 's$', '') ELSE t END"
+    stem = "CASE WHEN length(t) <= 3 THEN t WHEN suffix(t, 'ing') THEN t[:-4] WHEN length(t) > 4 AND (suffix(t, 'ed') OR suffix(t, 'es')) THEN t[:-3] WHEN suffix(t, 's') AND NOT suffix(t, 'ss') THEN t[:-2] ELSE t END"
     return f"(SELECT {k}, s AS term FROM (SELECT {k}, {stem} AS s FROM {_TOKENS.format(t=t, k=k)} x) y WHERE length(s) >= 2 AND s NOT IN {_STOP})"
 
 

@@ -164,19 +164,11 @@ _TOUCHES = """touches AS (SELECT user_id AS session, event_id AS place, concat('
  links AS (SELECT DISTINCT path AS src, concat('packages/', (place + 1) % 7, '/', (place + 1) % 5, '.ts') AS dst FROM touches WHERE place % 9 = 0),
  firsts AS (SELECT session, path, min(place) AS place, count(*) AS n FROM touches GROUP BY 1, 2),
  areas AS (SELECT *, lag(path) OVER (PARTITION BY session, split_part(path, '/', 2) ORDER BY place, path) AS before FROM firsts)"""
-_FEEDBACK = {
-    "install_warning": "regexp_matches(t, '\\b(npm|npx|install|installed|global|globally)\\b') AND regexp_matches(t, 'allow[- ]scripts?|install scripts?|node-gyp-build|tree-sitter')",
-    "false_positive": "regexp_matches(t, '\\bfalse[- ]positive\\b|incorrectly flag|wrongly flag|flagged unused|reported unused|not actually unused')",
-    "noisy_caution": "regexp_matches(t, '\\b(caution|warning)\\b') AND regexp_matches(t, 'noise|noisy|background|too many|low[- ]signal|spam')",
-    "missing_framework_rule": "regexp_matches(t, 'missing|not detected|not detect|does not detect|doesn''t detect|should detect|misses') AND regexp_matches(t, 'framework|next\\.?js|app router|route handler|middleware|koa|hono|fastify|express|sveltekit|astro|remix|request source|ctx\\.request')",
-    "confusing_docs_output": "regexp_matches(t, 'docs|readme|output|wording|message|copy') AND regexp_matches(t, 'confusing|unclear|bigger than|overclaim|overstate|sounds bigger|not demonstrated')",
-    "workflow_focus": "regexp_matches(t, 'feature breadth|breadth|too many features|features?.*without.*workflow|killer workflows?|trusted daily|trust daily|daily workflows?')",
-    "useful_signal": "regexp_matches(t, '\\buseful\\b|saved .*minute|prevented|caught|helped|trusted|clear next')",
-}
 _NOTES = """notes AS (SELECT trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^a-z0-9]+', ' ', 'g')) AS note, item_id % 2 = 0 AS useful FROM benchmark),
  wanted AS (SELECT note, count(*) FILTER (WHERE useful) AS up, count(*) FILTER (WHERE NOT useful) AS down, list_filter(list_distinct(string_split(note, ' ')), lambda w: length(w) >= 4 AND w NOT IN ('background', 'card', 'edit', 'false', 'finding', 'hotspot', 'noisy', 'positive', 'prevented', 'proof', 'signal', 'useful')) AS words FROM notes WHERE note <> '' GROUP BY note),
- cards AS (SELECT doc_id, list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS words FROM documents),
- sums AS (SELECT doc_id, coalesce(sum(up), 0) AS helpful, coalesce(sum(down), 0) AS noisy FROM cards c LEFT JOIN wanted w ON len(w.words) > 0 AND len(list_intersect(c.words, w.words)) >= least(2, len(w.words)) GROUP BY doc_id)"""
+ cards AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents),
+ sums AS (SELECT doc_id, coalesce(sum(up), 0) AS helpful, coalesce(sum(down), 0) AS noisy FROM cards c
+   LEFT JOIN wanted w ON contains(c.t, w.note) OR (len(w.words) > 0 AND len(list_filter(w.words, lambda x: contains(c.t, x))) >= least(2, len(w.words))) GROUP BY doc_id)"""
 _CARDS = """cards AS (SELECT source AS workspace, doc_id AS place, rule_id AS finding, CASE WHEN doc_id % 3 <> 0 THEN concat('f', doc_id % 20) END AS file, doc_id % 5 AS src, doc_id % 3 AS pri, doc_id % 4 AS com, doc_id % 2 AS odd, doc_id % 7 = 0 AS doc FROM issues),
  once AS (SELECT * FROM cards QUALIFY row_number() OVER (PARTITION BY workspace, coalesce(file, CAST(place AS VARCHAR)), finding ORDER BY place) = 1),
  strong AS (SELECT *, least(100, least(45, 25 * pri) + least(20, 8 * com) + 10 * odd + CASE WHEN src = 0 OR doc THEN 25 ELSE 0 END + 10 * odd) AS strength FROM once)"""
@@ -220,13 +212,19 @@ ORACLE_SQL = {
     "file_profile": _with("""deg AS (SELECT p_partkey AS path, (SELECT count(DISTINCT src) FROM edges WHERE dst = p_partkey) AS fan_in, (SELECT count(DISTINCT dst) FROM edges WHERE src = p_partkey) AS fan_out FROM part)
         SELECT p_partkey AS path, fan_in, fan_out, 1 AS functions, p_size AS cc, p_name AS worst_function, coalesce(n, 0) AS issues, pct AS risk FROM part JOIN deg ON deg.path = p_partkey LEFT JOIN coverage c ON c.path = p_partkey LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_partkey = p_partkey""", "edges", "coverage"),
     "top_risks": _with(_REASONS + """, firsts AS (SELECT * FROM reasons QUALIFY row_number() OVER (PARTITION BY workspace, source, message, file ORDER BY place, severity) = 1),
-        ranked AS (SELECT *, CASE severity WHEN 'error' THEN 'p0' ELSE 'p1' END AS priority, row_number() OVER (PARTITION BY workspace ORDER BY severity <> 'error', place) AS rank FROM firsts)
+        ranked AS (SELECT *, CASE severity WHEN 'error' THEN 'p0' ELSE 'p1' END AS priority, row_number() OVER (PARTITION BY workspace ORDER BY severity <> 'error', place, source, message, file) AS rank FROM firsts)
         SELECT workspace, rank, priority, source, message, file, n_name AS owner FROM ranked LEFT JOIN nation ON file = concat('f', n_nationkey) WHERE rank <= 8""", "issues"),
     "session_conflicts": _with(_TOUCHES + """ SELECT session, 'same-file' AS kind, path AS file_a, NULL AS file_b FROM firsts WHERE n > 1
         UNION ALL SELECT session, 'same-workspace', before, path FROM (SELECT * FROM areas WHERE before IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session ORDER BY place, path) = 1) a
         UNION ALL SELECT session, 'import-related', src, dst FROM (SELECT f.session, f.place, src, dst FROM firsts f JOIN links ON dst = f.path AND src <> dst JOIN firsts g ON g.session = f.session AND g.path = src QUALIFY row_number() OVER (PARTITION BY f.session ORDER BY f.place, dst, src) = 1) b"""),
     "likely_tests": """WITH tests AS (SELECT DISTINCT replace(p_name, ' ', '_') AS base FROM part), names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part WHERE p_size = 1)
         SELECT concat('tests/', base, '.test.ts') AS test, max(CASE WHEN base = name THEN 100 ELSE 40 END) AS score FROM tests JOIN names ON base = name OR contains(concat('tests/', base, '.test.ts'), name) GROUP BY 1""",
+    "rank_candidates": _with("""places AS (SELECT concat('src/', regexp_extract(lower(text), '([a-z]{3,})', 1), doc_id % 3, '/', regexp_extract(lower(text), '([a-z]{3,}) ', 1), '.ts') AS path, max(doc_id % 20) AS fan, bool_or(doc_id % 2 = 0) AS at_risk FROM documents GROUP BY 1),
+        known AS (SELECT *, lower(path) AS p, lower(split_part(path, '/', -1)) AS f, regexp_replace(lower(split_part(path, '/', -1)), '\\.[^.]+$', '') AS s, list_distinct(regexp_extract_all(lower(path), '[a-z0-9]{2,}')) AS terms FROM places),
+        asked AS (SELECT item_id, lower(text) AS plan, list_distinct(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]{2,}')) AS terms FROM queries),
+        scored AS (SELECT item_id, path, fan, at_risk, CASE WHEN contains(plan, p) THEN 80 WHEN contains(plan, f) THEN 70 WHEN length(s) >= 3 AND contains(plan, s) OR length(s) < 3 AND list_contains(a.terms, s) THEN 60 ELSE 0 END
+            + 12 * len(list_filter(list_intersect(a.terms, k.terms), lambda t: length(t) > 2)) AS score FROM asked a CROSS JOIN known k)
+        SELECT item_id AS plan_id, path, score + CASE WHEN at_risk THEN 8 ELSE 0 END + least(10, fan) AS score FROM scored WHERE score > 0""", "queries"),
     "review_verdict": W("""SELECT command, CASE WHEN worst >= 80 OR c > 0 OR f > 0 THEN 'block' WHEN worst >= 40 OR e > 0 OR r > 0 THEN 'review' ELSE 'ok' END AS verdict FROM (SELECT command, max(event_id) % 100 AS worst, count(*) FILTER (WHERE event_id % 1999 = 0) AS c,
         count(*) FILTER (WHERE event_id % 3001 = 0) AS f, count(*) FILTER (WHERE event_id % 997 = 0) AS e, count(*) FILTER (WHERE event_id % 499 = 0) AS r FROM ledger GROUP BY 1) t""", "ledger"),
     "diff_flows": _with("flows AS (SELECT snapshot, path % 100 AS source, fact % 50 AS sink, list(DISTINCT path) AS files FROM snap GROUP BY 1, 2, 3) SELECT h.source, h.sink, len(h.files) AS files FROM flows h WHERE snapshot = 'head' AND NOT EXISTS (SELECT 1 FROM flows b WHERE b.snapshot = 'base' AND b.source = h.source AND b.sink = h.sink) AND EXISTS (SELECT 1 FROM work WHERE list_contains(h.files, work.path))", "snap", "work"),
@@ -236,15 +234,15 @@ ORACLE_SQL = {
         kinds AS (SELECT dir, doc_id % 4 AS k, count(DISTINCT path) AS n FROM files GROUP BY 1, 2)
         SELECT kinds.dir AS workspace, ['documentation', 'config', 'production', 'security'][k + 1] AS surface, n AS files, CASE k WHEN 0 THEN 0 WHEN 2 THEN coalesce(tests, 0) + least(coalesce(others, 0), 1) ELSE coalesce(tests, 0) + coalesce(others, 0) END AS commands FROM kinds LEFT JOIN known ON known.dir = kinds.dir""", "files").replace("doc_id % 2 = 0", "doc_id % 4 IN (0, 2)").replace("doc_id % 2 = 1", "doc_id % 4 IN (1, 3)"),
     "caution_budget": _with(_REASONS + """, acts AS (SELECT *, CASE WHEN source IN ('release', 'session') THEN 'manual_signoff' ELSE 'fix_now' END AS action FROM reasons WHERE severity = 'warning')
-        SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY action, CASE source WHEN 'doctor' THEN 0 WHEN 'review' THEN 1 WHEN 'release' THEN 2 ELSE 3 END, place) = 1 AS primary FROM acts""", "issues").replace("AS primary", 'AS "primary"'),
+        SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY action, CASE source WHEN 'doctor' THEN 0 WHEN 'review' THEN 1 WHEN 'release' THEN 2 ELSE 3 END, place, source, message, file) = 1 AS primary FROM acts""", "issues").replace("AS primary", 'AS "primary"'),
     "proof_debt": _with("""gaps AS (SELECT DISTINCT command, ['missing-proof', 'failed-proof', 'weak-proof'][event_id % 3 + 1] AS kind, event_id % 11 AS m, event_id % 5 AS f FROM ledger)
         SELECT c.command AS workspace, kinds.kind, (SELECT count(*) FROM gaps g WHERE g.command = c.command AND g.kind = kinds.kind) AS n FROM (SELECT DISTINCT command FROM gaps) c
         CROSS JOIN (VALUES ('missing-contract'), ('scope-drift'), ('missing-proof'), ('failed-proof'), ('stale-proof'), ('weak-proof'), ('recipe-gap')) kinds(kind)""", "ledger"),
     "gate_status": W("SELECT command AS workspace, CASE WHEN bool_or(event_id % 300 = 0 AND event_id % 7 % 3 = 2) THEN 'drifted' WHEN bool_or(event_id % 300 = 0 AND event_id % 7 % 3 = 1) THEN 'blocked' WHEN bool_or(event_id % 300 = 0) THEN 'needs-proof' ELSE 'ready' END AS status FROM ledger GROUP BY 1", "ledger"),
     "trust_memory": _with(_NOTES + " SELECT doc_id AS card_id, helpful, noisy, CASE WHEN helpful > 0 AND noisy > 0 THEN 'mixed' WHEN helpful > 0 THEN 'helpful' WHEN noisy > 0 THEN 'noisy' ELSE 'none' END AS status FROM sums"),
     "rank_cards": _with(_CARDS + """ SELECT workspace, place, strength, CASE WHEN strength >= 75 THEN 'strong' WHEN strength >= 40 THEN 'moderate' ELSE 'thin' END AS level,
-        row_number() OVER (PARTITION BY workspace ORDER BY pri, [0, 0, 2, 3, 4][src + 1], [0, 1, 3, 4][com + 1], place) AS rank, [100, 80, 50][pri + 1] + CASE WHEN src < 2 THEN 20 ELSE 0 END + floor(strength / 5 + 0.5) + [12, 0, -8, -16][com + 1] AS score FROM strong""", "issues"),
-    "classify_text": "SELECT doc_id, CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in _FEEDBACK.items()) + " WHEN t IS NOT NULL THEN 'uncategorized' END AS category FROM (SELECT doc_id, lower(text) AS t FROM documents) x",
+        row_number() OVER (PARTITION BY workspace ORDER BY pri, [0, 0, 2, 3, 4][src + 1], [0, 1, 3, 4][com + 1], place, finding, file) AS rank, [100, 80, 50][pri + 1] + CASE WHEN src < 2 THEN 20 ELSE 0 END + floor(strength / 5 + 0.5) + [12, 0, -8, -16][com + 1] AS score FROM strong""", "issues"),
+    "classify_text": "SELECT doc_id, CASE " + " ".join("WHEN " + " AND ".join(f"regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + f" THEN '{k}'" for k, *patterns in planning.FEEDBACK) + " WHEN t IS NOT NULL THEN 'uncategorized' END AS category FROM (SELECT doc_id, lower(text) AS t FROM documents) x",
     "resolve_calls": _with(_CALLS + """, asked AS (SELECT DISTINCT file, callee FROM calls), here AS (SELECT file, callee, p_partkey AS fn FROM asked JOIN part ON p_brand = file AND p_name = callee),
         near AS (SELECT DISTINCT file, callee, p_partkey AS fn FROM asked JOIN imports ON src = file JOIN part ON p_brand = dst AND p_name = callee WHERE (file, callee) NOT IN (SELECT file, callee FROM here)),
         far AS (SELECT file, callee, p_partkey AS fn FROM asked JOIN part ON p_name = callee WHERE (file, callee) NOT IN (SELECT file, callee FROM here UNION ALL SELECT file, callee FROM near) AND (SELECT count(*) FROM part x WHERE x.p_name = callee) = 1)

@@ -7,12 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
+    # A part imports the part that followed it in the first and in the last order that holds both.
     "edges": """
         SELECT DISTINCT src, dst FROM (
-          SELECT l_partkey AS src, l_quantity AS q,
-                 lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS dst
-          FROM {lineitem}) t
-        WHERE dst IS NOT NULL AND src <> dst AND q >= 49""",
+          SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY shipped, place, line, dst) AS first_place,
+                 row_number() OVER (PARTITION BY src ORDER BY shipped DESC, place DESC, line DESC, dst DESC) AS last_place
+          FROM (SELECT l_partkey AS src, l_shipdate AS shipped, l_orderkey AS place, l_linenumber AS line,
+                  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS dst
+                FROM {lineitem}) t
+          WHERE dst IS NOT NULL AND src <> dst) u
+        WHERE first_place = 1 OR last_place = 1""",
     "commits": """
         SELECT l_partkey AS path, l_orderkey AS commit_hash, o_orderdate AS ts,
                CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE o_custkey % 10 END AS author
@@ -32,10 +36,10 @@ VIEWS = {
           FROM {documents} WHERE n_chars > 5000""",
     "snap": """
         SELECT 'base' AS snapshot, l_partkey AS path, l_suppkey AS fact, max(l_linenumber) AS version
-          FROM {lineitem} WHERE l_shipdate < TIMESTAMP '2000-01-01 00:00:00' AND l_quantity >= 45 GROUP BY 2, 3
+          FROM {lineitem} WHERE l_shipdate < TIMESTAMP '2000-01-01 00:00:00' GROUP BY 2, 3
         UNION ALL SELECT 'head', l_partkey, l_suppkey, max(l_linenumber)
-          FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_quantity >= 45 GROUP BY 2, 3""",
-    "work": "SELECT DISTINCT l_suppkey % 5 AS stream, l_partkey AS path FROM {lineitem} WHERE l_quantity >= 50",
+          FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' GROUP BY 2, 3""",
+    "work": "SELECT p_size % 5 AS stream, p_partkey AS path FROM {part} UNION SELECT length(p_name) % 5, p_partkey FROM {part}",
     "claims": """
         SELECT c_custkey AS id, c_custkey % 4 AS agent,
                CASE c_custkey % 3 WHEN 0 THEN concat('r', CAST(n_regionkey AS STRING))

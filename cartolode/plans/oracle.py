@@ -12,7 +12,7 @@ _SHARES = """each AS (SELECT path, author, count(DISTINCT commit_hash) AS commit
  churn AS (%s),
  bus AS (SELECT s.path, author AS primary_author, share, churn FROM shares s JOIN churn c ON s.path = c.path WHERE rank = 1 AND churn >= 3 AND share >= 0.8)""" % _CHURN.format(c="commits")
 _RANKED = _SHARES + """,
- iss AS (SELECT l_partkey AS path, count(*) AS issues FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY 1),
+ iss AS (SELECT l_partkey AS path, count(*) AS issues FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
  base AS (SELECT c.path, churn, authors, datediff('day', CAST(last_change AS DATE), CAST((SELECT max(ts) FROM commits) AS DATE)) AS days, p_size AS cc,
    coalesce(issues, 0) AS issues, coalesce(b.path IS NOT NULL, false) AS single, pct
    FROM churn c LEFT JOIN part ON p_partkey = c.path LEFT JOIN iss i ON i.path = c.path LEFT JOIN coverage v ON v.path = c.path LEFT JOIN (SELECT path FROM bus) b ON b.path = c.path),

@@ -69,11 +69,11 @@ def _calls(s, d):
 def _brand_imports(s, d):
     part = T(s, d, "part")
     rows = V(s, d, "edges").join(part.selectExpr("p_partkey as src", "p_brand as a"), "src").join(part.selectExpr("p_partkey as dst", "p_brand as b"), "dst")
-    return rows.where("a <> b and src % 40 = dst % 40").selectExpr("a as src", "b as dst").distinct()
+    return rows.where("a <> b").selectExpr("a as src", "b as dst").distinct()
 
 
 _CALLS = """calls AS (SELECT src AS caller, a.p_brand AS file, b.p_name AS callee FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst),
- imports AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand AND src % 40 = dst % 40)"""
+ imports AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand)"""
 
 
 def _parts(s, d):
@@ -118,7 +118,7 @@ QUERIES = {
     "payload_scan": lambda s, d: supply.payload_scan(T(s, d, "documents").selectExpr("concat(source, '/', doc_id, if(doc_id % 40 = 1, '/bad.js', '.js')) as path", "n_chars as size_bytes", "if(doc_id % 6 = 0, replace(replace(text, 'the', 'eval('), 'and', '_0xabcd'), text) as content").where("path is not null"), s.sql("SELECT * FROM VALUES ('licen', 'licence'), ('token', 'token') AS t(value, label)"), ("bad.js",), 500, 50_000),
     "file_profile": lambda s, d: planning.file_profile(V(s, d, "funcs").selectExpr("fn as path"), graph.coupling(V(s, d, "edges")), V(s, d, "funcs").selectExpr("fn as path", "bare as name", "cc"), T(s, d, "lineitem").where("l_returnflag = 'R'").selectExpr("l_partkey as path"), V(s, d, "coverage").withColumnRenamed("pct", "risk")),
     "top_risks": lambda s, d: planning.top_risks(_reasons(s, d), T(s, d, "nation").selectExpr("concat('f', n_nationkey) as path", "n_name as owner")),
-    "session_conflicts": lambda s, d: planning.session_conflicts(_touches(s, d), _touches(s, d).where("place % 9 = 0").selectExpr("path as src", "concat('packages/', (place + 1) % 7, '/', (place + 1) % 5, '.ts') as dst").distinct()),
+    "session_conflicts": lambda s, d: planning.session_conflicts(_touches(s, d), _touches(s, d).selectExpr("path as src", "concat('packages/', (place + 1) % 7, '/', (place + 1) % 5, '.ts') as dst").distinct()),
     "likely_tests": lambda s, d: planning.likely_tests(T(s, d, "part").selectExpr("concat('tests/', replace(p_name, ' ', '_'), '.test.ts') as path").distinct(), T(s, d, "part").where("p_size = 1").selectExpr("concat('src/', split(p_name, ' ')[0], '.ts') as path")),
     "rank_candidates": lambda s, d: planning.rank_candidates(V(s, d, "queries").selectExpr("item_id as plan_id", "text"), T(s, d, "documents").selectExpr("concat('src/', regexp_extract(lower(text), '([a-z]{3,})', 1), doc_id % 3, '/', regexp_extract(lower(text), '([a-z]{3,}) ', 1), '.ts') as path", "doc_id % 20 as fan", "doc_id % 2 = 0 as at_risk").groupBy("path").agg(F.max("fan").alias("fan"), F.max("at_risk").alias("at_risk"))),
     "review_verdict": lambda s, d: planning.review_verdict(V(s, d, "ledger").groupBy("command").agg((F.max("event_id") % 100).alias("max_risk"), F.count_if(F.expr("event_id % 1999 = 0")).alias("new_cycles"), F.count_if(F.expr("event_id % 997 = 0")).alias("expanded_cycles"), F.count_if(F.expr("event_id % 499 = 0")).alias("risky_functions"), F.count_if(F.expr("event_id % 3001 = 0")).alias("new_flows")), "command"),
@@ -128,7 +128,7 @@ QUERIES = {
     "proof_requirements": lambda s, d: planning.proof_requirements(V(s, d, "files").selectExpr("dir as workspace", "path", "element_at(array('documentation', 'config', 'production', 'security'), cast(doc_id % 4 + 1 as int)) as surface"), V(s, d, "files").selectExpr("dir as workspace", "doc_id as place", "element_at(array('npm test', 'npm run lint', 'npm run test -- x', 'tsc'), cast(doc_id % 4 + 1 as int)) as command")),
     "caution_budget": lambda s, d: planning.caution_budget(_reasons(s, d)),
     "proof_debt": lambda s, d: planning.proof_debt(V(s, d, "ledger").selectExpr("command as workspace", "element_at(array('missing-proof', 'failed-proof', 'weak-proof'), cast(event_id % 3 + 1 as int)) as kind", "'warning' as severity", "cast(event_id % 11 as string) as message", "cast(null as string) as command", "concat('f', event_id % 5) as file")),
-    "gate_status": lambda s, d: planning.gate_status(planning.proof_debt(V(s, d, "ledger").where("event_id % 300 = 0").selectExpr("command as workspace", "element_at(array('missing-proof', 'failed-proof', 'scope-drift'), cast(event_id % 7 % 3 + 1 as int)) as kind", "'w' as severity", "'m' as message", "command", "'f' as file")), V(s, d, "ledger").select(F.col("command").alias("workspace"), F.lit("ready").alias("status")).distinct()),
+    "gate_status": lambda s, d: planning.gate_status(planning.proof_debt(V(s, d, "ledger").where("exit_code = 1").selectExpr("command as workspace", "element_at(array('missing-proof', 'failed-proof', 'scope-drift'), cast(event_id % 7 % 3 + 1 as int)) as kind", "'w' as severity", "'m' as message", "command", "'f' as file")), V(s, d, "ledger").select(F.col("command").alias("workspace"), F.lit("ready").alias("status")).distinct()),
     "trust_memory": lambda s, d: planning.trust_memory(T(s, d, "documents").selectExpr("doc_id as card_id", "text"), T(s, d, "benchmark").selectExpr("substring_index(text, ' ', 3) as note", "item_id % 2 = 0 as useful")),
     "rank_cards": lambda s, d: planning.rank_cards(_cards(s, d)),
     "classify_text": lambda s, d: T(s, d, "documents").select("doc_id", planning.classify_feedback(F.col("text")).alias("category")),
@@ -158,10 +158,11 @@ def _with(body: str, *views: str) -> str:
 
 
 _BY_KEY = {k: f"list_max(list_filter(range(0, least(length(p_name), length(p_type)) + 1), lambda k: {f}(p_name, k) = {f}(p_type, k)))" for k, f in (("prefix", "left"), ("suffix", "right"))}
+_AFFIX = {k: v.replace("p_name", "a.name").replace("p_type", "b.name") for k, v in _BY_KEY.items()}
 _LICENCES = "('GPL-3.0', 'LGPL')"
 _CONTENT = "content AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'the ', 'the mark-line the-*, other -- known' || chr(10)) ELSE text END AS content FROM documents)"
 _TOUCHES = """touches AS (SELECT user_id AS session, event_id AS place, concat('packages/', event_id % 7, '/', event_id % 5, '.ts') AS path FROM events),
- links AS (SELECT DISTINCT path AS src, concat('packages/', (place + 1) % 7, '/', (place + 1) % 5, '.ts') AS dst FROM touches WHERE place % 9 = 0),
+ links AS (SELECT DISTINCT path AS src, concat('packages/', (place + 1) % 7, '/', (place + 1) % 5, '.ts') AS dst FROM touches),
  firsts AS (SELECT session, path, min(place) AS place, count(*) AS n FROM touches GROUP BY 1, 2),
  areas AS (SELECT *, lag(path) OVER (PARTITION BY session, split_part(path, '/', 2) ORDER BY place, path) AS before FROM firsts)"""
 _NOTES = """notes AS (SELECT trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^a-z0-9]+', ' ', 'g')) AS note, item_id % 2 = 0 AS useful FROM benchmark),
@@ -225,6 +226,14 @@ ORACLE_SQL = {
         scored AS (SELECT item_id, path, fan, at_risk, CASE WHEN contains(plan, p) THEN 80 WHEN contains(plan, f) THEN 70 WHEN length(s) >= 3 AND contains(plan, s) OR length(s) < 3 AND list_contains(a.terms, s) THEN 60 ELSE 0 END
             + 12 * len(list_filter(list_intersect(a.terms, k.terms), lambda t: length(t) > 2)) AS score FROM asked a CROSS JOIN known k)
         SELECT item_id AS plan_id, path, score + CASE WHEN at_risk THEN 8 ELSE 0 END + least(10, fan) AS score FROM scored WHERE score > 0""", "queries"),
+    "rename_pairs": "WITH RECURSIVE " + f"""pairs AS (SELECT a.path, a.name AS old, b.name AS new, greatest(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), greatest({_AFFIX['prefix']}, {_AFFIX['suffix']}) / greatest(length(a.name), length(b.name))) AS score
+            FROM (SELECT DISTINCT p_brand AS path, concat(p_name, p_partkey) AS name FROM part WHERE p_size % 2 = 0) a JOIN (SELECT DISTINCT p_brand AS path, concat(p_name, p_partkey) AS name FROM part WHERE p_size % 2 = 1) b ON a.path = b.path),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, old, new) AS k FROM pairs WHERE score >= 0.5),
+        walk AS (SELECT path, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS olds, CAST([] AS VARCHAR[]) AS news FROM (SELECT DISTINCT path FROM ranked) p
+          UNION ALL SELECT w.path, r.k, CASE WHEN list_contains(olds, old) OR list_contains(news, new) THEN olds ELSE list_append(olds, old) END, CASE WHEN list_contains(olds, old) OR list_contains(news, new) THEN news ELSE list_append(news, new) END
+          FROM walk w JOIN ranked r ON r.path = w.path AND r.k = w.k + 1),
+        ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY path ORDER BY k DESC) = 1)
+        SELECT path, unnest(olds) AS old, unnest(news) AS new FROM ends""",
     "review_verdict": W("""SELECT command, CASE WHEN worst >= 80 OR c > 0 OR f > 0 THEN 'block' WHEN worst >= 40 OR e > 0 OR r > 0 THEN 'review' ELSE 'ok' END AS verdict FROM (SELECT command, max(event_id) % 100 AS worst, count(*) FILTER (WHERE event_id % 1999 = 0) AS c,
         count(*) FILTER (WHERE event_id % 3001 = 0) AS f, count(*) FILTER (WHERE event_id % 997 = 0) AS e, count(*) FILTER (WHERE event_id % 499 = 0) AS r FROM ledger GROUP BY 1) t""", "ledger"),
     "diff_flows": _with("flows AS (SELECT snapshot, path % 100 AS source, fact % 50 AS sink, list(DISTINCT path) AS files FROM snap GROUP BY 1, 2, 3) SELECT h.source, h.sink, len(h.files) AS files FROM flows h WHERE snapshot = 'head' AND NOT EXISTS (SELECT 1 FROM flows b WHERE b.snapshot = 'base' AND b.source = h.source AND b.sink = h.sink) AND EXISTS (SELECT 1 FROM work WHERE list_contains(h.files, work.path))", "snap", "work"),
@@ -238,7 +247,7 @@ ORACLE_SQL = {
     "proof_debt": _with("""gaps AS (SELECT DISTINCT command, ['missing-proof', 'failed-proof', 'weak-proof'][event_id % 3 + 1] AS kind, event_id % 11 AS m, event_id % 5 AS f FROM ledger)
         SELECT c.command AS workspace, kinds.kind, (SELECT count(*) FROM gaps g WHERE g.command = c.command AND g.kind = kinds.kind) AS n FROM (SELECT DISTINCT command FROM gaps) c
         CROSS JOIN (VALUES ('missing-contract'), ('scope-drift'), ('missing-proof'), ('failed-proof'), ('stale-proof'), ('weak-proof'), ('recipe-gap')) kinds(kind)""", "ledger"),
-    "gate_status": W("SELECT command AS workspace, CASE WHEN bool_or(event_id % 300 = 0 AND event_id % 7 % 3 = 2) THEN 'drifted' WHEN bool_or(event_id % 300 = 0 AND event_id % 7 % 3 = 1) THEN 'blocked' WHEN bool_or(event_id % 300 = 0) THEN 'needs-proof' ELSE 'ready' END AS status FROM ledger GROUP BY 1", "ledger"),
+    "gate_status": W("SELECT command AS workspace, CASE WHEN bool_or(exit_code = 1 AND event_id % 7 % 3 = 2) THEN 'drifted' WHEN bool_or(exit_code = 1 AND event_id % 7 % 3 = 1) THEN 'blocked' WHEN bool_or(exit_code = 1) THEN 'needs-proof' ELSE 'ready' END AS status FROM ledger GROUP BY 1", "ledger"),
     "trust_memory": _with(_NOTES + " SELECT doc_id AS card_id, helpful, noisy, CASE WHEN helpful > 0 AND noisy > 0 THEN 'mixed' WHEN helpful > 0 THEN 'helpful' WHEN noisy > 0 THEN 'noisy' ELSE 'none' END AS status FROM sums"),
     "rank_cards": _with(_CARDS + """ SELECT workspace, place, strength, CASE WHEN strength >= 75 THEN 'strong' WHEN strength >= 40 THEN 'moderate' ELSE 'thin' END AS level,
         row_number() OVER (PARTITION BY workspace ORDER BY pri, [0, 0, 2, 3, 4][src + 1], [0, 1, 3, 4][com + 1], place, finding, file) AS rank, [100, 80, 50][pri + 1] + CASE WHEN src < 2 THEN 20 ELSE 0 END + floor(strength / 5 + 0.5) + [12, 0, -8, -16][com + 1] AS score FROM strong""", "issues"),

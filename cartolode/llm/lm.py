@@ -20,15 +20,16 @@ FIT, HELD = 0, 1
 #: Commonest words, and commonest pairs of them, whose counts every task holds. All others are counted and looked up by a
 #: shuffle, so the bounds decide where a count is looked up and never what it is. No pair or word that the shuffle groups
 #: holds more than a small share of all tokens.
-WORDS, PAIRS = 1 << 18, 1 << 20
+WORDS, PAIRS = 1 << 19, 1 << 18
 #: Pairs to hold are proposed by one in so many texts, and then counted in all.
 SAMPLE = 16
 #: Tokens that a task works on at a time, and bytes of a text that it splits at a time.
 BLOCK, PIECE = 1 << 18, 1 << 20
-#: Words are known by hashes with the lowest bit clear; those of the ends of a text no word has, as words hold no blank.
-START, END = (xxhash.xxh64_intdigest(x) & ~1 for x in (b" start", b" end"))
+#: Words are known by hashes with the lowest and the highest bit clear; those of the ends of a text no word has, as words hold
+#: no blank. The highest bit marks what is a hash and no place.
+RARE, INNER = np.uint64(1 << 63), np.uint64((1 << 63) - 2)
+START, END = (xxhash.xxh64_intdigest(x) & int(INNER) for x in (b" start", b" end"))
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-RARE = np.uint64(1 << 63)
 
 
 def token_hashes(text: bytes | None) -> np.ndarray:
@@ -38,7 +39,7 @@ def token_hashes(text: bytes | None) -> np.ndarray:
         cut = SPACE.search(data, at + PIECE)
         end = cut.start() if cut else len(data)
         words = data[at:end].split()
-        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & ~np.uint64(1))
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & INNER)
         at = end
     return np.concatenate([*out, np.array([END], np.uint64)])
 
@@ -142,9 +143,9 @@ ASKED = "key long, sub long, doc long, rest int"
 def _ask(shared) -> Callable:
     """A row for each predicted token whose pair is not held, to be counted and looked up by key and sub.
 
-    Two held words: key is their code, rest holds how often the text has the pair. Else key is the hash, marked by its highest
-    bit, of the word that is not held, the predicted one if neither is, and sub that of the other word, its lowest bit telling
-    whether key is the context; rest holds the other word's place plus one. Two more bits of rest hold the part plus one.
+    Two held words: key is their code. Else key is the hash of the word that is not held, of the predicted one if neither is,
+    and sub the other word, by its place or, if it is not held either, its hash; the lowest bit tells whether key is the
+    context. rest is how often the text has the pair times four, and the part plus one.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +160,10 @@ def _ask(shared) -> Callable:
             own = two[rare] < 0
             first, second = b.hash[b.at[rare] - 1], b.hash[b.at[rare]]
             key = np.concatenate([pair & np.uint64((1 << 40) - 1), np.where(own, second, first) | RARE])
-            sub = np.concatenate([np.zeros(len(pair), np.uint64), np.where(own, first, second | np.uint64(1))])
+            other = np.where(own, one[rare], two[rare])
+            sub = np.concatenate([np.zeros(len(pair), np.uint64), np.where(other < 0, first | RARE, other.astype(np.uint64) << np.uint64(1) | ~own)])
             of = np.concatenate([(pair >> np.uint64(40)).astype(np.int64), text[rare]])
-            rest = np.concatenate([m, np.where(own, one[rare], two[rare]) + 1]) << 2 | b.part[of] + 1
+            rest = np.concatenate([m, np.ones(len(rare), np.int64)]) << 2 | b.part[of] + 1
             doc = np.array([r[1] for r in b.rows], np.int64)[of]
             yield pa.RecordBatch.from_arrays([_signed(key), _signed(sub), pa.array(doc), pa.array(rest.astype(np.int32))], ["key", "sub", "doc", "rest"])
 
@@ -300,7 +302,7 @@ def _looked_up(rows: DataFrame, words: DataFrame, v: Counts) -> DataFrame:
     spark = rows.sparkSession
     asked = rows.select("part", "doc", "t").mapInArrow(_ask(spark.sparkContext.broadcast(v)), ASKED).repartition("key")
     part, rare = F.col("rest").bitwiseAND(F.lit(3)) - 1, F.col("key") < 0
-    m = F.when(rare, F.lit(1)).otherwise(F.shiftright("rest", 2))
+    m = F.shiftright("rest", 2)
     fit, predicted = F.when(part == FIT, m).otherwise(0), F.col("sub").bitwiseAND(F.lit(1)) == 0
     by_key = Window.partitionBy("key")
     counted = asked.withColumns({
@@ -309,10 +311,10 @@ def _looked_up(rows: DataFrame, words: DataFrame, v: Counts) -> DataFrame:
         "every": F.sum(F.when(rare & predicted & (part >= 0), m)).over(by_key),
     })
     one = F.when(part == FIT, 1).otherwise(0)
-    alone = rare & (F.shiftright("rest", 2) == 0)
+    alone = F.col("sub") < 0
     as_assumed = (part != HELD) & ~alone & (F.col("pair") == fit) & (~rare | ((F.coalesce("n", F.lit(0)) == one) & (F.coalesce("every", F.lit(0)) == one)))
     kept = save(counted.where(~as_assumed), "looked-up")
-    context = words.select(F.col("h").alias("sub"), F.col("fit").alias("context"))
+    context = words.select(F.col("h").bitwiseOR(F.lit(-(1 << 63))).alias("sub"), F.col("fit").alias("context"))
     return kept.where(~alone).withColumn("context", F.lit(None).cast("long")).unionByName(kept.where(alone).join(context, "sub", "left"))
 
 
@@ -322,12 +324,12 @@ class Found:
 
     def __init__(self, b: pa.RecordBatch, v: Counts):
         column = lambda k: pc.fill_null(b.column(k), 0).to_numpy()
-        key, rest, self.doc = column("key"), column("rest"), b.column("doc")
-        rare, predicted, other = key < 0, column("sub") & 1 == 0, (rest >> 2) - 1
-        self.part, self.m = (rest & 3) - 1, np.where(rare, 1, rest >> 2)
-        held = np.where(rare, np.maximum(other, 0), key >> 20), np.where(rare, np.maximum(other, 0), key & (1 << 20) - 1)
-        first, second, n = v.fit[held[0]], v.fit[held[1]], column("n")
-        self.neither = rare & (other < 0)
+        key, sub, rest, self.doc = column("key"), column("sub"), column("rest"), b.column("doc")
+        rare, predicted, self.neither = key < 0, sub & 1 == 0, sub < 0
+        self.part, self.m = (rest & 3) - 1, rest >> 2
+        other = np.where(self.neither, 0, sub >> 1)
+        first, second = v.fit[np.where(rare, other, key >> 20)], v.fit[np.where(rare, other, key & (1 << 20) - 1)]
+        n = column("n")
         self.pair = column("pair")
         self.context = np.where(self.neither, column("context"), np.where(rare & ~predicted, n, first))
         self.word = np.where(rare & predicted, n, second)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -109,16 +109,33 @@ PYTHON_WORDS = (
 ).split()
 
 
-def tokenize(text: Column) -> Column:
-    """Lower-case, stemmed parts of identifiers: split at non-identifier characters, underscores, case and digits."""
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), 0)
-    joined = F.array_join(words, " ")
-    for pattern, to in ((r"([a-z0-9])([A-Z])", "$1 $2"), (r"([A-Z]+)([A-Z][a-z])", "$1 $2"), (r"([0-9]+)", " $1 "), ("_", " ")):
+#: One ending goes: `ing` of what is longer than three characters, `ed` and `es` than four, else a single `s`.
+ENDING = r"(?<=^.{1,400})ing$|(?<=^.{3,400})e[ds]$|(?<=^.{2,400}[^s])s$"
+
+
+def identifier_parts(text: Column) -> Column:
+    """Lower-case parts of identifiers: split at non-identifier characters, underscores, case and digits."""
+    joined = F.regexp_replace(text, "[^A-Za-z0-9]+", " ")
+    for pattern, to in ((r"([a-z0-9])([A-Z])", "$1 $2"), (r"([A-Z]+)([A-Z][a-z])", "$1 $2"), (r"([0-9]+)", " $1 ")):
         joined = F.regexp_replace(joined, pattern, to)
-    parts = F.split(F.trim(F.lower(joined)), r"\s+")
-    # One ending goes: `ing` of what is longer than three characters, `ed` and `es` than four, else a single `s`.
-    ending = r"(?<=^.{1,400})ing$|(?<=^.{3,400})e[ds]$|(?<=^.{2,400}[^s])s$"
-    stem = lambda t: F.regexp_replace(t, ending, "")
-    left_out = sorted({*STOP_WORDS, *SCRIPT_WORDS, *PYTHON_WORDS})
-    kept = lambda t: (F.length(t) >= 2) & ~t.isin(left_out)
-    return F.filter(F.transform(parts, stem), kept)
+    return F.split(F.trim(F.lower(joined)), " +")
+
+
+def stemmed(part: Column) -> Column:
+    return F.when(part.rlike("(?:ing|ed|s)$"), F.regexp_replace(part, ENDING, "")).otherwise(part)
+
+
+def indexed(term: Column) -> Column:
+    """Whether an index holds the term."""
+    return (F.length(term) >= 2) & ~term.isin(sorted({*STOP_WORDS, *SCRIPT_WORDS, *PYTHON_WORDS}))
+
+
+def tokenize(text: Column) -> Column:
+    """The stemmed parts of identifiers that an index holds, as an array; terms() gives them as rows, which runs faster."""
+    return F.filter(F.transform(identifier_parts(text), stemmed), indexed)
+
+
+def terms(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, term): a row for each term of the text that an index holds."""
+    parts = df.select(*keep, F.explode(identifier_parts(F.col(text))).alias("part"))
+    return parts.select(*keep, stemmed(F.col("part")).alias("term")).where(indexed(F.col("term")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import ancestors
+from cartolode.operators.ordered import numbered
 
 
 def split(snap: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -13,10 +14,11 @@ def split(snap: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def diff_rows(base: DataFrame, head: DataFrame, keys: tuple, value: str) -> DataFrame:
-    """Rows added, removed or modified between snapshots."""
-    joined = base.withColumnRenamed(value, "old").join(head.withColumnRenamed(value, "new"), list(keys), "full")
-    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
-    return joined.withColumn("status", status).where("status is not null")
+    """Rows added, removed or modified between snapshots; a null value is a value like others."""
+    sides = [side.select(*keys, F.col(value).alias(name), F.lit(True).alias(f"in_{name}")) for side, name in ((base, "old"), (head, "new"))]
+    joined = sides[0].join(sides[1], list(keys), "full")
+    status = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "modified")
+    return joined.withColumn("status", status).where("status is not null").drop("in_old", "in_new")
 
 
 def diff_facts(base: DataFrame, head: DataFrame, key: str = "path", fact: str = "fact") -> DataFrame:
@@ -55,7 +57,7 @@ def merge_risk(work: DataFrame, same: DataFrame, dep: DataFrame) -> DataFrame:
     risk = hits.groupBy("stream").agg(F.count("*").alias("collisions"), F.sum("w").alias("risk"))
     files = work.groupBy("stream").agg(F.countDistinct("path").alias("files"))
     rows = files.join(risk, "stream", "left").fillna(0, ["collisions", "risk"])
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("risk", "files", "stream")))
+    return numbered(rows, ["risk", "files", "stream"], "place")
 
 
 def merge_hot_files(work: DataFrame) -> DataFrame:

@@ -17,16 +17,16 @@ def coupling(edges: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, seeds: DataFrame, max_distance: int = 10) -> DataFrame:
-    """Everything that reaches seeds(path) along edges within so many hops: (path, distance). Each round is a written table."""
+    """Everything that reaches seeds(path) along edges within so many hops: (path, distance). Each round is a written table of
+    what it newly found."""
     back = save(edges.select(F.col("dst").alias("at"), F.col("src").alias("path")), "back")
-    found = save(seeds.select("path", F.lit(0).alias("distance")).distinct(), "seeds")
-    frontier = found
+    found = frontier = save(seeds.select("path", F.lit(0).alias("distance")).distinct(), "seeds")
     for hop in range(1, max_distance + 1):
-        new = frontier.withColumnRenamed("path", "at").join(back, "at").select("path").distinct().join(found, "path", "left_anti")
+        new = frontier.select(F.col("path").alias("at")).join(back, "at").select("path").distinct().join(found, "path", "left_anti")
         frontier = save(new.withColumn("distance", F.lit(hop)), "frontier")
         if frontier.isEmpty():
             break
-        found = save(found.unionByName(frontier), "found")
+        found = found.unionByName(frontier)
     return found
 
 
@@ -41,14 +41,13 @@ def _trim(edges: DataFrame) -> DataFrame:
 
 def _spread(edges: DataFrame, nodes: DataFrame, names: tuple[str, str]) -> DataFrame:
     """For every node the smallest node that reaches it along edges: (node, color)."""
-    color, mark = save(nodes.select("node", F.col("node").alias("color")), "color"), None
+    color = save(nodes.select("node", F.col("node").alias("color")), "color")
     steps = edges.select(F.col(names[0]).alias("node"), F.col(names[1]).alias("to"))
     while True:
         passed = steps.join(color, "node").groupBy(F.col("to").alias("node")).agg(F.min("color").alias("new"))
-        color = save(color.join(passed, "node", "left").select("node", F.least("color", "new").alias("color")), "color")
-        before, mark = mark, color.agg(F.sum("color")).first()[0]
-        if mark == before:
-            return color
+        color = save(color.join(passed, "node", "left").select("node", F.least("color", "new").alias("color"), F.coalesce(F.col("new") < F.col("color"), F.lit(False)).alias("moved")), "color")
+        if color.where("moved").isEmpty():
+            return color.drop("moved")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import round_half_up
+from cartolode.sources.tables import save
 
 
 def churn(commits: DataFrame, keys=("path",)) -> DataFrame:
@@ -31,10 +32,10 @@ def author_shares(commits: DataFrame, keys=("path",), top: int = 5) -> DataFrame
     return ranked.where(F.col("rank") <= top)
 
 
-def bus_factor(commits: DataFrame, keys=("path",)) -> DataFrame:
-    """Files with three or more commits of which one author made four fifths."""
-    first = author_shares(commits, keys, 1)
-    found = first.join(churn(commits, keys), list(keys)).where((F.col("churn") >= 3) & (F.col("share") >= 0.8))
+def bus_factor(commits: DataFrame, keys=("path",), changed: DataFrame | None = None) -> DataFrame:
+    """Files with three or more commits of which one author made four fifths; changed is the churn of commits if it is known."""
+    first = author_shares(commits, keys, 1).where("share >= 0.8")
+    found = first.join((churn(commits, keys) if changed is None else changed).where("churn >= 3"), list(keys))
     return found.select(*keys, F.col("author").alias("primary_author"), "share", "churn")
 
 
@@ -49,9 +50,10 @@ def risk_score(churn: Column, complexity: Column, authors: Column, days: Column,
 def hotspots(commits: DataFrame, complexity: DataFrame, issues: DataFrame, coverage: DataFrame, top: int | None = 100, keys=("path",)) -> DataFrame:
     """Files ranked by risk: change, complexity(path, cc), open issues(path, issues), single ownership, coverage(path, pct)."""
     now = F.broadcast(commits.agg(F.max("ts").alias("now")))
-    single = bus_factor(commits, keys).select(*keys, F.lit(True).alias("single"))
+    changed = save(churn(commits, keys), "churn")
+    single = bus_factor(commits, keys, changed).select(*keys, F.lit(True).alias("single"))
     on = list(keys)
-    rows = churn(commits, keys).join(complexity, on, "left").join(issues, on, "left").join(coverage, on, "left").join(single, on, "left").crossJoin(now)
+    rows = changed.join(complexity, on, "left").join(issues, on, "left").join(coverage, on, "left").join(single, on, "left").crossJoin(now)
     rows = rows.withColumn("days", F.datediff("now", "last_change")).withColumn("issues", F.coalesce("issues", F.lit(0))).withColumn("single", F.coalesce("single", F.lit(False)))
     score = risk_score(*[F.col(c) for c in ("churn", "cc", "authors", "days", "issues", "single", "pct")])
     rows = rows.withColumn("risk_score", score).where("risk_score > 0").select(*keys, "churn", "authors", "days", "cc", "issues", "single", "pct", "risk_score")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import ancestors
+from cartolode.operators.ordered import numbered
 
 #: A function is complex from HIGH on, and a rise of JUMP is a risk of its own.
 HIGH, JUMP = 10, 5
@@ -56,11 +57,9 @@ def review_totals(changes: DataFrame) -> DataFrame:
 def diff_dependencies(base: DataFrame, head: DataFrame, keys: tuple = ("manifest", "name")) -> DataFrame:
     """Dependencies(manifest, name, version, kind) added, removed, bumped (another version) or moved (another kind only)."""
     names = [F.col(c).alias(f"old_{c}") for c in ("version", "kind")]
-    both = base.select(*keys, *names).join(head.select(*keys, "version", "kind"), list(keys), "full")
-    change = (
-        F.when(F.col("old_version").isNull(), "added").when(F.col("version").isNull(), "removed")
-        .when(F.col("old_version") != F.col("version"), "bumped").when(F.col("old_kind") != F.col("kind"), "moved")
-    )
+    both = base.select(*keys, *names, F.lit(True).alias("in_base")).join(head.select(*keys, "version", "kind", F.lit(True).alias("in_head")), list(keys), "full")
+    differ = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(c))
+    change = F.when(F.col("in_base").isNull(), "added").when(F.col("in_head").isNull(), "removed").when(differ("version"), "bumped").when(differ("kind"), "moved")
     return both.select(*keys, "old_version", "version", change.alias("change")).where("change is not null")
 
 
@@ -84,14 +83,15 @@ def scope_status(checked: DataFrame) -> DataFrame:
 
 def trend(runs: DataFrame) -> DataFrame:
     """runs(run_ts, score), one row a run: the change of score and its direction, from the run before."""
-    rows = runs.withColumn("delta", F.col("score") - F.lag("score").over(Window.orderBy("run_ts")))
+    placed = numbered(runs, ["run_ts"], "place")
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("score").alias("before"))
+    rows = placed.join(before, "place", "left").withColumn("delta", F.col("score") - F.col("before")).select(*runs.columns, "delta")
     return rows.withColumn("direction", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").when(F.col("delta") == 0, "flat"))
 
 
 def chunks(ranked: DataFrame, order: list, size: int = 20, by: tuple = ()) -> DataFrame:
     """Each group's ranked rows in chunks of fixed size, counted from 0."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return ranked.withColumn("chunk", F.floor(place / size))
+    return numbered(ranked, order, "chunk", by).withColumn("chunk", F.floor((F.col("chunk") - 1) / size))
 
 
 def coupling_in_cycles(coupled: DataFrame, cyclic: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import ancestors, parent_dir, round_half_up
+from cartolode.operators.ordered import numbered, running
 
 
 def scope(df: DataFrame, prefixes: list[str], path: str = "path") -> DataFrame:
@@ -32,7 +33,7 @@ def override_severity(issues: DataFrame, overrides: DataFrame) -> DataFrame:
 def redact_paths(df: DataFrame, path: str = "path", order: str = "doc_id") -> DataFrame:
     """A number for each path, in order of first occurrence."""
     first = df.groupBy(path).agg(F.min(order).alias("first"))
-    return first.select(path, F.concat(F.lit("file-"), F.row_number().over(Window.orderBy("first", path)).cast("string")).alias("alias"))
+    return numbered(first, ["first", path], "n").select(path, F.concat(F.lit("file-"), F.col("n").cast("string")).alias("alias"))
 
 
 def _penalty() -> Column:
@@ -107,7 +108,7 @@ def rank_findings(findings: DataFrame) -> DataFrame:
     """First of each id(finding_id, priority, source, position), then ranked by priority, source and id."""
     first = F.row_number().over(Window.partitionBy("finding_id").orderBy("position"))
     once = findings.withColumn("nth", first).where("nth = 1").drop("nth", "position")
-    return once.withColumn("rank", F.row_number().over(Window.orderBy("priority", "source", "finding_id")))
+    return numbered(once, ["priority", "source", "finding_id"], "rank")
 
 
 def to_findings(issues: DataFrame) -> DataFrame:
@@ -121,15 +122,14 @@ def unused(declared: DataFrame, used: DataFrame, key: str) -> DataFrame:
 
 def budget_prefix(ranked: DataFrame, size: Column, order: list, budget: int, by: tuple = ()) -> DataFrame:
     """The longest prefix of each group's ranked rows whose sizes stay within the budget."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("used", F.sum(size).over(run)).where(F.col("used") <= budget)
+    return running(ranked, order, size, "used", by).where(F.col("used") <= budget)
 
 
 def page(ranked: DataFrame, order: list, number: int, size: int, by: tuple = ()) -> DataFrame:
     """Rows of one page of each group, counted from 0; sizes from 1 to 500."""
     size = min(max(size, 1), 500)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return ranked.withColumn("place", place).where((F.col("place") >= number * size) & (F.col("place") < (number + 1) * size))
+    placed = numbered(ranked, order, "place", by).withColumn("place", F.col("place") - 1)
+    return placed.where((F.col("place") >= number * size) & (F.col("place") < (number + 1) * size))
 
 
 def feedback_summary(feedback: DataFrame) -> DataFrame:

@@ -133,6 +133,12 @@ ORACLE_SQL = {
     "postings": f"WITH {_INDEX} SELECT * FROM postings",
     "bm25": _more(("queries",), _SEARCH + ", " + _bm25("0.75", "found"), "SELECT * FROM found"),
     "vector_topk": W("SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, floor(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * 10000 + 0.5) / 10000 AS score FROM embeddings e JOIN vecq q ON e.vec_id <> q.vec_id) t QUALIFY rank <= 5", "vecq"),
+    "bm25_boosted": _more(("queries", "files"), _SEARCH + f""", docs AS (SELECT doc_id, concat(lang, 'Anat ', split_part(text, ' ', 1)) AS text FROM documents), places AS (SELECT doc_id, path AS text FROM files),
+      parts AS (SELECT item_id, p.doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean_dl)) AS part FROM postings p JOIN terms q ON p.term = q.term JOIN freq f ON f.term = p.term JOIN lengths l ON l.doc_id = p.doc_id CROSS JOIN whole
+        UNION ALL SELECT item_id, doc_id, 2.0 FROM (SELECT DISTINCT doc_id, term FROM {_terms('docs', 'doc_id')} z) s JOIN terms q ON s.term = q.term
+        UNION ALL SELECT item_id, doc_id, 0.5 FROM (SELECT DISTINCT doc_id, term FROM {_terms('places', 'doc_id')} z) s JOIN terms q ON s.term = q.term),
+      scored AS (SELECT item_id, doc_id, floor(sum(part) * 100 + 0.5) / 100 AS score FROM parts GROUP BY 1, 2)""", "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 30"),
+    "postings_gated": "SELECT term, doc_id, count(*) AS tf FROM " + _terms("(SELECT * FROM documents WHERE lang IN ('en', 'fr') AND octet_length(encode(text)) <= 4000)", "doc_id") + " z GROUP BY term, doc_id",
     "rrf": _more(("queries",), _SEARCH + ", " + _bm25("0.75", "one") + ", " + _bm25("0.0", "two"), "SELECT item_id, doc_id, floor(sum(1.0 / (60 + rank)) * 1000000 + 0.5) / 1000000 AS score FROM (SELECT item_id, doc_id, rank FROM one UNION ALL SELECT item_id, doc_id, rank FROM two) t GROUP BY item_id, doc_id"),
     "symbol_search": "SELECT DISTINCT p_name AS symbol, CASE WHEN lower(p_name) = 're' THEN 0 WHEN starts_with(lower(p_name), 're') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name), 're') ORDER BY rank, symbol LIMIT 30",
     "proof_status": W("""SELECT command, CASE WHEN completed_at IS NULL THEN 'missing' WHEN datediff('day', CAST(completed_at AS DATE), CAST((SELECT max(completed_at) FROM ledger) AS DATE)) > 0 THEN 'stale' WHEN exit_code <> 0 THEN 'failed' ELSE 'passed' END AS status

@@ -110,6 +110,8 @@ QUERIES = {
     "postings": lambda s, d: search.postings(T(s, d, "documents")),
     "bm25": lambda s, d: search.bm25(_index(s, d), V(s, d, "queries")),
     "vector_topk": lambda s, d: search.vector_topk(T(s, d, "embeddings"), V(s, d, "vecq")),
+    "bm25_boosted": lambda s, d: search.bm25(_index(s, d), V(s, d, "queries"), symbols=T(s, d, "documents").selectExpr("doc_id", "concat(lang, 'Anat ', split(text, ' ')[0]) as text"), paths=V(s, d, "files").selectExpr("doc_id", "path as text")).select("item_id", "doc_id", "score", "rank"),
+    "postings_gated": lambda s, d: search.postings(T(s, d, "documents").selectExpr("doc_id", "text", "concat('a/b.', lang) as path"), path="path", exts=(".en", ".fr"), most_bytes=4000),
     "rrf": _fused,
     "symbol_search": lambda s, d: search.symbol_search(T(s, d, "part").select(F.col("p_name").alias("symbol")).distinct(), "re"),
     "proof_status": lambda s, d: status.proof_status(V(s, d, "ledger").select("command").distinct().unionByName(s.sql("SELECT 'never-run' AS command")), history.latest_per_key(V(s, d, "ledger")), 0),

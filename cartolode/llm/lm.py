@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -23,52 +23,114 @@ FIT, HELD = 0, 1
 WORDS, PAIRS = 1 << 19, 1 << 18
 #: Pairs to hold are proposed by one in so many texts, and then counted in all.
 SAMPLE = 16
-#: Tokens that a task works on at a time, and bytes of a text that it splits at a time.
-BLOCK, PIECE = 1 << 18, 1 << 20
+#: Bytes of texts that a task works on at a time; a longer text is split at blanks.
+PIECE = 1 << 20
 #: Words are known by hashes with the lowest and the highest bit clear; those of the ends of a text no word has, as words hold
 #: no blank. The highest bit marks what is a hash and no place.
 RARE, INNER = np.uint64(1 << 63), np.uint64((1 << 63) - 2)
-START, END = (xxhash.xxh64_intdigest(x) & int(INNER) for x in (b" start", b" end"))
+START, END = np.uint64(2), np.uint64(4)
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Of each byte its lower case, 0 for blanks and, for zero, 255, which no UTF-8 text has.
+_LOWER = np.array([0 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c or 255 for c in range(256)], np.uint8)
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse modulo 2^64, 2^bits of each."""
+    each = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        factors = np.full(1 << bits, x, np.uint64)
+        factors[0] = 1
+        each.append(np.cumprod(factors, dtype=np.uint64))
+    return tuple(each)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word in lower case, and where it begins: bytes plus one are the digits of a number to the base _BASE,
+    of which sums of all that stands before give each word's."""
+    low = _LOWER[np.frombuffer(data, np.uint8)]
+    edge = np.diff((low > 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(max(len(low), 1 << 12).bit_length())
+    total = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(low)], out=total[1:])
+    h = (total[last] - total[first]) * inverse[first]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h & INNER, first
+
+
+def text_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all texts in a row START, the hash of each word and END, and how many of them each text has."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    whole, parts, at, counts = b" ".join([*texts, b""]), [], 0, np.zeros(len(texts), np.int64)
+    while at < len(whole):
+        cut = SPACE.search(whole, at + PIECE)
+        end = cut.start() + 1 if cut else len(whole)
+        h, first = word_hashes(whole[at:end])
+        counts += np.bincount(np.searchsorted(ends, first + at, side="right"), minlength=len(texts))
+        parts.append(h)
+        at = end
+    counts += 2
+    stop = np.cumsum(counts)
+    out = np.full(int(stop[-1]), START)
+    out[stop - 1] = END
+    inner = np.ones(len(out), bool)
+    inner[stop - 1] = inner[stop - counts] = False
+    out[inner] = np.concatenate(parts)
+    return out, counts
 
 
 def token_hashes(text: bytes | None) -> np.ndarray:
-    """START, the hash of each word in lower case, END."""
-    data, out, at = (text or b"").lower(), [np.array([START], np.uint64)], 0
-    while at < len(data):
-        cut = SPACE.search(data, at + PIECE)
-        end = cut.start() if cut else len(data)
-        words = data[at:end].split()
-        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & INNER)
-        at = end
-    return np.concatenate([*out, np.array([END], np.uint64)])
+    return text_hashes([text or b""])[0]
+
+
+class Sorted:
+    """Numbers of uniformly spread keys in a sorted array, looked up from where the keys of their highest bits begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64((1 << 64) - 1))
+        bits = max(1, len(keys)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, -1 for those that are no keys."""
+        at = self.begin[(wanted >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.keys[at] < wanted)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < wanted[left]]
+        return np.where(self.keys[at] == wanted, at, -1).astype(np.int64)
 
 
 class Block:
     """The tokens of some whole texts in a row: of each token its hash and the number of its text in the block."""
 
-    def __init__(self, texts: list[tuple[tuple, np.ndarray]]):
-        self.rows = [r for r, _ in texts]
-        self.hash = np.concatenate([t for _, t in texts])
-        self.text = np.repeat(np.arange(len(texts)), [len(t) for _, t in texts])
-        self.part = np.array([r[0] if r[0] is not None else -1 for r in self.rows])
+    def __init__(self, rows: list[tuple], texts: list[bytes]):
+        self.rows = rows
+        self.hash, counts = text_hashes(texts)
+        self.text = np.repeat(np.arange(len(texts)), counts)
+        self.part = np.array([r[0] for r in rows])
         #: Places of the tokens that are predicted; the one before each is its context.
-        self.at = np.flatnonzero(self.hash != np.uint64(START))
+        self.at = np.flatnonzero(self.hash != START)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """Blocks of the rows (part, ..., t)."""
-    texts, size = [], 0
+    rows, texts, size = [], [], 0
     for b in batches:
-        for row in zip(*b.columns):
-            tokens = token_hashes(row[-1].as_py())
-            texts.append((tuple(x.as_py() for x in row[:-1]), tokens))
-            size += len(tokens)
-            if size >= BLOCK:
-                yield Block(texts)
-                texts, size = [], 0
-    if texts:
-        yield Block(texts)
+        for row in zip(*(c.to_pylist() for c in b.columns[:-1]), b.columns[-1]):
+            rows.append(row[:-1])
+            texts.append(row[-1].as_py() or b"")
+            size += len(texts[-1])
+            if size >= PIECE:
+                yield Block(rows, texts)
+                rows, texts, size = [], [], 0
+    if rows:
+        yield Block(rows, texts)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -83,20 +145,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(word), *map(pa.array, counts)], ["h", "fit", "held"])
 
 
+#: Spreads the codes of pairs over all 64 bits, each to another number.
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
 class Counts:
     """The commonest words and START in order of their hashes, and the held pairs of them in order of their codes; a code is
     the place of the first word times 2^20 and that of the second."""
 
     def __init__(self, hashes: np.ndarray, fit: np.ndarray, held: np.ndarray):
         order = np.argsort(hashes)
-        self.hash, self.fit, self.held = hashes[order], fit[order], held[order]
-        self.pair, self.pair_fit = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.word, self.fit, self.held = Sorted(hashes[order] << np.uint64(1)), fit[order], held[order]
+        self.hold(np.zeros(0, np.int64))
+
+    def hold(self, codes: np.ndarray) -> None:
+        """Hold these pairs."""
+        mixed = codes.astype(np.uint64) * MIX
+        order = np.argsort(mixed)
+        self.pair, self.mixed, self.pair_fit = codes[order], Sorted(mixed[order]), np.zeros(len(codes), np.int64)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each word, -1 for those that are not held."""
-        at = np.searchsorted(self.hash, hashes)
-        at[at == len(self.hash)] = 0
-        return np.where(self.hash[at] == hashes, at, -1)
+        return self.word.find(hashes << np.uint64(1))
 
     def pairs(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each predicted token of b the places of its context and of itself, and the code of both or -1."""
@@ -106,11 +176,8 @@ class Counts:
 
     def find(self, code: np.ndarray) -> np.ndarray:
         """The number of the held pair of each code, -1 for others."""
-        if not len(self.pair):
-            return np.full(len(code), -1)
-        at = np.searchsorted(self.pair, code)
-        at[at == len(self.pair)] = 0
-        return np.where(self.pair[at] == code, at, -1)
+        at = self.mixed.find(code.astype(np.uint64) * MIX)
+        return np.where(code >= 0, at, -1)
 
 
 def _propose_pairs(shared) -> Callable:
@@ -285,7 +352,7 @@ def _held_counts(learned: DataFrame, words: DataFrame, texts: tuple[int, int]) -
     rows = learned.select("part", "t")
     proposed = rows.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).mapInArrow(_propose_pairs(shared), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     shared.unpersist()
-    v.pair = np.sort(_commonest(save(proposed.where("n > 1"), "proposed"), PAIRS).select("code").toArrow().column(0).to_numpy())
+    v.hold(_commonest(save(proposed.where("n > 1"), "proposed"), PAIRS).select("code").toArrow().column(0).to_numpy())
     shared = spark.sparkContext.broadcast(v)
     counted = rows.mapInArrow(_count_pairs(shared), "pair long, fit long, held long").groupBy("pair").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held")).toArrow()
     shared.unpersist()
@@ -339,18 +406,33 @@ class Found:
         self.new, self.every = rare & predicted, column("every")
 
 
+#: Rows found whose changes a task adds up by text before it passes them on.
+ROWS = 1 << 20
+
+
 def _changes(shared) -> Callable:
     """What the rows found change in the sums of their texts."""
 
+    def total(parts: list[tuple]) -> pa.RecordBatch:
+        doc, *sums = (np.concatenate(x) for x in zip(*parts))
+        doc, which = np.unique(doc, return_inverse=True)
+        sums = [np.bincount(which, x, len(doc)) for x in sums]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.round(sums[2]).astype(np.int64))], ["doc", "more_score", "more_base", "more_known"])
+
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, parts, size = shared.value, [], 0
         for b in batches:
             x = Found(b, model.counts)
             score = x.m * (model.logp(x.pair, x.context, x.word) - np.where(x.neither, 0.0, model.logp(x.was_pair, x.was_context, x.was_word)))
             one = (x.part >= 0).astype(np.int64)
             base = np.where(x.new, model.base(x.every) - model.base(one), 0.0)
-            known = np.where(x.new, (x.every > 0).astype(np.int64) - one, 0)
-            yield pa.RecordBatch.from_arrays([x.doc, pa.array(score), pa.array(base), pa.array(known)], ["doc", "more_score", "more_base", "more_known"])
+            parts.append((x.doc.to_numpy(), score, base, np.where(x.new, (x.every > 0).astype(np.int64) - one, 0)))
+            size += b.num_rows
+            if size >= ROWS:
+                yield total(parts)
+                parts, size = [], 0
+        if parts:
+            yield total(parts)
 
     return changes
 
@@ -381,7 +463,7 @@ def fit_and_score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_co
     words = learned.select("part", "t").mapInArrow(_count_words, "h long, fit long, held long").groupBy("h").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"))
     words = save(words, "words")
     n, fit_n, v = words.agg(F.coalesce(F.sum(F.col("fit") + F.col("held")), F.lit(0)), F.coalesce(F.sum("fit"), F.lit(0)), F.count("*")).first()
-    ends = words.where(F.col("h") == int(np.uint64(END).view(np.int64))).select("fit", "held").first()
+    ends = words.where(F.col("h") == int(END)).select("fit", "held").first()
     counts, events = _held_counts(learned, words, tuple(ends) if ends else (0, 0))
     model = Model(counts, n, v, fit_n)
     found = _looked_up(rows, words, counts)

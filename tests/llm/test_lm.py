@@ -52,7 +52,7 @@ def test_language_model(spark, words, pairs, monkeypatch):
     monkeypatch.setattr(lm, "WORDS", words)
     monkeypatch.setattr(lm, "PAIRS", pairs)
     monkeypatch.setattr(lm, "SAMPLE", 2)
-    monkeypatch.setattr(lm, "BLOCK", 500)
+    monkeypatch.setattr(lm, "PIECE", 700)
     df, rows = documents(spark, 200)
     got, model = scored(df)
     assert Counter(got) == plain(rows, model.weights)
@@ -84,6 +84,19 @@ def test_the_bigram_beats_the_unigram_where_words_follow_each_other(spark):
 
 def test_long_texts_are_split_at_blanks(monkeypatch):
     text = b"Aa b\tcc  ddd\n" * 50
+    assert len(set(lm.token_hashes(b"aa AA b bb ab ba \x00 a\x00 \x00a \x80").tolist())) == 11
+    line, counts = lm.text_hashes([b"x y", b"", b" y", b"zz\tx"])
+    x, y, z = lm.token_hashes(b"x y zz")[1:4]
+    assert line.tolist() == [2, x, y, 4, 2, 4, 2, y, 4, 2, z, x, 4] and counts.tolist() == [4, 2, 3, 4]
     whole = lm.token_hashes(text)
     monkeypatch.setattr(lm, "PIECE", 7)
     assert (lm.token_hashes(text) == whole).all() and len(whole) == 202 and len(lm.token_hashes(None)) == 2
+
+
+def test_sorted_keys_are_found():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        keys = np.sort(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1))
+        wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 63, 50, np.uint64)])
+        place = {int(k): i for i, k in enumerate(keys)}
+        assert lm.Sorted(keys).find(wanted).tolist() == [place.get(int(k), -1) for k in wanted]

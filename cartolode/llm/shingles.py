@@ -27,6 +27,8 @@ WIDE, MASKED = 16, 44
 SLACK = 0.08
 #: Buckets are compared in blocks of so many texts, every two of which meet in a task.
 BLOCK = 1024
+#: Texts whose buckets a task makes.
+TASK_TEXTS = 3000
 _RANDOM = np.random.default_rng(SEED)
 _START, _TURN = (_RANDOM.integers(0, 1 << 63, WIDE, np.uint64) for _ in range(2))
 _TURN = 2 * _TURN + np.uint64(1)
@@ -164,7 +166,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     prints = save(rows.mapInArrow(_prints(width), "doc_id long, node long, wide array<long>"), "prints")
     classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "classes")
-    words = classes.select("node", F.posexplode("wide").alias("w", "x"))
+    # A text has a row for every mask: tasks take few enough texts that none spills while it counts them.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // TASK_TEXTS))
+    words = classes.repartition(parts, "node").select("node", F.posexplode("wide").alias("w", "x"))
     masks = covering_masks(list(range(MASKED)), RADIUS)
     buckets = words.select("node", F.explode(F.array(*[F.xxhash64(F.lit(k), "w", F.col("x").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("bucket"))
     shared = save(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1"), "shared")

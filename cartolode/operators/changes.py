@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import ancestors
 from cartolode.operators.ordered import numbered
+from cartolode.operators.rules import health_score
 
 
 def split(snap: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,3 +83,9 @@ def diff_issues(base: DataFrame, head: DataFrame, keys: tuple = ("rule_id", "pat
     """Distinct issues that are new in head or resolved since base: (keys, status)."""
     sides = [a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys), "left_anti").withColumn("status", F.lit(n)) for a, b, n in ((head, base, "new"), (base, head, "resolved"))]
     return sides[0].unionByName(sides[1])
+
+
+def score_delta(base: DataFrame, head: DataFrame, by: str = "source") -> DataFrame:
+    """The health score of each group's issues before and after, and the difference; a group without issues has 100."""
+    sides = [health_score(issues, (by,)).select(by, F.col("score").alias(name)) for issues, name in ((base, "before"), (head, "after"))]
+    return sides[0].join(sides[1], by, "full").fillna(100, ["before", "after"]).withColumn("delta", F.col("after") - F.col("before"))

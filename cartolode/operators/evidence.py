@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -202,6 +203,17 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, name.alias("secret")).where("secret is not null")
 
 
+def secret_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, line, secret): the first line of each document that fits a pattern, and the first pattern there whose value is no
+    template; lines that are comments as a whole do not count."""
+    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), r"\r?\n", -1)).alias("k", "x")).where(~F.trim("x").rlike(r"^(?://|#|\*|/\*|<!--)"))
+    value = lambda p: F.when(F.regexp_extract("x", p, 1) != "", F.regexp_extract("x", p, 1)).otherwise(F.regexp_extract("x", p, 0)) if re.compile(p).groups else F.regexp_extract("x", p, 0)
+    fits = lambda p: F.col("x").rlike(p) & ~F.contains(value(p), F.lit("{{")) & ~F.contains(value(p), F.lit("}}"))
+    name = reduce(lambda rest, s: F.when(fits(s[1]), s[0]).otherwise(rest), reversed(SECRETS), F.lit(None).cast("string"))
+    found = lines.select(id_col, (F.col("k") + 1).alias("line"), name.alias("secret")).where("secret is not null")
+    return found.groupBy(id_col).agg(F.min(F.struct("line", "secret")).alias("x")).select(id_col, "x.line", "x.secret")
+
+
 def excerpts(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
     """(doc, line, excerpt): the first line that holds one of the terms, in any case, trimmed and cut to a width for display."""
     lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, k: F.struct((k + 1).alias("line"), x.alias("x")))

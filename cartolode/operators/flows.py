@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.sources.tables import save
@@ -110,6 +110,26 @@ def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: list[str]) -
     return rows.withColumn("package", F.when(F.col("target").isNull(), F.substring_index("spec", "/", 1)))
 
 
+#: What each look-up finds: the kind of edge, the end that is asked for and the end that is found.
+LOOK_UPS = {
+    "imports": ("file", "start", "end"),
+    "importers": ("file", "end", "start"),
+    "exports": ("symbol", "start", "end"),
+    "definitions": ("symbol", "end", "start"),
+    "package_importers": ("package", "end", "start"),
+}
+
+
+def look_up(index: DataFrame, asked: DataFrame, what: str, limit: int = 500) -> DataFrame:
+    """(name, found, truncated) for each of asked(name): the first of what edge_index's rows hold, in order, 1 to 500 of them."""
+    kind, at, to = LOOK_UPS[what]
+    limit = min(max(limit, 1), 500)
+    rows = index.where(F.col("kind") == kind).select(F.col(at).alias("name"), F.col(to).alias("found")).distinct().join(asked.select("name").distinct(), "name", "left_semi")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("found"))).where(F.col("place") <= limit + 1)
+    more = rows.groupBy("name").agg((F.count("*") > limit).alias("truncated"))
+    return rows.where(F.col("place") <= limit).join(more, "name").select("name", "found", "truncated")
+
+
 def edge_index(resolved: DataFrame, exports: DataFrame) -> DataFrame:
     """The three indexes of a graph as one table (kind, start, end), kind being file, package or symbol, from resolve_imports'
     rows and exports(path, name). A reader prunes by kind."""

@@ -30,6 +30,13 @@ def impact(edges: DataFrame, seeds: DataFrame, max_distance: int = 10) -> DataFr
     return found
 
 
+def impact_report(edges: DataFrame, seeds: DataFrame, max_distance: int = 10) -> DataFrame:
+    """impact, and whether anything lies one hop beyond: (path, distance, truncated)."""
+    found = impact(edges, seeds, max_distance + 1)
+    beyond = F.broadcast(found.agg(F.coalesce(F.max(F.col("distance") > max_distance), F.lit(False)).alias("truncated")))
+    return found.where(F.col("distance") <= max_distance).crossJoin(beyond)
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges left when nodes without predecessor or successor are taken away again and again."""
     edges, n = save(edges.where("src <> dst").select("src", "dst").distinct(), "trimmed"), -1

@@ -88,19 +88,24 @@ def coverage_total(coverage: DataFrame) -> DataFrame:
     return coverage.agg(found.alias("found"), hit.alias("hit"), F.when(found > 0, round_half_up(100 * hit / found, 1)).otherwise(0.0).alias("pct"))
 
 
-def rule_memory(runs: DataFrame, keys: tuple = ()) -> DataFrame:
-    """Per rule of runs(run_ts, rule_id): first and last seen, in how many runs, and how often it was gone a run later."""
+def rule_memory(runs: DataFrame, keys: tuple = (), suppressed: DataFrame | None = None) -> DataFrame:
+    """Per rule of runs(run_ts, rule_id): first and last seen, in how many runs, and how often it was gone a run later.
+    A rule of suppressed(keys, rule_id) is never fixed by being gone; the memory then says of each rule whether it is one."""
     spine = runs.select(*keys, "run_ts").distinct()
     order = Window.partitionBy(*keys).orderBy("run_ts")
     following = spine.withColumn("next_run", F.lead("run_ts").over(order))
     seen = runs.select(*keys, "rule_id", "run_ts").distinct().join(following, [*keys, "run_ts"])
     rule = Window.partitionBy(*keys, "rule_id").orderBy("run_ts")
     fixed = F.col("next_run").isNotNull() & (F.col("again").isNull() | (F.col("again") != F.col("next_run")))
-    return (
+    memory = (
         seen.withColumn("again", F.lead("run_ts").over(rule))
         .groupBy(*keys, "rule_id")
         .agg(F.min("run_ts").alias("first_seen"), F.max("run_ts").alias("last_seen"), F.count("*").alias("run_count"), F.count_if(fixed).alias("fixed_count"))
     )
+    if suppressed is None:
+        return memory
+    marked = memory.join(suppressed.select(*keys, "rule_id", F.lit(True).alias("suppressed")).distinct(), [*keys, "rule_id"], "left").fillna(False, ["suppressed"])
+    return marked.withColumn("fixed_count", F.when(F.col("suppressed"), 0).otherwise(F.col("fixed_count")).cast("long"))
 
 
 def _age(memory: DataFrame) -> DataFrame:
@@ -108,7 +113,9 @@ def _age(memory: DataFrame) -> DataFrame:
 
 
 def stable_rules(memory: DataFrame) -> DataFrame:
-    return _age(memory).where("run_count >= 3 and fixed_count = 0 and age_days >= 7").select("rule_id", "run_count", "age_days")
+    """Rules of three runs and seven days or more that were never fixed; suppressed ones are not stable."""
+    open_ = memory.where("not suppressed") if "suppressed" in memory.columns else memory
+    return _age(open_).where("run_count >= 3 and fixed_count = 0 and age_days >= 7").select("rule_id", "run_count", "age_days")
 
 
 def rule_confidence(memory: DataFrame) -> DataFrame:
@@ -158,6 +165,13 @@ def cost_snapshot(cost: DataFrame, key: str = "tool") -> DataFrame:
     )
 
 
+def top_spenders(cost: DataFrame, top: int = 10, key: str = "tool") -> DataFrame:
+    """The tools of cost(key, tokens) that took most tokens, at most 50: (key, total, calls, mean, rank)."""
+    rows = cost.groupBy(key).agg(F.sum("tokens").alias("total"), F.count("*").alias("calls"), F.floor(F.avg("tokens") + 0.5).alias("mean"))
+    first = rows.orderBy(F.desc("total"), key).limit(min(max(top, 1), 50))
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), key)))
+
+
 def touches(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("touches"), F.max("ts").alias("last_touch"), F.min_by("event_type", F.struct("ts", "event_id")).alias("first_source"))
 

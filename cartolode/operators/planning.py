@@ -82,17 +82,26 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(F.lower(F.substring_index(path, "/", -1)), r"\.[^.]+$", "")
 
 
+#: Characters of a text that are looked through from one start, and names up to which they are broadcast.
+WINDOW, MENTIONED = 256, 100_000
+
+
 def contained(texts: DataFrame, names: DataFrame, key: str, text: str = "text", name: str = "name") -> DataFrame:
-    """Distinct (key, name) of every name that a text holds anywhere, inside longer words too. Texts and names meet on the first
-    four characters at each place, or on the whole of shorter names, and then on the rest; null and empty names are nowhere."""
+    """Distinct (key, name) of every name that a text holds anywhere, inside longer words too. Texts are cut into windows that
+    overlap by the longest name; windows and names meet on the first four characters at each place, or on the whole of
+    shorter names, and then on the rest. Null and empty names are nowhere."""
     known = names.select(F.col(name).alias("name")).where("name <> ''").distinct().withColumn("head", F.substring("name", 1, 4))
-    widths = [r[0] for r in known.select(F.length("head").alias("n")).distinct().collect()]
+    widths = known.groupBy(F.length("head").alias("n")).agg(F.max(F.length("name")).alias("longest")).collect()
     if not widths:
         return texts.select(key).limit(0).withColumn("name", F.lit(None).cast("string"))
-    places = texts.select(key, F.col(text).alias("t"), F.posexplode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))).alias("at", "place")).drop("at")
-    heads = places.select(key, "t", "place", F.explode(F.array(*[F.lit(w) for w in sorted(widths)])).alias("w"))
-    heads = heads.withColumn("head", F.expr("substring(t, place, w)")).where("length(head) = w")
-    met = heads.join(known, "head").where("substring(t, place, length(name)) = name")
+    reach = WINDOW + max(r["longest"] for r in widths)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(WINDOW))
+    windows = texts.where(F.length(text) > 0).select(key, F.explode(F.transform(starts, lambda p: F.substring(F.col(text), p, F.lit(reach)))).alias("t"))
+    at = F.sequence(F.lit(1), F.least(F.length("t"), F.lit(WINDOW)))
+    heads = [F.transform(at, lambda p, w=r["n"]: F.struct(p.alias("place"), F.substring(F.col("t"), p, F.lit(w)).alias("head"))) for r in widths]
+    places = windows.select(key, "t", F.explode(F.concat(*heads)).alias("x")).select(key, "t", "x.place", "x.head")
+    rows = known.limit(MENTIONED + 1).count()
+    met = places.join(F.broadcast(known) if rows <= MENTIONED else known, "head").where("substring(t, place, length(name)) = name")
     return met.select(key, "name").distinct()
 
 

@@ -77,6 +77,31 @@ def languages(files: DataFrame, ext: str = "ext") -> DataFrame:
     return counts.withColumn("percent", round_half_up(100 * F.col("files") / F.sum("files").over(Window.partitionBy()), 1))
 
 
+#: The language of each extension, and languages of data and prose, which are no project's primary one.
+EXTENSION_LANGUAGES = {
+    ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript",
+    ".py": "Python", ".pyw": "Python", ".rb": "Ruby", ".go": "Go", ".rs": "Rust", ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin",
+    ".swift": "Swift", ".cs": "C#", ".cpp": "C++", ".cc": "C++", ".cxx": "C++", ".c": "C", ".h": "C", ".hpp": "C++", ".php": "PHP",
+    ".dart": "Dart", ".scala": "Scala", ".clj": "Clojure", ".ex": "Elixir", ".exs": "Elixir", ".erl": "Erlang", ".hs": "Haskell",
+    ".lua": "Lua", ".r": "R", ".R": "R", ".pl": "Perl", ".pm": "Perl", ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell", ".fish": "Shell",
+    ".css": "CSS", ".scss": "SCSS", ".sass": "SASS", ".less": "Less", ".html": "HTML", ".htm": "HTML", ".vue": "Vue", ".svelte": "Svelte",
+    ".sql": "SQL", ".graphql": "GraphQL", ".gql": "GraphQL", ".proto": "Protocol Buffers", ".json": "JSON", ".yaml": "YAML", ".yml": "YAML",
+    ".toml": "TOML", ".xml": "XML", ".md": "Markdown", ".mdx": "MDX", ".txt": "Text",
+}
+DATA_LANGUAGES = ("JSON", "YAML", "TOML", "XML", "Markdown", "Text", "MDX")
+
+
+def language_report(files: DataFrame, ext: str = "ext") -> DataFrame:
+    """(language, files, percent, extensions, is_primary) of files whose extension is known; the primary language has the most
+    files, the first by name of equals, data and prose left out."""
+    known = F.create_map(*[F.lit(x) for pair in EXTENSION_LANGUAGES.items() for x in pair])
+    rows = files.select(F.col(ext).alias("ext"), known[F.col(ext)].alias("language")).where("language is not null")
+    by = rows.groupBy("language", "ext").agg(F.count("*").alias("n")).groupBy("language").agg(F.sum("n").alias("files"), F.array_join(F.sort_array(F.collect_list("ext")), ",").alias("extensions"))
+    whole = by.agg(F.sum("files").alias("all"), F.min(F.when(~F.col("language").isin(*DATA_LANGUAGES), F.struct((-F.col("files")).alias("less"), "language"))).alias("first"))
+    rows = by.crossJoin(F.broadcast(whole))
+    return rows.select("language", "files", round_half_up(100 * F.col("files") / F.col("all"), 1).alias("percent"), "extensions", F.coalesce(F.col("language") == F.col("first.language"), F.lit(False)).alias("is_primary"))
+
+
 def large_dirs(files: DataFrame, over: int = 10, group: str = "dir") -> DataFrame:
     return files.groupBy(group).agg(F.count("*").alias("files")).where(F.col("files") > over)
 
@@ -132,6 +157,44 @@ def page(ranked: DataFrame, order: list, number: int, size: int, by: tuple = ())
     return placed.where((F.col("place") >= number * size) & (F.col("place") < (number + 1) * size))
 
 
+def page_after(ranked: DataFrame, order: list, size: int = 50, cursor: tuple[int, str] | None = None) -> DataFrame:
+    """The page that a cursor (offset, checksum) points to, of 1 to 500 rows, with place, total and the next page's offset and
+    checksum. The checksum is that of the number of rows: where it differs from the cursor's, paging begins anew."""
+    size, total = min(max(size, 1), 500), ranked.count()
+    checksum = f"len:{total}"
+    offset = cursor[0] if cursor and cursor[1] == checksum else 0
+    rows = numbered(ranked, order, "place").where((F.col("place") > offset) & (F.col("place") <= offset + size))
+    following = F.lit(offset + size if offset + size < total else None).cast("long")
+    return rows.withColumns({"total": F.lit(total).cast("long"), "next_offset": following, "checksum": F.lit(checksum)})
+
+
+#: Repeated use is ready from so many different pull requests and repositories that have several.
+READY_PRS, READY_REPOS = 3, 1
+
+
+def feedback_ready(feedback: DataFrame, least: int = 2) -> DataFrame:
+    """(prs, repeated_repos, ready): different pull requests, and repositories with several."""
+    repos = feedback.groupBy("repo").agg(F.countDistinct("pr").alias("n")).agg(F.count_if(F.col("n") >= least).alias("repeated_repos"))
+    rows = feedback.agg(F.countDistinct("pr").alias("prs")).crossJoin(F.broadcast(repos))
+    return rows.withColumn("ready", (F.col("prs") >= READY_PRS) & (F.col("repeated_repos") >= READY_REPOS))
+
+
+def kept_from_dead(path: Column, entries: tuple = ()) -> Column:
+    """Whether a file is never dead for want of importers: tests, barrels, and public entries with or without extension."""
+    base = F.substring_index(path, "/", -1)
+    stem = lambda c: F.regexp_replace(c, r"(?<=[^/])\.[^./]+$", "")
+    test = path.rlike(r"\.test\.|\.spec\.|__tests__|^tests/|/tests/") | base.rlike(r"^test_.+\.py$|^.+_test\.py$")
+    public = path.isin(*entries) | stem(path).isin(*entries) if entries else F.lit(False)
+    return test | stem(base).isin("index", "__init__") | public | path.startswith("src/index") | path.startswith("index.")
+
+
+def dead_files(files: DataFrame, edges: DataFrame, exports: DataFrame, entries: tuple = ()) -> DataFrame:
+    """Files of files(path) that export a name, that no other file of edges(src, dst) imports, and that nothing keeps."""
+    rows = files.select("path").distinct().join(exports.select("path").distinct(), "path", "left_semi")
+    used = edges.where("src <> dst").select(F.col("dst").alias("path")).distinct()
+    return rows.join(used, "path", "left_anti").where(~kept_from_dead(F.col("path"), entries))
+
+
 def feedback_summary(feedback: DataFrame) -> DataFrame:
     return feedback.agg(
         F.count("*").alias("entries"), F.count_if("useful").alias("useful"), F.countDistinct("repo").alias("repos"), F.countDistinct("pr").alias("prs"),

@@ -26,6 +26,20 @@ def preflight_verdict(issues: DataFrame, by: str = "source") -> DataFrame:
     return rows.select(by, F.when(F.col("worst") == 2, "block").when(F.col("worst") == 1, "caution").otherwise("proceed").alias("verdict"))
 
 
+def review_outcome(decisions: DataFrame, by: str = "run_id") -> DataFrame:
+    """decisions(by, decision) to (by, decisions, approvals, change_requests, version_reviews); to review a version is to approve."""
+    count = lambda *kinds: F.count_if(F.col("decision").isin(*kinds))
+    return decisions.groupBy(by).agg(
+        F.count("*").alias("decisions"), count("approve_next_slice", "review_version_candidate").alias("approvals"),
+        count("request_changes").alias("change_requests"), count("review_version_candidate").alias("version_reviews"),
+    )
+
+
+def reruns(records: DataFrame, by: str, id_col: str = "id") -> DataFrame:
+    """(by, reruns): how many records repeat an id that their group already has; records without one are no reruns."""
+    return records.groupBy(by).agg((F.count(id_col) - F.countDistinct(id_col)).alias("reruns"))
+
+
 def run_outcome(ledger: DataFrame, by: str = "command") -> DataFrame:
     """Per group: completed and failed records, and repeats of the same day."""
     return ledger.groupBy(by).agg(
@@ -46,7 +60,10 @@ def hotspot_delta(base: DataFrame, head: DataFrame, key: str = "path", score: st
 
 
 def cross_group_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges between nodes of different groups(path, name), counted by pair of groups."""
+    """Edges between nodes of different groups(path, name), counted by pair of groups; none where fewer than two groups
+    besides `root` exist."""
+    if groups.where("name <> 'root'").select("name").distinct().limit(2).count() < 2:
+        edges = edges.limit(0)
     a, b = groups.select(F.col("path").alias("src"), F.col("name").alias("src_group")), groups.select(F.col("path").alias("dst"), F.col("name").alias("dst_group"))
     return edges.join(a, "src").join(b, "dst").where("src_group <> dst_group").groupBy("src_group", "dst_group").agg(F.count("*").alias("edges"))
 

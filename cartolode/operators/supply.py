@@ -96,6 +96,12 @@ def dependency_risks(deps: DataFrame, licences: DataFrame, workspace: str = "wor
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def missing_lockfiles(deps: DataFrame, files: DataFrame, by: str = "repo") -> DataFrame:
+    """Repositories of deps(by, name) none of whose files(by, path) at the root is a lockfile: (by, rule, severity)."""
+    locked = files.where(F.col("path").isin("package-lock.json", "yarn.lock", "pnpm-lock.yaml")).select(by).distinct()
+    return deps.select(by).distinct().join(locked, by, "left_anti").select(by, F.lit("no-lockfile").alias("rule"), F.lit("medium").alias("severity"))
+
+
 def licence_summary(packages: DataFrame, licence: str = "licence") -> DataFrame:
     """(licence, packages, copyleft); packages without one count as UNKNOWN."""
     rows = packages.groupBy(F.coalesce(licence, F.lit("UNKNOWN")).alias("licence")).agg(F.count("*").alias("packages"))

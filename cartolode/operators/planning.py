@@ -98,7 +98,8 @@ def contained(texts: DataFrame, names: DataFrame, key: str, text: str = "text",
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(WINDOW))
     windows = texts.where(F.length(text) > 0).select(key, F.explode(F.transform(starts, lambda p: F.substring(F.col(text), p, F.lit(reach)))).alias("t"))
     at = F.sequence(F.lit(1), F.least(F.length("t"), F.lit(WINDOW)))
-    heads = [F.transform(at, lambda p, w=r["n"]: F.struct(p.alias("place"), F.substring(F.col("t"), p, F.lit(w)).alias("head"))) for r in widths]
+    head = lambda w: F.transform(at, lambda p: F.struct(p.alias("place"), F.substring(F.col("t"), p, F.lit(w)).alias("head")))
+    heads = [head(r["n"]) for r in widths]
     places = windows.select(key, "t", F.explode(F.concat(*heads)).alias("x")).select(key, "t", "x.place", "x.head")
     rows = known.limit(MENTIONED + 1).count()
     met = places.join(F.broadcast(known) if rows <= MENTIONED else known, "head").where("substring(t, place, length(name)) = name")

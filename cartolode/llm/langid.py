@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import grams, normalise
-from .common import remainder, save, small, table
+from .common import remainder, save, small, table, text_batches
 
 ORDER = 4
 #: About so many documents, of about so many characters, of each language are learned from; an eighth of the documents only
@@ -266,7 +266,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     drawn = save(drawn.groupBy("lang", "h").agg(F.first("t").alias("t")), "drawn")
     fit = F.pmod(F.xxhash64("h", F.lit(4)), F.lit(8)) > 0
     counted = drawn.where(fit).select("lang", "t").mapInPandas(_counter(order), "lang string, gram string, n long")
-    counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    with text_batches(spark):
+        counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
     model = Model(counts, order)

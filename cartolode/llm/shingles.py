@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import save, small, text_batches
 from .components import connected_components
 from .simhash import RADIUS, SEED, covering_masks, signed
 
@@ -163,6 +163,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts are one group; a null id is no candidate for component_id, which is null if its whole
     component has none; an empty table gives no rows.
     """
+    with text_batches(docs.sparkSession):
+        return _similar_groups(docs, id_col, text_col, width, least)
+
+
+def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     prints = save(rows.mapInArrow(_prints(width), "doc_id long, node long, wide array<long>"), "prints")
     classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "classes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolode.llm.common import remainder, save, small, table
+from cartolode.llm.common import remainder, save, small, table, text_batches
 from cartolode.llm.decontaminate import find_leaks
 from cartolode.llm.langid import identify, train
 from cartolode.llm.mixing import mix_sources
@@ -24,7 +24,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose key is not among those of gone(doc_id), without the key."""
-    keys = small(save(gone.select(F.col("doc_id").alias(KEY)).distinct(), "gone"))
+    with text_batches(keyed.sparkSession):
+        keys = small(save(gone.select(F.col("doc_id").alias(KEY)).distinct(), "gone"))
     return keyed.join(keys, KEY, "left_anti").drop(KEY)
 
 

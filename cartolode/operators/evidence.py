@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import round_half_up, semver_drift
+from cartolode.operators.rules import longest_prefix
 
 #: Rules and other hand-written dimensions are broadcast up to this many rows.
 RULE_ROWS = 10_000
@@ -113,6 +114,15 @@ def owners_of(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.select("path").join(small_rules(rules), F.expr("path rlike regex")).groupBy("path").agg(F.max_by("owner", "rule_no").alias("owner"))
 
 
+def owners_or_package(files: DataFrame, rules: DataFrame, packages: DataFrame) -> DataFrame:
+    """owners_of, and for files without one the owner of the package(prefix, owner) with the longest prefix above them."""
+    named = longest_prefix(files, packages.select(F.col("owner").alias("name"), "prefix"))
+    known = packages.select("owner").distinct()
+    fallback = named.join(known, named["name"] == known["owner"], "left_semi").select("path", F.col("name").alias("fallback"))
+    rows = files.select("path").distinct().join(owners_of(files, rules), "path", "left").join(fallback, "path", "left")
+    return rows.select("path", F.coalesce("owner", "fallback").alias("owner")).where("owner is not null")
+
+
 def _fits(name: Column, patterns: Column) -> Column:
     """Whether one of patterns is `*`, the name itself, `folder/*` above it, or `*/end` of it."""
     return F.exists(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import bare_name, name_similarity
+from cartolode.operators.scripts import script_facts
 from cartolode.sources.tables import save
 
 FACTS = "path string, kind string, name string, line int, end_line int, cc int, callees array<string>, parse_ok boolean"
@@ -60,7 +61,8 @@ def _called(node: ast.AST) -> list[str]:
 
 
 def python_facts(path: str, content: str) -> list[tuple]:
-    """Rows of FACTS of one file: the file itself, then its functions, classes' names put before their methods'."""
+    """Rows of FACTS of one file: the file itself, its functions, classes' names put before their methods', and its exports, which
+    are the names in __all__ or else those defined at the top that do not begin with an underscore."""
     try:
         tree = ast.parse(content or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -76,11 +78,25 @@ def python_facts(path: str, content: str) -> list[tuple]:
                 if not isinstance(child, ast.ClassDef):
                     rows.append((path, "function", prefix + child.name, child.lineno, child.end_lineno, _decisions(child), _called(child), True))
             todo.append((child, inner))
-    return rows
+    return rows + [(path, "export", name, None, None, None, [], True) for name in _exported(tree)]
+
+
+def _exported(tree: ast.Module) -> list[str]:
+    names: set[str] = set()
+    for node in tree.body:
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+        assigned = {t.id for t in targets if isinstance(t, ast.Name)}
+        if "__all__" in assigned and isinstance(node.value, ast.List | ast.Tuple):
+            return sorted({e.value for e in node.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)})
+        names |= assigned | ({node.name} if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) else set())
+    return sorted(n for n in names if not n.startswith("_"))
 
 
 #: Extractors by language; each takes a path and a text and gives rows of FACTS.
-LANGUAGES: dict[str, tuple[tuple, Callable]] = {"python": ((".py",), python_facts)}
+LANGUAGES: dict[str, tuple[tuple, Callable]] = {
+    "python": ((".py",), python_facts),
+    "javascript": ((".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts"), script_facts),
+}
 
 
 def register_language(name: str, extensions: tuple, extract: Callable[[str, str], list[tuple]]) -> None:
@@ -122,7 +138,8 @@ def register_analyzer(name: str, analyze: Callable[[DataFrame], DataFrame], cate
 
 def run_analyzers(files: DataFrame) -> tuple[DataFrame, list[str]]:
     """Issues (rule_id, severity, category, path) of all registered analyzers, rules named `plugin:name:rule`, and the names
-    of those that failed to plan or lack a column. Rows without a rule or with an unknown severity are dropped."""
+    of those that failed, lack a column or raised while they ran: each one's rows are written once, so that a failure ends that
+    analyzer and not the job. Rows without a rule or with an unknown severity are dropped."""
     out = files.sparkSession.createDataFrame([], "rule_id string, severity string, category string, path string")
     failed = []
     for name, (category, analyze) in ANALYZERS.items():
@@ -130,6 +147,7 @@ def run_analyzers(files: DataFrame) -> tuple[DataFrame, list[str]]:
             rows = analyze(files)
             rows = rows if "category" in rows.columns else rows.withColumn("category", F.lit(None).cast("string"))
             rows = rows.select("rule_id", "severity", "category", "path").where("rule_id is not null and severity in ('error', 'warning', 'info')")
+            rows = save(rows, "plugin")
         except Exception:  # noqa: BLE001 - a failing analyzer is skipped and named
             failed.append(name)
             continue

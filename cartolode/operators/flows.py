@@ -73,14 +73,15 @@ def dataflow_bridges(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max
 
 
 def dataflow_risks(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 12, bridge_depth: int = 3) -> DataFrame:
-    """(kind, source, sink, bridge, confidence): a function that is both ends is direct, one that reaches a sink over calls
+    """(kind, source, sink, bridge, confidence, severity): a function that is both ends is direct, one that reaches a sink over calls
     propagated, one that reaches both ends a bridge. Confidence is high over a call or less on every way, else medium."""
     sure = lambda c: F.when(c, "high").otherwise("medium").alias("confidence")
     node = sources.schema["node"].dataType
     flows = taint_flows(calls, sources, sinks, max_depth)
     flows = flows.select(F.when(F.col("depth") == 0, "direct").otherwise("propagated").alias("kind"), "source", "sink", F.lit(None).cast(node).alias("bridge"), sure(F.col("depth") <= 1))
     near = (F.col("source_distance") == 1) & (F.col("sink_distance") == 1)
-    return flows.unionByName(_bridges(calls, sources, sinks, bridge_depth).select(F.lit("bridge").alias("kind"), "source", "sink", "bridge", sure(near)))
+    rows = flows.unionByName(_bridges(calls, sources, sinks, bridge_depth).select(F.lit("bridge").alias("kind"), "source", "sink", "bridge", sure(near)))
+    return rows.withColumn("severity", F.lit("error"))
 
 
 def expand_reexports(exports: DataFrame, stars: DataFrame) -> DataFrame:
@@ -100,10 +101,31 @@ def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "importers")
     return edges.select(F.col(here).alias("path"), F.col(there).alias("neighbour")).distinct().join(nodes.select("path").distinct(), "path", "left_semi")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: list[str]) -> DataFrame:
+#: Path aliases and workspace packages are broadcast up to so many.
+ALIASES = 100_000
+
+
+def unalias(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """imports(path, spec) with at: spec with its longest prefix among aliases(prefix, target) put as target. A prefix is a whole
+    number of parts of spec, as `@` of `@/x`, or a workspace package's name with its folder as target; ties go to the smaller
+    target."""
+    parts = F.split("spec", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    specs = imports.select("spec").distinct()
+    known = aliases.select("prefix", F.col("target").alias("folder"))
+    known = F.broadcast(known) if known.limit(ALIASES + 1).count() <= ALIASES else known
+    hits = specs.select("spec", F.explode(heads).alias("prefix")).join(known, "prefix")
+    best = hits.groupBy("spec").agg(F.min(F.struct((-F.length("prefix")).alias("n"), "folder", "prefix")).alias("x"))
+    rest = F.substring("spec", F.length("x.prefix") + 1, F.length("spec"))
+    return imports.join(best, "spec", "left").select("path", "spec", F.coalesce(F.concat("x.folder", rest), F.col("spec")).alias("at"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: list[str], aliases: DataFrame | None = None) -> DataFrame:
     """imports(path, spec) to the first of spec with each suffix that is a file, else to the package that spec begins with:
-    (path, spec, target, package), one of the last two null."""
-    tries = imports.select("path", "spec", F.posexplode(F.array(*[F.concat("spec", F.lit(s)) for s in suffixes])).alias("rank", "target"))
+    (path, spec, target, package), one of the last two null. With aliases(prefix, target), of paths or of workspace packages,
+    the spec that unalias makes is looked for."""
+    rows = imports.select("path", "spec", F.col("spec").alias("at")) if aliases is None else unalias(imports.select("path", "spec"), aliases)
+    tries = rows.select("path", "spec", F.posexplode(F.array(*[F.concat("at", F.lit(s)) for s in suffixes])).alias("rank", "target"))
     found = tries.join(files.select(F.col("path").alias("target")).distinct(), "target")
     first = found.groupBy("path", "spec").agg(F.min_by("target", "rank").alias("target"))
     rows = imports.select("path", "spec").distinct().join(first, ["path", "spec"], "left")

@@ -82,11 +82,13 @@ def scope_status(checked: DataFrame) -> DataFrame:
 
 
 def trend(runs: DataFrame) -> DataFrame:
-    """runs(run_ts, score), one row a run: the change of score and its direction, from the run before."""
+    """runs(run_ts, score), one row a run: the change of score and its direction, from the run before, and of the risk, which
+    goes the other way."""
     placed = numbered(runs, ["run_ts"], "place")
     before = placed.select((F.col("place") + 1).alias("place"), F.col("score").alias("before"))
     rows = placed.join(before, "place", "left").withColumn("delta", F.col("score") - F.col("before")).select(*runs.columns, "delta")
-    return rows.withColumn("direction", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").when(F.col("delta") == 0, "flat"))
+    way = lambda c: F.when(c > 0, "up").when(c < 0, "down").when(c == 0, "flat")
+    return rows.withColumns({"direction": way(F.col("delta")), "risk_delta": -F.col("delta"), "risk_direction": way(-F.col("delta"))})
 
 
 def chunks(ranked: DataFrame, order: list, size: int = 20, by: tuple = ()) -> DataFrame:

@@ -106,6 +106,16 @@ def large_dirs(files: DataFrame, over: int = 10, group: str = "dir") -> DataFram
     return files.groupBy(group).agg(F.count("*").alias("files")).where(F.col("files") > over)
 
 
+#: Folders that gather what belongs nowhere else.
+UTILITY_DIRS = ("utils", "helpers", "lib", "shared")
+
+
+def large_utility_dirs(files: DataFrame, over: int = 10, group: str = "dir") -> DataFrame:
+    """Directories with more than so many files that are utility folders or lie in one; a file counts once for each such part."""
+    parts = F.size(F.filter(F.split(group, "/"), lambda p: p.isin(*UTILITY_DIRS)))
+    return files.groupBy(group).agg(F.sum(parts).alias("files")).where(F.col("files") > over)
+
+
 def longest_prefix(files: DataFrame, packages: DataFrame) -> DataFrame:
     """The package(name, prefix) with the longest prefix above each file; `root` where none is."""
     up = files.select("path", F.explode(ancestors(F.col("path"))).alias("prefix"))

@@ -8,7 +8,9 @@ from cartolode.operators import changes, evidence, flows, graph, history, rules,
 from cartolode.plans.bindings import view as V
 from cartolode.plans.bindings import with_views as W
 from cartolode.plans.oracle import _MEMORY
+from cartolode.plans.reviews import _owner_rules
 from cartolode.sources.tables import table as T
+from cartolode.streaming import state
 
 EXTS = ".ts .tsx .py .json .md .zz".split()
 DECISIONS = "approve_next_slice review_version_candidate request_changes other".split()
@@ -31,6 +33,12 @@ def _asked(s, d, column):
     return T(s, d, "part").selectExpr(f"{column} as name").distinct()
 
 
+def _ticks(s, d):
+    """The events of a day as the log at that day's tick."""
+    rows = T(s, d, "events").withColumn("tick", F.datediff(F.to_date("ts"), F.lit("1990-01-01").cast("date")).cast("long"))
+    return rows.groupBy(F.col("event_type").alias("tool"), "tick").agg(F.count("*").alias("calls"), F.sum(F.floor("value")).cast("long").alias("tokens"))
+
+
 def _paths(s, d):
     kind = "element_at(array('src/index.ts', 'tests/a.ts', 'lib/x.test.js', 'pkg/__init__.py', 'app/main.py', 'lib/b.ts', 'test_z.py'), cast(doc_id % 7 + 1 as int))"
     return T(s, d, "documents").selectExpr("doc_id", f"if(doc_id % 3 = 0, {kind}, concat('d', doc_id, '/', {kind})) as path")
@@ -54,6 +62,10 @@ QUERIES = {
     "impact_truncated": lambda s, d: graph.impact_report(V(s, d, "edges"), T(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("path")), 2),
     "score_delta": lambda s, d: changes.score_delta(V(s, d, "issues").where("severity <> 'error'"), V(s, d, "issues").where("severity <> 'warning'")),
     "missing_lockfiles": lambda s, d: supply.missing_lockfiles(T(s, d, "part").selectExpr("p_brand as repo", "p_name as name"), T(s, d, "part").selectExpr("p_brand as repo", "if(p_size = 7, 'yarn.lock', if(p_size = 8, 'a/yarn.lock', 'x')) as path")),
+    "owner_fallback": lambda s, d: evidence.owners_or_package(V(s, d, "files"), _owner_rules(s).where("owner <> 'root'"), T(s, d, "documents").where("lang in ('en', 'de')").selectExpr("concat(source, '/', lang) as prefix").distinct().selectExpr("prefix", "upper(prefix) as owner")),
+    "resolve_aliases": lambda s, d: flows.resolve_imports(V(s, d, "files").selectExpr("path", "concat(element_at(array('@/', 'lib/core/', 'lib/', 'x/'), cast(doc_id % 4 + 1 as int)), ext, '/', doc_id) as spec").where("path is not null"), V(s, d, "files"), [".en", ".de"], s.sql("SELECT * FROM VALUES ('@', 'src1'), ('lib', 'src2'), ('lib/core', 'src3') AS t(prefix, target)")),
+    "cost_deltas": lambda s, d: state.cost_deltas(_ticks(s, d)),
+    "large_utility_dirs": lambda s, d: rules.large_utility_dirs(T(s, d, "documents").selectExpr("concat(source, '/', element_at(array('utils', 'lib/x', 'core', 'shared/lib'), cast(doc_id % 4 + 1 as int))) as dir")),
     "secret_lines": lambda s, d: evidence.secret_lines(T(s, d, "documents").selectExpr("doc_id", "if(doc_id % 3 = 0, replace(text, 'token = \"', 'token = \"{{'), text) as text")),
 }
 
@@ -97,5 +109,13 @@ ORACLE_SQL = {
         (SELECT source, greatest(0, 100 - (10 * count(*) FILTER (WHERE severity = 'warning') + 3 * count(*) FILTER (WHERE severity = 'info'))) AS b FROM issues WHERE severity <> 'error' GROUP BY 1) x FULL JOIN
         (SELECT source AS s, greatest(0, 100 - (20 * count(*) FILTER (WHERE severity = 'error') + 3 * count(*) FILTER (WHERE severity = 'info'))) AS a FROM issues WHERE severity <> 'warning' GROUP BY 1) y ON source = s""", "issues"),
     "missing_lockfiles": "SELECT DISTINCT p_brand AS repo, 'no-lockfile' AS rule, 'medium' AS severity FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 7)",
+    "owner_fallback": W(r"SELECT * FROM (SELECT DISTINCT path, CASE WHEN regexp_matches(path, '^src1/de/.*7\.de$') THEN 'seven' WHEN contains(path, '/de/') THEN 'de' WHEN starts_with(path, 'src1/') THEN 'one' WHEN ext IN ('en', 'de') THEN upper(concat(dir, '/', ext)) END AS owner FROM files WHERE path IS NOT NULL) t WHERE owner IS NOT NULL", "files"),
+    "resolve_aliases": W("""SELECT path, spec, CASE WHEN EXISTS (SELECT 1 FROM files g WHERE g.path = concat(tgt, '.en')) THEN concat(tgt, '.en') WHEN EXISTS (SELECT 1 FROM files g WHERE g.path = concat(tgt, '.de')) THEN concat(tgt, '.de') END AS target,
+        CASE WHEN NOT EXISTS (SELECT 1 FROM files g WHERE g.path IN (concat(tgt, '.en'), concat(tgt, '.de'))) THEN split_part(spec, '/', 1) END AS package
+        FROM (SELECT DISTINCT path, concat(['@/', 'lib/core/', 'lib/', 'x/'][doc_id % 4 + 1], ext, '/', doc_id) AS spec, concat(['src1/', 'src3/', 'src2/', 'x/'][doc_id % 4 + 1], ext, '/', doc_id) AS tgt FROM files WHERE path IS NOT NULL) t WHERE spec IS NOT NULL""", "files"),
+    "cost_deltas": """WITH ticks AS (SELECT event_type AS tool, datediff('day', DATE '1990-01-01', CAST(ts AS DATE)) AS tick, count(*) AS calls, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2),
+        steps AS (SELECT *, CASE WHEN lag(tick) OVER w = tick - 1 THEN lag(calls) OVER w ELSE 0 END AS before FROM ticks WINDOW w AS (PARTITION BY tool ORDER BY tick))
+        SELECT tool, tick, calls - before AS calls_added, greatest(0, tokens - CAST(floor(tokens / calls * before + 0.5) AS BIGINT)) AS tokens_added, calls, tokens FROM steps WHERE calls > before""",
+    "large_utility_dirs": "SELECT * FROM (SELECT dir, CAST(sum(CASE WHEN dir LIKE '%shared/lib' THEN 2 WHEN dir LIKE '%/core' THEN 0 ELSE 1 END) AS BIGINT) AS files FROM (SELECT concat(source, '/', ['utils', 'lib/x', 'core', 'shared/lib'][doc_id % 4 + 1]) AS dir FROM documents WHERE source IS NOT NULL) t GROUP BY dir) u WHERE files > 10",
     "secret_lines": f"SELECT doc_id, line, secret FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM (SELECT doc_id, line, CASE {_HARD} END AS secret FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'token = \"', 'token = \"{{{{') ELSE text END AS t FROM documents) a) b WHERE NOT regexp_matches(trim(x), '^(//|#|\\*|/\\*|<!--)')) c WHERE secret IS NOT NULL) d WHERE k = 1",
 }

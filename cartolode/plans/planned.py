@@ -182,8 +182,8 @@ _REDACTED = reduce(lambda text, x: f"regexp_replace({text}, '{x[0].replace(chr(3
 
 ORACLE_SQL = {
     "redact_documents": f"SELECT doc_id, sha256({_REDACTED}) AS digest FROM documents",
-    "dataflow_risks": f"""SELECT CASE depth WHEN 0 THEN 'direct' ELSE 'propagated' END AS kind, source, sink, NULL AS bridge, CASE WHEN depth <= 1 THEN 'high' ELSE 'medium' END AS confidence FROM ({REVIEWS['taint_flows']}) f
-        UNION ALL SELECT 'bridge', source, sink, bridge, CASE WHEN near THEN 'high' ELSE 'medium' END FROM ({_NEAR}) b""",
+    "dataflow_risks": f"""SELECT *, 'error' AS severity FROM (SELECT CASE depth WHEN 0 THEN 'direct' ELSE 'propagated' END AS kind, source, sink, NULL AS bridge, CASE WHEN depth <= 1 THEN 'high' ELSE 'medium' END AS confidence FROM ({REVIEWS['taint_flows']}) f
+        UNION ALL SELECT 'bridge', source, sink, bridge, CASE WHEN near THEN 'high' ELSE 'medium' END FROM ({_NEAR}) b) risks""",
     "name_similarity": f"SELECT p_partkey, floor(greatest(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), greatest({_BY_KEY['prefix']}, {_BY_KEY['suffix']}) / greatest(length(p_name), length(p_type))) * 1000000 + 0.5) / 1000000 AS similarity FROM part",
     "tokens": f"SELECT term, page_id, count(*) AS tf FROM {terms('(SELECT page_id, url AS text FROM pages)', 'page_id')} z GROUP BY 1, 2",
     "semver_drift": "SELECT p_partkey, CASE WHEN p_size % 3 <> p_size % 2 THEN 'major' WHEN p_size % 5 <> p_size % 4 THEN 'minor' WHEN p_partkey % 2 <> p_partkey % 3 THEN 'patch' ELSE 'same' END AS drift FROM part",

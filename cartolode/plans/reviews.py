@@ -159,7 +159,7 @@ ORACLE_SQL = {
           FROM (SELECT * FROM deps WHERE snapshot = 'base') b FULL JOIN (SELECT * FROM deps WHERE snapshot = 'head') h ON b.manifest = h.manifest AND b.name = h.name) t WHERE change IS NOT NULL""",
     "scope_check": W("", "files").rstrip() + ", " + _SCOPE + " SELECT * FROM scoped",
     "scope_status": W("", "files").rstrip() + ", " + _SCOPE + " SELECT contract_id, count(*) FILTER (WHERE scope = 'forbidden') AS forbidden, count(*) FILTER (WHERE scope = 'outside') AS outside, CASE WHEN count(*) FILTER (WHERE scope <> 'allowed') > 0 THEN 'drifted' ELSE 'inside' END AS status FROM scoped GROUP BY 1",
-    "trend": W("SELECT *, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' WHEN delta = 0 THEN 'flat' END AS direction FROM (SELECT run_ts, n AS score, n - lag(n) OVER (ORDER BY run_ts) AS delta FROM (SELECT run_ts, count(*) AS n FROM runs GROUP BY 1) a) b", "runs"),
+    "trend": W("SELECT *, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' WHEN delta = 0 THEN 'flat' END AS direction, -delta AS risk_delta, CASE WHEN delta > 0 THEN 'down' WHEN delta < 0 THEN 'up' WHEN delta = 0 THEN 'flat' END AS risk_direction FROM (SELECT run_ts, n AS score, n - lag(n) OVER (ORDER BY run_ts) AS delta FROM (SELECT run_ts, count(*) AS n FROM runs GROUP BY 1) a) b", "runs"),
     "chunks": W("SELECT dir, doc_id, (row_number() OVER (PARTITION BY dir ORDER BY doc_id) - 1) // 20 AS chunk FROM files", "files"),
     "coupling_view": f"SELECT c.* FROM ({BASE['coupling']}) c WHERE path IN (SELECT node FROM ({BASE['cycles']}) k)",
     "read_targets": W("SELECT p_partkey AS path, p_size * 20000 AS size_bytes, coalesce(churn, 0) AS churn, greatest(1, floor(p_size * 20000 / 40 + 0.5)) AS lines FROM part LEFT JOIN (SELECT path, count(DISTINCT commit_hash) AS churn FROM commits GROUP BY 1) c ON c.path = p_partkey WHERE p_size <> 7 AND p_size * 20000 <= 524288 ORDER BY churn DESC, size_bytes DESC, p_partkey LIMIT 400", "commits"),

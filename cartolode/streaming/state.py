@@ -72,6 +72,51 @@ def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
     return moved.groupBy("key", "at", F.substring_index("m", ":", 1).alias("dimension")).agg(F.count_if(F.col("side") == "added").alias("added"), F.count_if(F.col("side") == "removed").alias("removed"))
 
 
+COST_DELTAS = "tool string, tick long, calls_added long, tokens_added long, calls long, tokens long"
+
+
+class _CostDeltas(StatefulProcessor):
+    """Keeps a tool's last tick and calls. What is kept goes when the tool is absent from a tick, and from the store after a while."""
+
+    def __init__(self, kept_ms: int):
+        self.kept_ms = kept_ms
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "tick long, calls long", self.kept_ms)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802 - the name is Spark's
+        tick, before = self.last.get() if self.last.exists() else (None, 0)
+        every, out = pd.concat(list(rows)).sort_values("tick"), []
+        for now, calls, tokens in zip(every["tick"].tolist(), every["calls"].tolist(), every["tokens"].tolist()):
+            before = before if tick == now - 1 else 0
+            if calls > before:
+                out.append((key[0], now, calls - before, max(0, tokens - int(tokens / calls * before + 0.5)), calls, tokens))
+            tick, before = now, calls
+        self.last.update((tick, before))
+        if out:
+            yield pd.DataFrame(out, columns=["tool", "tick", "calls_added", "tokens_added", "calls", "tokens"])
+
+    def close(self) -> None:
+        pass
+
+
+def watch_costs(ticks: DataFrame, kept_ms: int = 3_600_000) -> DataFrame:
+    """A stream of ticks(tool, tick, calls, tokens), the totals of a bounded log at numbered times, to what each tool added where
+    it added calls; fewer calls than before only set the ground for the next tick. The tokens added are what the tick's mean
+    leaves beyond the calls known before. A tool that was absent from the last tick begins anew, and is forgotten after
+    kept_ms. The stream needs the RocksDB state store."""
+    return ticks.groupBy("tool").transformWithStateInPandas(_CostDeltas(kept_ms), COST_DELTAS, "Append", "ProcessingTime")
+
+
+def cost_deltas(ticks: DataFrame) -> DataFrame:
+    """The batch twin of watch_costs."""
+    order = Window.partitionBy("tool").orderBy("tick")
+    rows = ticks.withColumn("before", F.when(F.lag("tick").over(order) == F.col("tick") - 1, F.lag("calls").over(order)).otherwise(0))
+    known = F.floor(F.col("tokens") / F.col("calls") * F.col("before") + 0.5)
+    rows = rows.where(F.col("calls") > F.col("before"))
+    return rows.select("tool", "tick", (F.col("calls") - F.col("before")).alias("calls_added"), F.greatest(F.lit(0), F.col("tokens") - known).cast("long").alias("tokens_added"), "calls", "tokens")
+
+
 def claims_active(claims: DataFrame, now: str, releases: DataFrame | None = None) -> DataFrame:
     """claims(id, agent, target, claimed_at, expires_at) that hold at a time: made by then, not expired (a null expiry never
     is), and not in releases(id)."""

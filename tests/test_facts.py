@@ -24,7 +24,9 @@ async def run():
 
 def test_python_facts(spark):
     files = spark.createDataFrame([("a.py", PY), ("bad.py", "def ("), ("e.py", ""), ("n.py", None), ("x.js", "f()"), ("big.py", "x = 1\n" * 300_000)], "path string, content string")
-    rows = {(r["path"], r["name"]): r for r in facts.extract_facts(files, "python").collect()}
+    found = facts.extract_facts(files, "python").collect()
+    assert {(r["path"], r["name"]) for r in found if r["kind"] == "export"} == {("a.py", "Box"), ("a.py", "run")}
+    rows = {(r["path"], r["name"]): r for r in found if r["kind"] != "export"}
     assert set(rows) == {("a.py", "a.py"), ("a.py", "Box.put"), ("a.py", "run"), ("bad.py", "bad.py"), ("e.py", "e.py"), ("n.py", "n.py"), ("big.py", "big.py")}
     # One, the if, two operators that join conditions, the comprehension and its condition.
     assert rows["a.py", "Box.put"]["cc"] == 6 and rows["a.py", "run"]["cc"] == 2
@@ -33,6 +35,36 @@ def test_python_facts(spark):
     assert facts.extract_facts(files.limit(0), "python").count() == 0
 
 
+TS = """import { a } from './a';
+// function hidden() {}
+export async function load<T>(id: string): Promise<T> {
+  if (id && "if (x) {") { return fetchOne(id); }
+  return cache.get(`${id} {`);
+}
+export const twice = (n: number) => double(n) || 0;
+const keep = async x => { for (const y of x) save(y); };
+export default class Store extends Base {
+  private items: string[] = [];
+  constructor(a: A) { super(a); init(); }
+  static async find(q: string): Promise<void> { while (q) { this.step(q ? 1 : 2); } }
+}
+interface Shape { area(): number }
+export { keep as kept, type Shape };
+"""
+
+
+def test_script_facts(spark):
+    files = spark.createDataFrame([("a.ts", TS), ("bad.js", "function f() {"), ("e.js", None), ("x.py", "f()")], "path string, content string")
+    found = facts.extract_facts(files, "javascript").collect()
+    assert {r["name"] for r in found if r["kind"] == "export"} == {"load", "twice", "Store", "kept", "Shape", "default"}
+    rows = {r["name"]: r for r in found if r["kind"] == "function"}
+    assert set(rows) == {"load", "twice", "keep", "Store.constructor", "Store.find"}
+    assert (rows["load"]["line"], rows["load"]["end_line"], rows["load"]["cc"], rows["load"]["callees"]) == (3, 6, 3, ["fetchOne", "get"])
+    assert rows["twice"]["callees"] == ["double"] and rows["twice"]["cc"] == 2 and rows["keep"]["callees"] == ["save"] and rows["keep"]["cc"] == 2
+    assert rows["Store.find"]["callees"] == ["step"] and rows["Store.find"]["cc"] == 3 and rows["Store.constructor"]["callees"] == ["init"]
+    assert {r["path"]: r["parse_ok"] for r in found if r["kind"] == "file"} == {"a.ts": True, "bad.js": False, "e.js": True}
+
+
 def test_imports_and_complexity(spark):
     files = spark.createDataFrame([("a.js", "import x from 'lib';\nimport './side';\nexport * from \"./b\";\n// if (a) {}\nif (a && b) { c = d ? 'if' : e; }"), ("b.js", None)], "path string, content string")
     assert {r["spec"] for r in facts.extract_imports(files, "javascript").collect()} == {"lib", "./side", "./b"}
@@ -45,12 +77,13 @@ def test_user_extensions(spark):
     facts.register_language("lines", (".txt",), lambda path, text: [(path, "file", path, 1, len(text.split("\n")), 1, [], True)])
     facts.register_analyzer("long", lambda files: files.where("length(content) > 3").selectExpr("'long-file' as rule_id", "'info' as severity", "path"), "style")
     facts.register_analyzer("broken", lambda files: files.select("nothing"))
+    facts.register_analyzer("late", lambda files: files.selectExpr("raise_error('late') as rule_id", "'info' as severity", "path"))
     try:
         files = spark.createDataFrame([("a.txt", "1\n2\n3"), ("b.txt", None)], "path string, content string")
         rows = {r["path"]: r for r in facts.extract_facts(files, "lines").collect()}
         assert rows["a.txt"]["end_line"] == 3 and not rows["b.txt"]["parse_ok"]
         issues, failed = facts.run_analyzers(files)
-        assert [tuple(r) for r in issues.collect()] == [("plugin:long:long-file", "info", "style", "a.txt")] and failed == ["broken"]
+        assert [tuple(r) for r in issues.collect()] == [("plugin:long:long-file", "info", "style", "a.txt")] and failed == ["broken", "late"]
     finally:
         facts.LANGUAGES.pop("lines"), facts.ANALYZERS.clear()
 
@@ -151,3 +184,13 @@ def test_guard_as_a_stream(spark, tmp_path):
     drain(state.guard_stream(stream(spark, str(tmp_path / "in"), changed), contract).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")))
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(0, "src/a", "allowed"), (0, "src/no/b", "forbidden"), (0, "x", "outside"), (1, "x", "allowed")} == {tuple(r) for r in state.guard_stream(changed, contract).collect()}
+
+
+def test_cost_deltas(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("read", 1, 3, 30), ("read", 2, 5, 60), ("read", 3, 4, 48), ("read", 4, 6, 90), ("read", 6, 2, 10), ("find", 1, 1, 7), ("find", 2, 1, 7), ("find", 5, 3, 9)]
+    ticks = spark.createDataFrame(rows, "tool string, tick long, calls long, tokens long")
+    drain(state.watch_costs(stream(spark, str(tmp_path / "in"), ticks)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")))
+    got = {tuple(r) for r in spark.read.schema(state.COST_DELTAS).parquet(str(tmp_path / "out")).collect()}
+    assert got == {tuple(r) for r in state.cost_deltas(ticks).collect()}
+    assert got == {("read", 1, 3, 30, 3, 30), ("read", 2, 2, 24, 5, 60), ("read", 4, 2, 30, 6, 90), ("read", 6, 2, 10, 2, 10), ("find", 1, 1, 7, 1, 7), ("find", 5, 3, 9, 3, 9)}

@@ -9,11 +9,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import remainder, save, small, table
+from .common import remainder, save, small, table, text_batches
 
 #: Parts of the texts: estimates come from FIT, the weights from HELD; other texts are only scored.
 FIT, HELD = 0, 1
@@ -24,7 +23,7 @@ WORDS, PAIRS = 1 << 19, 1 << 18
 #: Pairs to hold are proposed by one in so many texts, and then counted in all.
 SAMPLE = 16
 #: Bytes of texts that a task works on at a time; a longer text is split at blanks.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Words are known by hashes with the lowest and the highest bit clear; those of the ends of a text no word has, as words hold
 #: no blank. The highest bit marks what is a hash and no place.
 RARE, INNER = np.uint64(1 << 63), np.uint64((1 << 63) - 2)
@@ -35,7 +34,7 @@ _LOWER = np.array([0 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c
 _BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of _BASE and of its inverse modulo 2^64, 2^bits of each."""
     each = []
@@ -455,6 +454,11 @@ def _cell_counts(shared) -> Callable:
 
 def fit_and_score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     """score_texts' result, and the model."""
+    with text_batches(docs.sparkSession):
+        return _fit_and_score(docs, part, id_col, text_col)
+
+
+def _fit_and_score(docs: DataFrame, part: Column, id_col: str, text_col: str) -> tuple[DataFrame, Model]:
     spark = docs.sparkSession
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.when(part.isin(FIT, HELD), part).otherwise(-1).cast("byte").alias("part"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))

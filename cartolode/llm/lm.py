@@ -405,37 +405,23 @@ class Found:
         self.new, self.every = rare & predicted, column("every")
 
 
-#: Rows found whose changes a task adds up by text before it passes them on.
-ROWS = 1 << 20
-
-
 def _changes(shared) -> Callable:
     """What the rows found change in the sums of their texts."""
 
-    def total(parts: list[tuple]) -> pa.RecordBatch:
-        doc, *sums = (np.concatenate(x) for x in zip(*parts))
-        doc, which = np.unique(doc, return_inverse=True)
-        sums = [np.bincount(which, x, len(doc)) for x in sums]
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.round(sums[2]).astype(np.int64))], ["doc", "more_score", "more_base", "more_known"])
-
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, parts, size = shared.value, [], 0
+        model = shared.value
         for b in batches:
             x = Found(b, model.counts)
             score = x.m * (model.logp(x.pair, x.context, x.word) - np.where(x.neither, 0.0, model.logp(x.was_pair, x.was_context, x.was_word)))
             one = (x.part >= 0).astype(np.int64)
             base = np.where(x.new, model.base(x.every) - model.base(one), 0.0)
-            parts.append((x.doc.to_numpy(), score, base, np.where(x.new, (x.every > 0).astype(np.int64) - one, 0)))
-            size += b.num_rows
-            if size >= ROWS:
-                yield total(parts)
-                parts, size = [], 0
-        if parts:
-            yield total(parts)
+            known = np.where(x.new, (x.every > 0).astype(np.int64) - one, 0)
+            yield pa.RecordBatch.from_arrays([x.doc, pa.array(score), pa.array(base), pa.array(known)], ["doc", "more_score", "more_base", "more_known"])
 
     return changes
 
 
+#: Parts of an octave that probabilities of held-out events are told apart by.
 STEPS = 16
 
 

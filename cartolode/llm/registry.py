@@ -8,6 +8,7 @@ from .langid import op3_language_id
 from .lm import op7_deleted_interpolation
 from .mixing import op10_mix_hash_threshold
 from .passages import OP12_SQL, op12_substring_dedup
+from .periodic import op13_periodic_runs
 from .pii import op2_pii_weak_supervision
 from .secrets import op1_secret_guess_cost
 from .simhash import op6_simhash_covering
@@ -19,7 +20,7 @@ QUERIES = {
     for f in (
         op1_secret_guess_cost, op2_pii_weak_supervision, op3_language_id, op4_embedding_range_join, op5_decontamination,
         op6_simhash_covering, op7_deleted_interpolation, op8_url_gbt, op9_warc_writer, op10_mix_hash_threshold,
-        op12_substring_dedup,
+        op12_substring_dedup, op13_periodic_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op12_substring_dedup": OP12_SQL}

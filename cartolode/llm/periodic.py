@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, table, text_batches
-from .passages import Rolling, least
+from .passages import Rolling
 
 LEAST, TIMES = 24, 3
 #: Periods below this are found by comparing all words with those so many words on; grams of the first scale have half as many.
@@ -55,6 +55,21 @@ def _same(x: np.ndarray, a: int, b: int, step: int) -> int:
     return n
 
 
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """The least or largest value, as pick says, of each window, by windows of doubling widths."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out, have = pick(out[:-step], out[step:]), have + step
+    return out
+
+
+def choices(values: np.ndarray, width: int) -> np.ndarray:
+    """Places whose value is the least of some window that holds them; equal least values of a window are all chosen."""
+    pad = np.zeros(width - 1, values.dtype)
+    return np.flatnonzero(_sliding(np.concatenate([pad, _sliding(values, width, np.minimum), pad]), width, np.maximum) == values)
+
+
 def _seeds(x: np.ndarray, k: int, runs: dict) -> np.ndarray:
     """Pairs (lag, place), sorted, of equal choices at a lag of 2k to 4k - 1."""
     grams = Rolling(x.view(np.uint64)).grams(k)
@@ -66,7 +81,7 @@ def _seeds(x: np.ndarray, k: int, runs: dict) -> np.ndarray:
             step[start] += 1
             step[end - k + 1] -= 1
     grams[np.cumsum(step)[:-1] > 0] = _NEVER
-    at = np.unique(least(grams, k))
+    at = choices(grams, k)
     at = at[grams[at] != _NEVER]
     at = at[np.argsort(grams[at], kind="stable")]
     value, found, t = grams[at], [], 1

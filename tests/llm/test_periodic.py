@@ -96,3 +96,11 @@ def test_operator_and_query(spark, tmp_path):
     assert got == sorted(want, key=repr)
     assert sum(r[1] > 0 for r in want) > 30
     assert periodic.find_runs(df.limit(0)).count() == 0
+
+
+def test_choices_are_the_least_of_some_window():
+    rnd = random.Random(6)
+    for width in (1, 2, 3, 7, 24):
+        v = np.array([rnd.randint(0, 30) for _ in range(90)], np.uint64)
+        want = {i for a in range(len(v) - width + 1) for i in range(a, a + width) if v[i] == v[a : a + width].min()}
+        assert periodic.choices(v, width).tolist() == sorted(want)

@@ -187,12 +187,17 @@ def planted(text: Column, doc_id: Column) -> Column:
     """The text with a run written over its end, in the documents that the contract of op13 names; others stay as they are."""
     h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, g = F.size(words).cast("long"), F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
-    return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)
+
+    def made(w: Column) -> Column:
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        over = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(i).cast("int"))), " ")
+        return F.when(n > 0, over).otherwise(text)
+
+    # As a lambda's argument the words are split once, not for each place.
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), made), F.lit(0))).otherwise(text)
 
 
 def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:

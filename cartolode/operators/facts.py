@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import bare_name, name_similarity
+from cartolode.operators.lexed import GRAMMARS, lexed_facts
 from cartolode.operators.scripts import script_facts
 from cartolode.sources.tables import save
 
@@ -34,7 +35,10 @@ IMPORTS = {
     "rust": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)",
     "php": r"(?m)^\s*use\s+([\w\\]+)",
     "ruby": r"""(?m)^\s*require(?:_relative)?\s*\(?['"]([^'"]+)['"]""",
-    "csharp": r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
+    "csharp": r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;",
+    "kotlin": r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)",
+    "swift": r"(?m)^\s*(?:@\w+\s+)*import\s+(?:(?:struct|class|enum|protocol|func|typealias|let|var)\s+)?([\w.]+)",
+    "cpp": r'''(?m)^\s*#\s*include\s*[<"]([^>"\n]+)[>"]''',
 }
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
 
@@ -96,6 +100,7 @@ def _exported(tree: ast.Module) -> list[str]:
 LANGUAGES: dict[str, tuple[tuple, Callable]] = {
     "python": ((".py",), python_facts),
     "javascript": ((".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts"), script_facts),
+    **{name: (g.extensions, partial(lexed_facts, name)) for name, g in GRAMMARS.items()},
 }
 
 

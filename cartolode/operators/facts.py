@@ -1,4 +1,4 @@
-"""Facts of source files and the graph over them: extraction, complexity, callee scoping, endpoints, the semantic graph, renames."""
+"""Facts of source files and the graph over them: extraction, complexity, callee scoping, the semantic graph, renames."""
 
 from __future__ import annotations
 
@@ -21,9 +21,6 @@ COMMON_CALLEES = (
     "add build check close compare create delete exec execute filter find get handle handler init load main map open parse read reduce "
     "remove resolve run save set start stop update validate write"
 ).split()
-#: Calls and references that bring in what users send, and calls that act on it.
-SOURCES = "env argv body query params headers cookies readFile readFileSync stdin getInput".split()
-SINKS = "exec execSync spawn spawnSync eval Function writeFile writeFileSync unlink rmSync rm query execute system os.system subprocess innerHTML".split()
 #: Keys of a JSON payload below which paths stand.
 TOUCH_KEYS = "file files filePath path paths relativePath relativePaths from to definitions importers reachable changed added removed modified".split()
 #: How each language writes an import, the module being the first group.
@@ -108,11 +105,13 @@ def register_language(name: str, extensions: tuple, extract: Callable[[str, str]
     LANGUAGES[name] = (extensions, extract)
 
 
-def extract_facts(files: DataFrame, language: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """Facts of files(path, content) of the language's extensions: one row a file and one a function. A file that does not
-    parse, for which the extractor fails, or that is larger than the bound has one row with parse_ok false."""
-    extensions, extract = LANGUAGES[language]
-    mine = reduce(lambda a, e: a | F.col("path").endswith(e), extensions, F.lit(False))
+def extract_facts(files: DataFrame, *languages: str, most_bytes: int = 1 << 20) -> DataFrame:
+    """Facts of files(path, content) of the languages' extensions, all registered ones by default, in one pass: a row a file,
+    a function and an export. A file that does not parse, for which the extractor fails, or that is larger than the bound has
+    one row with parse_ok false."""
+    by_extension = {e: LANGUAGES[name][1] for name in languages or LANGUAGES for e in LANGUAGES[name][0]}
+    mine = reduce(lambda a, e: a | F.col("path").endswith(e), by_extension, F.lit(False))
+    extract = lambda path, content: by_extension[max((e for e in by_extension if path.endswith(e)), key=len)](path, content)
     columns = [c.split()[0] for c in FACTS.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,16 +173,6 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) ->
     return calls.join(found, ["file", "callee"]).select("caller", "fn").distinct()
 
 
-def tag_endpoints(functions: DataFrame, sources: tuple = (), sinks: tuple = ()) -> DataFrame:
-    """functions(fn, callees, references) with the source and the sink that each uses, null for none: the first of its
-    references, then callees, in their order. A user's sources and sinks join the fixed ones; a name that is both is a sink."""
-    ends = [*SINKS, *sinks]
-    begins = [s for s in [*SOURCES, *sources] if s not in ends]
-    used = F.concat(F.coalesce("references", F.array().cast("array<string>")), F.coalesce("callees", F.array().cast("array<string>")))
-    first = lambda names: F.get(F.filter(used, lambda x: x.isin(*names)), F.lit(0))
-    return functions.select("fn", first(begins).alias("source"), first(ends).alias("sink"))
-
-
 def semantic_nodes(files: DataFrame, functions: DataFrame, packages: DataFrame, symbols: DataFrame) -> DataFrame:
     """Nodes (id, kind, label) of files(path), functions(path, name, line), packages(path, name) and symbols(path, name)."""
     node = lambda df, kind, label, ident: df.select(ident.alias("id"), F.lit(kind).alias("kind"), F.col(label).alias("label"))

@@ -282,6 +282,8 @@ def _function(g: Grammar, language: str, head: list[Item], owner: str | None, me
                 label, first = name.text, k - 1
             else:
                 return None
+            if first and head[first - 1].is_op(".", "->", "?."):
+                return None
             while language == "cpp" and first > 1 and head[first - 1].is_op("::"):
                 label, first = f"{head[first - 2].text}.{label}", first - 2
             arrow = next((j for j in range(k, len(head)) if head[j].is_op("=>")), None)
@@ -364,10 +366,11 @@ def calls(g: Grammar, language: str, items: list[Item], skip: bool) -> set[str]:
     """Bare names of what the items call; with skip, without what functions inside call."""
     found: set[str] = set()
     for head in statements(g, items):
-        own = None if g.function or g.ends else _function(g, language, head, None, not skip)
+        made = None if g.ends else _function(g, language, head, None, not skip)
+        own = made[0].rpartition(".")[2] if made else None  # its first mention is no call
         for k, i in enumerate(head):
             before, follows = head[k - 1] if k else None, head[k + 1] if k + 1 < len(head) else None
-            made = before is not None and before.kind == "name" and before.text == "new"
+            new = before is not None and before.kind == "name" and before.text == "new"
             if follows is not None and follows.is_op("<"):  # type arguments
                 depth = 0
                 for x in head[k + 1 :]:
@@ -377,8 +380,9 @@ def calls(g: Grammar, language: str, items: list[Item], skip: bool) -> set[str]:
                         break
                     if x.kind not in ("name", "op", "["):
                         break
-            named = i.kind == "name" and i.text not in NO_CALL | g.no_call | g.decisions and not (made and skip)
-            declared = before is not None and before.kind == "name" and before.text in g.function or own is not None and i.text == own[0].rpartition(".")[2]
+            named = i.kind == "name" and i.text not in NO_CALL | g.no_call | g.decisions and not (new and skip)
+            declared = i.text == own
+            own = None if declared else own
             if named and not declared and follows is not None and (follows.kind == "(" and follows.line == i.line or g.trailing and follows.kind == "{" and not _control(g, head[:k])):
                 found.add(i.text.lstrip("$"))
             elif named and g.ends and not declared:
@@ -390,10 +394,19 @@ def calls(g: Grammar, language: str, items: list[Item], skip: bool) -> set[str]:
                 hidden = i.kind == "{" and (_lambda(g, language, head, k) or _function(g, language, head[: k + 1], None, False) is not None)
                 hidden |= g.ends and i.kind in ("do", "def", "class", "module", "{")
                 if not (skip and hidden):
-                    found |= calls(g, language, i.items, skip)
+                    found |= calls(g, language, _definition(i)[2] if i.kind == "def" else i.items, skip)
     return found
 
 
+def _definition(group: Item) -> tuple[str, bool, list[Item]]:
+    """Of a definition of Ruby: its name, whether it stands on an object, and what follows its first line or its parameters."""
+    line_end = next((k for k, x in enumerate(group.items) if x.kind == "line" or x.is_op(";")), len(group.items))
+    names = _names(group.items[:line_end]) or [""]
+    dotted = len(group.items) > 1 and group.items[1].is_op(".")
+    params = next((k for k, x in enumerate(group.items[:line_end]) if x.kind == "("), line_end - 1)
+    return names[1] if dotted and len(names) > 1 else names[0], dotted, group.items[params + 1 :] if line_end == len(group.items) else group.items[line_end:]
+
+
 def _control(g: Grammar, head: list[Item]) -> bool:
     return any(w in g.decisions | g.types | g.function | _words("else do when switch repeat get set") for w in _names(head))
 
@@ -440,14 +453,10 @@ def _facts(language: str, path: str, tree: Item) -> list[tuple]:
 
     def blocks(items: list[Item], owner: str | None, top: bool) -> None:
         for head in statements(g, items):
-            for k, i in enumerate(head):
+            for i in head:
                 names = [x.text for x in (i.items or ()) if x.kind == "name"]
                 if i.kind == "def" and names:
-                    line_end = next((k for k, x in enumerate(i.items) if x.kind == "line" or x.is_op(";")), len(i.items))
-                    dotted = names[0] == "self" or len(i.items) > 1 and i.items[1].is_op(".")
-                    name = names[1] if dotted and len(names) > 1 else names[0]
-                    params = next((k for k, x in enumerate(i.items[:line_end]) if x.kind == "("), line_end - 1)
-                    inner = i.items[params + 1 :] if line_end == len(i.items) else i.items[line_end:]
+                    name, dotted, inner = _definition(i)
                     rows.append((path, "function", f"{owner}.{name}" if owner else name, i.line, i.last, count(g, language, inner, True) + 1, sorted(calls(g, language, inner, True)), True))
                     if top and not dotted:
                         exports.add(name)

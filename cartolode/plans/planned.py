@@ -133,7 +133,6 @@ QUERIES = {
     "rank_cards": lambda s, d: planning.rank_cards(_cards(s, d)),
     "classify_text": lambda s, d: T(s, d, "documents").select("doc_id", planning.classify_feedback(F.col("text")).alias("category")),
     "resolve_calls": lambda s, d: facts.resolve_calls(_calls(s, d), _funcs(s, d), _brand_imports(s, d)),
-    "tag_endpoints": lambda s, d: facts.tag_endpoints(T(s, d, "part").selectExpr("p_partkey as fn", "array('a', element_at(array('exec', 'body', 'query', 'x'), cast(p_size % 4 + 1 as int))) as callees", "if(p_size % 5 = 0, array('env', 'own'), null) as references"), ("own",), ("x",)),
     "semantic_nodes": lambda s, d: facts.semantic_nodes(_parts(s, d).select("path"), _parts(s, d), _named(s, d), _named(s, d)),
     "semantic_edges": lambda s, d: facts.semantic_edges(_parts(s, d), _named(s, d), _named(s, d), _brand_imports(s, d), _calls(s, d).join(T(s, d, "part").selectExpr("p_partkey as caller", "p_brand as path", "concat(p_brand, '.', p_name) as name", "p_partkey as line"), "caller").select("path", "name", "line", "callee")),
     "rename_pairs": lambda s, d: facts.match_renames(*[T(s, d, "part").where(f"p_size % 2 = {k}").selectExpr("p_brand as path", "concat(p_name, p_partkey) as name") for k in (0, 1)]),
@@ -256,7 +255,6 @@ ORACLE_SQL = {
         near AS (SELECT DISTINCT file, callee, p_partkey AS fn FROM asked JOIN imports ON src = file JOIN part ON p_brand = dst AND p_name = callee WHERE (file, callee) NOT IN (SELECT file, callee FROM here)),
         far AS (SELECT file, callee, p_partkey AS fn FROM asked JOIN part ON p_name = callee WHERE (file, callee) NOT IN (SELECT file, callee FROM here UNION ALL SELECT file, callee FROM near) AND (SELECT count(*) FROM part x WHERE x.p_name = callee) = 1)
         SELECT DISTINCT caller, fn FROM calls JOIN (SELECT * FROM here UNION ALL SELECT * FROM near UNION ALL SELECT * FROM far) r ON r.file = calls.file AND r.callee = calls.callee""", "edges"),
-    "tag_endpoints": "SELECT p_partkey AS fn, CASE WHEN p_size % 5 = 0 THEN 'env' WHEN p_size % 4 = 1 THEN 'body' END AS source, ['exec', NULL, 'query', 'x'][p_size % 4 + 1] AS sink FROM part",
     "semantic_nodes": "SELECT DISTINCT concat('file:', p_brand) AS id, 'file' AS kind, p_brand AS label FROM part UNION SELECT concat('function:', p_brand, '#', p_brand, '.', p_name, '@', p_partkey), 'function', concat(p_brand, '.', p_name) FROM part UNION SELECT concat('package:', p_type), 'package', p_type FROM part UNION SELECT concat('symbol:', p_type), 'symbol', p_type FROM part",
     "semantic_edges": _with(_CALLS + """, fns AS (SELECT p_partkey, p_brand, p_name, concat('function:', p_brand, '#', p_brand, '.', p_name, '@', p_partkey) AS id FROM part)
         SELECT concat('file:', p_brand) AS start, id AS "end", 'defines' AS kind, concat(p_brand, '.', p_name) AS label FROM fns UNION SELECT concat('file:', p_brand), concat('package:', p_type), 'imports_package', p_type FROM part

@@ -59,6 +59,8 @@ ENGLISH, WORDLIKE = 16, 1.4
 MIN_LOG10 = 9.0
 #: Words learned from a corpus: letters only, of so many characters, in so many documents, and at most so many of them.
 LEARNED, MIN_DOCS, MAX_WORDS = re.compile(r"[^\W\d_]{3,24}"), 3, 1 << 16
+#: One of these stands in every credential context.
+TRIGGERS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 #: Different words that a task counts before it passes them on.
 FLUSH = 300_000
 
@@ -193,7 +195,7 @@ def scan(text: str | None, min_log10: float = MIN_LOG10, words: Dictionary = DEF
     if "AKIA" in text:
         base += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
-    if any(w in raw for w in ("pass", "pwd", "secret", "token", "credential", "auth", "key")):
+    if any(w in raw for w in TRIGGERS):
         taken = sorted((b[1], b[2]) for b in base)
         for m in CONTEXT.finditer(text):
             value = m["value"].rstrip(".)]}!?")
@@ -230,8 +232,19 @@ def _digest(min_log10: float, shared):
     return digest
 
 
+def without_values(text: str) -> str:
+    """text without the values in credential contexts: what stands there may be a secret however many documents hold it."""
+    low = text.lower()
+    if not any(w in low for w in TRIGGERS):
+        return text
+    for pattern in (ASSIGN, CONTEXT):
+        text = pattern.sub(lambda m: m[0][: m.start("value") - m.start()], text)
+    return text
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of the task that hold each word, passed on whenever the words are many."""
+    """The documents of the task that hold each word, values in credential contexts left out, passed on whenever the words
+    are many."""
     counts: Counter = Counter()
 
     def out() -> pa.RecordBatch:
@@ -239,7 +252,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t in b.column(0):
-            counts.update(set(LEARNED.findall((t.as_py() or "").lower())))
+            counts.update(set(LEARNED.findall(without_values(t.as_py() or "").lower())))
             if len(counts) > FLUSH:
                 yield out()
                 counts.clear()
@@ -249,7 +262,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_words(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, max_words: int = MAX_WORDS) -> Dictionary:
     """The words of docs by the number of documents that hold them, over all documents, those in fewer than min_docs left
-    out: a value that stands in one or two documents is no word. Of equal counts all or none are taken, at most max_words,
+    out, and never from a value in a credential context. Of equal counts all or none are taken, at most max_words,
     which bounds what reaches the driver and is broadcast."""
     counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_count_words, "word string, n long")
     counts = save(counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs), "words")

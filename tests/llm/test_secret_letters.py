@@ -27,3 +27,12 @@ def test_letters_are_redacted(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
     assert [got[k] for k in range(len(FOUND))] == [t.replace(v, "<secret>") for t, v in FOUND.items()]
     assert [got[len(FOUND) + k] for k in range(len(PROSE))] == PROSE
+
+
+def test_secrets_that_many_documents_hold_are_no_words(spark):
+    rows = [(k, f"note {k}: pwd=QzXwRtYpLkMv end") for k in range(5)] + [(10 + k, "token: 'BvQwLkZrTpXm' and secret is QzXwRtYpLkMv") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.learn_words(df)
+    assert "note" in words.rank and not {"qzxwrtyplkmv", "bvqwlkzrtpxm"} & set(words.rank)
+    assert all("QzXw" not in r["text"] and "BvQw" not in r["text"] for r in secrets.redact_secrets(df).collect())
+    assert {r["n_guess"] for r in secrets.scan_secrets(df).collect() if r["doc_id"] < 10} == {1}

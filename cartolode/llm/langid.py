@@ -14,9 +14,11 @@ from .chargrams import grams, normalise
 from .common import remainder, save, small, table, text_batches
 
 ORDER = 4
-#: About so many documents, of about so many characters, of each language are learned from; an eighth of the documents only
+#: About so many pieces of texts, of about so many characters, of each language are learned from; an eighth of them only
 #: calibrates. A model has no more n-grams of a language than that many characters hold.
 TRAIN_DOCS, TRAIN_CHARS = 2000, 8_000_000
+#: Longer texts are drawn from in pieces of so many characters.
+PIECE = 4096
 #: Cells of code points by languages that are scored at a time.
 CELLS = 1 << 20
 #: Texts of fewer letters are never rejected. A text's mean cost varies by its length: so many nats over its root.
@@ -254,17 +256,23 @@ SCORED = "lang_pred string, score double, rejected boolean, n long, nats double,
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", train_docs: int = TRAIN_DOCS, order: int = ORDER, train_chars: int = TRAIN_CHARS) -> Model | None:
     """A calibrated model of every language of docs; None if no row has both a text with letters and a language.
 
-    About train_docs documents of each language and train_chars characters, all if it has fewer, are drawn by a hash of key
-    and text, equal ones once; their n-grams are counted by Spark, and all that occur are in the model. Rows without text or
+    About train_docs pieces of PIECE characters of each language and train_chars characters, all if it has fewer, are drawn by
+    a hash of key, text and place, equal ones once, and at least the piece of the least hash; their n-grams are counted by Spark, and all that occur are in the model. Rows without text or
     language teach nothing.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     rows = rows.where("lang is not null and t is not null")
-    share = rows.groupBy("lang").agg(F.least(F.lit(train_docs) / F.count("*"), F.lit(train_chars) / F.greatest(F.sum(F.length("t")), F.lit(1))).alias("share"))
-    drawn = rows.withColumn("h", F.xxhash64("k", "t", F.lit(3))).join(small(save(share, "shares")), "lang").where(F.pmod("h", F.lit(1_000_000)) / F.lit(1e6) < F.col("share"))
-    drawn = save(drawn.groupBy("lang", "h").agg(F.first("t").alias("t")), "drawn")
-    fit = F.pmod(F.xxhash64("h", F.lit(4)), F.lit(8)) > 0
+    # Few bytes a text, in one pass each: hashes of its pieces, of which those under the language's share are drawn.
+    pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.length("t") - 1, F.lit(0)) / PIECE).cast("int"))
+    hashed = rows.withColumn("base", F.xxhash64("k", "t", F.lit(3))).withColumn("pieces", F.transform(pieces, lambda p: F.struct(F.xxhash64("base", p).alias("h"), p.alias("p"))))
+    share = F.least(F.lit(train_docs) / F.sum(F.size("pieces")), F.lit(train_chars) / F.greatest(F.sum(F.length("t")), F.lit(1)))
+    shares = hashed.groupBy("lang").agg(share.alias("share"), F.min(F.array_min("pieces")["h"]).alias("least"))
+    known = hashed.join(small(save(shares, "shares")), "lang")
+    chosen = F.filter("pieces", lambda x: (F.pmod(x["h"], F.lit(1_000_000)) / F.lit(1e6) < F.col("share")) | (x["h"] == F.col("least")))
+    each = known.select("lang", "t", "least", F.explode(chosen).alias("x")).select("lang", "x.h", (F.col("x.h") == F.col("least")).alias("first"), F.substring("t", F.col("x.p") * PIECE + 1, F.lit(PIECE)).alias("t"))
+    drawn = save(each.groupBy("lang", "h").agg(F.first("t").alias("t"), F.first("first").alias("first")), "drawn")
+    fit = (F.pmod(F.xxhash64("h", F.lit(4)), F.lit(8)) > 0) | F.col("first")
     counted = drawn.where(fit).select("lang", "t").mapInPandas(_counter(order), "lang string, gram string, n long")
     with text_batches(spark):
         counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()

@@ -81,3 +81,15 @@ def test_rows_without_ids_are_learned_from(spark):
     got = langid.identify(df, langid.train(df)).collect()
     assert Counter(r["lang_pred"] for r in got) == {"en": 65, "de": 60}
     assert len(langid.train(df, train_chars=200).gram[-1].hash) < len(langid.train(df).gram[-1].hash)
+
+
+def test_languages_of_a_few_long_texts_are_learned(spark):
+    rnd = random.Random(9)
+    en, de = "the house of stone and water by night".split(), "das haus und der stein bei nacht über".split()
+    rows = [(k, " ".join(rnd.choice(en) for _ in range(30)), "en") for k in range(300)]
+    rows += [(400 + k, " ".join(rnd.choice(de) for _ in range(8000)), "de") for k in range(2)] + [(500 + k, " ".join(rnd.choice(de) for _ in range(30)), None) for k in range(20)]
+    for shift in (0, 1000, 2000):
+        df = spark.createDataFrame([(k + shift, t, x) for k, t, x in rows], "doc_id long, text string, lang string")
+        model = langid.train(df, train_chars=8000)
+        assert model.langs == ["de", "en"]
+        assert {r["lang_pred"] for r in langid.identify(df.where("lang is null"), model).collect()} == {"de"}

@@ -28,7 +28,7 @@ def corpus():
     long = text("en", 300).split()
     other = [*long[:150], "altered", *long[151:]]
     rows += [(300, " ".join(long), "en", "src1"), (301, " ".join(other), "en", "src2"), (None, " ".join(other), "en", "src2")]
-    rows += [rows[5], rows[5], (5, text("en", 40), "en", "src0"), (310, rows[9][1].upper(), "en", "src3"), (None, rows[9][1], "en", "src3")]
+    rows += [rows[5], rows[5], (5, text("en", 40), "en", "src0"), (310, rows[10][1].upper(), "en", "src3"), (None, rows[10][1], "en", "src3")]
     rows += [(320, None, "en", "src0"), (321, "", None, None), (322, "12 34", "en", "src0"), (None, None, None, None), (None, None, None, None)]
     rows += [(330, f"{text('en', 20)} token = \"a9f8e7d6c5b4a392\" {text('en', 20)}", "en", "src1")]
     return rows_of(rows)

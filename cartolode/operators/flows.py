@@ -2,42 +2,98 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.sources.tables import save
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_distance: int, stop: DataFrame | None = None) -> DataFrame:
-    """(seed, node, distance, path) for all that each of seeds(seed) reaches along edges(src, dst) within so many hops.
-
-    path lists the nodes of a shortest way, the smallest of those. Nodes of stop(node) are reached but not passed
-    through. Each round is a written table, so that a lost executor costs one round.
+class Reach:
+    """What each of seeds(seed) reaches along edges(src, dst) within so many hops, as bitmaps: of each hop a written table
+    (node, block, bits) with a bit for every seed that reaches the node at that hop first; a block has 64 seeds. Nodes of
+    stop(node) are reached but not passed through, but for seeds. No row stands for a single seed and node, and ways are kept
+    as hops only.
     """
+
+    def __init__(self, edges: DataFrame, seeds: DataFrame, max_distance: int, stop: DataFrame | None = None):
+        self.steps = save(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct(), "steps")
+        number = F.monotonically_increasing_id()
+        self.seeds = save(seeds.select("seed").where("seed is not null").distinct().withColumn("number", number), "seeds")
+        bit = F.expr("shiftleft(1L, cast(number % 64 as int))")
+        self.seeds = self.seeds.select("seed", F.floor(F.col("number") / 64).alias("block"), bit.alias("bit"))
+        self.stop = stop
+        self.hops = [save(self.seeds.select(F.col("seed").alias("node"), "block", F.col("bit").alias("bits")), "hop")]
+        for _ in range(max_distance):
+            frontier = save(self._next(), "hop")
+            if frontier.isEmpty():
+                break
+            self.hops.append(frontier)
+
+    def going(self, hop: int) -> DataFrame:
+        """What goes on from a hop: a seed does even if it is a stop."""
+        return self.hops[hop] if self.stop is None or not hop else self.hops[hop].join(self.stop.select("node"), "node", "left_anti")
+
+    def _next(self) -> DataFrame:
+        met = self.going(len(self.hops) - 1).join(self.steps, "node").select(F.col("to").alias("node"), "block", F.col("bits").alias("new"), F.lit(0).cast("long").alias("old"))
+        seen = reduce(DataFrame.unionByName, self.hops).select("node", "block", F.lit(0).cast("long").alias("new"), F.col("bits").alias("old"))
+        both = met.unionByName(seen).groupBy("node", "block").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        return both.select("node", "block", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("bits")).where("bits <> 0")
+
+    def pairs(self, nodes: DataFrame, least: int = 0) -> DataFrame:
+        """(seed, node, distance) of the pairs with one of nodes(node) that are so far apart at least."""
+        far = [h.select("node", "block", "bits", F.lit(k).alias("distance")) for k, h in enumerate(self.hops) if k >= least]
+        if not far:
+            return self.hops[0].limit(0).select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"))
+        ends = reduce(DataFrame.unionByName, far).join(nodes.select("node").distinct(), "node", "left_semi")
+        met = ends.join(self.seeds, "block").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        return met.select("seed", "node", "distance")
+
+    def paths(self, ends: DataFrame) -> DataFrame:
+        """ends(seed, node, distance) with path, the nodes of a shortest way joined by `>`, the smallest of those in order.
+
+        Backwards, hop by hop, the nodes on any shortest way of a pair are those before it that the seed reached a hop
+        earlier; forwards the smallest next of them is taken.
+        """
+        ends = save(ends.withColumn("pair", F.monotonically_increasing_id()).join(self.seeds, "seed"), "ends")
+        on: dict[int, DataFrame] = {}
+        for hop in range(len(self.hops) - 1, -1, -1):
+            at = ends.where(F.col("distance") == hop).select("pair", "block", "bit", "node")
+            if hop + 1 in on:
+                back = on[hop + 1].withColumnRenamed("node", "to").join(self.steps, "to").join(self.going(hop), ["node", "block"])
+                at = at.unionByName(back.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("pair", "block", "bit", "node").distinct())
+            on[hop] = save(at, "ways")
+        now = on[0].select("pair", "node")
+        chosen = [now.withColumn("hop", F.lit(0))]
+        for hop in range(1, len(self.hops)):
+            further = on[hop].select("pair", F.col("node").alias("to"))
+            now = save(now.join(self.steps, "node").join(further, ["pair", "to"]).groupBy("pair").agg(F.min("to").alias("node")), "way")
+            chosen.append(now.withColumn("hop", F.lit(hop)))
+        whole = reduce(DataFrame.unionByName, chosen).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("hop", "node"))).alias("way"))
+        path = F.array_join(F.transform("way", lambda x: x["node"].cast("string")), ">")
+        return ends.join(whole, "pair").select("seed", "node", "distance", path.alias("path"))
+
+
+def nearest(edges: DataFrame, seeds: DataFrame, max_distance: int) -> DataFrame:
+    """(node, seed, distance): the nearest of seeds(seed) along edges(src, dst), the smallest of those as near. What a node has
+    nearest, one before it has nearest a hop less, so a row a node is all that is kept."""
     steps = save(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct(), "steps")
-    found = save(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.array("seed").alias("path")).distinct(), "reached")
-    parts, frontier, seen = [found], found, found.select("seed", "node")
+    parts = [save(seeds.select(F.col("seed").alias("node"), "seed").where("seed is not null").distinct().withColumn("distance", F.lit(0)), "near")]
     for hop in range(1, max_distance + 1):
-        # A seed goes on even if it is a stop: a flow begins there.
-        going = frontier if stop is None or hop == 1 else frontier.join(stop.select("node"), "node", "left_anti")
-        new = going.join(steps, "node").select("seed", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"))
-        new = new.join(seen, ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min("path").alias("path"))
-        frontier = save(new.select("seed", "node", F.lit(hop).alias("distance"), "path"), "reached")
-        if frontier.isEmpty():
+        met = parts[-1].join(steps, "node").groupBy(F.col("to").alias("node")).agg(F.min("seed").alias("seed"))
+        new = save(met.join(reduce(DataFrame.unionByName, parts), "node", "left_anti").withColumn("distance", F.lit(hop)), "near")
+        if new.isEmpty():
             break
-        parts.append(frontier)
-        seen = seen.unionByName(frontier.select("seed", "node"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+        parts.append(new)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def collisions_transitive(work: DataFrame, edges: DataFrame, max_distance: int = 5) -> DataFrame:
     """A file of one stream that depends over two hops or more on a file of another, each changed by one of the two
     streams only: (stream_a, stream_b, file_a, file_b, distance) with the nearest distance of each pair."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    far = reach(back, work.select(F.col("path").alias("seed")).distinct(), max_distance).where("distance >= 2").select("seed", "node", "distance")
+    far = Reach(back, work.select(F.col("path").alias("seed")), max_distance).pairs(work.select(F.col("path").alias("node")), least=2)
     pairs = far.join(work.select(F.col("path").alias("seed"), F.col("stream").alias("s")), "seed").join(work.select(F.col("path").alias("node"), F.col("stream").alias("t")), "node").where("s <> t")
     for node, stream in (("seed", "t"), ("node", "s")):
         pairs = pairs.join(work.select(F.col("path").alias(node), F.col("stream").alias(stream)), [node, stream], "left_anti")
@@ -49,9 +105,8 @@ def collisions_transitive(work: DataFrame, edges: DataFrame, max_distance: int =
 
 def taint_flows(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 12) -> DataFrame:
     """(source, sink, depth, path): each sink that a source(node) reaches over calls(src, dst) without passing another sink."""
-    ways = reach(calls, sources.select(F.col("node").alias("seed")), max_depth, sinks)
-    ends = ways.join(sinks.select("node").distinct(), "node", "left_semi")
-    return ends.select(F.col("seed").alias("source"), F.col("node").alias("sink"), F.col("distance").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    ways = Reach(calls, sources.select(F.col("node").alias("seed")), max_depth, sinks)
+    return ways.paths(ways.pairs(sinks)).select(F.col("seed").alias("source"), F.col("node").alias("sink"), F.col("distance").alias("depth"), "path")
 
 
 def _bridges(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int) -> DataFrame:
@@ -59,8 +114,8 @@ def _bridges(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth:
     back = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ends = []
     for kind, nodes in (("source", sources), ("sink", sinks)):
-        far = reach(back, nodes.select(F.col("node").alias("seed")).distinct(), max_depth).where("distance >= 1")
-        ends.append(far.groupBy(F.col("node").alias("bridge")).agg(F.min(F.struct("distance", "seed")).alias("x")).select("bridge", F.col("x.seed").alias(kind), F.col("x.distance").alias(f"{kind}_distance")))
+        far = nearest(back, nodes.select(F.col("node").alias("seed")), max_depth).where("distance >= 1")
+        ends.append(far.select(F.col("node").alias("bridge"), F.col("seed").alias(kind), F.col("distance").alias(f"{kind}_distance")))
     rows = ends[0].join(ends[1], "bridge").where("source <> sink")
     for nodes in (sources, sinks):
         rows = rows.join(nodes.select(F.col("node").alias("bridge")), "bridge", "left_anti")
@@ -87,12 +142,11 @@ def dataflow_risks(calls: DataFrame, sources: DataFrame, sinks: DataFrame, max_d
 def expand_reexports(exports: DataFrame, stars: DataFrame) -> DataFrame:
     """exports(path, name) with every name that stars(src re-exports all of dst) bring in, until nothing new comes."""
     back = save(stars.select(F.col("dst").alias("path"), F.col("src").alias("to")).distinct(), "stars")
-    found = frontier = save(exports.select("path", "name").distinct(), "exports")
-    while not frontier.isEmpty():
-        new = frontier.join(back, "path").select(F.col("to").alias("path"), "name").distinct()
-        frontier = save(new.join(found, ["path", "name"], "left_anti"), "frontier")
-        found = save(found.unionByName(frontier), "exports")
-    return found
+    parts = [save(exports.select("path", "name").distinct(), "exports")]
+    while not parts[-1].isEmpty():
+        new = parts[-1].join(back, "path").select(F.col("to").alias("path"), "name").distinct()
+        parts.append(save(new.join(reduce(DataFrame.unionByName, parts), ["path", "name"], "left_anti"), "exports"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "importers") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartolode.operators.mentions import mentions
+
 #: Kinds of proof debt.
 DEBT_KINDS = ("missing-contract", "scope-drift", "missing-proof", "failed-proof", "stale-proof", "weak-proof", "recipe-gap")
 #: Sources of a caution that people sign off, and how the others rank.
@@ -82,37 +84,13 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(F.lower(F.substring_index(path, "/", -1)), r"\.[^.]+$", "")
 
 
-#: Characters of a text that are looked through from one start, and names up to which they are broadcast.
-WINDOW, MENTIONED = 256, 100_000
-
-
-def contained(texts: DataFrame, names: DataFrame, key: str, text: str = "text", name: str = "name") -> DataFrame:
-    """Distinct (key, name) of every name that a text holds anywhere, inside longer words too. Texts are cut into windows that
-    overlap by the longest name; windows and names meet on the first four characters at each place, or on the whole of
-    shorter names, and then on the rest. Null and empty names are nowhere."""
-    known = names.select(F.col(name).alias("name")).where("name <> ''").distinct().withColumn("head", F.substring("name", 1, 4))
-    widths = known.groupBy(F.length("head").alias("n")).agg(F.max(F.length("name")).alias("longest")).collect()
-    if not widths:
-        return texts.select(key).limit(0).withColumn("name", F.lit(None).cast("string"))
-    reach = WINDOW + max(r["longest"] for r in widths)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(WINDOW))
-    windows = texts.where(F.length(text) > 0).select(key, F.explode(F.transform(starts, lambda p: F.substring(F.col(text), p, F.lit(reach)))).alias("t"))
-    at = F.sequence(F.lit(1), F.least(F.length("t"), F.lit(WINDOW)))
-    head = lambda w: F.transform(at, lambda p: F.struct(p.alias("place"), F.substring(F.col("t"), p, F.lit(w)).alias("head")))
-    heads = [head(r["n"]) for r in widths]
-    places = windows.select(key, "t", F.explode(F.concat(*heads)).alias("x")).select(key, "t", "x.place", "x.head")
-    rows = known.limit(MENTIONED + 1).count()
-    met = places.join(F.broadcast(known) if rows <= MENTIONED else known, "head").where("substring(t, place, length(name)) = name")
-    return met.select(key, "name").distinct()
-
-
 def likely_tests(tests: DataFrame, candidates: DataFrame) -> DataFrame:
     """(test, score): 100 where a test is named as a candidate file is, 40 where its path holds such a name of three
     characters or more; the best score of each test."""
     names = candidates.select(base_name(F.col("path")).alias("name")).distinct()
     tested = tests.select(F.col("path").alias("test"), F.regexp_replace(F.regexp_replace(F.lower(F.substring_index("path", "/", -1)), r"\.(test|spec)\.[^.]+$", ""), r"\.[^.]+$", "").alias("name"))
     exact = tested.join(names, "name", "left_semi").select("test", F.lit(100).alias("score"))
-    part = contained(tests.select(F.col("path").alias("test"), F.lower("path").alias("text")), names.where(F.length("name") >= 3), "test").select("test", F.lit(40).alias("score"))
+    part = mentions(tests.select(F.col("path").alias("test"), F.lower("path").alias("text")), names.where(F.length("name") >= 3), "test").select("test", F.lit(40).alias("score"))
     return exact.unionByName(part).groupBy("test").agg(F.max("score").alias("score"))
 
 
@@ -132,10 +110,10 @@ def rank_candidates(plans: DataFrame, files: DataFrame, weak: tuple = (), key: s
     strong = (F.length("term") > 2) & (~F.col("term").isin(*weak) if weak else F.lit(True))
     shared = terms.where(strong).join(each, "term").groupBy(key, "path").agg(F.count("*").alias("shared"))
     names = files.select("path", F.explode(F.array(F.struct(F.lower("path").alias("name"), F.lit(80).alias("n")), F.struct(F.lower(F.substring_index("path", "/", -1)).alias("name"), F.lit(70).alias("n")), F.struct(F.when(F.length(stem) >= 3, stem).alias("name"), F.lit(60).alias("n")))).alias("x")).select("path", "x.*").where("name <> ''")
-    held = contained(plans.select(key, F.lower("text").alias("text")), names, key).join(names, "name").select(key, "path", "n")
+    held = mentions(plans.select(key, F.lower("text").alias("text")), names, key).join(names, "name").select(key, "path", "n")
     short = terms.join(files.select("path", stem.alias("term")).where(F.length("term") < 3), "term").select(key, "path", F.lit(60).alias("n"))
-    mentions = held.unionByName(short).groupBy(key, "path").agg(F.max("n").alias("mention"))
-    rows = shared.join(mentions, [key, "path"], "full").fillna(0).join(files, "path")
+    said = held.unionByName(short).groupBy(key, "path").agg(F.max("n").alias("mention"))
+    rows = shared.join(said, [key, "path"], "full").fillna(0).join(files, "path")
     score = F.col("mention") + 12 * F.col("shared") + F.when(F.col("at_risk"), 8).otherwise(0) + F.least(F.lit(10), F.col("fan"))
     return rows.select(key, "path", score.cast("long").alias("score"))
 
@@ -215,7 +193,7 @@ def trust_memory(cards: DataFrame, feedback: DataFrame, key: str = "card_id") ->
     words = F.filter(F.array_distinct(F.split("note", " ")), lambda t: (F.length(t) >= 4) & ~t.isin(*GENERIC))
     wanted = notes.select("note", words.alias("words")).withColumn("need", F.least(F.lit(2), F.size("words")))
     said = wanted.select("note", "need", F.explode("words").alias("name"))
-    held = contained(cards.select(key, _plain(F.col("text")).alias("text")), said.select("name").union(notes.select("note")), key)
+    held = mentions(cards.select(key, _plain(F.col("text")).alias("text")), said.select("name").union(notes.select("note")), key)
     some = held.join(said, "name").groupBy(key, "note", "need").agg(F.count("*").alias("n")).where("n >= need").select(key, "note")
     fits = some.union(held.join(notes.select(F.col("note").alias("name")), "name").select(key, "name")).distinct()
     sums = fits.join(notes, "note").groupBy(key).agg(F.sum("up").alias("helpful"), F.sum("down").alias("noisy"))

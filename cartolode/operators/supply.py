@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolode.operators.evidence import small_rules
+from cartolode.operators.mentions import mentions
 
 #: Packages that are deprecated and packages that are heavy.
 DEPRECATED = ("moment", "request", "node-uuid", "nomnom", "coffee-script")
@@ -218,21 +219,12 @@ def suppress_inline(issues: DataFrame, files: DataFrame, marker: str = "cartolod
 
 
 #: Characters that may stand around a path that a text mentions.
-BOUNDARY = r"""[ \t\n\r"'`()\[\]{}:,;.?!<>]"""
+BOUNDARY = " \t\n\r\"'`()[]{}:,;.?!<>"
 
 
 def issues_by_file(issues: DataFrame, files: DataFrame, located: DataFrame) -> DataFrame:
     """(path, rule_id) of located(path, rule_id), and of issues(rule_id, text) without a place that mention the path of a
-    file between boundaries. From every boundary of a text a window as long as the longest path is cut once, and its pieces
-    up to each boundary inside it meet the files by equality."""
-    exact = located.join(files.select("path").distinct(), "path", "left_semi").select("path", "rule_id").distinct()
-    longest = files.agg(F.max(F.length("path"))).first()[0]
-    if not longest:
-        return exact
-    starts = F.regexp_extract_all("text", F.lit(rf"(?s)(?:^|(?<={BOUNDARY}))(?=(.{{1,{longest + 1}}}))"), 1)
-    windows = issues.select("rule_id", F.explode(F.array_distinct(starts)).alias("w")).where("w <> ''")
-    ends = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(longest)))
-    # Where no character follows, the window was cut short by the end of the text.
-    ends = F.filter(ends, lambda k: (k == F.length("w")) | F.substring(F.col("w"), k + 1, F.lit(1)).rlike(BOUNDARY))
-    pieces = windows.select("rule_id", F.explode(F.transform(ends, lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("path"))
-    return exact.unionByName(pieces.join(files.select("path").distinct(), "path", "left_semi").select("path", "rule_id")).distinct()
+    file between boundaries."""
+    exact = located.join(files.select("path").distinct(), "path", "left_semi").select("path", "rule_id")
+    said = mentions(issues, files, "rule_id", name="path", boundary=BOUNDARY)
+    return exact.unionByName(said.select(F.col("name").alias("path"), "rule_id")).distinct()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import save, table, trimmed
 
 ASSIGN = re.compile(r"""(?P<key>(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -314,7 +314,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "<secret
             texts = pa.array([clean(t.as_py()) for t in b.column(place)], b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([texts if k == place else b.column(k) for k in range(b.num_columns)], schema=b.schema)
 
-    return docs.mapInArrow(redact, docs.schema)
+    return docs.mapInArrow(trimmed(redact), docs.schema)
 
 
 def op1_secret_guess_cost(spark, sf_dir: str) -> DataFrame:

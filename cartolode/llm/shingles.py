@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small, text_batches
+from .common import save, small, text_batches, trimmed
 from .components import connected_components
 from .simhash import RADIUS, SEED, covering_masks, signed
 
@@ -173,7 +173,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    prints = save(rows.mapInArrow(_prints(width), "doc_id long, node long, wide array<long>"), "prints")
+    prints = save(rows.mapInArrow(trimmed(_prints(width)), "doc_id long, node long, wide array<long>"), "prints")
     classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "classes")
     # A text has a row for every mask: tasks take few enough texts that none spills while it counts them.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // TASK_TEXTS))
@@ -190,13 +190,13 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = save(pairs.distinct(), f"{name}-pairs")
         wanted = small(save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-wanted"))
-        texts = save(rows.select("t").mapInArrow(_named, "node long, t binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t")), f"{name}-texts")
+        texts = save(rows.select("t").mapInArrow(trimmed(_named), "node long, t binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t")), f"{name}-texts")
         sides = [texts.select(F.col("node").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b")]
-        return save(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(width, least), "a long, b long"), f"{name}-links")
+        return save(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_confirm(width, least)), "a long, b long"), f"{name}-links")
 
     side = lambda k: classes.select(F.col("node").alias(k), F.col("wide").alias(f"s{k}"))
     stars = save(members.where("node <> rep and near").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = confirmed(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_likely(least), "a long, b long"), "star")
+    links = confirmed(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(_likely(least)), "a long, b long"), "star")
     roots = save(connected_components(links).withColumnRenamed("component", "root"), "roots")
     rooted = save(members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mixed = small(save(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "mixed"))
@@ -206,7 +206,7 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
     low, high = F.least("block", "other"), F.greatest("block", "other")
     meets = other.select("node", "root", F.xxhash64("bucket", low, high).alias("meet"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1).alias("side"))
     met = meets.join(classes.select("node", "wide"), "node").repartition("meet").sortWithinPartitions("meet")
-    links = save(links.union(confirmed(met.mapInArrow(_across(least), "a long, b long"), "across")), "links")
+    links = save(links.union(confirmed(met.mapInArrow(trimmed(_across(least)), "a long, b long"), "across")), "links")
     roots = save(connected_components(links).withColumnRenamed("component", "root"), "roots")
     ends = save(classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ends")
     named = save(ends.join(save(ends.groupBy("root").agg(F.min("least").alias("component_id")), "least"), "root").select("node", "component_id"), "named")

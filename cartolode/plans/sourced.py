@@ -1,4 +1,4 @@
-"""Queries over source files that are written from the parts table, with the SQL that they are held against."""
+"""Queries over source files written from the parts table and over leases from the orders, with the SQL that they are held against."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolode.operators import endpoints, facts
 from cartolode.sources.tables import table as T
+from cartolode.streaming import leases
 
 #: Of each language: the extension, what stands before, what is repeated and what stands after; {n} is the part's number, {m}
 #: one of three callees.
@@ -47,9 +48,18 @@ def _endpoints(s, d):
     return endpoints.tag_endpoints(functions, imports, sources=("own",))
 
 
+def _claims(s, d):
+    """Orders as claims of 20 days or for ever, and releases of some by id, by target and agent, and by agent."""
+    rows = T(s, d, "orders").selectExpr("o_orderkey as k", "concat('repo', o_custkey % 7) as repo", "cast(o_orderkey as string) as id", "cast(o_orderdate as timestamp) as at", "cast(o_custkey % 4 as string) as agent", "concat('r', o_custkey % 5, if(o_custkey % 3 = 0, '', concat('/n', o_custkey % 40))) as target")
+    claims = rows.selectExpr("repo", "id", "at", "'claim' as action", "agent", "target", "if(k % 10 = 0, null, at + make_interval(0, 0, 0, 20)) as expires_at")
+    gone = lambda where, i, days, agent, target: rows.where(where).selectExpr("repo", f"{i} as id", f"at + make_interval(0, 0, 0, {days}) as at", "'release' as action", f"{agent} as agent", f"{target} as target", "cast(null as timestamp) as expires_at")
+    return claims.unionByName(gone("k % 4 = 1", "id", 7, "null", "null")).unionByName(gone("k % 97 = 3", "null", 3, "agent", "target")).unionByName(gone("k % 501 = 5", "null", 1, "agent", "null"))
+
+
 QUERIES = {
     "source_facts": lambda s, d: facts.extract_facts(_files(s, d)).withColumn("callees", F.array_join("callees", "|")),
     "tag_endpoints": _endpoints,
+    "lease_log": lambda s, d: leases.lease_log(_claims(s, d)),
 }
 
 ORACLE_SQL = {
@@ -66,6 +76,22 @@ p AS (SELECT concat('src/m', p_partkey, ext) AS path, replace(fn, '{n}', p_partk
 SELECT path, 'file' AS kind, path AS name, 1 AS line, lines AS end_line, cc, callees, true AS parse_ok FROM p
 UNION ALL SELECT path, 'function', fn, before, last, cc, callees, true FROM p
 UNION ALL SELECT path, 'export', export, NULL, NULL, NULL, '', true FROM p""",
+    "lease_log": """
+WITH o AS (SELECT o_orderkey AS k, concat('repo', o_custkey % 7) AS repo, o_orderkey::VARCHAR AS id, o_orderdate::TIMESTAMP AS "at", (o_custkey % 4)::VARCHAR AS agent,
+    concat('r', o_custkey % 5, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('/n', o_custkey % 40) END) AS target FROM orders),
+r AS (SELECT repo, id, "at" + INTERVAL 7 DAY AS "at", NULL AS agent, NULL AS target FROM o WHERE k % 4 = 1
+  UNION ALL SELECT repo, NULL, "at" + INTERVAL 3 DAY, agent, target FROM o WHERE k % 97 = 3
+  UNION ALL SELECT repo, NULL, "at" + INTERVAL 1 DAY, agent, NULL FROM o WHERE k % 501 = 5),
+named AS (SELECT o.id, r."at" FROM o JOIN r ON o.id = r.id AND r."at" >= o."at"
+  UNION ALL SELECT o.id, r."at" FROM o JOIN r ON r.id IS NULL AND o.repo = r.repo AND o.agent = r.agent AND r."at" >= o."at" AND (r.target IS NULL OR r.target = o.target)),
+c AS (SELECT o.*, CASE WHEN k % 10 <> 0 THEN o."at" + INTERVAL 20 DAY END AS expires, f.released FROM o LEFT JOIN (SELECT id, min("at") AS released FROM named GROUP BY id) f USING (id)),
+e AS (SELECT *, CASE WHEN released IS NOT NULL AND (expires IS NULL OR released < expires) THEN 'released' WHEN expires IS NOT NULL THEN 'expired' END AS ending FROM c),
+x AS (SELECT *, CASE ending WHEN 'released' THEN released WHEN 'expired' THEN expires END AS till FROM e)
+SELECT repo, id, "at", 'claimed' AS event, agent, target, (SELECT count(*) FROM x b WHERE b.repo = x.repo AND b.agent <> x.agent AND (b."at" < x."at" OR b."at" = x."at" AND b.id < x.id)
+    AND (b.till IS NULL OR b.till > x."at" OR b.ending = 'released' AND b.till = x."at")
+    AND (b.target = x.target OR starts_with(b.target, x.target || '/') OR starts_with(x.target, b.target || '/'))) AS contenders FROM x
+UNION ALL SELECT repo, id, till, ending, agent, target, 0 FROM x
+  WHERE ending = 'released' OR till <= (SELECT greatest((SELECT max("at") FROM o), (SELECT max("at") FROM r)))""",
     "tag_endpoints": """
 SELECT p_partkey AS fn, CASE p_size % 6 WHEN 0 THEN CASE WHEN p_partkey % 7 <> 0 THEN 'express.req.body' END
     WHEN 1 THEN CASE WHEN p_partkey % 4 = 1 OR p_partkey % 3 = 0 THEN 'env' END WHEN 2 THEN 'getInput' WHEN 3 THEN 'remix.params' WHEN 5 THEN 'own' END AS source,

@@ -124,20 +124,6 @@ def claims_active(claims: DataFrame, now: str, releases: DataFrame | None = None
     return rows if releases is None else rows.join(releases.select("id").distinct(), "id", "left_anti")
 
 
-def contended_when_made(claims: DataFrame) -> DataFrame:
-    """Claims at whose making another agent's claim on an overlapping target was active: (id, contenders).
-
-    Targets meet on the folder that both name; times are compared within a target and those above and below it.
-    """
-    c = claims.select("id", "agent", "target", "claimed_at", "expires_at")
-    other = c.select(F.col("id").alias("o_id"), F.col("agent").alias("o_agent"), F.col("target").alias("o_target"), F.col("claimed_at").alias("o_at"), F.col("expires_at").alias("o_end"))
-    above = c.withColumn("o_target", F.explode(ancestors(F.col("target")))).join(other, "o_target")
-    below = c.join(other.withColumn("target", F.explode(ancestors(F.col("o_target")))).where("target <> o_target"), "target")
-    columns = ["id", "agent", "claimed_at", "o_id", "o_agent", "o_at", "o_end"]
-    met = above.select(columns).unionByName(below.select(columns)).where("agent <> o_agent and (o_at, o_id) < (claimed_at, id) and (o_end is null or o_end > claimed_at)")
-    return met.groupBy("id").agg(F.countDistinct("o_id").alias("contenders"))
-
-
 def guard_stream(changed: DataFrame, contract: DataFrame) -> DataFrame:
     """changed(contract_id, path), a stream or a table, with the scope of each row under a static contract(contract_id, prefix,
     kind): forbidden below a forbidden place, else allowed below an allowed one or without any, else outside."""

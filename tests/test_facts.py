@@ -125,11 +125,10 @@ def test_mentions_of_paths(spark):
     assert {tuple(r) for r in got.collect()} == {("src/a.ts", "r1"), ("a[1].ts", "r3"), ("src/ab.ts", "r9")}
 
 
-def test_contention_when_made(spark):
+def test_active_claims(spark):
     at = lambda k: dt.datetime(2024, 1, 1, k)
     rows = [(1, "a", "src", at(0), at(2)), (2, "b", "src/x.ts", at(1), None), (3, "a", "src/x.ts", at(3), None), (4, "b", "lib", at(3), None), (5, "c", "src", at(4), None)]
     claims = spark.createDataFrame(rows, "id int, agent string, target string, claimed_at timestamp, expires_at timestamp")
-    assert {tuple(r) for r in state.contended_when_made(claims).collect()} == {(2, 1), (3, 1), (5, 2)}
     assert {r["id"] for r in state.claims_active(claims, "2024-01-01 03:00:00", claims.where("id = 4")).collect()} == {2, 3}
 
 

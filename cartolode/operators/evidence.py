@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import round_half_up, semver_drift
 from cartolode.operators.rules import longest_prefix
+from cartolode.sources.sarif import level, rule_name
 
 #: Rules and other hand-written dimensions are broadcast up to this many rows.
 RULE_ROWS = 10_000
@@ -241,13 +242,5 @@ def chunk_hash(docs: DataFrame, path: Column, text: Column, size: int = 4096) ->
 
 
 def sarif_results(issues: DataFrame, uri: Column) -> DataFrame:
-    """Rows of a SARIF log: rule with its display name, level and location; a writer splits them by repository."""
-    level = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
-    name = F.array_join(F.transform(F.filter(F.split("rule_id", "[-_]"), lambda x: x != ""), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))), "")
-    return issues.select("rule_id", name.alias("rule_name"), level.alias("level"), uri.alias("uri"), "category")
-
-
-def write_sarif(results: DataFrame, path: str, repo: str) -> None:
-    """Results as JSON lines in a folder for each repository, each line a SARIF result, so that no repository is one row."""
-    body = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.array(F.struct(F.struct(F.struct("uri").alias("artifactLocation")).alias("physicalLocation"))).alias("locations")))
-    results.select(repo, body.alias("value")).write.partitionBy(repo).text(path)
+    """Rows of a SARIF log: rule with its display name, level and location; `sources.sarif` writes whole documents."""
+    return issues.select("rule_id", rule_name(F.col("rule_id")).alias("rule_name"), level(F.col("severity")).alias("level"), uri.alias("uri"), "category")

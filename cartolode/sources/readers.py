@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import redact_secrets
+from cartolode.sources.listing import IGNORED, list_files
+from cartolode.sources.tables import save
 
-LEDGER = "command string, exit_code int, completed_at timestamp, duration_ms long, schema_version int, _corrupt_record string"
+LEDGER = "command string, exit_code int, completed_at timestamp, started_at timestamp, duration_ms long, schema_version int, _corrupt_record string"
 
 
 def read_git_log(spark: SparkSession, path: str) -> DataFrame:
@@ -54,8 +61,11 @@ def read_ledger(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
 
 
 def append_ledger(records: DataFrame, path: str, version: int = 1) -> None:
-    """Append records(command, exit_code, completed_at, duration_ms) with secrets in commands redacted."""
-    records.withColumn("command", redact_secrets(F.col("command"))).withColumn("schema_version", F.lit(version)).write.mode("append").json(path)
+    """Append records(command, exit_code, completed_at, duration_ms) with secrets in commands redacted and started_at, which is the
+    duration before completed_at."""
+    started = F.timestamp_millis(F.unix_millis("completed_at") - F.col("duration_ms"))
+    rows = records.withColumn("command", redact_secrets(F.col("command"))).withColumn("started_at", started)
+    rows.withColumn("schema_version", F.lit(version)).write.mode("append").json(path)
 
 
 def write_snapshot(df: DataFrame, path: str, version: int = 1) -> None:
@@ -63,7 +73,10 @@ def write_snapshot(df: DataFrame, path: str, version: int = 1) -> None:
     df.withColumn("schema_version", F.lit(version)).write.mode("append").partitionBy("repo", "snapshot").parquet(path)
 
 
-def read_snapshot(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, version: int = 1, schema: str = "repo string, snapshot string") -> DataFrame:
+    """The facts below path of the schema version; none, with the given schema, where nothing was written yet."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.parquet(path).where(F.col("schema_version") == version).drop("schema_version")
 
 
@@ -95,21 +108,74 @@ def read_lockfiles(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("at <> ''").select("manifest", F.substring_index("at", "node_modules/", -1).alias("name"), F.col("p.version").alias("version"))
 
 
-def read_requirements(spark: SparkSession, path: str) -> DataFrame:
-    """Requirement lines: (name, specifier, pinned); comments, blank lines and options are left out, names folded."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"(^|\s)#.*$", "")).alias("l")).where("l <> '' and not startswith(l, '-')")
+def _plain(uri: str) -> str:
+    """An address as Spark gives it, decoded, local ones with three slashes."""
+    return re.sub("^file:/+", "file:///", unquote(uri))
+
+
+def _included(root: str, source: str, line: str) -> tuple[str, str] | None:
+    """The file that a line of a requirements file includes, below root, and whether as requirements or constraints."""
+    m = re.match(r"""(-r|-c|--requirement(?=[\s=])|--constraint(?=[\s=]))\s*=?\s*(?:(['"])(.*?)\2(?:\s|$)|([^\s-]\S*))""", line)
+    target = m and (m[3] or m[4])
+    if not target or target.startswith("/") or re.match(r"[A-Za-z][A-Za-z+.-]*:", target):
+        return None
+    store, at = re.fullmatch(r"(\w[\w+.-]*://[^/]*)?(.*)", source).groups("")
+    path = store + posixpath.normpath(posixpath.join(posixpath.dirname(at), target))
+    return (path, "constraint" if m[1] in ("-c", "--constraint") else "requirement") if path.startswith(root.rstrip("/") + "/") else None
+
+
+def read_requirements(spark: SparkSession, *paths: str, root: str | None = None) -> DataFrame:
+    """Requirement lines: (name, specifier, pinned, source, kind); comments, blank lines and options are left out, names folded.
+
+    Files that -r and -c lines include are read too, each once however often it is named and whether or not they include each
+    other; kind is constraint for those reached by -c. A target that is absolute, an address, missing or outside root (by
+    default the folder of the first file) is left out. The driver holds the names of files, no lines of requirements.
+    """
+    line = F.trim(F.regexp_replace("value", r"(^|\s)#.*$", ""))
+    read = lambda files: spark.read.text(files).select(line.alias("l"), F.col("_metadata.file_path").alias("source")).where("l <> ''")
+    first = sorted(map(_plain, spark.read.text(list(paths)).inputFiles()))
+    if not first:
+        return spark.createDataFrame([], "name string, specifier string, pinned string, source string, kind string")
+    base = _plain(_address(spark, root)) if root else posixpath.dirname(first[0])
+    kinds, todo, parts = {f: {"requirement"} for f in first}, first, []
+    while todo:
+        lines = save(read(todo), "requirements")
+        parts.append(lines)
+        todo = []
+        for r in lines.where("startswith(l, '-')").distinct().collect():
+            source = _plain(r["source"])
+            if not (found := _included(base, source, r["l"])):
+                continue
+            target, kind = found
+            new = {k if kind == "requirement" else "constraint" for k in kinds[source]}
+            if target not in kinds and not _exists(spark, target):
+                continue
+            if new - kinds.setdefault(target, set()):
+                kinds[target] |= new
+                todo.append(target)
+        todo = sorted(set(todo))
+    known = spark.createDataFrame([(f, k) for f, ks in kinds.items() for k in sorted(ks)], "source string, kind string")
+    every = reduce(DataFrame.unionByName, parts).withColumn("source", F.regexp_replace(F.url_decode(F.replace("source", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")).where("not startswith(l, '-')")
     part = lambda k: F.regexp_extract("l", r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([^;@]*)", k)
-    rows = lines.select(F.lower(F.regexp_replace(part(1), "[-_.]+", "-")).alias("name"), F.regexp_replace(part(2), r"\s+", "").alias("specifier"))
-    return rows.where("name <> ''").withColumn("pinned", F.regexp_extract("specifier", r"^===?([^,*]+)$", 1)).withColumn("pinned", F.nullif("pinned", F.lit("")))
+    rows = every.select(F.lower(F.regexp_replace(part(1), "[-_.]+", "-")).alias("name"), F.regexp_replace(part(2), r"\s+", "").alias("specifier"), "source").where("name <> ''").distinct()
+    rows = rows.withColumn("pinned", F.nullif(F.regexp_extract("specifier", r"^===?([^,*]+)$", 1), F.lit("")))
+    return rows.join(F.broadcast(known), "source").select("name", "specifier", "pinned", "source", "kind")
+
+
+def _address(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def scan_files(spark: SparkSession, root: str, ignore: tuple = ("node_modules", ".git", "dist", "build", "coverage"), exts: tuple = ()) -> DataFrame:
-    """Files below root: (path, dir, ext, size_bytes), without ignored folders; contents are not read. Spark's
-    listing leaves out empty files and those whose names begin with a dot or underscore."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("full"), F.col("length").alias("size_bytes"))
-    base = "/" + root.removeprefix("file:").strip("/") + "/"
-    rows = files.select(F.when(F.startswith("full", F.lit(base)), F.substring("full", len(base) + 1, 1 << 20)).otherwise(F.col("full")).alias("path"), "size_bytes")
-    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignore))))
+def scan_files(spark: SparkSession, root: str, ignore: list[str] = IGNORED, exts: tuple = ()) -> DataFrame:
+    """Files below root: (path, dir, ext, size_bytes), hidden and empty ones included, ignored folders and files left out;
+    contents are not read."""
+    rows = list_files(spark, root, ignore=ignore)
     rows = rows.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.lower(F.regexp_extract("path", r"[^/.](\.[^./]+)$", 1)).alias("ext"), "size_bytes")
     return rows.where(F.col("ext").isin(*exts)) if exts else rows
 

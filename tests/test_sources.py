@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cartolode.operators import evidence
-from cartolode.sources import readers
+from cartolode.sources import listing, readers, sarif
 from cartolode.streaming import feeds
 
 
@@ -44,6 +44,8 @@ def test_ledger_and_snapshot(spark, tmp_path):
     readers.write_snapshot(facts, str(tmp_path / "snap"))
     assert readers.read_snapshot(spark, str(tmp_path / "snap")).where("snapshot = 'head'").first()["v"] == 2
     assert readers.read_snapshot(spark, str(tmp_path / "snap"), version=2).count() == 0
+    none = readers.read_snapshot(spark, str(tmp_path / "none"), schema="repo string, v int")
+    assert none.count() == 0 and none.columns == ["repo", "v"]
 
 
 def stream(spark, make, tmp_path, mode):
@@ -74,24 +76,69 @@ def test_manifests_locks_and_requirements(spark, tmp_path):
     (tmp_path / "lock.json").write_text('{"packages": {"": {"version": "0"}, "node_modules/x": {"version": "1.0.1"}, "node_modules/x/node_modules/@s/y": {"version": "2"}}}')
     assert sorted(map(tuple, readers.read_lockfiles(spark, str(tmp_path / "lock.json")).collect())) == [("lock.json", "@s/y", "2"), ("lock.json", "x", "1.0.1")]
     (tmp_path / "req.txt").write_text("# all\n-r other.txt\nA_b[extra] == 1.2 ; python_version > '3'\nc>=1,<2  # why\n\nd\n")
-    assert sorted(map(tuple, readers.read_requirements(spark, str(tmp_path / "req.txt")).collect())) == [("a-b", "==1.2", "1.2"), ("c", ">=1,<2", None), ("d", "", None)]
+    got = readers.read_requirements(spark, str(tmp_path / "req.txt")).select("name", "specifier", "pinned")
+    assert sorted(map(tuple, got.collect())) == [("a-b", "==1.2", "1.2"), ("c", ">=1,<2", None), ("d", "", None)]
     (tmp_path / "final.json").write_text('{"a.ts": {"s": {"0": 2, "1": 0}}, "b.ts": {"s": {}}}')
     assert sorted(map(tuple, readers.read_coverage_final(spark, str(tmp_path / "final.json")).collect())) == [("a.ts", 2, 1, 50.0), ("b.ts", 0, 0, 0.0)]
 
 
+def test_requirements_that_include_others(spark, tmp_path):
+    files = {
+        "req.txt": "a==1\n-r deep/two.txt\n--constraint=limits.txt # why\n-r../outside.txt\n-r https://x/y.txt\n-e .\n--index-url x\n",
+        "deep/two.txt": "b>=2\n-r 'three more.txt'\n-r ../req.txt\n--requirement missing.txt\n-rfour.txt\n", "deep/three more.txt": "c\n-r two.txt", "deep/four.txt": "d===4",
+        "limits.txt": "a<2\n-r deep/four.txt\n", "outside.txt": "z",
+    }
+    for name, text in files.items():
+        at = tmp_path / "in" / name if name != "outside.txt" else tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+    got = readers.read_requirements(spark, str(tmp_path / "in" / "req.txt")).collect()
+    assert sorted((r["name"], r["specifier"], r["pinned"], r["source"].split("/in/")[1], r["kind"]) for r in got) == [
+        ("a", "<2", None, "limits.txt", "constraint"), ("a", "==1", "1", "req.txt", "requirement"), ("b", ">=2", None, "deep/two.txt", "requirement"),
+        ("c", "", None, "deep/three more.txt", "requirement"), ("d", "===4", "4", "deep/four.txt", "constraint"), ("d", "===4", "4", "deep/four.txt", "requirement"),
+    ]
+    wide = readers.read_requirements(spark, str(tmp_path / "in" / "req.txt"), root=str(tmp_path))
+    assert "z" in {r["name"] for r in wide.collect()}
+
+
 def test_scan_files(spark, tmp_path):
-    for name, text in (("src/a.PY", "abc"), ("src/deep/.env", "k"), ("node_modules/x/i.js", "1"), ("README", "r")):
+    files = {"src/a.PY": "abc", "src/deep/.env": "k", "src/__init__.py": "", ".github/w.yml": "on", "_x/b.py": "1", "node_modules/x/i.js": "1", "lib.egg-info/p": "1", ".DS_Store": "", "README": "r", "a b/ü.md": "é"}
+    for name, text in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     rows = sorted(map(tuple, readers.scan_files(spark, str(tmp_path)).collect()))
-    assert rows == [("README", "", "", 1), ("src/a.PY", "src", ".py", 3)]
-    assert [r["path"] for r in readers.scan_files(spark, str(tmp_path), exts=(".py",)).collect()] == ["src/a.PY"]
-
-
-def test_sarif_sink(spark, tmp_path):
-    issues = spark.createDataFrame([("r1", "generic-secret", "error", "security"), ("r2", "a_b", "info", "x")], "source string, rule_id string, severity string, category string")
-    rows = evidence.sarif_results(issues, F.col("source")).withColumn("repo", F.col("uri"))
-    assert sorted(r["rule_name"] for r in rows.collect()) == ["AB", "GenericSecret"]
-    evidence.write_sarif(rows, str(tmp_path / "out"), "repo")
-    first = json.loads(spark.read.text(str(tmp_path / "out" / "repo=r1")).first()[0])
-    assert first["ruleId"] == "generic-secret" and first["level"] == "error" and first["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "r1"
+    assert rows == [(".github/w.yml", ".github", ".yml", 2), ("README", "", "", 1), ("_x/b.py", "_x", ".py", 1), ("a b/ü.md", "a b", ".md", 2), ("src/__init__.py", "src", ".py", 0), ("src/a.PY", "src", ".py", 3), ("src/deep/.env", "src/deep", "", 1)]
+    assert sorted(r["path"] for r in readers.scan_files(spark, str(tmp_path), exts=(".py",)).collect()) == ["_x/b.py", "src/__init__.py", "src/a.PY"]
+    both = listing.list_files(spark, str(tmp_path / "src"), str(tmp_path / "_x"), str(tmp_path / "none"))
+    assert {(r["root"].rsplit("/", 1)[1], r["path"]) for r in both.collect()} == {("src", "__init__.py"), ("src", "a.PY"), ("src", "deep/.env"), ("_x", "b.py")}
+
+
+def test_sarif_documents(spark, tmp_path):
+    kind = f"repo string, rule_id string, title string, severity string, category string, locations {sarif.LOCATIONS}, description string, fix_id string"
+    place = lambda file, *n: (file, *n, *[None] * (4 - len(n)))
+    rows = [
+        ("a/b", "generic-secret", "Secret", "error", "security", [place("src\\x.ts", 3, 5), place("y", 1, None, 2, 4)], None, None), ("a/b", "generic-secret", "Another", "info", "security", [], "A \"quoted\" one", "fix-1"),
+        ("a/b", "a_b", "T", "warning", "x", None, "", None), ("c", "only", "é", "info", "x", [place("z")], None, None), (None, "lost", "T", "info", "x", None, None, None),
+    ]
+    rows += [("big", f"r{k % 3}", "T", "info", "x", [place(f"f{k}", k)], None, None) for k in range(500)]
+    for _ in range(2):
+        sarif.write_sarif(spark.createDataFrame(rows, kind), str(tmp_path / "out"), tool="t", version="1.2")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a%2Fb.sarif", "big.sarif", "c.sarif"]
+    log = json.loads((tmp_path / "out" / "a%2Fb.sarif").read_text())
+    run = log["runs"][0]
+    assert log["version"] == "2.1.0" and log["$schema"].endswith("sarif-2.1.0.json") and {k: run["tool"]["driver"][k] for k in ("name", "version")} == {"name": "t", "version": "1.2"}
+    assert run["tool"]["driver"]["rules"] == [
+        {"id": "a_b", "name": "AB", "shortDescription": {"text": "T"}, "defaultConfiguration": {"level": "warning"}},
+        {"id": "generic-secret", "name": "GenericSecret", "shortDescription": {"text": "Another"}, "defaultConfiguration": {"level": "note"}},
+    ]
+    results = {r["message"]["text"]: r for r in run["results"]}
+    assert results["Secret"]["locations"] == [
+        {"physicalLocation": {"artifactLocation": {"uri": "src/x.ts"}, "region": {"startLine": 3, "startColumn": 5}}},
+        {"physicalLocation": {"artifactLocation": {"uri": "y"}, "region": {"startLine": 1, "endLine": 2, "endColumn": 4}}},
+    ]
+    other = results['A "quoted" one']
+    assert other["properties"] == {"category": "security", "fixAvailable": True, "fixId": "fix-1"} and other["locations"] == [{"physicalLocation": {"artifactLocation": {"uri": "."}}}]
+    assert results["T"]["ruleId"] == "a_b" and results["T"]["level"] == "warning"
+    big = json.loads((tmp_path / "out" / "big.sarif").read_text())["runs"][0]
+    assert len(big["results"]) == 500 and len(big["tool"]["driver"]["rules"]) == 3
+    sarif.write_sarif(spark.createDataFrame(rows[:0], kind), str(tmp_path / "none"))

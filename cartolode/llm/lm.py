@@ -19,7 +19,7 @@ FIT, HELD = 0, 1
 #: Commonest words, and commonest pairs of them, whose counts every task holds. All others are counted and looked up by a
 #: shuffle, so the bounds decide where a count is looked up and never what it is. No pair or word that the shuffle groups
 #: holds more than a small share of all tokens.
-WORDS, PAIRS = 1 << 19, 1 << 18
+WORDS, PAIRS = 1 << 19, 1 << 19
 #: Pairs to hold are proposed by one in so many texts, and then counted in all.
 SAMPLE = 16
 #: Bytes of texts that a task works on at a time; a longer text is split at blanks.

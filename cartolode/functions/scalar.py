@@ -109,10 +109,6 @@ PYTHON_WORDS = (
 ).split()
 
 
-#: One ending goes: `ing` of what is longer than three characters, `ed` and `es` than four, else a single `s`.
-ENDING = r"(?<=^.{1,400})ing$|(?<=^.{3,400})e[ds]$|(?<=^.{2,400}[^s])s$"
-
-
 def identifier_parts(text: Column) -> Column:
     """Lower-case parts of identifiers: split at non-identifier characters, underscores, case and digits."""
     joined = F.regexp_replace(text, "[^A-Za-z0-9]+", " ")
@@ -122,7 +118,11 @@ def identifier_parts(text: Column) -> Column:
 
 
 def stemmed(part: Column) -> Column:
-    return F.when(part.rlike("(?:ing|ed|s)$"), F.regexp_replace(part, ENDING, "")).otherwise(part)
+    """part without one ending: `ing` of what is longer than three characters, `ed` and `es` than four, else a single `s` than
+    three."""
+    n, cut = F.length(part), lambda k: F.substring(part, F.lit(1), F.length(part) - k)
+    plain = part.endswith("s") & ~part.endswith("ss")
+    return F.when(part.endswith("ing") & (n > 3), cut(3)).when((part.endswith("ed") | part.endswith("es")) & (n > 4), cut(2)).when(plain & (n > 3), cut(1)).otherwise(part)
 
 
 def indexed(term: Column) -> Column:

@@ -37,24 +37,34 @@ def impact_report(edges: DataFrame, seeds: DataFrame, max_distance: int = 10) ->
     return found.where(F.col("distance") <= max_distance).crossJoin(beyond)
 
 
+#: Steps of a spread that one job takes before its table is written and looked at.
+HOPS = 3
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges left when nodes without predecessor or successor are taken away again and again."""
     edges, n = save(edges.where("src <> dst").select("src", "dst").distinct(), "trimmed"), -1
     while n != (n := edges.count()):
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        edges = save(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
+        edges = save(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
     return edges
 
 
 def _spread(edges: DataFrame, nodes: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """For every node the smallest node that reaches it along edges: (node, color)."""
+    """For every node the smallest node that reaches it along edges: (node, color). Each job takes HOPS steps; the nodes keep what
+    they have by a step to themselves, so that a step is a join and an aggregation."""
+    own = nodes.select("node", F.col("node").alias("to"))
+    steps = save(edges.select(F.col(names[0]).alias("node"), F.col(names[1]).alias("to")).union(own).repartition("node"), "steps")
     color = save(nodes.select("node", F.col("node").alias("color")), "color")
-    steps = edges.select(F.col(names[0]).alias("node"), F.col(names[1]).alias("to"))
     while True:
-        passed = steps.join(color, "node").groupBy(F.col("to").alias("node")).agg(F.min("color").alias("new"))
-        color = save(color.join(passed, "node", "left").select("node", F.least("color", "new").alias("color"), F.coalesce(F.col("new") < F.col("color"), F.lit(False)).alias("moved")), "color")
+        new = color
+        for _ in range(HOPS):
+            new = steps.join(new, "node").groupBy(F.col("to").alias("node")).agg(F.min("color").alias("color"))
+        moved = new.join(color.withColumnRenamed("color", "before"), "node").select("node", "color", (F.col("color") < F.col("before")).alias("moved"))
+        color = save(moved, "color")
         if color.where("moved").isEmpty():
             return color.drop("moved")
+        color = color.drop("moved")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

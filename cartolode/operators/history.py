@@ -49,6 +49,8 @@ def risk_score(churn: Column, complexity: Column, authors: Column, days: Column,
 
 def hotspots(commits: DataFrame, complexity: DataFrame, issues: DataFrame, coverage: DataFrame, top: int | None = 100, keys=("path",)) -> DataFrame:
     """Files ranked by risk: change, complexity(path, cc), open issues(path, issues), single ownership, coverage(path, pct)."""
+    # Everything below is told from a row a file, author and commit, written once.
+    commits = save(commits.groupBy(*keys, "author", "commit_hash").agg(F.max("ts").alias("ts")), "commits")
     now = F.broadcast(commits.agg(F.max("ts").alias("now")))
     changed = save(churn(commits, keys), "churn")
     single = bus_factor(commits, keys, changed).select(*keys, F.lit(True).alias("single"))

@@ -8,7 +8,7 @@ from cartolode.functions import scalar
 from cartolode.operators import changes, graph, history, rules, search, status
 from cartolode.plans import extras, oracle, planned, reviews, sourced
 from cartolode.plans.bindings import view
-from cartolode.sources.tables import save, table
+from cartolode.sources.tables import table
 
 V, T = view, table
 
@@ -24,8 +24,8 @@ def _memory(s, d):
 
 
 def _index(s, d):
-    """Written once: ranking reads the index several times."""
-    return save(search.postings(T(s, d, "documents")), "postings")
+    """Stored once for the documents as they are; searches after that read no text."""
+    return search.stored_index(s, f"{d}/documents.parquet", lambda: search.postings(T(s, d, "documents")))
 
 
 def _fused(s, d):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import redact_secrets
 from cartolode.sources.listing import IGNORED, list_files
-from cartolode.sources.tables import save
+from cartolode.sources.tables import exists, save
 
 LEDGER = "command string, exit_code int, completed_at timestamp, started_at timestamp, duration_ms long, schema_version int, _corrupt_record string"
 
@@ -75,7 +75,7 @@ def write_snapshot(df: DataFrame, path: str, version: int = 1) -> None:
 
 def read_snapshot(spark: SparkSession, path: str, version: int = 1, schema: str = "repo string, snapshot string") -> DataFrame:
     """The facts below path of the schema version; none, with the given schema, where nothing was written yet."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.parquet(path).where(F.col("schema_version") == version).drop("schema_version")
 
@@ -148,7 +148,7 @@ def read_requirements(spark: SparkSession, *paths: str, root: str | None = None)
                 continue
             target, kind = found
             new = {k if kind == "requirement" else "constraint" for k in kinds[source]}
-            if target not in kinds and not _exists(spark, target):
+            if target not in kinds and not exists(spark, target):
                 continue
             if new - kinds.setdefault(target, set()):
                 kinds[target] |= new
@@ -167,11 +167,6 @@ def _address(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def scan_files(spark: SparkSession, root: str, ignore: list[str] = IGNORED, exts: tuple = ()) -> DataFrame:
     """Files below root: (path, dir, ext, size_bytes), hidden and empty ones included, ignored folders and files left out;
     contents are not read."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -12,15 +13,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir, which all executors share, and read it back; only a local session may do without it."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; only a local session may do without it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/cartolode-{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write df below the shared folder and read it back."""
+    path = f"{shared(df.sparkSession)}/cartolode-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files below path, which changes when they do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

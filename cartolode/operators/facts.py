@@ -23,6 +23,8 @@ COMMON_CALLEES = (
 ).split()
 #: Keys of a JSON payload below which paths stand.
 TOUCH_KEYS = "file files filePath path paths relativePath relativePaths from to definitions importers reachable changed added removed modified".split()
+#: Endings of the files that count as paths without a folder.
+TOUCH_ENDINGS = "ts tsx js jsx mjs cjs mts cts py go java rb rs php cs json yaml yml toml md".split()
 #: How each language writes an import, the module being the first group.
 IMPORTS = {
     "javascript": r"""(?m)^\s*(?:import\s+(?:[\w*{}\s,$]+\s+from\s+)?|export\s+[\w*{}\s,$]+\s+from\s+)['"]([^'"]+)['"]""",
@@ -220,12 +222,32 @@ def match_renames(removed: DataFrame, added: DataFrame, least: float = 0.5, by:
     return reduce(DataFrame.unionByName, found) if found else left.select(by, "old", "new")
 
 
-def payload_paths(events: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct (key, path) of the strings, alone or in lists, under TOUCH_KEYS in JSON texts that look like paths of files:
-    relative, no addresses, without `..`, with a folder or an extension."""
-    names = "|".join(TOUCH_KEYS)
-    values = F.regexp_extract_all(F.col(text), F.lit(rf'"(?:{names})"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\[\]{{}}]*\])'), 1)
-    paths = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(r'"((?:[^"\\]|\\.)*)"'), 1)))
-    rows = events.select(key, F.explode(paths).alias("path")).distinct()
-    p = F.col("path")
-    return rows.where(~p.startswith("/") & ~p.contains("..") & ~p.contains("://") & ~p.rlike(r"^[A-Za-z]:|\s") & (p.contains("/") | p.rlike(r"\.(?:[cm]?[jt]sx?|py|go|java|rb|rs|php|cs|json|ya?ml|toml|md)$")))
+def like_path(p: Column) -> Column:
+    """Whether a text looks like a path of a file: relative, no address, no step upwards, no control characters, at most 1,024
+    characters, and with a source file's ending, or a folder and nothing but plain characters."""
+    plain = ~p.startswith("/") & ~p.rlike(r"^(?:https?|file)://|[\n\r\t]") & ~p.rlike(r"(?:^|/)\.\.(?:/|$)") & F.length(p).between(1, 1024)
+    return plain & (F.lower(p).rlike(r"\.(?:" + "|".join(TOUCH_ENDINGS) + ")$") | (p.contains("/") & p.rlike("^[A-Za-z0-9._/@-]+$")))
+
+
+def payload_paths(events: DataFrame, key: str, text: str, depth: int = 8, most: int = 200) -> DataFrame:
+    """Distinct (key, path) of the strings below TOUCH_KEYS in JSON texts that look like paths, so many levels deep at most; what a
+    list holds stands below the list's key. Of one payload the first paths count, its objects in order of their keys.
+
+    Payloads are parsed once; each round looks one level deeper, at objects and lists only, and is a written table. Texts that
+    are no JSON have none.
+    """
+    payloads = events.select(F.monotonically_increasing_id().alias("row"), F.col(key), F.try_parse_json(text).alias("v")).where("v is not null")
+    level = save(payloads.select("row", key, "v", F.lit(None).cast("string").alias("hint"), F.array().cast("array<int>").alias("at")), "payloads")
+    found = []
+    for _ in range(depth):
+        inner = level.alias("l").lateralJoin(events.sparkSession.tvf.variant_explode(F.col("l.v").outer()).alias("e"))
+        level = save(inner.select("l.row", F.col(f"l.{key}"), F.col("e.value").alias("v"), F.coalesce("e.key", "l.hint").alias("hint"), F.concat("l.at", F.array("e.pos")).alias("at")), "payloads")
+        kind = F.schema_of_variant("v")
+        text_of = F.try_variant_get("v", "$", "string")
+        found.append(level.where((kind == "STRING") & F.col("hint").isin(*TOUCH_KEYS)).select("row", key, text_of.alias("path"), "at").where(like_path(F.col("path"))))
+        level = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        if level.isEmpty():
+            break
+    once = reduce(DataFrame.unionByName, found).groupBy("row", key, "path").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("at", "path"))
+    return once.withColumn("n", rank).where(F.col("n") <= most).select(key, "path").distinct()

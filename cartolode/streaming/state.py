@@ -1,11 +1,11 @@
-"""Streams that keep state: refreshed facts, changes of a snapshot, leases, and the scope guard."""
+"""Streams that keep state: changes of a snapshot, costs, leases, and the scope guard."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -14,25 +14,6 @@ from cartolode.functions.scalar import ancestors
 DELTAS = "key string, at timestamp, dimension string, added long, removed long"
 
 
-def refresh(facts: DataFrame, changed: DataFrame, extract: Callable[[DataFrame], DataFrame], order: str = "at") -> DataFrame:
-    """facts(path, ...) after changed(path, content, at): the latest change of each path counts; a null content is a file that
-    is gone; facts of other paths stay."""
-    last = changed.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc(order)))).where("n = 1").drop("n")
-    kept = facts.join(last.select("path"), "path", "left_anti")
-    return kept.unionByName(extract(last.where("content is not null").select("path", "content")))
-
-
-def refresh_stream(changes: DataFrame, spark: SparkSession, root: str, extract: Callable[[DataFrame], DataFrame], schema: str, checkpoint: str):
-    """A query that applies each batch of changes to the facts below root. Batch n writes `version=n` from the version before,
-    so that a batch that is run again after a failure writes the same rows; readers take the largest version."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{root}/version={number - 1}") if number else spark.createDataFrame([], schema)
-        refresh(before, batch, extract).write.mode("overwrite").parquet(f"{root}/version={number}")
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-
-
 class _Deltas(StatefulProcessor):
     """Keeps the last snapshot of a key, its members by dimension, and tells what came and went."""
 

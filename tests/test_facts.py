@@ -153,16 +153,6 @@ def test_watch_is_its_batch_twin(spark, tmp_path):
     assert got == {tuple(r) for r in state.snapshot_deltas(shots).select("key", "at", "dimension", "added", "removed").collect()} and len(got) == 4
 
 
-def test_facts_follow_changes(spark, tmp_path):
-    extract = lambda files: files.selectExpr("path", "length(content) as n")
-    at = lambda k: dt.datetime(2024, 1, k)
-    source, root = str(tmp_path / "in"), str(tmp_path / "facts")
-    for rows in ([("a", "xx", at(1)), ("a", "xxx", at(2)), ("b", "y", at(1))], [("b", None, at(3)), ("c", "zz", at(3))]):
-        changes = stream(spark, source, spark.createDataFrame(rows, "path string, content string, at timestamp"))
-        drain(state.refresh_stream(changes, spark, root, extract, "path string, n int", str(tmp_path / "cp")))
-    assert {tuple(r) for r in spark.read.parquet(f"{root}/version=1").select("path", "n").collect()} == {("a", 3), ("c", 2)}
-
-
 def test_events(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"at": "2024-01-01T00:00:00Z", "kind": "touch", "data": {"file": "a"}}\n{broken\n{"kind": "x"}\n')
     rows = readers.read_events(spark, str(tmp_path)).collect()

@@ -24,16 +24,38 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), x))
 
 
-def quality_dimensions(issues: DataFrame, by: str = "source") -> DataFrame:
-    """A row for each group and dimension with its score and status. Security and tests weigh issues by severity, all
-    others count against maintainability."""
+#: Lines and complexity from which a hotspot without issues weighs on maintainability.
+HOTSPOT_LINES, HOTSPOT_COMPLEXITY = 300, 15
+
+
+def weighs(issues: Column, lines: Column, complexity: Column) -> Column:
+    """Whether a hotspot lowers maintainability and not only stands beside it."""
+    return (F.coalesce(issues, F.lit(0)) > 0) | (F.coalesce(lines, F.lit(0)) >= HOTSPOT_LINES) | (F.coalesce(complexity, F.lit(0)) >= HOTSPOT_COMPLEXITY)
+
+
+def quality_dimensions(issues: DataFrame, hotspots: DataFrame, conflicts: DataFrame, by: str = "source") -> DataFrame:
+    """(by, dimension, score, status): health, security, tests, maintainability and coordination of each group that has issues(by,
+    rule_id, severity, category), hotspots(by, issues, lines, cc) or conflicts(by, severity).
+
+    Security and tests weigh issues by severity; all other issues count against maintainability, as do hotspots with issues,
+    many lines or high complexity, while others only make it worth a watch."""
     kind = F.when(F.col("category").isin("security", "supply-chain"), "security").when(F.col("rule_id").contains("test") | (F.col("category") == "testing"), "tests").otherwise("maintainability")
-    n = lambda k, s=None: F.count_if((F.col("kind") == k) & (F.lit(True) if s is None else F.col("severity") == s))
-    weighed = lambda k: clamp(100 - 25 * n(k, "error") - 12 * n(k, "warning") - 4 * n(k, "info"))
-    status = lambda k: F.when(n(k, "error") > 0, "fail").when(n(k) > 0, "watch").otherwise("pass")
-    kinds = {"security": weighed("security"), "tests": weighed("tests"), "maintainability": clamp(100 - 10 * n("maintainability"))}
-    rows = issues.withColumn("kind", kind).groupBy(by).agg(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("score"), status(k).alias("status")) for k, v in kinds.items()]).alias("x"))
-    return rows.select(by, F.inline("x"))
+    tell = lambda df, part, severity=None, heavy=None: df.select(by, part.alias("part"), (F.lit(None).cast("string") if severity is None else severity).alias("severity"), (F.lit(False) if heavy is None else heavy).alias("heavy"))
+    signals = tell(issues, kind, F.col("severity")).unionByName(tell(hotspots, F.lit("hotspot"), None, weighs(F.col("issues"), F.col("lines"), F.col("cc")))).unionByName(tell(conflicts, F.lit("conflict"), F.col("severity")))
+    issue = F.col("part").isin("security", "tests", "maintainability")
+    n = lambda which, severity=None: F.count_if(which if severity is None else which & (F.col("severity") == severity))
+    part = lambda name: F.col("part") == name
+    status = lambda which, watch: F.when(n(which, "error") > 0, "fail").when(watch > 0, "watch").otherwise("pass")
+    weighed = lambda which, *points: clamp(100 - sum(p * n(which, s) for p, s in zip(points, ("error", "warning", "info"))))
+    rows = {
+        "health": (weighed(issue, 20, 10, 3), status(issue, n(issue, "warning"))),
+        "security": (weighed(part("security"), 25, 12, 4), status(part("security"), n(part("security")))),
+        "tests": (weighed(part("tests"), 25, 12, 4), status(part("tests"), n(part("tests")))),
+        "maintainability": (clamp(100 - 10 * n(part("maintainability")) - 12 * n(F.col("heavy"))), status(part("maintainability"), n(part("maintainability") | part("hotspot")))),
+        "coordination": (weighed(part("conflict"), 25, 10), status(part("conflict"), n(part("conflict")))),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("dimension"), v.cast("long").alias("score"), s.alias("status")) for k, (v, s) in rows.items()])
+    return signals.groupBy(by).agg(each.alias("x")).select(by, F.inline("x"))
 
 
 def proof_sufficiency(evidence: DataFrame) -> DataFrame:
@@ -216,11 +238,13 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def secret_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line, secret): the first line of each document that fits a pattern, and the first pattern there whose value is no
-    template; lines that are comments as a whole do not count."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), r"\r?\n", -1)).alias("k", "x")).where(~F.trim("x").rlike(r"^(?://|#|\*|/\*|<!--)"))
+    template and no key of a Firebase web application, which is public; lines that are comments as a whole do not count."""
+    firebase = F.col(text_col).rlike(r"(?i)\bfirebase(?:app)?\b").alias("firebase")
+    lines = docs.select(id_col, firebase, F.posexplode(F.split(F.col(text_col), r"\r?\n", -1)).alias("k", "x")).where(~F.trim("x").rlike(r"^(?://|#|\*|/\*|<!--)"))
     value = lambda p: F.when(F.regexp_extract("x", p, 1) != "", F.regexp_extract("x", p, 1)).otherwise(F.regexp_extract("x", p, 0)) if re.compile(p).groups else F.regexp_extract("x", p, 0)
     fits = lambda p: F.col("x").rlike(p) & ~F.contains(value(p), F.lit("{{")) & ~F.contains(value(p), F.lit("}}"))
-    name = reduce(lambda rest, s: F.when(fits(s[1]), s[0]).otherwise(rest), reversed(SECRETS), F.lit(None).cast("string"))
+    public = lambda s: F.col("firebase") & F.col("x").rlike(r"(?i)\bapiKey\b") & value(s[1]).startswith("AIza") if s[0] == "Generic Secret" else F.lit(False)
+    name = reduce(lambda rest, s: F.when(fits(s[1]) & ~public(s), s[0]).otherwise(rest), reversed(SECRETS), F.lit(None).cast("string"))
     found = lines.select(id_col, (F.col("k") + 1).alias("line"), name.alias("secret")).where("secret is not null")
     return found.groupBy(id_col).agg(F.min(F.struct("line", "secret")).alias("x")).select(id_col, "x.line", "x.secret")
 
@@ -244,3 +268,16 @@ def chunk_hash(docs: DataFrame, path: Column, text: Column, size: int = 4096) ->
 def sarif_results(issues: DataFrame, uri: Column) -> DataFrame:
     """Rows of a SARIF log: rule with its display name, level and location; `sources.sarif` writes whole documents."""
     return issues.select("rule_id", rule_name(F.col("rule_id")).alias("rule_name"), level(F.col("severity")).alias("level"), uri.alias("uri"), "category")
+
+
+#: Names and endings of private keys, and endings of environment files that hold no values.
+KEY_NAMES, KEY_ENDINGS, SAFE_ENVIRONMENTS = "id_rsa id_ed25519 id_ecdsa id_dsa".split(), ".pem .key .p12 .pfx".split(), ".example .sample .template".split()
+
+
+def sensitive_files(files: DataFrame) -> DataFrame:
+    """(path, rule_id, severity) of files(path) that are environment files or private keys by their name; one may be both."""
+    name = F.substring_index("path", "/", -1)
+    environment = name.rlike(r"^\.env(?:\..+)?$") & ~F.substring(name, 5, 1 << 20).isin(*SAFE_ENVIRONMENTS)
+    secret = F.lower(name).isin(*KEY_NAMES) | F.lower(F.regexp_extract(name, r"(?<=[^.])(\.[^.]+)$", 1)).isin(*KEY_ENDINGS)
+    rule = lambda when, rule_id, severity: F.when(when, F.struct(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity")))
+    return files.select("path", F.inline(F.array_compact(F.array(rule(environment, "env-file-committed", "warning"), rule(secret, "private-key-committed", "error")))))

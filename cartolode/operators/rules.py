@@ -151,6 +151,18 @@ def to_findings(issues: DataFrame) -> DataFrame:
     return issues.select(F.concat_ws(":", "rule_id", F.col("doc_id").cast("string")).alias("finding_id"), priority.alias("priority"), "source", F.col("doc_id").alias("position"))
 
 
+def hotspot_findings(hotspots: DataFrame) -> DataFrame:
+    """hotspots(path, risk, issues) as findings: p1 if issues are linked and the risk is 70 or more, else p2."""
+    priority = F.when((F.col("issues") > 0) & (F.col("risk") >= 70), "p1").otherwise("p2")
+    return hotspots.select(F.concat(F.lit("hotspot:"), F.col("path").cast("string")).alias("finding_id"), priority.alias("priority"), F.lit("hotspot").alias("source"), F.col("path").alias("position"))
+
+
+def conflict_findings(conflicts: DataFrame) -> DataFrame:
+    """conflicts(place, kind, severity) as findings, by severity as issues."""
+    priority = F.when(F.col("severity") == "error", "p0").when(F.col("severity") == "warning", "p1").otherwise("p2")
+    return conflicts.select(F.concat_ws(":", F.lit("conflict"), "kind", F.col("place").cast("string")).alias("finding_id"), priority.alias("priority"), F.lit("coordination").alias("source"), F.col("place").alias("position"))
+
+
 def unused(declared: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return declared.select(key).distinct().join(used.select(key).distinct(), key, "left_anti")
 

@@ -228,3 +228,45 @@ def issues_by_file(issues: DataFrame, files: DataFrame, located: DataFrame) -> D
     exact = located.join(files.select("path").distinct(), "path", "left_semi").select("path", "rule_id")
     said = mentions(issues, files, "rule_id", name="path", boundary=BOUNDARY)
     return exact.unionByName(said.select(F.col("name").alias("path"), "rule_id")).distinct()
+
+
+#: How a version names a commit of a repository, by its form without the commit.
+COMMIT, COMMIT_HOSTS = r"(?i)#[0-9a-f]{7,40}$", r"(?i)^(?:(?:github:)?[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(?:\.git)?|(?:git\+https|https|git)://github\.com/.+|(?:git\+ssh|ssh)://git@github\.com[:/].+|git@github\.com:.+)$"
+#: Files of editors and agents that may hold hooks, and what such a hook does, in the order in which it is tried.
+HOOK_FILES = (".claude/settings.json", ".vscode/settings.json", ".vscode/tasks.json")
+HOOKS = (
+    ("token monitor", r"(?i)gh-token-monitor"),
+    ("lookalike domain", r"(?i)git-tanstack\.com"),
+    ("payload name", r"(?i)router_init\.js"),
+    ("destructive delete", r"(?i)rm\s+-rf\s+(?:~|\$HOME|/)"),
+    ("process control", r"(?i)pkill\s+-f\s+gh-token-monitor"),
+    ("download and execute", r"(?i)curl\b.+\|\s*(?:sh|bash)"),
+)
+
+
+def flagged_dependencies(deps: DataFrame, bad: DataFrame, indicators: DataFrame) -> DataFrame:
+    """deps(name, spec, ...) with finding and severity: malicious where bad(name, version) lists the exact version; and, apart from
+    that, indicator where the spec holds a row of indicators(value, label), else git-commit where it names a commit."""
+    spec = F.trim("spec")
+    rows = deps.withColumn("spec", spec).where("spec <> ''")
+    exact = rows.where(F.col("spec").rlike(r"^\d+\.\d+\.\d+(?:[-+].*)?$"))
+    listed = exact.join(small_rules(bad.select("name", F.col("version").alias("spec")).distinct()), ["name", "spec"], "left_semi")
+    marked = rows.join(small_rules(indicators.select("value").distinct()), F.expr("contains(spec, value)"), "left_semi")
+    bare = F.regexp_replace("spec", "#[^#]*$", "")
+    commits = rows.where(F.col("spec").rlike(COMMIT) & bare.rlike(COMMIT_HOSTS)).join(small_rules(indicators.select("value").distinct()), F.expr("contains(spec, value)"), "left_anti")
+    tell = lambda df, finding, severity: df.select(*deps.columns, F.lit(finding).alias("finding"), F.lit(severity).alias("severity"))
+    return tell(listed, "malicious", "error").unionByName(tell(marked, "indicator", "error")).unionByName(tell(commits, "git-commit", "warning"))
+
+
+def hidden_hooks(files: DataFrame) -> DataFrame:
+    """(path, hook) of files(path, content) of editors and agents whose content fits one of HOOKS, the first of them."""
+    mine = reduce(lambda a, f: a | (F.col("path") == f) | F.col("path").endswith("/" + f), HOOK_FILES, F.lit(False))
+    hook = reduce(lambda rest, h: F.when(F.col("content").rlike(h[1]), h[0]).otherwise(rest), reversed(HOOKS), F.lit(None).cast("string"))
+    return files.where(mine).select("path", hook.alias("hook")).where("hook is not null")
+
+
+def dependency_totals(deps: DataFrame, by: str = "workspace") -> DataFrame:
+    """(by, direct, development, total) of deps(by, name, dev), names once, by workspace and, where by is null, over all of them."""
+    once = deps.select(by, "name", "dev").distinct()
+    n = [F.count_if(~F.col("dev")).alias("direct"), F.count_if("dev").alias("development"), F.count("*").alias("total")]
+    return once.where(f"{by} is not null").groupBy(by).agg(*n).unionByName(once.select("name", "dev", by).agg(*n).select(F.lit(None).cast(deps.schema[by].dataType).alias(by), "direct", "development", "total"))

@@ -145,7 +145,7 @@ QUERIES = {
     "impact_symbol": lambda s, d: graph.impact(V(s, d, "edges"), T(s, d, "part").where("p_name = 'red bolt'").selectExpr("p_partkey as path")),
     "fan_out": lambda s, d: flows.fan_out(V(s, d, "edges"), V(s, d, "funcs")),
     "edge_index": lambda s, d: flows.edge_index(flows.resolve_imports(V(s, d, "files").selectExpr("path", "concat(dir, '/', ext, '/', doc_id + 20) as spec"), V(s, d, "files"), ["", ".en", ".de", ".fr", ".es"]), V(s, d, "files").selectExpr("path", "ext as name")),
-    "cross_repo_importers": lambda s, d: flows.cross_repo_importers(T(s, d, "part").where("p_size < 5").selectExpr("p_brand as repo", "cast(p_partkey as string) as path", "concat('/', p_name, '.ts') as resolved"), T(s, d, "part").selectExpr("p_brand as repo", "concat('/', p_name, '.js') as path")),
+    "cross_repo_importers": lambda s, d: flows.cross_repo_importers(T(s, d, "part").selectExpr("p_brand as repo", "cast(p_partkey as string) as path", "concat('/', p_name, '.ts') as resolved"), T(s, d, "part").selectExpr("p_brand as repo", "concat('/', p_name, '.js') as path")),
     "dataflow_risks": lambda s, d: flows.dataflow_risks(V(s, d, "edges"), *[T(s, d, "part").where(c).select(F.col("p_partkey").alias("node")) for c in ("p_size <= 2", "p_size >= 49")]),
     "guard_scopes": lambda s, d: state.guard_stream(V(s, d, "files").select((F.col("doc_id") % 3).alias("contract_id"), "path"), s.sql("SELECT * FROM VALUES (0, 'src1', 'allowed'), (0, 'src1/de', 'forbidden'), (1, 'src3', 'forbidden') AS t(contract_id, prefix, kind)")),
 }
@@ -270,7 +270,7 @@ ORACLE_SQL = {
     "fan_out": W("SELECT p_partkey AS fn, coalesce(n, 0) AS fan_out FROM part LEFT JOIN (SELECT src, count(DISTINCT b.p_name) AS n FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_name <> b.p_name GROUP BY 1) t ON src = p_partkey", "edges"),
     "edge_index": f"""SELECT 'file' AS kind, path AS start, target AS "end" FROM ({REVIEWS['resolve_imports']}) r WHERE target IS NOT NULL UNION SELECT 'package', path, package FROM ({REVIEWS['resolve_imports']}) q WHERE package IS NOT NULL
         UNION SELECT 'symbol', concat(source, '/', lang, '/', CAST(doc_id AS VARCHAR), '.', lang), lang FROM documents WHERE lang IS NOT NULL""",
-    "cross_repo_importers": """WITH found AS (SELECT DISTINCT b.p_brand AS owner, concat('/', b.p_name, '.js') AS target, a.p_brand AS repo, CAST(a.p_partkey AS VARCHAR) AS path FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand WHERE a.p_size < 5)
+    "cross_repo_importers": """WITH found AS (SELECT DISTINCT b.p_brand AS owner, concat('/', b.p_name, '.js') AS target, a.p_brand AS repo, CAST(a.p_partkey AS VARCHAR) AS path FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand)
         SELECT *, (SELECT count(*) > 200 FROM found) AS truncated FROM found ORDER BY owner, target, repo, path LIMIT 200""",
     "guard_scopes": W("SELECT doc_id % 3 AS contract_id, path, CASE doc_id % 3 WHEN 0 THEN CASE WHEN starts_with(path, 'src1/de/') THEN 'forbidden' WHEN starts_with(path, 'src1/') THEN 'allowed' ELSE 'outside' END WHEN 1 THEN CASE WHEN starts_with(path, 'src3/') THEN 'forbidden' ELSE 'allowed' END ELSE 'allowed' END AS scope FROM files", "files"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolode.functions import scalar
 from cartolode.operators import changes, graph, history, rules, search, status
-from cartolode.plans import extras, oracle, planned, reviews, sourced
+from cartolode.plans import audits, extras, oracle, planned, reviews, sourced
 from cartolode.plans.bindings import view
 from cartolode.sources.tables import table
 
@@ -123,5 +123,5 @@ QUERIES = {
     "public_closure": lambda s, d: graph.impact(V(s, d, "edges").select(F.col("dst").alias("src"), F.col("src").alias("dst")), _seeds(s, d)),
 }
 
-QUERIES |= reviews.QUERIES | planned.QUERIES | extras.QUERIES | sourced.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | reviews.ORACLE_SQL | planned.ORACLE_SQL | extras.ORACLE_SQL | sourced.ORACLE_SQL
+QUERIES |= reviews.QUERIES | planned.QUERIES | extras.QUERIES | sourced.QUERIES | audits.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | reviews.ORACLE_SQL | planned.ORACLE_SQL | extras.ORACLE_SQL | sourced.ORACLE_SQL | audits.ORACLE_SQL

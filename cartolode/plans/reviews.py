@@ -84,11 +84,10 @@ QUERIES = {
     "collisions_transitive": lambda s, d: flows.collisions_transitive(V(s, d, "work"), V(s, d, "edges")),
     "taint_flows": lambda s, d: flows.taint_flows(V(s, d, "edges"), *_endpoints(s, d)),
     "dataflow_bridges": lambda s, d: flows.dataflow_bridges(V(s, d, "edges"), *_endpoints(s, d)),
-    "reexport_closure": lambda s, d: flows.expand_reexports(T(s, d, "part").where("p_size >= 48").selectExpr("p_partkey as path", "p_name as name"), V(s, d, "edges")),
+    "reexport_closure": lambda s, d: flows.expand_reexports(T(s, d, "part").selectExpr("p_partkey as path", "p_name as name"), T(s, d, "part").where("p_partkey >= 10").selectExpr("p_partkey div 10 as src", "p_partkey as dst")),
     "graph_query_importers": lambda s, d: flows.neighbours(V(s, d, "edges"), T(s, d, "part").where("p_size < 5").selectExpr("p_partkey as path")),
     "graph_query_imports": lambda s, d: flows.neighbours(V(s, d, "edges"), T(s, d, "part").where("p_size < 5").selectExpr("p_partkey as path"), "imports"),
     "resolve_imports": lambda s, d: flows.resolve_imports(V(s, d, "files").select("path", F.concat("dir", F.lit("/"), "ext", F.lit("/"), (F.col("doc_id") + 20).cast("string")).alias("spec")), V(s, d, "files"), ["", ".en", ".de", ".fr", ".es"]),
-    "quality_dimensions": lambda s, d: evidence.quality_dimensions(V(s, d, "issues")),
     "proof_sufficiency": lambda s, d: evidence.proof_sufficiency(_proofs(s, d)),
     "coordination": lambda s, d: evidence.coordination(changes.collisions_same(V(s, d, "work")), changes.collisions_dep(V(s, d, "work"), V(s, d, "edges")), changes.contended_claims(V(s, d, "claims"))),
     "risk_delta": lambda s, d: evidence.risk_delta(rules.health_score(V(s, d, "issues")).select("source", "score", "errors", "warnings"), 15 * F.col("errors") + 5 * F.col("warnings"), 10 * F.col("errors")).select("source", "baseline", "projected", "delta"),
@@ -110,7 +109,7 @@ QUERIES = {
     "guard_status": lambda s, d: evidence.guard_status(V(s, d, "cost").selectExpr("event_id as contract_id", "user_id % 7 <> 0 as has_contract", "cast(tokens % 9 = 0 as int) as forbidden", "cast(tokens % 8 = 0 as int) as outside", "cast(user_id % 6 = 0 as int) as changed_after", "element_at(array('passed', 'failed', 'stale'), cast(tokens % 3 + 1 as int)) as proof", "if(tool = 'error', 'weak', 'strong') as sufficiency")),
     "corpus_metrics": lambda s, d: evidence.corpus_metrics(V(s, d, "funcs").selectExpr("file", "cc", "1 as functions"), "file", ("cc", "functions")),
     "shared_symbols": lambda s, d: evidence.shared_symbols(_exports(s, d)),
-    "cross_repo_callers": lambda s, d: evidence.cross_repo_callers(_exports(s, d), T(s, d, "part").where("p_size <= 2").selectExpr("p_brand as repo", "p_name as symbol")),
+    "cross_repo_callers": lambda s, d: evidence.cross_repo_callers(_exports(s, d), T(s, d, "part").selectExpr("p_brand as repo", "p_name as symbol")),
     "outdated": lambda s, d: evidence.outdated(T(s, d, "part").selectExpr("p_partkey as name", "if(p_partkey % 11 = 0, '*', concat('^', p_size % 3, '.', p_size % 5, '.', p_partkey % 2)) as declared"), T(s, d, "part").where("p_partkey % 13 <> 0").selectExpr("p_partkey as name", "concat(p_size % 2, '.', p_size % 5, '.', p_partkey % 3) as installed")).select("name", "drift"),
     "secret_scan": lambda s, d: evidence.secret_scan(T(s, d, "documents")),
     "excerpts": lambda s, d: evidence.excerpts(T(s, d, "documents"), ["licen", "TOKEN"]),
@@ -136,9 +135,6 @@ _NEAR3 = """near3 AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hop FROM
   firsts AS (SELECT seed, node, min(hop) AS hop, any_value(p_size) AS size FROM near3 JOIN part ON p_partkey = seed GROUP BY 1, 2),
   picked AS (SELECT node, size <= 2 AS is_source, seed, row_number() OVER (PARTITION BY node, size <= 2 ORDER BY hop, seed) AS n FROM firsts WHERE hop >= 1)"""
 _LOOK = "SELECT {a} AS path, {b} AS neighbour FROM edges JOIN part ON p_partkey = {a} WHERE p_size < 5"
-_DIM = """kinds AS (SELECT *, CASE WHEN category IN ('security', 'supply-chain') THEN 'security' WHEN rule_id LIKE '%test%' OR category = 'testing' THEN 'tests' ELSE 'maintainability' END AS dimension FROM issues),
- grid AS (SELECT source, dimension, errors, warnings, infos FROM (SELECT DISTINCT source FROM issues) CROSS JOIN (VALUES ('security'), ('tests'), ('maintainability')) d(dimension)
-   LEFT JOIN (SELECT source AS s, dimension AS k, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos FROM kinds GROUP BY 1, 2) ON s = source AND k = dimension)"""
 _TOTALS = "SELECT dir, count(*) AS files, sum(size_bytes) AS bytes FROM files WHERE {w} GROUP BY dir"
 _FIT = "len(list_filter({l}, lambda p: p = '*' OR p = to_package OR (p LIKE '%/*' AND starts_with(to_package, left(p, length(p) - 1))) OR (p LIKE '*/%' AND suffix(to_package, substr(p, 2))))) > 0"
 
@@ -169,14 +165,12 @@ ORACLE_SQL = {
     "collisions_transitive": R(_FAR + " SELECT least(s, t) AS stream_a, greatest(s, t) AS stream_b, CASE WHEN s < t THEN seed ELSE node END AS file_a, CASE WHEN s < t THEN node ELSE seed END AS file_b, min(hop) AS distance FROM hits GROUP BY 1, 2, 3, 4", "work", "edges"),
     "taint_flows": R(_WAYS + " SELECT source, sink, depth, path FROM (SELECT source, node AS sink, len(path) - 1 AS depth, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY source, node ORDER BY len(path), path) AS n FROM ways WHERE ended) z WHERE n = 1", "edges"),
     "dataflow_bridges": R(_NEAR3 + " SELECT a.node AS bridge, a.seed AS source, b.seed AS sink FROM picked a JOIN picked b ON a.node = b.node AND a.is_source AND NOT b.is_source AND a.n = 1 AND b.n = 1 JOIN part ON p_partkey = a.node WHERE p_size > 2 AND p_size < 49", "edges"),
-    "reexport_closure": R("names AS (SELECT p_partkey AS path, p_name AS name FROM part WHERE p_size >= 48 UNION SELECT src, name FROM names JOIN edges ON dst = path) SELECT DISTINCT path, name FROM names", "edges"),
+    "reexport_closure": "WITH RECURSIVE names AS (SELECT p_partkey AS path, p_name AS name FROM part UNION SELECT path // 10, name FROM names WHERE path >= 10) SELECT DISTINCT path, name FROM names",
     "graph_query_importers": W(_LOOK.format(a="dst", b="src"), "edges"),
     "graph_query_imports": W(_LOOK.format(a="src", b="dst"), "edges"),
     "resolve_imports": W("""SELECT path, spec, target, CASE WHEN target IS NULL THEN split_part(spec, '/', 1) END AS package FROM (
         SELECT f.path, concat(f.dir, '/', f.ext, '/', CAST(f.doc_id + 20 AS VARCHAR)) AS spec, g.path AS target FROM (SELECT DISTINCT path, dir, ext, doc_id FROM files) f
         LEFT JOIN (SELECT DISTINCT path FROM files) g ON g.path IN (concat(f.dir, '/', f.ext, '/', CAST(f.doc_id + 20 AS VARCHAR), '.en'), concat(f.dir, '/', f.ext, '/', CAST(f.doc_id + 20 AS VARCHAR), '.de'), concat(f.dir, '/', f.ext, '/', CAST(f.doc_id + 20 AS VARCHAR), '.fr'), concat(f.dir, '/', f.ext, '/', CAST(f.doc_id + 20 AS VARCHAR), '.es'))) t""", "files"),
-    "quality_dimensions": W("", "issues").rstrip() + ", " + _DIM + """ SELECT source, dimension, greatest(0, 100 - CASE WHEN dimension = 'maintainability' THEN 10 * (coalesce(errors, 0) + coalesce(warnings, 0) + coalesce(infos, 0)) ELSE 25 * coalesce(errors, 0) + 12 * coalesce(warnings, 0) + 4 * coalesce(infos, 0) END) AS score,
-        CASE WHEN errors > 0 THEN 'fail' WHEN errors + warnings + infos > 0 THEN 'watch' ELSE 'pass' END AS status FROM grid""",
     "proof_sufficiency": W("", "ledger").rstrip() + """, e AS (SELECT command, max(event_id) % 3 AS surface, max(event_id) % 4 AS commands, count(*) FILTER (WHERE exit_code = 1 AND event_id % 97 = 0) AS failed, count(*) FILTER (WHERE exit_code = 0 AND event_id % 50 = 0) AS passed,
         count(*) FILTER (WHERE exit_code = 0 AND event_id % 100 = 0) AS trusted, count(*) FILTER (WHERE event_id % 7 = 0) AS stale, count(*) FILTER (WHERE event_id % 60 = 0) AS touched, max(event_id) % 5 > 1 AS tested FROM ledger GROUP BY 1)
         SELECT command AS requirement, CASE WHEN failed > 0 THEN 'failed' WHEN commands = 0 THEN CASE WHEN surface = 1 THEN 'adequate' ELSE 'weak' END WHEN passed = 0 THEN CASE WHEN stale > 0 THEN 'stale' ELSE 'missing' END
@@ -209,7 +203,7 @@ ORACLE_SQL = {
     "guard_status": W("SELECT event_id AS contract_id, CASE WHEN user_id % 7 = 0 THEN 'blocked' WHEN tokens % 9 = 0 OR tokens % 8 = 0 OR user_id % 6 = 0 THEN 'drift' WHEN tokens % 3 = 1 THEN 'blocked' WHEN tokens % 3 = 2 OR tool = 'error' THEN 'attention' ELSE 'clear' END AS status FROM cost", "cost"),
     "corpus_metrics": "SELECT p_brand AS file, sum(p_size) AS cc, count(*) AS functions FROM part GROUP BY ROLLUP (p_brand)",
     "shared_symbols": "SELECT p_name AS symbol, count(DISTINCT p_brand) AS repos FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2 ORDER BY 2 DESC, 1 LIMIT 200",
-    "cross_repo_callers": "SELECT DISTINCT a.p_name AS symbol, a.p_brand AS repo, b.p_brand AS caller FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand WHERE b.p_size <= 2",
+    "cross_repo_callers": "SELECT DISTINCT a.p_name AS symbol, a.p_brand AS repo, b.p_brand AS caller FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand",
     "outdated": """SELECT p_partkey AS name, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN 'unknown' WHEN p_size % 3 <> p_size % 2 THEN 'major' WHEN p_partkey % 2 <> p_partkey % 3 THEN 'patch' ELSE 'same' END AS drift FROM part""",
     "secret_scan": "SELECT * FROM (SELECT doc_id, CASE " + " ".join("WHEN regexp_matches(text, '" + p.replace("'", "''") + f"') THEN '{n}'" for n, p in evidence.SECRETS) + " END AS secret FROM documents) t WHERE secret IS NOT NULL",
     "excerpts": r"""SELECT doc_id, line, substring(regexp_replace(x, '^\s+|\s+$', '', 'g'), 1, 200) AS excerpt FROM (SELECT doc_id, line, x, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM (

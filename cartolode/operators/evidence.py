@@ -281,3 +281,9 @@ def sensitive_files(files: DataFrame) -> DataFrame:
     secret = F.lower(name).isin(*KEY_NAMES) | F.lower(F.regexp_extract(name, r"(?<=[^.])(\.[^.]+)$", 1)).isin(*KEY_ENDINGS)
     rule = lambda when, rule_id, severity: F.when(when, F.struct(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity")))
     return files.select("path", F.inline(F.array_compact(F.array(rule(environment, "env-file-committed", "warning"), rule(secret, "private-key-committed", "error")))))
+
+
+def repository_inventory(files: DataFrame, exports: DataFrame) -> DataFrame:
+    """(repo, files, exports) of files(repo, path) and exports(repo, path, symbol), 0 where a repository has none of either."""
+    n = lambda df, columns, name: df.select("repo", *columns).distinct().groupBy("repo").agg(F.count("*").alias(name))
+    return n(files, ["path"], "files").join(n(exports, ["path", "symbol"], "exports"), "repo", "full").fillna(0, ["files", "exports"])

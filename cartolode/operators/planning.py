@@ -52,6 +52,13 @@ def file_profile(files: DataFrame, coupled: DataFrame, functions: DataFrame, iss
     return rows.fillna(0, ["fan_in", "fan_out", "functions", "issues"])
 
 
+def functions_by_complexity(functions: DataFrame, top: int | None = None) -> DataFrame:
+    """functions(path, name, line, cc) with rank in their file: the most complex first, then by line and name."""
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("cc"), "line", "name"))
+    rows = functions.withColumn("rank", rank)
+    return rows if top is None else rows.where(F.col("rank") <= top)
+
+
 def top_risks(reasons: DataFrame, owners: DataFrame, top: int = 8, by: str = "workspace") -> DataFrame:
     """reasons(by, place, source, message, severity, file), each (source, file, message) once and where it came first, by
     priority and place, then by source, message and file; errors are p0, the rest p1. owners(path, owner) name the owner of the file. The top of each group."""

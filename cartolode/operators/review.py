@@ -19,8 +19,11 @@ def diff_metrics(base: DataFrame, head: DataFrame, key: str = "path", metrics: t
     return deltas.where(" or ".join(f"{m}_delta <> 0" for m in metrics))
 
 
-def diff_cycles(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Cycles(node, component) of head that share no node with one of base (new) or are larger than what they share (expanded)."""
+def diff_cycles(base: DataFrame, head: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Cycles(node, component) of head that share no node with one of base (new) or are larger than what they share (expanded);
+    with scope(node), those that go through one of its nodes."""
+    if scope is not None:
+        head = head.join(head.join(scope.select("node").distinct(), "node", "left_semi").select("component").distinct(), "component", "left_semi")
     sizes = head.groupBy("component").agg(F.count("*").alias("size"))
     shared = head.join(base.select("node", F.col("component").alias("other")), "node").groupBy("component", "other").agg(F.count("*").alias("n"))
     best = shared.groupBy("component").agg(F.max("n").alias("overlap"))
@@ -96,6 +99,24 @@ def chunks(ranked: DataFrame, order: list, size: int = 20, by: tuple = ()) -> Da
     return numbered(ranked, order, "chunk", by).withColumn("chunk", F.floor((F.col("chunk") - 1) / size))
 
 
+def trend_counts(runs: DataFrame) -> DataFrame:
+    """runs(run_ts, rule_id) to (run_ts, issues, new, resolved) a run: what it has, what the run before lacked, and what is gone
+    since. The first run has null for the last two."""
+    once = runs.select("run_ts", "rule_id").distinct()
+    placed = numbered(once.select("run_ts").distinct(), ["run_ts"], "place")
+    each = once.join(placed, "run_ts").select("place", "rule_id")
+    now, before = each.withColumn("now", F.lit(1)), each.select((F.col("place") + 1).alias("place"), "rule_id", F.lit(1).alias("before"))
+    both = now.join(before, ["place", "rule_id"], "full").groupBy("place").agg(F.count("now").alias("issues"), F.count_if(F.col("before").isNull()).alias("new"), F.count_if(F.col("now").isNull()).alias("resolved"))
+    first = lambda c: F.when(F.col("place") > 1, F.col(c)).alias(c)
+    return placed.join(both, "place").select("run_ts", "issues", first("new"), first("resolved"))
+
+
+def coupling_ranked(coupled: DataFrame, view: str = "fan_in") -> DataFrame:
+    """coupled(path, fan_in, fan_out, ...) with rank, the highest fan_in or fan_out first, ties by path."""
+    rows = coupled.withColumn("_less", -F.col(view))
+    return numbered(rows, ["_less", "path"], "rank").drop("_less")
+
+
 def coupling_in_cycles(coupled: DataFrame, cyclic: DataFrame) -> DataFrame:
     return coupled.join(cyclic.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
 
@@ -122,3 +143,18 @@ def diff_contracts(base: DataFrame, head: DataFrame, public: DataFrame) -> DataF
     """Exports(path, name) of public(path) files that came or went: (path, name, change)."""
     sides = [a.select("path", "name").distinct().join(b.select("path", "name").distinct(), ["path", "name"], "left_anti").withColumn("change", F.lit(n)) for a, b, n in ((head, base, "added"), (base, head, "removed"))]
     return sides[0].unionByName(sides[1]).join(public.select("path").distinct(), "path", "left_semi")
+
+
+def diff_entrypoints(base: DataFrame, head: DataFrame) -> DataFrame:
+    """Entry points(manifest, name, value) that came, went or changed: (manifest, name, before, after, change)."""
+    keys = ["manifest", "name"]
+    both = base.select(*keys, F.col("value").alias("before")).join(head.select(*keys, F.col("value").alias("after")), keys, "full").where("not before <=> after")
+    return both.withColumn("change", F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed"))
+
+
+def replay_status(proofs: DataFrame) -> DataFrame:
+    """proofs(proof, scope, status, sufficiency) with replay: failed, stale, drifted, needs-proof or verified, the first that fits."""
+    either = lambda value: (F.col("status") == value) | (F.col("sufficiency") == value)
+    needs = (F.col("scope") == "missing-contract") | F.col("status").isin("missing", "partial") | F.col("sufficiency").isin("missing", "weak")
+    ladder = F.when(either("failed"), "failed").when(either("stale"), "stale").when(F.col("scope") == "drifted", "drifted").when(needs, "needs-proof").otherwise("verified")
+    return proofs.withColumn("replay", ladder)

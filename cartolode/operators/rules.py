@@ -233,6 +233,15 @@ def set_fingerprint(df: DataFrame, by: str, member: str) -> DataFrame:
     return df.groupBy(by).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(F.col(member).cast("string"))), "\n"), 256).alias("fingerprint"))
 
 
+def content_fingerprint(files: DataFrame, by: str, path: str = "path", content: str = "content") -> DataFrame:
+    """(by, fingerprint): SHA-256 over each group's files, names and contents, in 256 parts by the hash of the name, so that no
+    array holds a whole group. The order of rows does not matter; a null content is told from an empty one."""
+    name = F.coalesce(F.col(path).cast("string"), F.lit(""))
+    each = files.select(by, F.sha2(name, 256).alias("place"), F.sha2(F.coalesce(F.concat(F.lit("+"), F.col(content)), F.lit("-")), 256).alias("digest")).distinct()
+    part = each.groupBy(by, F.substring("place", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("place", F.lit(" "), "digest"))), "\n"), 256).alias("digest"))
+    return part.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit(" "), "digest"))), "\n"), 256).alias("fingerprint"))
+
+
 def group_rollup(deps: DataFrame, *levels: str) -> DataFrame:
     return deps.rollup(*levels).agg(F.count("*").alias("n"))
 

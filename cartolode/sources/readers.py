@@ -102,6 +102,25 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("manifest", F.inline(each)).select("manifest", "kind", F.explode("m").alias("name", "value"))
 
 
+#: Fields of a package manifest that name its entry points.
+ENTRY_FIELDS = "main module types typings browser exports bin".split()
+
+
+def read_entrypoints(spark: SparkSession, path: str) -> DataFrame:
+    """Entry points of package manifests: (manifest, name, value), name being the field and, where it holds an object, the keys
+    below it, joined by `#`; what is no text is left out. Manifests that are no JSON have none."""
+    rows = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract("_metadata.file_path", "[^/]*$", 0).alias("manifest"), F.try_parse_json("value").alias("v"))
+    level = rows.where("v is not null").select("manifest", F.lit("").alias("name"), "v")
+    found = []
+    for depth in range(4):
+        inner = level.alias("l").lateralJoin(spark.tvf.variant_explode(F.col("l.v").outer()).alias("e"))
+        named = F.col("e.key") if depth == 0 else F.concat("l.name", F.lit("#"), "e.key")
+        level = inner.where("e.key is not null").select("l.manifest", named.alias("name"), F.col("e.value").alias("v"))
+        level = level.where(F.col("name").isin(*ENTRY_FIELDS)) if depth == 0 else level
+        found.append(level.where(F.schema_of_variant("v") == "STRING").select("manifest", "name", F.try_variant_get("v", "$", "string").alias("value")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def read_lockfiles(spark: SparkSession, path: str) -> DataFrame:
     """Lockfiles with a map of install path to package: (manifest, name, version); the root entry is left out."""
     rows = _json_files(spark, path, "struct<packages: map<string, struct<version: string>>>").select("manifest", F.explode("x.packages").alias("at", "p"))

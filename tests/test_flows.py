@@ -51,3 +51,15 @@ def test_many_seeds_share_words(spark):
     way = flows.Reach(e, spark.range(300).selectExpr("id as seed"), 5)
     assert way.hops[1].count() <= 20 and way.pairs(spark.sql("select 301L as node")).count() == 300
     assert flows.Reach(e, spark.range(0).selectExpr("id as seed"), 5).pairs(e.selectExpr("dst as node")).count() == 0
+
+
+def test_importers_of_many_files_of_one_name_form_few_pairs(spark):
+    """Each of 4,000 importers asks for a name that 4,000 files of two repositories have; the report joins them with its first targets only."""
+    files = spark.range(4000).selectExpr("concat('r', id % 2) as repo", "concat('/x', if(id % 2 = 0, '.js', '.ts')) as path")
+    imports = spark.range(4000).selectExpr("concat('r', id % 3) as repo", "lpad(id, 5, '0') as path", "'/x.mjs' as resolved")
+    got = [tuple(r) for r in flows.cross_repo_importers(imports.union(imports), files, 3).collect()]
+    assert got == [("r0", "/x.js", "r1", f"{p:05}", True) for p in (1, 4, 7)]
+    plan = flows.cross_repo_importers(imports, files.where("repo = 'r0'"), 5000)
+    assert plan.count() == 2666 and not plan.where("truncated").count()
+    alone = flows.cross_repo_importers(imports.where("repo = 'r1'"), files, 3)
+    assert {r["owner"] for r in alone.collect()} == {"r0"}

@@ -183,3 +183,19 @@ def test_cost_deltas(spark, tmp_path):
     got = {tuple(r) for r in spark.read.schema(state.COST_DELTAS).parquet(str(tmp_path / "out")).collect()}
     assert got == {tuple(r) for r in state.cost_deltas(ticks).collect()}
     assert got == {("read", 1, 3, 30, 3, 30), ("read", 2, 2, 24, 5, 60), ("read", 4, 2, 30, 6, 90), ("read", 6, 2, 10, 2, 10), ("find", 1, 1, 7, 1, 7), ("find", 5, 3, 9, 3, 9)}
+
+
+def test_calls_of_a_common_name_are_neither_shuffled_nor_counted(spark):
+    """What is twice among the inputs is one edge, without a distinct over the pairs of calls; a report's metrics count one edge more than it shows."""
+    functions = spark.range(6).selectExpr("'a' as path", "concat('a.f', id % 2) as name", "id as line")
+    functions, named = functions.union(functions), spark.sql("select 'a' as path, 'p' as name")
+    calls = functions.selectExpr("path", "name", "line", "'f1' as callee")
+    edges = facts.semantic_edges(functions, named.union(named), named, spark.sql("select 'a' as src, 'b' as dst"), calls)
+    assert edges._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+    rows = [tuple(r) for r in edges.collect()]
+    assert len(rows) == len(set(rows)) == 6 + 1 + 1 + 1 + 6 * 3 - 3
+    nodes = facts.semantic_nodes(named.select("path"), functions, named, named)
+    for most, cut in ((5, True), (24, False)):
+        metrics = facts.limited_graph(nodes.union(spark.sql("select 'file:b' as id, 'file' as kind, 'b' as label")), edges, 100, most)[2]
+        assert f"GlobalLimit {most + 1}" in metrics._jdf.queryExecution().optimizedPlan().toString()
+        assert [tuple(r) for r in metrics.collect()] == [(2, 6, 1, 1, min(most, 24), cut)]

@@ -84,7 +84,7 @@ QUERIES = {
     "collisions_transitive": lambda s, d: flows.collisions_transitive(V(s, d, "work"), V(s, d, "edges")),
     "taint_flows": lambda s, d: flows.taint_flows(V(s, d, "edges"), *_endpoints(s, d)),
     "dataflow_bridges": lambda s, d: flows.dataflow_bridges(V(s, d, "edges"), *_endpoints(s, d)),
-    "reexport_closure": lambda s, d: flows.expand_reexports(T(s, d, "part").selectExpr("p_partkey as path", "p_name as name"), T(s, d, "part").where("p_partkey >= 10").selectExpr("p_partkey div 10 as src", "p_partkey as dst")),
+    "reexport_closure": lambda s, d: flows.expand_reexports(T(s, d, "part").selectExpr("p_partkey as path", "p_name as name"), V(s, d, "edges")),
     "graph_query_importers": lambda s, d: flows.neighbours(V(s, d, "edges"), T(s, d, "part").where("p_size < 5").selectExpr("p_partkey as path")),
     "graph_query_imports": lambda s, d: flows.neighbours(V(s, d, "edges"), T(s, d, "part").where("p_size < 5").selectExpr("p_partkey as path"), "imports"),
     "resolve_imports": lambda s, d: flows.resolve_imports(V(s, d, "files").select("path", F.concat("dir", F.lit("/"), "ext", F.lit("/"), (F.col("doc_id") + 20).cast("string")).alias("spec")), V(s, d, "files"), ["", ".en", ".de", ".fr", ".es"]),
@@ -165,7 +165,7 @@ ORACLE_SQL = {
     "collisions_transitive": R(_FAR + " SELECT least(s, t) AS stream_a, greatest(s, t) AS stream_b, CASE WHEN s < t THEN seed ELSE node END AS file_a, CASE WHEN s < t THEN node ELSE seed END AS file_b, min(hop) AS distance FROM hits GROUP BY 1, 2, 3, 4", "work", "edges"),
     "taint_flows": R(_WAYS + " SELECT source, sink, depth, path FROM (SELECT source, node AS sink, len(path) - 1 AS depth, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY source, node ORDER BY len(path), path) AS n FROM ways WHERE ended) z WHERE n = 1", "edges"),
     "dataflow_bridges": R(_NEAR3 + " SELECT a.node AS bridge, a.seed AS source, b.seed AS sink FROM picked a JOIN picked b ON a.node = b.node AND a.is_source AND NOT b.is_source AND a.n = 1 AND b.n = 1 JOIN part ON p_partkey = a.node WHERE p_size > 2 AND p_size < 49", "edges"),
-    "reexport_closure": "WITH RECURSIVE names AS (SELECT p_partkey AS path, p_name AS name FROM part UNION SELECT path // 10, name FROM names WHERE path >= 10) SELECT DISTINCT path, name FROM names",
+    "reexport_closure": R("names AS (SELECT p_partkey AS path, p_name AS name FROM part UNION SELECT src, name FROM names JOIN edges ON dst = path) SELECT DISTINCT path, name FROM names", "edges"),
     "graph_query_importers": W(_LOOK.format(a="dst", b="src"), "edges"),
     "graph_query_imports": W(_LOOK.format(a="src", b="dst"), "edges"),
     "resolve_imports": W("""SELECT path, spec, target, CASE WHEN target IS NULL THEN split_part(spec, '/', 1) END AS package FROM (

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from cartolode.operators import flows
+from cartolode.plans.registry import ORACLE_SQL
 
 
 def plain(edges, seeds, most, stop=()):
@@ -63,3 +64,16 @@ def test_importers_of_many_files_of_one_name_form_few_pairs(spark):
     assert plan.count() == 2666 and not plan.where("truncated").count()
     alone = flows.cross_repo_importers(imports.where("repo = 'r1'"), files, 3)
     assert {r["owner"] for r in alone.collect()} == {"r0"}
+
+
+def test_reexports_go_round_cycles_and_read_the_whole_graph(spark):
+    rnd = random.Random(5)
+    stars = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)] + [(1, 1), (None, 2)]
+    exports = [(p, f"n{p}_{k}") for p in range(60) for k in range(2)] + [(7, None), (None, "lost")]
+    want, more = set(exports), set(exports)
+    while more:
+        more = {(a, n) for a, b in stars for p, n in more if b is not None and p == b} - want
+        want |= more
+    got = flows.expand_reexports(spark.createDataFrame(exports, "path long, name string"), spark.createDataFrame(stars, "src long, dst long")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert "lineitem" in ORACLE_SQL["reexport_closure"] and "p_size" not in ORACLE_SQL["reexport_closure"]

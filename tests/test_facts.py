@@ -199,3 +199,16 @@ def test_calls_of_a_common_name_are_neither_shuffled_nor_counted(spark):
         metrics = facts.limited_graph(nodes.union(spark.sql("select 'file:b' as id, 'file' as kind, 'b' as label")), edges, 100, most)[2]
         assert f"GlobalLimit {most + 1}" in metrics._jdf.queryExecution().optimizedPlan().toString()
         assert [tuple(r) for r in metrics.collect()] == [(2, 6, 1, 1, min(most, 24), cut)]
+
+
+def test_calls_resolve_once_without_a_distinct_over_their_pairs(spark):
+    """Pairs of callers and functions of a common name are many; only a function of two names or a caller of two files can repeat one."""
+    calls = spark.sql("select * from values (1, 'a', 'f1'), (1, 'a', 'f1'), (2, 'a', 'f2'), (3, 'b', 'f2') as t(caller, file, callee)")
+    functions = spark.sql("select * from values (10, 'a', 'f1'), (11, 'a', 'f1'), (11, 'a', 'f1'), (12, 'b', 'f2') as t(fn, file, bare)")
+    imports = spark.sql("select 'a' as src, 'b' as dst")
+    got = facts.resolve_calls(calls, functions, imports)
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (2, 12), (3, 12)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
+    named = functions.union(spark.sql("select 10, 'a', 'g1'"))
+    more = calls.union(spark.sql("select 1, 'a', 'g1'")).union(spark.sql("select 2, 'b', 'f2'"))
+    assert sorted(map(tuple, facts.resolve_calls(more, named, imports).collect())) == [(1, 10), (1, 11), (2, 12), (3, 12)]

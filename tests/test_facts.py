@@ -2,7 +2,11 @@
 
 import datetime as dt
 import itertools
+import random
 
+from pyspark.sql import functions as F
+
+from cartolode.functions.scalar import name_similarity
 from cartolode.operators import facts, planning, search, supply
 from cartolode.sources import readers
 from cartolode.streaming import state
@@ -212,3 +216,23 @@ def test_calls_resolve_once_without_a_distinct_over_their_pairs(spark):
     named = functions.union(spark.sql("select 10, 'a', 'g1'"))
     more = calls.union(spark.sql("select 1, 'a', 'g1'")).union(spark.sql("select 2, 'b', 'f2'"))
     assert sorted(map(tuple, facts.resolve_calls(more, named, imports).collect())) == [(1, 10), (1, 11), (2, 12), (3, 12)]
+
+
+def test_renames_are_taken_in_order_without_a_round_a_pair(spark):
+    """Names that are all as alike are matched by name; the same as taking the sorted pairs one by one."""
+    names = lambda rows: spark.createDataFrame(rows, "path string, name string")
+    olds, news = [("p", f"file{chr(300 + k)}") for k in range(60)], [("p", f"file{chr(500 + k)}") for k in range(50)]
+    spark.sparkContext.setJobGroup("renames", "renames")
+    got = {tuple(r) for r in facts.match_renames(names(olds), names(news)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("renames"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {("p", o[1], n[1]) for o, n in zip(olds, news)} and jobs < 60
+    rnd = random.Random(3)
+    sides = [[(rnd.choice("pq"), "".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 9)))) for _ in range(40)] for _ in range(2)]
+    pairs = names(sides[0]).selectExpr("path", "name as old").distinct().join(names(sides[1]).selectExpr("path", "name as new").distinct(), "path")
+    scored = pairs.withColumn("score", name_similarity(F.col("old"), F.col("new"))).where("score >= 0.5").collect()
+    want = set()
+    for r in sorted(scored, key=lambda r: (r["path"], -r["score"], r["old"], r["new"])):
+        if not any(w[0] == r["path"] and (w[1] == r["old"] or w[2] == r["new"]) for w in want):
+            want.add((r["path"], r["old"], r["new"]))
+    assert {tuple(r) for r in facts.match_renames(names(sides[0]), names(sides[1])).collect()} == want

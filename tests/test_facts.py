@@ -236,3 +236,23 @@ def test_renames_are_taken_in_order_without_a_round_a_pair(spark):
         if not any(w[0] == r["path"] and (w[1] == r["old"] or w[2] == r["new"]) for w in want):
             want.add((r["path"], r["old"], r["new"]))
     assert {tuple(r) for r in facts.match_renames(names(sides[0]), names(sides[1])).collect()} == want
+
+
+def test_nearest_vectors_of_tiles_are_those_of_all(spark, monkeypatch):
+    """Copies, rounded ties, other lengths, nulls and what is not finite, against every pair scored by itself."""
+    rnd = random.Random(9)
+    rows = [(k, [round(rnd.uniform(-1, 1), rnd.choice((1, 6))) for _ in range(4)]) for k in range(60)]
+    rows += [(100 + k, rows[k % 7][1]) for k in range(30)] + [(200, None), (201, [1.0]), (202, [None, 1.0, 1.0, 1.0]), (203, [1e9] * 4), (None, [1.0] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(search, "TILE_ROWS", 20)
+    monkeypatch.setattr(search, "QUERY_ROWS", 9)
+    df = search.vector_topk(vectors, vectors.where("vec_id % 3 = 0 or vec_id >= 200"))
+    assert "FlatMapCoGroupsInPandas" in df._jdf.queryExecution().optimizedPlan().toString()
+    pairs = search._scored(vectors, vectors.where("vec_id % 3 = 0 or vec_id >= 200").selectExpr("vec_id as query_id", "embedding as q")).collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (r["query_id"], r["score"] is None, -(r["score"] or 0), r["vec_id"])):
+        want.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {k: v[:5] for k, v in want.items()}

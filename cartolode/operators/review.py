@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolode.functions.scalar import ancestors
+from cartolode.operators.changes import came_and_went
 from cartolode.operators.ordered import numbered
 
 #: A function is complex from HIGH on, and a rise of JUMP is a risk of its own.
@@ -141,8 +142,10 @@ def embed_plan(entries: DataFrame, chunks_: DataFrame, keys: tuple, digest: str)
 
 def diff_contracts(base: DataFrame, head: DataFrame, public: DataFrame) -> DataFrame:
     """Exports(path, name) of public(path) files that came or went: (path, name, change)."""
-    sides = [a.select("path", "name").distinct().join(b.select("path", "name").distinct(), ["path", "name"], "left_anti").withColumn("change", F.lit(n)) for a, b, n in ((head, base, "added"), (base, head, "removed"))]
-    return sides[0].unionByName(sides[1]).join(public.select("path").distinct(), "path", "left_semi")
+    files = public.select("path").distinct()
+    rows = came_and_went(*[side.join(files, "path", "left_semi") for side in (base, head)], ("path", "name"))
+    change = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("added", "removed")]))
+    return rows.select("path", "name", F.explode(change).alias("change"))
 
 
 def diff_entrypoints(base: DataFrame, head: DataFrame) -> DataFrame:

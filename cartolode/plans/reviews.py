@@ -8,6 +8,7 @@ from cartolode.operators import changes, evidence, flows, graph, history, review
 from cartolode.plans.bindings import view as V
 from cartolode.plans.bindings import with_views as W
 from cartolode.plans.oracle import ORACLE_SQL as BASE
+from cartolode.sources.tables import sized
 from cartolode.sources.tables import table as T
 
 
@@ -100,7 +101,7 @@ QUERIES = {
     "owner_last_match": lambda s, d: evidence.owners_of(V(s, d, "files"), _owner_rules(s)),
     "policy_violations": lambda s, d: evidence.policy_violations(T(s, d, "documents").select(F.col("source").alias("from_package"), F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), "lang").alias("to_package")).distinct(), _policy(s)),
     "issues_suppressed": lambda s, d: evidence.suppress(V(s, d, "issues"), s.sql("SELECT * FROM VALUES ('licence-line', '^src1'), ('large-document', '[02468]$') AS t(rule, regex)"), "source"),
-    "diff_contracts": lambda s, d: review.diff_contracts(*_sides(s, d, "path", "fact as name"), T(s, d, "part").where("p_size <= 20").selectExpr("p_partkey as path")),
+    "diff_contracts": lambda s, d: sized(s, d, ("lineitem",), lambda: review.diff_contracts(*_sides(s, d, "path", "fact as name"), T(s, d, "part").where("p_size <= 20").selectExpr("p_partkey as path"))),
     "route_texts": lambda s, d: search.route_texts(T(s, d, "documents"), s.sql("SELECT * FROM VALUES ('english', 0, 'the', 2), ('english', 0, 'of', 1), ('german', 1, 'und', 2), ('german', 1, 'der', 1), ('legal', 2, 'license', 3), ('french', 3, 'les', 2), ('french', 3, 'de', 1) AS t(route, place, keyword, weight)")),
     "known_bad_join": lambda s, d: evidence.known_bad(T(s, d, "part").selectExpr("p_partkey", "p_brand as name", "p_size as version"), s.sql("SELECT * FROM VALUES ('Brand#11', 7), ('Brand#23', 12), ('Brand#45', 49) AS t(name, version)")),
     "recipe_match": lambda s, d: evidence.match_recipes(V(s, d, "files"), s.sql("SELECT * FROM VALUES ('ends', '1[.](en|de)$'), ('first', '^src1/') AS t(recipe, regex)")),

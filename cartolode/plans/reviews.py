@@ -69,7 +69,7 @@ def _file_totals(s, d, where):
 
 QUERIES = {
     "diff_metrics": lambda s, d: review.diff_metrics(*_metrics(s, d)),
-    "diff_cycles": lambda s, d: review.diff_cycles(*_sides(s, d, "path as node", "fact as component")),
+    "diff_cycles": lambda s, d: sized(s, d, ("lineitem",), lambda: review.diff_cycles(*_sides(s, d, "path as node", "fact as component"))),
     "risky_changes": lambda s, d: review.risky_changes(*_sides(s, d, "path", "fact % 5 as name", "version * 3 as cc")),
     "review_files": lambda s, d: review.review_files(_diff(s, d), V(s, d, "coverage").withColumnRenamed("pct", "risk")),
     "review_totals": lambda s, d: review.review_totals(_diff(s, d).select((F.col("path") % 4).alias("tier"), "status")),

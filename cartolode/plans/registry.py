@@ -8,7 +8,7 @@ from cartolode.functions import scalar
 from cartolode.operators import changes, graph, history, rules, search, status
 from cartolode.plans import audits, extras, oracle, planned, reviews, sourced
 from cartolode.plans.bindings import view
-from cartolode.sources.tables import table
+from cartolode.sources.tables import save, sized, table, wide
 
 V, T = view, table
 
@@ -54,8 +54,8 @@ QUERIES = {
     "hotspots": lambda s, d: _ranked(s, d, 100),
     "churn": lambda s, d: history.churn(V(s, d, "commits")),
     "churn_since": lambda s, d: history.churn(history.since(V(s, d, "commits"))),
-    "author_shares": lambda s, d: history.author_shares(V(s, d, "commits")),
-    "bus_factor": lambda s, d: history.bus_factor(V(s, d, "commits")),
+    "author_shares": lambda s, d: sized(s, d, ("lineitem",), lambda: history.author_shares(V(s, d, "commits"))),
+    "bus_factor": lambda s, d: sized(s, d, ("lineitem",), lambda: history.bus_factor(V(s, d, "commits"))),
     "risk_reasons": lambda s, d: history.risk_reasons(_ranked(s, d)),
     "coverage_priority": lambda s, d: history.coverage_priority(_ranked(s, d)),
     "coverage_total": lambda s, d: history.coverage_total(T(s, d, "part").select((F.col("p_size") * 2).alias("lines_found"), F.col("p_size").alias("lines_hit"))),

@@ -79,7 +79,7 @@ QUERIES = {
     "trend": lambda s, d: review.trend(_daily(s, d)),
     "chunks": lambda s, d: review.chunks(V(s, d, "files").select("dir", "doc_id"), ["doc_id"], 20, ("dir",)),
     "coupling_view": lambda s, d: review.coupling_in_cycles(graph.coupling(V(s, d, "edges")), graph.cycles(V(s, d, "edges"))),
-    "read_targets": lambda s, d: review.read_targets(T(s, d, "part").selectExpr("p_partkey as path", "p_size * 20000 as size_bytes", "p_size"), history.churn(V(s, d, "commits")), F.col("p_size") != 7),
+    "read_targets": lambda s, d: review.read_targets(T(s, d, "part").selectExpr("p_partkey as path", "p_size * 20000 as size_bytes", "p_size"), sized(s, d, ("lineitem",), lambda: history.churn(V(s, d, "commits"))), F.col("p_size") != 7),
     "path_search": lambda s, d: review.path_search(V(s, d, "files").select("path"), "SRC1/"),
     "embed_plan": lambda s, d: review.embed_plan(*changes.split(V(s, d, "snap")), ("path", "fact"), "version"),
     "collisions_transitive": lambda s, d: flows.collisions_transitive(V(s, d, "work"), V(s, d, "edges")),

@@ -53,7 +53,7 @@ def hotspots(commits: DataFrame, complexity: DataFrame, issues: DataFrame, cover
     commits = save(commits.groupBy(*keys, "author", "commit_hash").agg(F.max("ts").alias("ts")), "commits")
     now = F.broadcast(commits.agg(F.max("ts").alias("now")))
     changed = save(churn(commits, keys), "churn")
-    single = bus_factor(commits, keys, changed).select(*keys, F.lit(True).alias("single"))
+    single = save(bus_factor(commits, keys, changed).select(*keys, F.lit(True).alias("single")), "single")
     on = list(keys)
     rows = changed.join(complexity, on, "left").join(issues, on, "left").join(coverage, on, "left").join(single, on, "left").crossJoin(now)
     rows = rows.withColumn("days", F.datediff("now", "last_change")).withColumn("issues", F.coalesce("issues", F.lit(0))).withColumn("single", F.coalesce("single", F.lit(False)))

@@ -16,7 +16,8 @@ V, T = view, table
 def _ranked(s, d, top=None):
     complexity = T(s, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("cc"))
     issues = T(s, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("path")).agg(F.count("*").alias("issues"))
-    return history.hotspots(V(s, d, "commits"), complexity, issues, V(s, d, "coverage"), top)
+    with wide(s, T(s, d, "lineitem").count()):
+        return history.hotspots(V(s, d, "commits"), complexity, save(issues, "issues"), V(s, d, "coverage"), top)
 
 
 def _memory(s, d):

@@ -82,7 +82,7 @@ QUERIES = {
     "read_targets": lambda s, d: review.read_targets(T(s, d, "part").selectExpr("p_partkey as path", "p_size * 20000 as size_bytes", "p_size"), sized(s, d, ("lineitem",), lambda: history.churn(V(s, d, "commits"))), F.col("p_size") != 7),
     "path_search": lambda s, d: review.path_search(V(s, d, "files").select("path"), "SRC1/"),
     "embed_plan": lambda s, d: review.embed_plan(*changes.split(V(s, d, "snap")), ("path", "fact"), "version"),
-    "collisions_transitive": lambda s, d: flows.collisions_transitive(V(s, d, "work"), V(s, d, "edges")),
+    "collisions_transitive": lambda s, d: sized(s, d, ("lineitem",), lambda: flows.collisions_transitive(V(s, d, "work"), V(s, d, "edges"))),
     "taint_flows": lambda s, d: flows.taint_flows(V(s, d, "edges"), *_endpoints(s, d)),
     "dataflow_bridges": lambda s, d: flows.dataflow_bridges(V(s, d, "edges"), *_endpoints(s, d)),
     "reexport_closure": lambda s, d: flows.expand_reexports(T(s, d, "part").selectExpr("p_partkey as path", "p_name as name"), V(s, d, "edges")),

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from cartolode.functions.scalar import ancestors
 from cartolode.operators.ordered import running
+from cartolode.sources.tables import save
 
 LEASES = "repo string, id string, at timestamp, event string, agent string, target string, contenders long"
 NEVER = (1 << 63) - 1
@@ -103,7 +104,8 @@ def contention(claims: DataFrame) -> DataFrame:
     below it, over all agents and of each one. A claim asks at its own target and at those above it, so that no pairs of
     claims are formed, and the sums are taken by ranges of the order, so that no place is gathered in one task.
     """
-    c = claims.select("repo", "id", "agent", "target", "at", "end", "ending")
+    # Claims and steps are read many times over, and ranges are told from a pass of their own: each is written once.
+    c = save(claims.select("repo", "id", "agent", "target", "at", "end", "ending"), "claims")
     above = F.slice(ancestors(F.col("target")), 2, 1 << 20)
     on = F.struct(F.col("target").alias("place"), F.lit(False).alias("below"))
     held = F.concat(F.array(on), F.transform(above, lambda p: F.struct(p.alias("place"), F.lit(True).alias("below"))))
@@ -115,8 +117,10 @@ def contention(claims: DataFrame) -> DataFrame:
     # A claim that has expired when it is made is never active.
     dead = c.where("ending = 'expired' and end <= at").select("repo", "id")
     steps = steps.select("repo", "agent", "id", "x.place", "x.below", "time", "phase", "part", "n").join(dead.withColumn("dead", F.lit(True)), ["repo", "id"], "left").where("dead is null or part = 0").drop("dead")
+    steps = save(steps, "steps")
     order = ["time", "phase", "id", "part"]
-    summed = running(running(steps, order, F.col("n"), "every", ("repo", "place", "below")), order, F.col("n"), "own", ("repo", "place", "below", "agent"))
+    every = save(running(steps, order, F.col("n"), "every", ("repo", "place", "below")), "every")
+    summed = running(every, order, F.col("n"), "own", ("repo", "place", "below", "agent"))
     met = summed.where("part = 0").groupBy("repo", "id").agg(F.sum(F.col("every") - F.col("own")).alias("contenders"))
     return c.join(met, ["repo", "id"])
 
@@ -124,7 +128,7 @@ def contention(claims: DataFrame) -> DataFrame:
 def lease_log(events: DataFrame, until: str | None = None) -> DataFrame:
     """The batch twin of watch_leases: LEASES of events, with the expiries up to a time, by default the last event's. Ids of claims
     are unique in a repository."""
-    rows = contention(ended(events))
+    rows = save(contention(ended(events)), "leases")
     last = F.lit(until).cast("timestamp") if until else F.lit(events.agg(F.max("at")).first()[0])
     claimed = rows.select("repo", "id", "at", F.lit("claimed").alias("event"), "agent", "target", "contenders")
     gone = rows.where((F.col("ending") == "released") | (F.col("end") <= last))

@@ -20,6 +20,11 @@ def _sides(s, d, *columns):
     return [x.selectExpr(*columns) for x in changes.split(V(s, d, "snap"))]
 
 
+def _coupled(s, d):
+    edges = sized(s, d, ("lineitem",), lambda: V(s, d, "edges"))
+    return review.coupling_in_cycles(graph.coupling(edges), graph.cycles(edges))
+
+
 def _metrics(s, d):
     return [x.groupBy("path").agg((F.max("version") * 4).alias("cc"), F.count("*").alias("fan_in")) for x in changes.split(V(s, d, "snap"))]
 
@@ -78,7 +83,7 @@ QUERIES = {
     "scope_status": lambda s, d: review.scope_status(_scoped(s, d)),
     "trend": lambda s, d: review.trend(_daily(s, d)),
     "chunks": lambda s, d: review.chunks(V(s, d, "files").select("dir", "doc_id"), ["doc_id"], 20, ("dir",)),
-    "coupling_view": lambda s, d: review.coupling_in_cycles(graph.coupling(V(s, d, "edges")), graph.cycles(V(s, d, "edges"))),
+    "coupling_view": _coupled,
     "read_targets": lambda s, d: review.read_targets(T(s, d, "part").selectExpr("p_partkey as path", "p_size * 20000 as size_bytes", "p_size"), sized(s, d, ("lineitem",), lambda: history.churn(V(s, d, "commits"))), F.col("p_size") != 7),
     "path_search": lambda s, d: review.path_search(V(s, d, "files").select("path"), "SRC1/"),
     "embed_plan": lambda s, d: review.embed_plan(*changes.split(V(s, d, "snap")), ("path", "fact"), "version"),

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, small, text_batches, trimmed
@@ -29,8 +29,14 @@ SLACK = 0.08
 #: Of 64 bits of two further words, more than so many differ for texts that share a bucket by chance in 992 of 1000 cases, and
 #: for texts of similarity 0.8, whose mean is 9.5 bits, in less than one of 10^5.
 CHANCE = 22
-#: Buckets are compared in blocks of so many texts, every two of which meet in a task.
-BLOCK = 1024
+#: Texts are counted by so many values of a byte of their shingles' hashes; two texts share at most what the counts share.
+BINS = 256
+#: Those that meet are compared in blocks of so many texts, every two of which meet in a task. What would be more than BLOCKS of
+#: them is dealt into BLOCKS larger ones, of MOST texts at most, so that a text has no more than BLOCKS rows until then.
+BLOCK, BLOCKS, MOST = 256, 32, 8192
+#: Components of so many texts are met as a whole by those of other components, not in every bucket, if a text's buckets with them
+#: hold at least the HOME-th part of their texts.
+LARGE, HOME = 64, 8
 #: Texts whose buckets a task makes.
 TASK_TEXTS = 3000
 _RANDOM = np.random.default_rng(SEED)
@@ -75,15 +81,29 @@ def wide_print(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def byte_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each first byte, 255 for more."""
+    return np.minimum(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def may_share(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets with the byte_counts a and b, of so many elements together, can have the similarity: never false where they have it."""
+    common = np.minimum(a, b)
+    return (common.sum(-1, dtype=np.int64) * (1 + least) >= least * sizes - 1e-6) | (common == 255).any(-1)
+
+
 def _prints(width: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made, nodes = np.zeros((b.num_rows, WIDE), np.uint64), np.zeros(b.num_rows, np.int64)
+            bins, sizes = [], np.zeros(b.num_rows, np.int64)
             for k, t in enumerate(b.column(1)):
                 words = _tokens(t.as_py())
-                made[k], nodes[k] = wide_print(shingle_set(words, width)), _node(words)
+                held = shingle_set(words, width)
+                made[k], nodes[k], sizes[k] = wide_print(held), _node(words), len(held)
+                bins.append(byte_counts(held).tobytes())
             wide = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WIDE), pa.array(made.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), wide], ["doc_id", "node", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), wide, pa.array(bins, pa.binary()), pa.array(sizes)], ["doc_id", "node", "wide", "bins", "size"])
 
     return prints
 
@@ -97,33 +117,40 @@ def _words(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
 
 
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def most_bits(least: float) -> int:
     """The most bits in which texts of this similarity are taken to differ, of sets of one size."""
     return int(64 * WIDE * (math.acos(2 * least / (1 + least)) / math.pi + SLACK))
 
 
 def _likely(least: float):
-    """The pairs whose fingerprints differ in no more bits than the similarity allows."""
+    """The pairs whose fingerprints differ in no more bits than the similarity allows and whose counts can share enough."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            apart = np.bitwise_count(_words(b.column(2)) ^ _words(b.column(3))).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(apart <= most_bits(least)))
+            wide, bins, sizes = ([b.column(f"{c}{k}") for k in "ab"] for c in ("wide_", "bins_", "size_"))
+            apart = np.bitwise_count(_words(wide[0]) ^ _words(wide[1])).sum(1)
+            ok = (apart <= most_bits(least)) & may_share(_bins(bins[0]), _bins(bins[1]), sizes[0].to_numpy() + sizes[1].to_numpy(), least)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return likely
 
 
 def _across(least: float):
-    """Likely pairs of different components within each block pair; a block meets itself where both sides are one. Rows
+    """Likely pairs of different components, as in _likely, within each block pair; a block meets itself where both sides are one. Rows
     arrive in order of the meeting, and one meeting at a time is held."""
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
-        node, root, side = (part.column(c).to_numpy() for c in ("node", "root", "side"))
-        wide = _words(part.column("wide").combine_chunks())
+        node, root, side, size = (part.column(c).to_numpy() for c in ("node", "root", "side", "size"))
+        wide, bins = _words(part.column("wide").combine_chunks()), _bins(part.column("bins"))
         left, right, found = np.flatnonzero(side != 1), np.flatnonzero(side != 0), []
         for i in left:
             others = right[(root[right] != root[i]) & ((side[i] == 0) | (node[right] > node[i]))]
             others = others[np.bitwise_count(wide[others] ^ wide[i]).sum(1) <= most_bits(least)]
+            others = others[may_share(bins[others], bins[i], size[others] + size[i], least)]
             found += [(node[i], node[j]) for j in others]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -161,8 +188,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     word shingles have at least the Jaccard similarity `least`.
 
     Texts of the same words are one node. Texts whose fingerprints agree under a covering mask share a bucket. Each text is
-    first compared with the first of all texts that its buckets begin with, a pair a text; then all pairs of a bucket that
-    this left in different components are compared, in blocks, but for two texts that met by chance. Every link is confirmed on the exact sets.
+    first compared with the first of all texts that its buckets begin with, a pair a text; then with the first of each of its
+    buckets; then all other pairs of a bucket that this left in different components are compared, in blocks, but for two texts
+    that met by chance. A large component is not met in every bucket: a text that shares many with it is compared with all of
+    its texts, once. Every link is confirmed on the exact sets.
 
     Null and empty texts are one group; a null id is no candidate for component_id, which is null if its whole
     component has none; an empty table gives no rows.
@@ -173,8 +202,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    prints = save(rows.mapInArrow(trimmed(_prints(width)), "doc_id long, node long, wide array<long>"), "prints")
-    classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "classes")
+    prints = save(rows.mapInArrow(trimmed(_prints(width)), "doc_id long, node long, wide array<long>, bins binary, size long"), "prints")
+    classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("wide", "bins", "size")]), "classes")
     # A text has a row for every mask: tasks take few enough texts that none spills while it counts them.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // TASK_TEXTS))
     next_ = lambda n: F.element_at("wide", F.pmod(F.col("w") + n, F.lit(WIDE)) + 1).bitwiseAND(F.lit((1 << 32) - 1))
@@ -195,21 +224,63 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
         sides = [texts.select(F.col("node").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b")]
         return save(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_confirm(width, least)), "a long, b long"), f"{name}-links")
 
-    side = lambda k: classes.select(F.col("node").alias(k), F.col("wide").alias(f"s{k}"))
+    def likely(pairs: DataFrame) -> DataFrame:
+        for k in ("a", "b"):
+            pairs = pairs.join(classes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("wide", "bins", "size")]), k)
+        return pairs.mapInArrow(trimmed(_likely(least)), "a long, b long")
+
+    def components(links: DataFrame) -> DataFrame:
+        return save(connected_components(links).withColumnRenamed("component", "root"), "roots")
+
     stars = save(members.where("node <> rep and near").groupBy(F.col("node").alias("a")).agg(F.min("rep").alias("b")), "stars")
-    links = confirmed(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(_likely(least)), "a long, b long"), "star")
-    roots = save(connected_components(links).withColumnRenamed("component", "root"), "roots")
-    rooted = save(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    alike = F.max((F.col("n") > 2) | F.col("near") & (F.col("node") != F.col("rep"))).alias("alike")
-    mixed = small(save(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), alike).where("low <> high and alike").select("bucket"), "mixed"))
-    left = rooted.join(mixed, "bucket", "left_semi")
-    left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    links = confirmed(likely(stars), "star")
+    roots = components(links)
+    rays = save(members.where("node <> rep and (near or n > 2)").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "rays")
+    for k in ("a", "b"):
+        rays = rays.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    rays = save(rays.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "rays")
+    links = save(links.union(confirmed(likely(rays), "ray")), "links")
+    roots = components(links)
+    # Every text has met the first of its buckets: the others are left, which are two at least in buckets of three.
+    held = save(roots.join(save(roots.groupBy("root").agg(F.count("*").alias("held")), "held"), "root").select("node", "root", "held"), "held")
+    rest = members.where("n > 2 and node <> rep").select("bucket", "node", "n")
+    large = small(held.where(F.col("held") >= LARGE))
+    crowd = save(rest.join(large, "node").select("bucket", "node", "n", "root", "held"), "crowd")
+    tops = crowd.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top"))
+    tops = save(tops.select("bucket", F.col("top.root").alias("home"), F.col("top.held").alias("of")), "tops")
+    loose = rest.join(large.select("node"), "node", "left_anti").join(held.select("node", "root"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    further = crowd.join(tops, "bucket").where("root <> home").select("bucket", "node", "n", "root")
+    loose = save(loose.unionByName(further).join(tops, "bucket", "left"), "loose")
+    mixed = loose.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("home"))
+    mixed = small(save(mixed.where("low <> high or home is not null").select("bucket"), "mixed"))
+    left = save(loose.join(mixed, "bucket", "left_semi"), "left")
+    guests = save(left.where("home is not null").groupBy("node", "root", "home", "of").agg((F.sum("n") * HOME >= F.col("of")).alias("often")), "guests")
+    seldom = left.join(guests.where("not often").select("node", "home"), ["node", "home"], "left_semi").select("bucket", "home", "n").distinct()
+    seldom = small(save(seldom, "seldom")).withColumnRenamed("home", "root")
+    hosts = crowd.select("bucket", "node", "root").join(seldom, ["bucket", "root"]).select("bucket", "node", "root", "n")
+    left = save(left.select("bucket", "node", "root", "n").unionByName(hosts), "left")
+
+    def blocks(n: Column) -> Column:
+        return F.greatest(F.least(F.ceil(n / BLOCK), F.lit(BLOCKS)), F.ceil(n / MOST)).cast("long")
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), blocks(F.col(n)))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col(n)) - 1)).alias("other")
+
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    meets = other.select("node", "root", F.xxhash64("bucket", low, high).alias("meet"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1).alias("side"))
-    met = meets.join(classes.select("node", "wide"), "node").repartition("meet").sortWithinPartitions("meet")
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1).alias("side")
+    meets = left.select("bucket", "node", "root", block("n").alias("block"), each("n")).select("node", "root", F.xxhash64("bucket", low, high).alias("meet"), side)
+    guests = guests.where("often").select("node", "root", "home", "of")
+    sizes = small(save(guests.groupBy("home", "of").agg(F.count("*").alias("n")), "homes"))
+    come = guests.join(sizes.select("home", "n"), "home").select("node", "root", "home", block("n").alias("block"), each("of"))
+    stay = held.select("node", "root").join(sizes, F.col("root") == F.col("home")).select("node", "root", "home", block("of").alias("block"), each("n"))
+    for part, (x, y), at in ((come, ("block", "other"), 0), (stay, ("other", "block"), 1)):
+        meets = meets.unionByName(part.select("node", "root", F.xxhash64("home", x, y, F.lit(0)).alias("meet"), F.lit(at).alias("side")))
+    met = save(meets, "meets").join(classes.select("node", "wide", "bins", "size"), "node").repartition("meet").sortWithinPartitions("meet")
     links = save(links.union(confirmed(met.mapInArrow(trimmed(_across(least)), "a long, b long"), "across")), "links")
-    roots = save(connected_components(links).withColumnRenamed("component", "root"), "roots")
+    roots = components(links)
     ends = save(classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ends")
     named = save(ends.join(save(ends.groupBy("root").agg(F.min("least").alias("component_id")), "least"), "root").select("node", "component_id"), "named")
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

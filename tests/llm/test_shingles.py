@@ -65,6 +65,64 @@ def test_groups_link_pairs_of_similarity_0_8(spark, block, monkeypatch):
     assert shingles.similar_groups(df.limit(0)).count() == 0
 
 
+def group(rnd, n, most):
+    """Texts of 100 words, each with up to so many words of the first one changed."""
+    first = [f"w{rnd.randrange(5000)}" for _ in range(100)]
+    texts = []
+    for _ in range(n):
+        text = list(first)
+        for at in rnd.sample(range(100), rnd.randint(1, most)):
+            text[at] = f"x{rnd.randrange(5000)}"
+        texts.append(" ".join(text))
+    return texts
+
+
+def links_hold(rows, got, exactly=False):
+    """Texts that share a bucket and are similar are in one component, and no others than are linked at all."""
+    prints = [shingles.wide_print(shingles.shingle_set(t.encode().split())) for _, t in rows]
+    masks = np.array(covering_masks(list(range(shingles.MASKED)), 3), np.uint64)
+    least, every = (dict(wanted(rows, f)[0]) for f in (lambda i, j: ((prints[i] ^ prints[j])[:, None] & masks == 0).any(), lambda i, j: True))
+    assert all(got[d] == got[c] and every[d] == every[got[d]] for d, c in least.items())
+    assert not exactly or got == least
+
+
+def test_a_large_group_of_near_copies_forms_few_pairs(spark, monkeypatch):  # pipeline
+    """Some texts of the group are linked, others nearly: all meet, but not pair by pair."""
+    counts, write = {}, shingles.save
+
+    def save(df, name):
+        df = write(df, name)
+        counts[name] = max(counts.get(name, 0), df.count())
+        return df
+
+    monkeypatch.setattr(shingles, "save", save)
+    rows = list(enumerate(group(random.Random(6), 500, 4)))
+    links_hold(rows, dict(map(tuple, shingles.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert sum(n for name, n in counts.items() if name.endswith("-pairs")) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("home", [0, 8, 10**9])
+def test_large_components_are_met_as_a_whole_or_in_buckets(spark, home, monkeypatch):
+    """0: in buckets only; 10^9: as a whole only."""
+    for name, value in (("LARGE", 3), ("HOME", home), ("BLOCK", 4), ("BLOCKS", 2), ("MOST", 16)):
+        monkeypatch.setattr(shingles, name, value)
+    rnd = random.Random(7)
+    rows = list(enumerate(t for _ in range(3) for t in group(rnd, 60, 4)))
+    links_hold(rows, dict(map(tuple, shingles.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())), home == 0)
+
+
+def test_counts_never_deny_a_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 90_000):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n, np.int64).astype(np.uint64) * np.uint64(2))
+        for share in (0.5, 0.7, 0.79, 0.8, 0.81, 0.9, 1):
+            k = int(n * share)
+            a, b = pool[:n], pool[n - k : 2 * n - k]
+            may = shingles.may_share(shingles.byte_counts(a), shingles.byte_counts(b), len(a) + len(b), 0.8)
+            assert may or not shingles.similar(a, b)
+            assert not may or share > 0.5 or n in (1, 90_000)
+
+
 def test_bits_differ_as_often_as_the_similarity_says():
     rng = np.random.default_rng(2)
     pool = np.unique(rng.integers(0, 1 << 63, 1400, np.int64)).astype(np.uint64)

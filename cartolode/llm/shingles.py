@@ -243,21 +243,26 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
     roots = components(links)
     # Every text has met the first of its buckets: the others are left, which are two at least in buckets of three.
     held = save(roots.join(save(roots.groupBy("root").agg(F.count("*").alias("held")), "held"), "root").select("node", "root", "held"), "held")
-    rest = members.where("n > 2 and node <> rep").select("bucket", "node", "n")
+    rest = members.where("n > 2 and node <> rep").select("bucket", "node", "n", "rep")
     large = small(held.where(F.col("held") >= LARGE))
-    crowd = save(rest.join(large, "node").select("bucket", "node", "n", "root", "held"), "crowd")
-    tops = crowd.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top"))
+    # A bucket's home is the largest of the large components of three of its texts, the last and the first two: no row is formed for
+    # each text of a large component and bucket. Which home a bucket has, or that it has none, changes where its texts are met only.
+    known = rest.groupBy("bucket").agg(F.first("rep").alias("rep"), F.min("node").alias("first"), F.max("node").alias("last"))
+    known = known.select("bucket", F.explode(F.array_distinct(F.array("rep", "first", "last"))).alias("known"))
+    tops = known.join(large.withColumnRenamed("node", "known"), "known").groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top"))
     tops = save(tops.select("bucket", F.col("top.root").alias("home"), F.col("top.held").alias("of")), "tops")
-    loose = rest.join(large.select("node"), "node", "left_anti").join(held.select("node", "root"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    further = crowd.join(tops, "bucket").where("root <> home").select("bucket", "node", "n", "root")
-    loose = save(loose.unionByName(further).join(tops, "bucket", "left"), "loose")
+    rest = rest.drop("rep")
+    loose = rest.join(tops, "bucket", "left").join(large.select("node", F.col("root").alias("home")), ["node", "home"], "left_anti")
+    loose = loose.join(held.select("node", "root"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"), "home", "of")
+    loose = save(loose, "loose")
     mixed = loose.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("home"))
     mixed = small(save(mixed.where("low <> high or home is not null").select("bucket"), "mixed"))
     left = save(loose.join(mixed, "bucket", "left_semi"), "left")
     guests = save(left.where("home is not null").groupBy("node", "root", "home", "of").agg((F.sum("n") * HOME >= F.col("of")).alias("often")), "guests")
     seldom = left.join(guests.where("not often").select("node", "home"), ["node", "home"], "left_semi").select("bucket", "home", "n").distinct()
     seldom = small(save(seldom, "seldom")).withColumnRenamed("home", "root")
-    hosts = crowd.select("bucket", "node", "root").join(seldom, ["bucket", "root"]).select("bucket", "node", "root", "n")
+    # The texts at home in such buckets: those that are not loose there.
+    hosts = rest.select("bucket", "node").join(seldom, "bucket").join(large.select("node", "root"), ["node", "root"], "left_semi").select("bucket", "node", "root", "n")
     left = save(left.select("bucket", "node", "root", "n").unionByName(hosts), "left")
 
     def blocks(n: Column) -> Column:

@@ -101,6 +101,22 @@ def test_a_large_group_of_near_copies_forms_few_pairs(spark, monkeypatch):  # pi
     assert sum(n for name, n in counts.items() if name.endswith("-pairs")) < 20 * len(rows)
 
 
+def test_a_large_component_forms_no_row_for_each_text_and_bucket(spark, monkeypatch):  # pipeline
+    """The texts of one component share very many buckets: after these are counted, few rows of a text and a bucket are formed."""
+    counts, write = {}, shingles.save
+
+    def save(df, name):
+        df = write(df, name)
+        counts[name] = max(counts.get(name, 0), df.count())
+        return df
+
+    monkeypatch.setattr(shingles, "save", save)
+    rows = list(enumerate(group(random.Random(9), 200, 2)))
+    links_hold(rows, dict(map(tuple, shingles.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    late = sum(n for name, n in counts.items() if name not in ("shared", "members", "rays"))
+    assert counts["members"] > 50 * len(rows) and 2 * late < counts["members"]
+
+
 @pytest.mark.parametrize("home", [0, 8, 10**9])
 def test_large_components_are_met_as_a_whole_or_in_buckets(spark, home, monkeypatch):
     """0: in buckets only; 10^9: as a whole only."""

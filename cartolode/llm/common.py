@@ -53,23 +53,33 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the plan that follows starts from files and survives lost executors."""
+    """Write df to the shared folder and read it back: the plan that follows starts from files and survives lost executors. What
+    the write has shuffled is deleted with its end, not when the driver comes to collect its garbage."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _set(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """What runs inside hands rows to Python in smaller batches, for rows that are whole texts, of which a task holds a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
+    with _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,13 @@ BLOCK, BLOCKS, MOST = 256, 32, 8192
 #: Components of so many texts are met as a whole by those of other components, not in every bucket, if a text's buckets with them
 #: hold at least the HOME-th part of their texts.
 LARGE, HOME = 64, 8
-#: Texts whose buckets a task makes.
-TASK_TEXTS = 3000
+#: Rows of a text and a bucket that a task makes or reads, those that it looks at together, and in a batch.
+TASK_ROWS, CHUNK, BATCH = 720_000, 1 << 18, 1 << 14
+#: Words of a fingerprint whose buckets link texts first, and those whose buckets are shuffled at a time.
+FIRST, AT_ONCE = 2, 4
+#: Every two texts of a bucket of so many are told apart by two further words; of a larger one those outside its largest component,
+#: if they are no more, from all.
+ALIKE = 1024
 _RANDOM = np.random.default_rng(SEED)
 _START, _TURN = (_RANDOM.integers(0, 1 << 63, WIDE, np.uint64) for _ in range(2))
 _TURN = 2 * _TURN + np.uint64(1)
@@ -113,6 +118,103 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_node(_tokens(t.as_py())) for t in b.column(0)], pa.int64()), b.column(0)], ["node", "t"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that arrive in order of their bucket, the first column, so many at a time and whole buckets only."""
+    held, count, most = [], 0, CHUNK
+    for b in batches:
+        held.append([c.to_numpy() for c in b.columns])
+        count += b.num_rows
+        if count < most:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            yield [c[:cut] for c in columns]
+        held, count = [[c[cut:] for c in columns]], count - cut
+        most = max(CHUNK, 2 * count)
+    if count:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _starts(bucket: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
+
+
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.r_[starts, n])
+
+
+def _shared(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows (bucket, node, ...) whose bucket has others, in order of bucket and node."""
+    same = columns[0][1:] == columns[0][:-1]
+    columns = [c[np.r_[same, False] | np.r_[False, same]] for c in columns]
+    order = np.lexsort((columns[1], columns[0]))
+    return [c[order] for c in columns]
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches are alike enough for texts that did not meet by chance."""
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= CHANCE
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, node, root, sketch) in order of bucket the pairs of a node and the first of its bucket, if alike."""
+    for columns in _whole(batches):
+        bucket, node, _, sketch = _shared(columns)
+        starts = _starts(bucket)
+        first = np.repeat(starts, _sizes(starts, len(bucket)))
+        ok = (node != node[first]) & _near(sketch, sketch[first])
+        yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(node[first][ok])], ["a", "b"])
+
+
+def _strangers(bucket: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Which rows, in order of bucket, are alike one of their bucket with another root."""
+    starts = _starts(bucket)
+    sizes = _sizes(starts, len(bucket))
+    kept = np.repeat(sizes > ALIKE, sizes)
+    left, lag = np.flatnonzero(~kept[:-1]), 1
+    while len(left := left[(left + lag < len(bucket)) & (bucket[left] == bucket[np.minimum(left + lag, len(bucket) - 1)])]):
+        at = left[(root[left] != root[left + lag]) & _near(sketch[left], sketch[left + lag])]
+        kept[at] = kept[at + lag] = True
+        lag += 1
+    for start, n in zip(starts[sizes > ALIKE], sizes[sizes > ALIKE]):
+        own, at = root[start : start + n], slice(start, start + n)
+        values, counts = np.unique(own, return_counts=True)
+        others = np.flatnonzero(own != values[counts.argmax()])
+        if len(others) > ALIKE:
+            continue
+        kept[at] = False
+        for k in others:
+            alike = (own != own[k]) & _near(sketch[at], sketch[start + k])
+            kept[start + k] |= alike.any()
+            kept[at] |= alike
+    return kept
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, node, root, sketch) in order of bucket, a root of zero being none, those of buckets of one root, and of
+    others those alike one of their bucket with another root: (bucket, node, n, rep, ray). n is how many of the bucket these are, rep
+    the first of them, and ray whether a node is alike rep and of another root; n is zero for a bucket of one root."""
+    for columns in _whole(batches):
+        bucket, node, root, sketch = _shared(columns)
+        root = np.where(root == 0, node, root)
+        starts = _starts(bucket)
+        if not len(starts):
+            continue
+        mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), _sizes(starts, len(bucket)))
+        ok = ~mixed
+        at = np.flatnonzero(mixed)
+        if len(at):
+            ok[at] = _strangers(bucket[at], root[at], sketch[at])
+        bucket, node, root, sketch, mixed = (c[ok] for c in (bucket, node, root, sketch, mixed))
+        starts = _starts(bucket)
+        n = _sizes(starts, len(bucket))
+        first = np.repeat(starts, n)
+        ray = (root != root[first]) & _near(sketch, sketch[first])
+        out = [bucket, node, np.where(mixed, np.repeat(n, n), 0), node[first], ray]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["bucket", "node", "n", "rep", "ray"])
+
+
 def _words(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
 
@@ -187,11 +289,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: (doc_id, component_id), the smallest doc_id reachable by pairs of texts whose sets of
     word shingles have at least the Jaccard similarity `least`.
 
-    Texts of the same words are one node. Texts whose fingerprints agree under a covering mask share a bucket. Each text is
-    first compared with the first of all texts that its buckets begin with, a pair a text; then with the first of each of its
-    buckets; then all other pairs of a bucket that this left in different components are compared, in blocks, but for two texts
-    that met by chance. A large component is not met in every bucket: a text that shares many with it is compared with all of
-    its texts, once. Every link is confirmed on the exact sets.
+    Texts of the same words are one node. Texts whose fingerprints agree under a covering mask share a bucket. By the buckets of a
+    few words each text is first compared with the first of all texts that its buckets begin with, a pair a text; then with the
+    first of each. After that rows of all buckets are dealt, some words at a time, and only texts that are alike one of another
+    component in their bucket go on, not those that met by chance nor those of one component. They are
+    compared with the first of their buckets, and all other pairs of a bucket that this left in different components in blocks. A
+    large component is not met in every bucket: a text that shares many with it is compared with all of its texts, once. Every link
+    is confirmed on the exact sets.
 
     Null and empty texts are one group; a null id is no candidate for component_id, which is null if its whole
     component has none; an empty table gives no rows.
@@ -204,18 +308,20 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     prints = save(rows.mapInArrow(trimmed(_prints(width)), "doc_id long, node long, wide array<long>, bins binary, size long"), "prints")
     classes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("wide", "bins", "size")]), "classes")
-    # A text has a row for every mask: tasks take few enough texts that none spills while it counts them.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // TASK_TEXTS))
+    texts = classes.count()
+    masks = covering_masks(list(range(MASKED)), RADIUS)
     next_ = lambda n: F.element_at("wide", F.pmod(F.col("w") + n, F.lit(WIDE)) + 1).bitwiseAND(F.lit((1 << 32) - 1))
     sketch = F.shiftleft(next_(1), 32).bitwiseOR(next_(2)).alias("sketch")
-    words = classes.repartition(parts, "node").select("node", "wide", F.posexplode("wide").alias("w", "x")).select("node", "w", "x", sketch)
-    masks = covering_masks(list(range(MASKED)), RADIUS)
-    buckets = words.select("node", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(k), "w", F.col("x").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.min_by("sketch", "node").alias("like"))
-    shared = save(shared.where("n > 1"), "shared")
-    # Bits of two further words tell texts that share a bucket by chance from alike ones, before either is looked up.
-    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("like"))) <= CHANCE
-    members = save(buckets.join(shared.hint("merge"), "bucket").select("node", "bucket", "n", "rep", near.alias("near")), "members")
+
+    def dealt(nodes: DataFrame, low: int, high: int, task, schema: str) -> DataFrame:
+        """What task makes of the rows of nodes(node, root, wide) for the masks over these words, which arrive in order of bucket."""
+        # A text has a row for every mask: tasks take few enough texts that none spills.
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts * (high - low) * len(masks) // TASK_ROWS))
+        words = nodes.repartition(parts, "node").select("node", "root", "wide", F.posexplode("wide").alias("w", "x")).where(F.col("w").between(low, high - 1))
+        words = words.select("node", "root", "w", "x", sketch)
+        rows = words.select(F.explode(F.array(*[F.xxhash64(F.lit(k), "w", F.col("x").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("bucket"), "node", "root", "sketch")
+        with text_batches(docs.sparkSession, BATCH):
+            return save(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(task), schema), "shared")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = save(pairs.distinct(), f"{name}-pairs")
@@ -232,14 +338,22 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, lea
     def components(links: DataFrame) -> DataFrame:
         return save(connected_components(links).withColumnRenamed("component", "root"), "roots")
 
-    stars = save(members.where("node <> rep and near").groupBy(F.col("node").alias("a")).agg(F.min("rep").alias("b")), "stars")
-    links = confirmed(likely(stars), "star")
+    def rays(met: DataFrame) -> DataFrame:
+        """The pairs (a, b) of different components."""
+        met = met.distinct()
+        for k in ("a", "b"):
+            met = met.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+        return save(met.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "rays")
+
+    first = dealt(classes.select("node", F.lit(0).cast("long").alias("root"), "wide"), 0, FIRST, _stars, "a long, b long")
+    links = confirmed(likely(save(first.groupBy("a").agg(F.min("b").alias("b")), "stars")), "star")
+    roots = components(links)
+    links = save(links.union(confirmed(likely(rays(first)), "first-ray")), "links")
     roots = components(links)
-    rays = save(members.where("node <> rep and (near or n > 2)").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "rays")
-    for k in ("a", "b"):
-        rays = rays.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
-    rays = save(rays.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "rays")
-    links = save(links.union(confirmed(likely(rays), "ray")), "links")
+    nodes = save(classes.select("node", "wide").join(roots, "node", "left").select("node", F.coalesce("root", F.lit(0).cast("long")).alias("root"), "wide"), "nodes")
+    parts = [dealt(nodes, k, min(k + AT_ONCE, WIDE), _members, "bucket long, node long, n long, rep long, ray boolean") for k in range(0, WIDE, AT_ONCE)]
+    members = save(reduce(DataFrame.unionByName, parts), "members")
+    links = save(links.union(confirmed(likely(rays(members.where("ray").select(F.col("node").alias("a"), F.col("rep").alias("b")))), "ray")), "links")
     roots = components(links)
     # Every text has met the first of its buckets: the others are left, which are two at least in buckets of three.
     held = save(roots.join(save(roots.groupBy("root").agg(F.count("*").alias("held")), "held"), "root").select("node", "root", "held"), "held")
